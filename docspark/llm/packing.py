@@ -38,6 +38,9 @@ CACHE = 1 << 20  # runs an encoder remembers
 _OTHER = re.compile("[^\x00-\x1b\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u024f]|<\\|")
 
 
+_PLAIN = re.compile("([a-z\u00df-\u00f6\u00f8-\u024f]+)([.,;:!?]*)")
+
+
 class Encoder:
     """Ids of a text as little-endian 32-bit bytes: what ``encode(text, add_special_tokens=False)`` gives.
 
@@ -51,7 +54,7 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
         self.tokenizer = Tokenizer.from_file(path)
-        self.runs: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {"": b""}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -64,11 +67,24 @@ class Encoder:
         if new:
             if len(known) > CACHE:
                 known.clear()
+                known[""] = b""
                 new = list(set(runs))
-            for run, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[run] = np.array(found.ids, dtype="<u4").tobytes()
+            self._learn(new)
         return b"".join([known[r] for r in runs])
 
+    def _learn(self, runs: list[str]) -> None:
+        """Words of letters, bare or with marks behind them, are encoded together; each is a token group of its own."""
+        known = self.runs
+        parts = {r: m.groups() for r in runs if (m := _PLAIN.fullmatch(r))}
+        words = [w for w in {x for p in parts.values() for x in p} if w not in known]
+        if words:
+            found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+            ids, cut = np.array(found.ids, dtype="<u4").tobytes(), np.searchsorted(np.array(found.word_ids), np.arange(len(words) + 1)) * 4
+            known.update(zip(words, (ids[i:j] for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)), strict=True))
+        for r in runs:
+            if r not in known:
+                known[r] = known[parts[r][0]] + known[parts[r][1]] if r in parts else self.whole(r)
+
 
 _encoders: dict[str, Encoder] = {}  # of this worker process, so that later tasks find the cache filled
 

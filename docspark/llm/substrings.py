@@ -11,6 +11,9 @@ sorted one bucket at a time, and only those of a cover that equal strings share:
 * Buckets. Anchors meet by their k-gram. Each carries a precomputed rank for long ties: the hash of
   all bytes its windows span. Anchors of equal rank are equal over all of it: all but the first are repeats,
   whatever the group's size, in one streaming pass over the sorted bucket.
+* A task that samples texts combines first: of the anchors it meets with equal k-gram and rank only the
+  first place needs to be sorted, the others are known repeats. They are dealt out by their place, so a passage in a third
+  of all texts sends one row a batch to its bucket.
 * What remains are first anchors of different ranks in one bucket (the ends of repeated passages). Their
   bytes are fetched, and the windows compared: each bucket is streamed in order of place, and a window is a
   repeat if it was met before.
@@ -121,7 +124,8 @@ def _grouped(batch: pa.RecordBatch) -> Iterator[list[tuple[int, bytes, int]]]:
 
 
 def _sampled(texts: DataFrame) -> DataFrame:
-    """gram, rank, doc_id, first, span: for each run of windows with one anchor (span: last - first)."""
+    """gram, rank, doc_id, first, span, known: for each run of windows with one anchor (span: last - first).
+    known: an equal run with an earlier place was met in the same batch; gram then only deals the row out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -130,9 +134,16 @@ def _sampled(texts: DataFrame) -> DataFrame:
                 data = np.frombuffer(b"".join(x[1] for x in some), dtype=np.uint8)
                 gram, rank, text, first, last, _ = anchors(data, np.cumsum([len(x[1]) for x in some]))
                 row, shift = np.array([x[0] for x in some]), np.array([x[2] for x in some])
-                yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(rank), ids.take(pa.array(row[text])), pa.array(first + shift[text]), pa.array((last - first).astype(np.int32))], names=["gram", "rank", "doc_id", "first", "span"])
+                doc, place = ids.take(pa.array(row[text])).to_numpy(), first + shift[text]
+                order = np.lexsort((place, doc, rank, gram))
+                same = np.r_[False, (gram[order][1:] == gram[order][:-1]) & (rank[order][1:] == rank[order][:-1])] if len(order) else np.zeros(0, dtype=bool)
+                head = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
+                known = np.zeros(len(order), dtype=bool)
+                known[order] = same & ((doc[order] != doc[head]) | (place[order] != place[head]))
+                gram = np.where(known, _mixed((doc * 31 + place).view(_U)).view(np.int64), gram)
+                yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(rank), pa.array(doc), pa.array(place), pa.array((last - first).astype(np.int32)), pa.array(known)], names=["gram", "rank", "doc_id", "first", "span", "known"])
 
-    return texts.mapInArrow(run, "gram long, rank long, doc_id long, first long, span int")
+    return texts.mapInArrow(run, "gram long, rank long, doc_id long, first long, span int, known boolean")
 
 
 def _sorted_out(rows: DataFrame) -> DataFrame:
@@ -141,10 +152,14 @@ def _sorted_out(rows: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead: tuple | None = None  # gram, rank, doc_id, first, span, told: the first row of the rank that is being read
         for b in batches:
-            n = b.num_rows
-            if not n:
+            if not b.num_rows:
                 continue
-            gram, rank, doc, first, span = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            gram, rank, doc, first, span, known = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            if known.any():
+                yield pa.RecordBatch.from_arrays([pa.array(doc[known]), pa.array(first[known]), pa.array(span[known]), pa.array(np.zeros(known.sum(), dtype=bool))], names=["doc_id", "first", "span", "unsure"])
+                gram, rank, doc, first, span = (c[~known] for c in (gram, rank, doc, first, span))
+                if not len(gram):
+                    continue
             fresh = np.r_[True, (gram[1:] != gram[:-1]) | (rank[1:] != rank[:-1])]
             out = []
             if lead is not None and (lead[0], lead[1]) == (gram[0], rank[0]):
