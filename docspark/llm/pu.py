@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docspark.llm.common import is_held_out, kept
-from docspark.llm.rules import COUNTS, FEATURES, features, rule_stats
+from docspark.llm.rules import COUNTS, FEATURES, features, labelled_rows, rule_stats
 
 POSITIVES = 20_000
 STEPS, RATE, DECAY = 40, 0.35, 1e-3
@@ -69,10 +69,10 @@ def fit(stats: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, np
     marks = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     marked = training.join(marks, "doc_id")
     share = {r["quality"]: r["n"] for r in marked.groupBy("quality").agg(F.count("*").alias("n")).collect()}
-    positive = marked.where("quality = 1").orderBy(F.xxhash64("doc_id"), "doc_id", *COUNTS).limit(POSITIVES).toPandas()
+    positive, _ = labelled_rows(training, labels, POSITIVES, "quality = 1")
     if not len(positive):
         return None
-    xp = features(positive[COUNTS].to_numpy(dtype=np.int64))
+    xp = features(positive)
     m = _sums(training, lambda x: np.r_[len(x), x.sum(axis=0), (x * x).sum(axis=0)], 1 + 2 * FEATURES)
     n, mean = m[0], m[1 : 1 + FEATURES] / m[0]
     std = np.sqrt(np.maximum(m[1 + FEATURES :] / n - mean**2, 0))
