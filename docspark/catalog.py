@@ -1,4 +1,187 @@
-"""All registered queries and their SQL."""
+"""All registered queries and their SQL: each applies one operator of the package to the given tables or views of them."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from docspark.operators import columns as C
+from docspark.operators import layout, pages, scans, web, workflows
+from docspark.plans.views import view, with_views
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+NOW = "TIMESTAMP '1996-06-01 00:00:00'"
+
+
+def query(name: str, needs: str, sql: str | None = None, *views: str) -> Callable:
+    """Registers f(*tables) under a name: needs are the tables and views it is given; sql with its views is the check."""
+
+    def register(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+        QUERIES[name] = lambda spark, sf_dir: f(*[view(spark, sf_dir, n) for n in needs.split()])
+        if sql:
+            ORACLE[name] = with_views(sql, *views)
+        return f
+
+    return register
+
+
+# --- B: columns
+
+query("b1_format_bytes", "files", "SELECT file_id, CASE WHEN size < 1000 THEN concat(size, ' B') WHEN size < 1000000 THEN concat(floor(size/1000.0*10+0.5)/10, ' KB') ELSE concat(floor(size/1000000.0*10+0.5)/10, ' MB') END AS label FROM files", "files")(lambda d: d.select("file_id", C.format_bytes(F.col("size")).alias("label")))
+query("b2_base_name", "files", "SELECT file_id, coalesce(nullif(regexp_replace(name, '(?i)\\.pdf$', ''), ''), 'document') AS base FROM files", "files")(lambda d: d.select("file_id", C.base_name(F.col("name")).alias("base")))
+query("b3_output_name", "files", "SELECT file_id, concat(regexp_replace(name, '(?i)\\.pdf$', ''), '-scan-clean.pdf') AS out_name FROM files", "files")(lambda d: d.select("file_id", C.output_name(F.col("name"), F.lit("scan_clean-v1")).alias("out_name")))
+query("b4_safe_text", "documents", "SELECT doc_id, substring(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 120) AS safe FROM documents")(lambda d: d.select("doc_id", C.safe_text(F.col("text"), 120).alias("safe")))
+query("b5_clamp_count", "lineitem", "SELECT l_orderkey, l_linenumber, l_quantity, greatest(0, least(20, CASE WHEN l_quantity = floor(l_quantity) THEN CAST(l_quantity AS BIGINT) ELSE 0 END)) AS n FROM lineitem")(lambda d: d.select("l_orderkey", "l_linenumber", "l_quantity", C.clamp_count(F.col("l_quantity"), 0, 20).alias("n")))
+query("b6_fill_template", "part", "SELECT p_partkey, concat(p_name, ' by ', p_brand, ' {unknown}') AS filled FROM part")(lambda d: d.select("p_partkey", C.fill_template(F.lit("{name} by {brand} {unknown}"), F.create_map(F.lit("name"), F.col("p_name"), F.lit("brand"), F.col("p_brand"))).alias("filled")))
+query("b7_page_label", "doc_pages", "SELECT doc_id, page_no, concat('Page ', page_no, ' of ', n_lines) AS label FROM doc_pages", "doc_pages")(lambda d: d.select("doc_id", "page_no", C.page_label(F.lit("of"), F.col("page_no"), F.col("n_lines")).alias("label")))
+query("b8_rotate_angle", "page_boxes", "SELECT doc_id, page_no, ((rotation - 90) % 360 + 360) % 360 AS angle FROM page_boxes", "page_boxes")(lambda d: d.select("doc_id", "page_no", C.rotate_angle(F.col("rotation"), F.lit(-90)).alias("angle")))
+query("b9_crop_box", "page_boxes", "SELECT doc_id, page_no, CASE rotation WHEN 0 THEN l WHEN 90 THEN t WHEN 180 THEN 0.0 ELSE 0.0 END AS x, CASE rotation WHEN 0 THEN 0.0 WHEN 90 THEN l WHEN 180 THEN t ELSE 0.0 END AS y, CASE WHEN turned THEN h ELSE w END AS w, CASE WHEN turned THEN w ELSE h END AS h FROM (SELECT *, greatest(10.0, sw - l) AS w, greatest(10.0, sh - t) AS h FROM (SELECT *, greatest(0.0, least(50.0, sw/2-5)) AS l, greatest(0.0, least(100.0, sh/2-5)) AS t FROM (SELECT doc_id, page_no, rotation, rotation % 180 <> 0 AS turned, CASE WHEN rotation % 180 <> 0 THEN media_h ELSE media_w END AS sw, CASE WHEN rotation % 180 <> 0 THEN media_w ELSE media_h END AS sh FROM page_boxes)))", "page_boxes")(lambda d: d.select("doc_id", "page_no", C.crop_box(F.col("media_w"), F.col("media_h"), F.col("rotation"), 100, 0, 0, 50).alias("c")).select("doc_id", "page_no", "c.*"))
+query("b10_quality_level", "files", "SELECT file_id, CASE WHEN v <= 50 THEN 0.85 + v/50*0.45 ELSE 1.3 + (v-50)/50*0.7 END AS scale, CASE WHEN v <= 50 THEN 0.55 + v/50*0.23 ELSE 0.78 + (v-50)/50*0.12 END AS quality FROM (SELECT file_id, CAST(file_id % 101 AS DOUBLE) v FROM files)", "files")(lambda d: d.select("file_id", C.quality_level((F.col("file_id") % 101).cast("double")).alias("q")).select("file_id", "q.*"))
+query("b11_quality_label", "files", "SELECT file_id, CASE WHEN v < 20 THEN 'Smallest file' WHEN v < 40 THEN 'Smaller file' WHEN v <= 60 THEN 'Balanced' WHEN v < 80 THEN 'Good quality' ELSE 'Highest quality' END AS label FROM (SELECT file_id, file_id % 101 v FROM files)", "files")(lambda d: d.select("file_id", C.quality_label(F.col("file_id") % 101).alias("label")))
+query("b12_encodable_text", "documents", "SELECT doc_id, nullif(substring(trim(regexp_replace(text, '[^\\x20-\\x7e]', '', 'g')), 1, 40), '') AS text, regexp_replace(text, '[^\\x20-\\x7e]', '', 'g') <> text AS dropped FROM documents")(lambda d: d.select("doc_id", C.encodable_text(F.col("text")).alias("e")).select("doc_id", "e.*"))
+_EMPH = "CASE WHEN trim(str) = '' THEN trim(str) WHEN b THEN concat('**', trim(str), '**') WHEN i THEN concat('*', trim(str), '*') ELSE trim(str) END"
+query("b13_wrap_emphasis", "text_items", f"SELECT doc_id, page_no, item_no, {_EMPH} AS s FROM (SELECT *, font_family LIKE '%Bold%' b, font_family LIKE '%Oblique%' i FROM text_items)", "text_items")(lambda d: d.select("doc_id", "page_no", "item_no", C.wrap_emphasis(F.col("str"), F.contains("font_family", F.lit("Bold")), F.contains("font_family", F.lit("Oblique"))).alias("s")))
+query("b14_escape_leading_token", "md_lines", "SELECT doc_id, line_no, regexp_replace(line, '^([#\\-*+>])', '\\\\\\1') AS line FROM md_lines", "md_lines")(lambda d: d.select("doc_id", "line_no", C.escape_leading_token(F.col("line")).alias("line")))
+query("b15_markdown_to_plain", "md_docs", "SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?m)^#{1,6} ', '', 'g'), '\\*\\*\\*([^*\\n]+)\\*\\*\\*', '\\1', 'g'), '\\*\\*([^*\\n]+)\\*\\*', '\\1', 'g'), '\\*([^*\\n]+)\\*', '\\1', 'g'), '`([^`\\n]+)`', '\\1', 'g') AS plain FROM md_docs", "md_docs")(lambda d: d.select("doc_id", C.markdown_to_plain(F.col("text")).alias("plain")))
+query("b16_text_paragraphs", "md_docs", "SELECT doc_id, array_to_string(list_filter(list_transform(string_split_regex(text, '\\n[\\x20\\t]*\\n'), lambda p: trim(regexp_replace(p, '\\s*\\n\\s*', ' ', 'g'))), lambda p: p <> ''), chr(10) || chr(10)) AS text FROM md_docs", "md_docs")(lambda d: d.select("doc_id", C.text_paragraphs(F.col("text")).alias("text")))
+query("b17_escape_html", "pages", "SELECT page_id, replace(replace(replace(replace(html, '&', '&amp;'), '\"', '&quot;'), '<', '&lt;'), '>', '&gt;') AS attr, replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS xml FROM pages")(lambda d: d.select("page_id", C.escape_html(F.col("html")).alias("attr"), C.escape_xml(F.col("html")).alias("xml")))
+query("b18_split_keywords", "part", "SELECT p_partkey, array_to_string(list_filter([trim(p_brand), trim(p_type), ''], lambda x: x <> ''), '|') AS keywords FROM part")(lambda d: d.select("p_partkey", F.array_join(C.split_keywords(F.concat_ws(" , ", "p_brand", "p_type", F.lit(" "))), "|").alias("keywords")))
+query("b19_set_metadata", "documents", "SELECT doc_id, concat('Doc ', doc_id) AS title, source AS author, TIMESTAMP '2026-01-01 00:00:00' AS modified FROM documents")(lambda d: d.select("doc_id", F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("title"), F.col("source").alias("author"), F.expr("timestamp_ntz'2026-01-01 00:00:00'").alias("modified")))
+query("b20_carry_metadata", "documents", "SELECT doc_id, coalesce(nullif(CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 3 = 1 THEN source END, ''), lang) AS author FROM documents")(lambda d: d.select("doc_id", F.coalesce(F.nullif(F.when(F.col("doc_id") % 3 == 0, "").when(F.col("doc_id") % 3 == 1, F.col("source")), F.lit("")), F.col("lang")).alias("author")))
+_URL = "CASE page_id % 4 WHEN 0 THEN concat('https://www.example.org/', CASE WHEN page_id % 8 = 0 THEN 'fr/' ELSE 'tools/' END, '?q=1') WHEN 1 THEN url WHEN 2 THEN concat(url, '/') ELSE 'https://example.org/de/' END"
+query("b21_canonical_url", "pages", f"SELECT page_id, concat(CASE WHEN regexp_extract(b, '^[a-z]+://[^/?#]+([^?#]*)', 1) = '/' OR regexp_replace(regexp_extract(b, '^[a-z]+://[^/?#]+([^?#]*)', 1), '^/|/$', '', 'g') IN ({', '.join(repr(x) for x in C.LANGUAGES)}) THEN b ELSE regexp_replace(b, '/$', '') END, q) AS canonical FROM (SELECT page_id, split_part(u, '?', 1) b, CASE WHEN contains(u, '?') THEN concat('?', split_part(u, '?', 2)) ELSE '' END q FROM (SELECT page_id, regexp_replace({_URL}, '^([a-z]+://)www\\.', '\\1') u FROM pages))")(lambda d: d.select("page_id", C.canonical_url(F.expr(_URL)).alias("canonical")))
+_PATH = "CASE page_id % 3 WHEN 0 THEN '/fr/tools' WHEN 1 THEN '/de' ELSE '/tools/merge' END"
+query("b22_route_language", "pages", f"SELECT page_id, CASE p WHEN '/fr/tools' THEN 'fr' WHEN '/de' THEN 'de' ELSE 'en' END AS lang, CASE p WHEN '/fr/tools' THEN '/tools' WHEN '/de' THEN '/' ELSE p END AS page FROM (SELECT page_id, {_PATH} p FROM pages)")(lambda d: d.select("page_id", C.route_language(F.expr(_PATH)).alias("r")).select("page_id", "r.*"))
+_LINKS = "SELECT page_id, CAST(i - 1 AS INT) AS link_no, href FROM (SELECT page_id, unnest(l) AS href, generate_subscripts(l, 1) AS i FROM (SELECT page_id, regexp_extract_all(html, '(?i)<a\\s[^>]*?href=\"([^\"]*)\"', 1) l FROM pages))"
+query("b23_localize_href", "pages", f"SELECT page_id, link_no, href, CASE WHEN regexp_matches(href, '^(?:[a-z]+:|#|\\?|\\.|//)') OR split_part(href, '/', 2) IN ({', '.join(repr(x) for x in C.LANGUAGES)}) OR href = '' THEN href WHEN starts_with(href, '/') THEN concat('/fr', href) ELSE concat('/fr/', href) END AS localized FROM ({_LINKS})")(lambda d: web.localized_links(d, "fr"))
+query("b24_detect_language", "pages", f"SELECT page_id, CASE WHEN p = '/fr/tools' THEN 'fr' WHEN p = '/de' THEN 'de' WHEN page_id % 5 = 0 THEN 'es' WHEN page_id % 5 = 1 THEN 'zh-TW' WHEN page_id % 5 = 2 THEN 'pt' ELSE 'en' END AS lang FROM (SELECT page_id, {_PATH} p FROM pages)")(lambda d: d.select("page_id", C.detect_language(F.expr(_PATH), F.expr("CASE WHEN page_id % 5 = 0 THEN 'es' END"), F.expr("CASE page_id % 5 WHEN 1 THEN 'zh-HK' WHEN 2 THEN 'pt-BR' ELSE 'xx' END")).alias("lang")))
+query("b25_text_direction", "dictionary", "SELECT locale, key, CASE WHEN locale = 'ar' THEN 'rtl' ELSE 'ltr' END AS dir FROM dictionary", "dictionary")(lambda d: d.select("locale", "key", C.text_direction(F.col("locale")).alias("dir")))
+query("b26_is_present", "dictionary", "SELECT locale, key, value IS NOT NULL AND trim(value) <> '' AS present FROM dictionary", "dictionary")(lambda d: d.select("locale", "key", C.is_present(F.col("value")).alias("present")))
+query("b27_search_rows", "part", "SELECT p_partkey FROM part WHERE contains(lower(concat_ws(' ', p_name, p_brand, p_type)), 'brand#1')")(lambda d: workflows.search_rows(d, "Brand#1", "p_name", "p_brand", "p_type").select("p_partkey"))
+query("b28_select_pages", "doc_pages", "SELECT doc_id, page_no, n_lines FROM doc_pages WHERE page_no IN (1, 3)", "doc_pages")(lambda d: pages.select_pages(d, d.where("page_no in (1, 3)").select("doc_id", "page_no")).select("doc_id", "page_no", "n_lines"))
+query("b29_map_permissions", "files", "SELECT file_id, CASE file_id % 3 WHEN 0 THEN 'none' WHEN 1 THEN 'lowResolution' ELSE 'highResolution' END AS printing, file_id % 2 = 0 AS copying, true AS accessibility FROM files", "files")(lambda d: d.select("file_id", F.when(F.col("file_id") % 3 == 0, "none").when(F.col("file_id") % 3 == 1, "lowResolution").otherwise("highResolution").alias("printing"), (F.col("file_id") % 2 == 0).alias("copying"), F.lit(True).alias("accessibility")))
+query("b30_classify_line", "text_items", "SELECT doc_id, page_no, item_no, CASE WHEN font_size/11 >= 1.8 THEN 'heading1' WHEN font_size/11 >= 1.5 THEN 'heading2' WHEN font_size/11 >= 1.25 THEN 'heading3' WHEN font_size/11 >= 1.1 THEN 'heading4' WHEN regexp_matches(str, '^[-*•] +') THEN 'bullet' WHEN regexp_matches(str, '^[0-9]{1,3}[.)] +') THEN 'ordered' ELSE 'paragraph' END AS kind FROM text_items", "text_items")(lambda d: d.select("doc_id", "page_no", "item_no", C.classify_line(F.col("font_size"), F.lit(11.0), F.col("str"))["kind"].alias("kind")))
+query("b31_is_locked_error", "events", "SELECT event_id, regexp_matches(m, '(?i)password|encrypted') AS locked FROM (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'File is Encrypted' WHEN 1 THEN 'no PASSWORD given' ELSE 'broken' END m FROM events)")(lambda d: d.select("event_id", C.is_locked_error(F.lit("Error"), F.expr("CASE event_id % 3 WHEN 0 THEN 'File is Encrypted' WHEN 1 THEN 'no PASSWORD given' ELSE 'broken' END")).alias("locked")))
+query("b32_needs_ocr", "text_items page_boxes", "SELECT b.doc_id, b.page_no, CASE WHEN b.rotation <> 0 THEN 'skip' WHEN coalesce(n, 0) < 6 OR coalesce(c, 0) < 25 THEN 'recognise' ELSE 'keep' END AS action FROM page_boxes b LEFT JOIN (SELECT doc_id, page_no, count(*) FILTER (WHERE trim(str) <> '') n, sum(length(trim(str))) c FROM text_items GROUP BY ALL) s ON b.doc_id = s.doc_id AND b.page_no = s.page_no", "text_items", "page_boxes")(layout.needs_ocr)
+query("b33_filter_confidence", "text_items", "SELECT doc_id, page_no, item_no FROM text_items WHERE CASE WHEN item_no % 7 = 0 THEN 100 ELSE (item_no * 13) % 100 END >= 30", "text_items")(lambda d: layout.filter_confidence(d.withColumn("conf", F.when(F.col("item_no") % 7 != 0, F.col("item_no") * 13 % 100))).select("doc_id", "page_no", "item_no"))
+query("b34_available_actions", "files", "SELECT workflow_id, array_to_string(list_filter([CASE WHEN max(status = 'queued') THEN 'cancel' END, CASE WHEN max(status = 'error') THEN 'retry' END, CASE WHEN NOT workflow_id % 7 = 0 THEN 'normalise' END], lambda x: x IS NOT NULL), ',') AS actions FROM files GROUP BY workflow_id", "files")(lambda d: d.groupBy("workflow_id").agg(F.max(F.col("status") == "queued").alias("q"), F.max(F.col("status") == "error").alias("e")).select("workflow_id", F.array_join(C.available_actions(F.col("q"), F.lit(False), F.col("e"), F.col("workflow_id") % 7 == 0), ",").alias("actions")))
+
+# --- H1, E6, D1 and what follows from findings
+
+_FOUND = "found AS (" + " UNION ALL ".join(f"SELECT doc_id, {i} AS rank, '{c}' AS category, '{conf}' AS confidence, unnest(l) AS match, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{p}') l FROM documents)" for i, (c, conf, p) in enumerate(scans.SENSITIVE)) + ")"
+query("h1_scan_sensitive", "documents", f"WITH {_FOUND} SELECT doc_id, category, confidence, substring(match, 1, 120) AS match FROM found")(lambda d: scans.scan_sensitive(d).select("doc_id", "category", "confidence", "match"))
+query("e6_cap_findings", "documents", f"WITH {_FOUND} SELECT doc_id, category, substring(match, 1, 120) AS match, CAST(position AS INT) AS position, truncated FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rank, i) position, count(*) OVER (PARTITION BY doc_id) >= 3 truncated FROM found) WHERE position <= 3")(lambda d: scans.cap_findings(scans.scan_sensitive(d), 3).select("doc_id", "category", "match", "position", "truncated"))
+query("d1_category_counts", "documents", f"WITH {_FOUND} SELECT doc_id, category, count(*) AS n FROM found GROUP BY ALL")(lambda d: scans.category_counts(scans.scan_sensitive(d)))
+query("k15_public_summary", "documents", f"WITH {_FOUND} SELECT category, confidence, count(*) AS n, count(DISTINCT doc_id) AS documents FROM found GROUP BY ALL")(lambda d: scans.public_summary(scans.scan_sensitive(d)))
+query("d4_metadata_scan", "documents", "SELECT doc_id, array_to_string(list_filter([CASE WHEN trim(lang) <> '' THEN 'lang' END, CASE WHEN trim(source) <> '' THEN 'source' END], lambda x: x IS NOT NULL), ',') AS fields, 2 - CAST(lang IS NULL OR trim(lang) = '' AS INT) - CAST(source IS NULL OR trim(source) = '' AS INT) AS n_fields FROM documents")(lambda d: scans.metadata_scan(d, ["lang", "source"]))
+query("k2_clean_metadata", "documents", "SELECT doc_id, CAST(NULL AS VARCHAR) AS lang, CAST(NULL AS VARCHAR) AS source, n_chars FROM documents")(lambda d: scans.clean_metadata(d, ["lang", "source"]).select("doc_id", "lang", "source", "n_chars"))
+query("k9_banned_phrases", "documents benchmark", "SELECT doc_id, phrase FROM documents, (SELECT DISTINCT substring(text, 1, 12) AS phrase FROM benchmark) p WHERE contains(lower(text), lower(phrase))")(lambda d, b: scans.banned_phrases(d, b.select(F.substring("text", 1, 12).alias("phrase")).distinct()))
+query("k14_leak_check", "documents benchmark", "SELECT needle, count(*) AS n FROM documents, (SELECT DISTINCT substring(text, 1, 20) AS needle FROM benchmark) WHERE contains(text, needle) GROUP BY needle")(lambda d, b: scans.leak_check(d.select(F.col("text").alias("value")), b.select(F.substring("text", 1, 20).alias("needle")).distinct()))
+query("d15_error_rollup", "events", "SELECT key, least(sum(n), 100000) AS errors, string_agg(category, ',' ORDER BY first) AS categories FROM (SELECT user_id AS key, concat('c', event_id % 7) AS category, count(*) n, min(event_id) AS first FROM events WHERE event_type = 'error' GROUP BY ALL) GROUP BY key")(lambda d: scans.error_rollup(d.where("event_type = 'error'").select(F.col("user_id").alias("key"), F.concat(F.lit("c"), (F.col("event_id") % 7).cast("string")).alias("category"), F.col("event_id").alias("seq"))))
+query("d16_invisible_ops", "events", "SELECT user_id, count(*) FILTER (WHERE (event_id % 8) & 3 = 3) AS n FROM events GROUP BY user_id")(lambda d: d.groupBy("user_id").agg(F.count_if((F.col("event_id") % 8).bitwiseAND(3) == 3).alias("n")))
+
+# --- pages
+
+query("c2_apply_order", "doc_pages", "SELECT doc_id, page_no, CAST(n_pages - page_no + 1 AS BIGINT) AS position FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) n_pages FROM doc_pages) WHERE doc_id % 5 <> 0", "doc_pages")(lambda d: pages.apply_order(d.select("doc_id", "page_no"), d.where(~((F.col("doc_id") % 5 == 0) & (F.col("page_no") == 1))).select("doc_id", "page_no").withColumn("position", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("page_no"))).cast("long"))))
+query("c13_merge_documents", "conversations", "SELECT conv_id // 3 AS target, conv_id AS input_no, turn AS page_no, row_number() OVER (PARTITION BY conv_id // 3 ORDER BY conv_id, turn) AS new_page FROM conversations WHERE conv_id // 3 IN (SELECT conv_id // 3 FROM conversations GROUP BY 1 HAVING count(DISTINCT conv_id) > 1)")(lambda d: pages.merge_documents(d.select(F.expr("conv_id div 3").alias("target"), F.col("conv_id").alias("input_no"), F.col("turn").alias("page_no"))))
+query("d8_estimate_size", "doc_pages", "SELECT doc_id, CAST(floor(CASE WHEN max(n) <= 5 THEN sum(size) ELSE sum(size) FILTER (WHERE page_no = 1) + avg(size) FILTER (WHERE page_no > 1) * (max(n) - 1) END + 300 * max(n) + 1000 + 0.5) AS BIGINT) AS estimate, CAST(max(exact) AS BIGINT) AS exact FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) n, sum(size) OVER (PARTITION BY doc_id) exact FROM (SELECT doc_id, page_no, CAST(length(text) AS BIGINT) AS size FROM doc_pages)) WHERE n <= 5 OR page_no IN (1, 1 + floor((n-1)/4.0 + 0.5), 1 + floor(2*(n-1)/4.0 + 0.5), 1 + floor(3*(n-1)/4.0 + 0.5), n) GROUP BY doc_id", "doc_pages")(lambda d: pages.estimate_size(d.select("doc_id", "page_no", F.length("text").cast("long").alias("size"))))
+query("d11_rotation_hint", "page_boxes", "SELECT doc_id, count(*) AS pages, count(*) FILTER (WHERE rotation <> 0) AS rotated FROM page_boxes GROUP BY doc_id", "page_boxes")(pages.rotation_hint)
+query("d13_box_issues", "page_boxes", "SELECT doc_id, least(count(*) FILTER (WHERE bad), 100) AS issues, count(*) FILTER (WHERE bad) >= 100 AS truncated FROM (SELECT doc_id, media_w <= 0 OR media_h <= 0 OR crop_w <= 0 OR crop_h <= 0 OR crop_x < media_x OR crop_y < media_y OR crop_x + crop_w > media_x + media_w OR crop_y + crop_h > media_y + media_h AS bad FROM page_boxes) GROUP BY doc_id", "page_boxes")(pages.box_issues)
+query("e1_renumber", "lineitem", "SELECT l_orderkey AS doc_id, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_quantity, l_discount, l_tax) AS page_no FROM lineitem")(lambda d: pages.renumber(d.withColumnRenamed("l_orderkey", "doc_id"), "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity", "l_discount", "l_tax").select("doc_id", "l_partkey", "page_no"))
+query("e2_number_pages", "doc_pages", "SELECT doc_id, page_no, CASE WHEN k > s THEN CAST(k - s + 4 AS BIGINT) END AS number, CAST(n - s + 4 AS BIGINT) AS total FROM (SELECT *, CASE WHEN n > 1 THEN 1 ELSE 0 END s FROM (SELECT doc_id, page_no, count(*) OVER (PARTITION BY doc_id) n, row_number() OVER (PARTITION BY doc_id ORDER BY page_no) k FROM doc_pages))", "doc_pages")(lambda d: pages.number_pages(d.select("doc_id", "page_no"), 5))
+query("e3_reverse_pages", "conversations", "SELECT conv_id AS doc_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS page_no FROM conversations")(lambda d: pages.reverse_pages(d.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_no"), "text")))
+query("f3_sample_pages", "doc_pages", "SELECT doc_id, page_no FROM (SELECT doc_id, page_no, count(*) OVER (PARTITION BY doc_id) n FROM doc_pages) WHERE n <= 5 OR page_no IN (1, 1 + floor((n-1)/4.0 + 0.5), 1 + floor(2*(n-1)/4.0 + 0.5), 1 + floor(3*(n-1)/4.0 + 0.5), n)", "doc_pages")(lambda d: pages.sample_pages(d.select("doc_id", "page_no")))
+query("f4_first_last", "doc_pages", "SELECT doc_id, page_no FROM (SELECT doc_id, page_no, min(page_no) OVER w a, max(page_no) OVER w b FROM doc_pages WINDOW w AS (PARTITION BY doc_id)) WHERE page_no IN (a, b)", "doc_pages")(lambda d: pages.first_last(d.select("doc_id", "page_no")))
+query("f8_page_at", "doc_pages", "SELECT doc_id, page_no FROM (SELECT doc_id, page_no, count(*) OVER (PARTITION BY doc_id) n FROM doc_pages) WHERE page_no = least(greatest(3, 1), n)", "doc_pages")(lambda d: pages.page_at(d.select("doc_id", "page_no"), 3))
+query("g1_delete_pages", "doc_pages", "SELECT doc_id, page_no FROM doc_pages WHERE page_no % 2 = 1", "doc_pages")(lambda d: pages.delete_pages(d, d.where("page_no % 2 = 0").select("doc_id", "page_no")).select("doc_id", "page_no"))
+query("g3_append_documents", "doc_pages", "SELECT doc_id, src_index, row_number() OVER (PARTITION BY doc_id ORDER BY part, src_index) AS page_no FROM (SELECT doc_id, src_index, 0 part FROM doc_pages UNION ALL SELECT doc_id, src_index, 1 part FROM doc_pages WHERE src_index = 1)", "doc_pages")(lambda d: pages.append_documents(d.select("doc_id", "page_no", "src_index"), d.where("src_index = 1").select("doc_id", "page_no", "src_index")))
+query("h6_document_text", "doc_pages", "SELECT doc_id, concat(trim(string_agg(text, chr(10) || chr(10) ORDER BY page_no)), chr(10)) AS text FROM doc_pages WHERE trim(text) <> '' GROUP BY doc_id", "doc_pages")(pages.document_text)
+query("h15_split_each", "doc_pages", "SELECT doc_id, page_no, concat('doc', doc_id, '-page-', page_no) AS name FROM doc_pages", "doc_pages")(lambda d: pages.split_each(d.select("doc_id", "page_no")))
+query("h16_organize", "page_boxes", "SELECT doc_id, page_no, (rotation + 90) % 360 AS rotation, row_number() OVER (PARTITION BY doc_id ORDER BY -page_no, page_no) AS new_page FROM page_boxes WHERE page_no % 3 <> 0", "page_boxes")(lambda d: pages.organize(d.select("doc_id", "page_no", "rotation"), d.select("doc_id", "page_no", (F.col("page_no") % 3 != 0).alias("keep"), (-F.col("page_no")).alias("position"), F.lit(90).alias("turn"))).select("doc_id", "page_no", "rotation", "new_page"))
+query("k5_verify_counts", "doc_pages", "SELECT doc_id, count(*) AS expected, count(*) FILTER (WHERE page_no <= 5) AS found, count(*) = count(*) FILTER (WHERE page_no <= 5) AS ok FROM doc_pages GROUP BY doc_id", "doc_pages")(lambda d: pages.verify_counts(d, d.where("page_no <= 5")))
+query("k7_rebuild", "doc_pages", "SELECT doc_id, page_no, text FROM doc_pages", "doc_pages")(lambda d: d.select("doc_id", "page_no", "text"))
+query("c8_compare_parsers", "pages", "SELECT page_id AS doc_id, n AS n_a, CASE WHEN page_id % 4 <> 0 THEN n END AS n_b, page_id % 4 <> 0 AND n > 0 AS consistent FROM (SELECT page_id, CAST(len(regexp_extract_all(html, '(?i)<p>')) AS BIGINT) n FROM pages)")(lambda d: pages.compare_parsers(d.select(F.col("page_id").alias("doc_id"), F.regexp_count("html", F.lit("(?i)<p>")).cast("long").alias("n")), d.where("page_id % 4 <> 0").select(F.col("page_id").alias("doc_id"), F.regexp_count("html", F.lit("(?i)<p>")).cast("long").alias("n"))))
+
+# --- files, workflows, dictionaries
+
+query("c1_resolve_refs", "workflows files", "SELECT w.workflow_id, CAST(w.position - 1 AS INT) AS position, w.file_id, CASE WHEN f.status = 'running' THEN 'canceled' ELSE f.status END AS status FROM (SELECT workflow_id, unnest(file_refs) file_id, generate_subscripts(file_refs, 1) position FROM workflows) w JOIN files f ON f.file_id = w.file_id", "workflows", "files")(lambda w, f: workflows.resolve_refs(w, f).select("workflow_id", "position", "file_id", "status"))
+query("c3_orphan_files", "workflows files", f"SELECT * FROM (SELECT f.file_id, f.workflow_id, CASE WHEN w.expires_at <= {NOW} THEN 'owner expired' WHEN w.workflow_id IS NULL AND coalesce(f.expires_at, f.updated_at + INTERVAL 1 DAY) <= {NOW} THEN 'no owner' WHEN w.workflow_id IS NOT NULL AND NOT list_contains(w.file_refs, f.file_id) AND coalesce(f.expires_at, f.updated_at + INTERVAL 1 DAY) <= {NOW} THEN 'unreferenced' END AS reason FROM files f LEFT JOIN workflows w ON f.workflow_id = w.workflow_id) WHERE reason IS NOT NULL", "workflows", "files")(lambda w, f: workflows.orphan_files(w, f, F.expr(NOW)))
+query("a11_take_handoff", "workflows files", f"SELECT f.workflow_id, f.file_id, f.name FROM files f JOIN workflows w ON f.workflow_id = w.workflow_id WHERE w.expires_at > {NOW} AND list_contains(w.file_refs, f.file_id)", "workflows", "files")(lambda w, f: workflows.take_handoff(w, f, F.expr(NOW)).select("workflow_id", "file_id", "name"))
+query("a9_archive_manifest", "files", "SELECT archive, entry_no, name, size, CAST(coalesce(sum(30 + octet_length(encode(name)) + size) OVER (PARTITION BY archive ORDER BY entry_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM (SELECT workflow_id AS archive, seq AS entry_no, name, size FROM files)", "files")(lambda d: workflows.archive_manifest(d.select(F.col("workflow_id").alias("archive"), F.col("seq").cast("long").alias("entry_no"), "name", "size")))
+query("a10_upsert_bundle", "files", "SELECT workflow_id, file_id, size FROM files WHERE workflow_id % 10 <> 1 UNION ALL SELECT workflow_id, file_id, size + 1 FROM files WHERE workflow_id % 10 = 1 AND seq <= 2", "files")(lambda d: workflows.upsert_bundle(d.select("workflow_id", "file_id", "size"), d.where("workflow_id % 10 = 1 and seq <= 2").select("workflow_id", "file_id", (F.col("size") + 1).alias("size"))))
+query("d5_page_totals", "files", "SELECT workflow_id, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM files GROUP BY workflow_id", "files")(lambda d: workflows.page_totals(d, "workflow_id"))
+query("d9_before_after", "files", "SELECT file_id, CAST(floor((1 - after / size) * 100 + 0.5) AS BIGINT) AS percent, CASE WHEN floor((1 - after / size) * 100 + 0.5) <= 0 THEN 'did not shrink' END AS note FROM (SELECT file_id, CAST(size AS DOUBLE) size, CAST(size AS DOUBLE) * (file_id % 13) / 10 AS after FROM files)", "files")(lambda d: workflows.before_after(d.select("file_id", F.col("size").cast("double").alias("size"), (F.col("size").cast("double") * (F.col("file_id") % 13) / 10).alias("after")), "size", "after").select("file_id", "percent", "note"))
+query("d10_status_rollup", "files", "SELECT workflow_id, status, count(*) AS n FROM files GROUP BY workflow_id, status UNION ALL SELECT workflow_id, NULL, count(*) FROM files GROUP BY workflow_id", "files")(workflows.status_rollup)
+query("d22_current_step", "files", "SELECT workflow_id, greatest(max(step), 0) AS step FROM files GROUP BY workflow_id", "files")(workflows.current_step)
+query("e5_allocate_names", "files", "SELECT workflow_id, file_id, CASE WHEN k = 1 THEN name ELSE concat(regexp_replace(name, '\\.[^.]*$', ''), '-', k, regexp_extract(name, '(\\.[^.]*)$', 1)) END AS unique_name FROM (SELECT *, row_number() OVER (PARTITION BY workflow_id, lower(name) ORDER BY seq) k FROM files)", "files")(lambda d: workflows.allocate_names(d).select("workflow_id", "file_id", "unique_name"))
+query("e10_swap_neighbour", "files", "SELECT workflow_id, file_id, CAST(CASE WHEN seq = 2 AND n > 2 THEN 3 WHEN seq = 3 THEN 2 ELSE seq END AS BIGINT) AS new_seq FROM (SELECT *, count(*) OVER (PARTITION BY workflow_id) n FROM files)", "files")(lambda d: workflows.swap_neighbour(d, F.col("seq") == 2, 1).select("workflow_id", "file_id", "new_seq"))
+query("e12_latest_generation", "events", "SELECT user_id, event_type, max(event_id) AS event_id FROM events GROUP BY user_id, event_type")(lambda d: workflows.latest_generation(d.select("user_id", "event_type", "event_id"), ["user_id", "event_type"], "event_id"))
+query("e13_position_labels", "files", "SELECT workflow_id, file_id, row_number() OVER (PARTITION BY workflow_id ORDER BY seq) AS position, count(*) OVER (PARTITION BY workflow_id) AS total FROM files", "files")(lambda d: workflows.position_labels(d.select("workflow_id", "file_id", "seq"), "workflow_id", "seq").drop("seq"))
+query("f2_search_top", "part", "SELECT p_partkey, matches, matches > 6 AS truncated FROM (SELECT p_partkey, count(*) OVER () AS matches FROM part WHERE contains(lower(p_name || ' ' || p_brand), 'brand#2') ORDER BY p_partkey LIMIT 6)")(lambda d: workflows.search_top(d, "brand#2", "p_partkey", 6, "p_name", "p_brand").select("p_partkey", "matches", "truncated"))
+query("f6_bounded_list", "files", "SELECT workflow_id, file_id, total > 4 AS truncated FROM (SELECT workflow_id, file_id, row_number() OVER (PARTITION BY workflow_id ORDER BY seq) p, count(*) OVER (PARTITION BY workflow_id) total FROM files) WHERE p <= 4", "files")(lambda d: workflows.bounded_list(d, "workflow_id", "seq", 4).select("workflow_id", "file_id", "truncated"))
+query("f7_next_queued", "files", "SELECT workflow_id, arg_min(file_id, seq) AS file_id FROM files WHERE status = 'queued' GROUP BY workflow_id", "files")(workflows.next_queued)
+query("c4_lookup_translation", "dictionary", "SELECT d.locale, d.key, d.key AS english, CASE WHEN d.value <> '' THEN d.value ELSE d.key END AS text FROM dictionary d", "dictionary")(lambda d: workflows.lookup_translation(d.select("locale", "key", F.col("key").alias("english")), d))
+query("c5_missing_keys", "dictionary", "SELECT l.locale, k.key FROM (SELECT DISTINCT key FROM dictionary) k CROSS JOIN (SELECT DISTINCT locale FROM dictionary) l WHERE NOT EXISTS (SELECT 1 FROM dictionary d WHERE d.value <> '' AND d.locale = l.locale AND d.key = k.key)", "dictionary")(lambda d: workflows.missing_keys(d, d, d.select("locale").distinct()).select("locale", "key"))
+query("c6_add_missing", "dictionary", "SELECT locale, key, value FROM dictionary UNION ALL SELECT 'eo', key, concat('eo:', key) FROM (SELECT DISTINCT key FROM dictionary)", "dictionary")(lambda d: workflows.add_missing(d, d.select(F.lit("eo").alias("locale"), "key").distinct().withColumn("value", F.concat(F.lit("eo:"), F.col("key"))).unionByName(d.select("locale", "key", F.lit("never").alias("value")))))
+query("c7_expand_locales", "part dictionary", "SELECT DISTINCT slug, locale, concat('https://example.org', CASE WHEN locale = 'en' THEN '' ELSE concat('/', locale) END, '/', slug) AS url FROM (SELECT DISTINCT lower(p_brand) slug FROM part) CROSS JOIN (SELECT DISTINCT locale FROM dictionary UNION ALL SELECT 'en')", "dictionary")(lambda p, d: workflows.expand_locales(p.select(F.lower("p_brand").alias("slug")).distinct(), d.select("locale").distinct().unionByName(d.select(F.lit("en").alias("locale")).distinct()), "https://example.org").select("slug", "locale", "url"))
+query("g2_same_keys", "dictionary", "SELECT key, 'extra' AS side FROM (SELECT key FROM dictionary WHERE locale = 'es' EXCEPT ALL SELECT key FROM dictionary WHERE locale = 'fr') UNION ALL SELECT key, 'missing' FROM (SELECT key FROM dictionary WHERE locale = 'fr' EXCEPT ALL SELECT key FROM dictionary WHERE locale = 'es')", "dictionary")(lambda d: workflows.same_keys(d.where("locale = 'es'").select("key"), d.where("locale = 'fr'").select("key")))
+query("g5_toggle_set", "events", "SELECT user_id, event_id % 9 AS item FROM events GROUP BY ALL HAVING count(*) % 2 = 1")(lambda d: workflows.toggle_set(d.select("user_id", (F.col("event_id") % 9).alias("item")), "user_id", "item"))
+query("g6_subset_check", "files", "SELECT workflow_id, list(status ORDER BY seq) = ['queued', 'success'] AS matches FROM files GROUP BY workflow_id", "files")(lambda d: d.groupBy("workflow_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "status"))), lambda x: x["status"]).alias("s")).select("workflow_id", (F.col("s") == F.array(F.lit("queued"), F.lit("success"))).alias("matches")))
+RECIPES = {"smaller-shareable-secure": "compress-watermark-protect-v1", "reorder-and-number": "organize-page-numbers-v1", "remove-standard-metadata": "privacy-scan-cleanup-v1"}  # fixed values
+_GOAL = "CASE event_id % 4 WHEN 0 THEN 'smaller-shareable-secure' WHEN 1 THEN 'reorder-and-number' WHEN 2 THEN 'remove-standard-metadata' ELSE 'other' END"
+query("c14_recommend_recipe", "events", f"SELECT event_id, goal, CASE goal WHEN 'smaller-shareable-secure' THEN 'compress-watermark-protect-v1' WHEN 'reorder-and-number' THEN 'organize-page-numbers-v1' WHEN 'remove-standard-metadata' THEN 'privacy-scan-cleanup-v1' END AS recipe, goal <> 'other' AS known FROM (SELECT event_id, {_GOAL} AS goal FROM events)")(lambda d: workflows.recommend(d.select("event_id", F.expr(_GOAL).alias("goal")), RECIPES))
+query("c9_changed_categories", "pages", "SELECT page_id, 'url' AS category FROM pages WHERE page_id % 10 = 0")(lambda d: workflows.changed_categories(d, d.withColumn("url", F.when(F.col("page_id") % 10 == 0, F.concat("url", F.lit("x"))).otherwise(F.col("url"))).withColumn("html", F.lit("cleaned")), ["url", "html"], ["html"]))
+query("k10_migration_check", "pages", "SELECT page_id FROM pages WHERE replace(html, '<b>', '<strong>') <> html")(lambda d: workflows.migration_check(d, "html", [("<b>", "<strong>")]).select("page_id"))
+query("k11_replace_all", "pages", "SELECT page_id, replace(replace(html, '<b>', '<strong>'), '</b>', '</strong>') AS html FROM pages")(lambda d: workflows.replace_all(d, "html", [("<b>", "<strong>"), ("</b>", "</strong>")]).select("page_id", "html"))
+query("k12_compose_copy", "dictionary", "SELECT locale, trim(concat_ws(' ', a, b)) AS value FROM (SELECT locale, max(value) FILTER (WHERE length(key) % 2 = 0) a, max(value) FILTER (WHERE length(key) % 2 = 1) b FROM dictionary GROUP BY locale)", "dictionary")(lambda d: workflows.compose_copy(d, F.length("key") % 2 == 0, F.length("key") % 2 == 1))
+query("k17_budget_check", "lineitem", "SELECT route, bytes, requests FROM (SELECT route, sum(bytes) AS bytes FROM (SELECT DISTINCT l_suppkey AS route, l_partkey AS asset, CAST(l_extendedprice AS BIGINT) AS bytes FROM lineitem) GROUP BY route) JOIN (SELECT l_suppkey AS route, max(l_linenumber) AS requests FROM lineitem GROUP BY 1) USING (route) WHERE bytes >= 15000000 OR requests > 16")(lambda d: workflows.budget_check(d.select(F.col("l_suppkey").alias("route"), F.col("l_partkey").alias("asset"), F.rint("l_extendedprice").cast("long").alias("bytes"), F.col("l_linenumber").alias("requests")), 15_000_000))
+query("k18_allowlist_check", "documents", "SELECT coalesce(a.name, b.name) AS name, CASE WHEN b.name IS NULL THEN 'unexpected' WHEN a.name IS NULL THEN 'missing' ELSE 'stale' END AS problem FROM (SELECT doc_id AS name, text FROM documents WHERE doc_id % 10 <> 0) a FULL JOIN (SELECT doc_id AS name, CASE WHEN doc_id % 7 = 0 THEN concat(text, '!') ELSE text END AS text FROM documents WHERE doc_id % 9 <> 0) b ON a.name = b.name WHERE a.name IS NULL OR b.name IS NULL OR a.text <> b.text")(lambda d: workflows.allowlist_check(d.where("doc_id % 10 <> 0").select(F.col("doc_id").alias("name"), F.col("text").alias("content")), d.where("doc_id % 9 <> 0").select(F.col("doc_id").alias("name"), F.expr("CASE WHEN doc_id % 7 = 0 THEN concat(text, '!') ELSE text END").alias("content"))))
+
+# --- layout and Markdown
+
+query("d6_median_size", "text_items", "SELECT doc_id, coalesce(nullif(median(font_size), 0), 10) AS body FROM text_items WHERE trim(str) <> '' GROUP BY doc_id", "text_items")(layout.body_size)
+query("d7_upper_median", "text_items", "SELECT doc_id, page_no, list_sort(list(font_size))[len(list(font_size)) // 2 + 1] AS size FROM text_items GROUP BY doc_id, page_no", "text_items")(layout.upper_median)
+query("d18_text_stats", "text_items", "SELECT doc_id, page_no, count(*) FILTER (WHERE trim(str) <> '') AS n_items, CAST(sum(length(trim(str))) AS BIGINT) AS n_chars FROM text_items GROUP BY ALL", "text_items")(layout.text_stats)
+query("d21_words_added", "doc_lines", "SELECT doc_id, CAST(sum(len(string_split(line, ' '))) AS BIGINT) AS words FROM doc_lines GROUP BY doc_id", "doc_lines")(lambda d: d.groupBy("doc_id").agg(F.sum(F.size(F.split("line", " "))).alias("words")))
+query("f1_reading_order", "text_items", "SELECT doc_id, page_no, item_no, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY y DESC, x, item_no) AS place FROM text_items", "text_items")(lambda d: layout.reading_order(d).select("doc_id", "page_no", "item_no", "place"))
+query("c10_redact_pages", "text_items", "SELECT doc_id, page_no, item_no FROM text_items WHERE NOT (page_no = 1 AND doc_id % 3 = 0)", "text_items")(lambda d: layout.redact_pages(d, d.where("page_no = 1 and doc_id % 3 = 0").select("doc_id", "page_no")).select("doc_id", "page_no", "item_no"))
+query("c11_items_in_rects", "text_items page_boxes", "SELECT DISTINCT i.doc_id, i.page_no, i.item_no FROM text_items i JOIN page_boxes b USING (doc_id, page_no) WHERE x < 300 AND x + width > 100 AND y < 700 AND y + font_size > 600 AND doc_id % 2 = 0", "text_items", "page_boxes")(lambda d, b: layout.items_in_rects(d, b.where("doc_id % 2 = 0").select("doc_id", "page_no", F.lit(300.0).alias("x1"), F.lit(100.0).alias("x2"), F.lit(600.0).alias("y1"), F.lit(700.0).alias("y2"))))
+query("h4_cluster_lines", "text_items")(layout.cluster_lines)
+query("e4_gap_to_next", "text_items")(lambda d: layout.gap_to_next(layout.cluster_lines(d)))
+query("e9_paragraph_break", "text_items")(lambda d: layout.paragraph_break(layout.gap_to_next(layout.cluster_lines(d))))
+query("h5_render_markdown", "text_items")(lambda d: layout.render_markdown(layout.cluster_lines(d), layout.body_size(d)))
+query("e11_column_breaks", "text_items", "SELECT doc_id, page_no, begins, row_number() OVER w AS column_no, lead(begins) OVER w AS ends FROM (SELECT DISTINCT doc_id, page_no, 0.0::DOUBLE AS begins FROM text_items UNION ALL SELECT doc_id, page_no, (x + before) / 2 FROM (SELECT *, lag(x) OVER (PARTITION BY doc_id, page_no ORDER BY x) before FROM (SELECT DISTINCT doc_id, page_no, x FROM text_items)) JOIN (SELECT doc_id, page_no, list_sort(list(font_size))[len(list(font_size)) // 2 + 1] AS size FROM text_items GROUP BY ALL) USING (doc_id, page_no) WHERE x - before > 2 * size) WINDOW w AS (PARTITION BY doc_id, page_no ORDER BY begins)", "text_items")(layout.column_breaks)
+query("h8_table_cells", "text_items")(layout.table_cells)
+_KIND = "CASE WHEN regexp_replace(line, '\\s+', '', 'g') = '' THEN 'blank' WHEN regexp_matches(line, '^\\s*(?:-{3,}|\\*{3,}|_{3,})\\s*$') THEN 'rule' WHEN regexp_matches(line, '^#{1,4} +') THEN 'heading' WHEN regexp_matches(line, '^[-*+] +') THEN 'bullet' WHEN regexp_matches(line, '^[0-9]{1,3}[.)] +') THEN 'ordered' ELSE 'text' END"
+_BLOCKS = f"k AS (SELECT *, {_KIND} AS kind FROM md_lines), i AS (SELECT *, sum(CASE WHEN kind = 'text' AND p = 'text' THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line_no) island FROM (SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY line_no) p FROM k)), b AS (SELECT doc_id, island, any_value(kind) AS kind, string_agg(trim(line), ' ' ORDER BY line_no) AS text FROM i WHERE kind <> 'blank' GROUP BY doc_id, island), c AS (SELECT *, sum(CASE WHEN kind = 'ordered' THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY island) cut FROM b)"
+query("h3_parse_blocks", "md_lines", with_views("SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY island) AS block_no, kind, CASE WHEN kind = 'heading' THEN CAST(length(regexp_extract(text, '^(#+)', 1)) AS INT) END AS level, CASE WHEN kind = 'ordered' THEN count(*) FILTER (WHERE kind = 'ordered') OVER (PARTITION BY doc_id, cut ORDER BY island) END AS item_index, CASE kind WHEN 'heading' THEN regexp_replace(text, '^#{1,4} +', '') WHEN 'bullet' THEN regexp_replace(text, '^[-*+] +', '') WHEN 'ordered' THEN regexp_replace(text, '^[0-9]{1,3}[.)] +', '') WHEN 'rule' THEN '' ELSE text END AS text FROM c", "md_lines").replace(") SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY island) AS block_no", f"), {_BLOCKS} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY island) AS block_no"))(layout.parse_blocks)
+query("e14_list_groups", "md_lines", f"SELECT doc_id, kind, count(*) AS items, min(line_no) AS first_line FROM (SELECT *, sum(CASE WHEN kind = p THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line_no) run FROM (SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY line_no) p FROM (SELECT *, {_KIND} AS kind FROM md_lines))) WHERE kind IN ('bullet', 'ordered') GROUP BY doc_id, run, kind", "md_lines")(layout.list_groups)
+query("h2_parse_inline", "md_lines")(lambda d: d.select("doc_id", "line_no", F.posexplode(layout.parse_inline(F.col("line"))).alias("run_no", "r")).select("doc_id", "line_no", "run_no", "r.*"))
+query("h18_wrap_lines", "md_lines")(lambda d: layout.wrap_lines(layout.parse_blocks(d)))
+query("h17_image_page_size", "page_boxes", "SELECT doc_id, page_no, media_w * (842 / greatest(media_w, media_h)) AS w, media_h * (842 / greatest(media_w, media_h)) AS h FROM page_boxes", "page_boxes")(lambda d: d.select("doc_id", "page_no", (F.col("media_w") * (F.lit(842) / F.greatest("media_w", "media_h"))).alias("w"), (F.col("media_h") * (F.lit(842) / F.greatest("media_w", "media_h"))).alias("h")))
+query("h19_clip_cell", "part", "SELECT p_partkey, substring(p_name, 1, greatest(1, p_size % 9)) AS clipped FROM part")(lambda d: d.select("p_partkey", C.clip_cell(F.col("p_name"), F.col("p_size") % 9).alias("clipped")))
+query("d17_column_count", "part", "SELECT max(len(string_split(p_name, ' '))) AS columns FROM part")(lambda d: d.agg(F.max(F.size(F.split("p_name", " "))).alias("columns")))
+
+# --- web pages
+
+_TITLE = "nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')), '')"
+query("h10_extract_meta", "pages", f"SELECT page_id, {_TITLE} AS title, nullif(regexp_extract(html, '(?i)<meta\\s+name=\"description\"\\s+content=\"([^\"]*)\"', 1), '') AS description, coalesce(nullif(regexp_extract(html, '(?i)<meta\\s+name=\"twitter:title\"\\s+content=\"([^\"]*)\"', 1), ''), nullif(regexp_extract(html, '(?i)<meta\\s+property=\"og:title\"\\s+content=\"([^\"]*)\"', 1), ''), {_TITLE}, '') AS twitter_title FROM pages")(web.extract_meta)
+query("h12_rewrite_meta", "pages", "SELECT page_id, html LIKE '%<title>%' AND page_id % 2 = 0 AS changed, CASE WHEN page_id % 2 = 0 THEN regexp_replace(html, '(?is)(<title[^>]*>).*?(</title>)', concat('\\1New ', page_id, '\\2')) ELSE html END AS html FROM pages")(lambda d: web.rewrite_meta(d, d.where("page_id % 2 = 0").select("page_id", F.concat(F.lit("New "), F.col("page_id").cast("string")).alias("new_title"))).select("page_id", "changed", "html"))
+query("h20_link_table", "pages", _LINKS)(web.link_table)
+query("d19_distinct_hashes", "pages", "SELECT DISTINCT base64(unhex(sha256(s))) AS hash FROM (SELECT unnest(regexp_extract_all(html, '(?s)<script>(.*?)</script>', 1)) s FROM pages) WHERE trim(s) <> ''")(web.inline_scripts)
+query("h13_html_inspect", "pages", " UNION ALL ".join(f"SELECT page_id, '{c}' AS category, CAST(len(regexp_extract_all(html, '{p}')) AS BIGINT) AS n FROM pages" for c, p in web.CATEGORIES.items()))(web.html_inspect)
+_FIG = "SELECT page_id, figures, figures - described AS missing, has_lang, has_title FROM (SELECT page_id, CAST(len(regexp_extract_all(html, '(?i)<img\\b')) AS BIGINT) figures, CAST(len(regexp_extract_all(html, '(?i)<img\\b[^>]*\\salt=\"[^\"]+\"')) AS BIGINT) described, regexp_matches(html, '(?i)<html[^>]*\\slang=\"[^\"]+\"') AS has_lang, " + _TITLE + " IS NOT NULL AS has_title FROM pages)"
+query("d14_figure_readiness", "pages", _FIG)(web.figure_readiness)
+query("d20_warnings", "pages", f"SELECT page_id, array_to_string(list_filter([CASE WHEN missing > 0 THEN 'figures without text' END, CASE WHEN NOT has_lang THEN 'no language' END, CASE WHEN NOT has_title THEN 'no title' END], lambda x: x IS NOT NULL), ',') AS warnings FROM ({_FIG})")(web.warnings)
+query("k8_audit_pages", "pages", "SELECT * FROM (" + " UNION ALL ".join(f"SELECT page_id, '{t}' AS rule, CAST(len(regexp_extract_all(html, '(?i)<{t}\\b')) AS BIGINT) AS n FROM pages" for t in ("title", "body", "html", "main")) + ") WHERE n <> 1")(web.audit_pages)
+query("h11_extract_jsonld", "pages")(lambda d: web.extract_jsonld(d.withColumn("html", F.concat("html", F.lit('<script type="application/ld+json">'), F.when(F.col("page_id") % 3 == 0, "{broken").otherwise('{"@type":"WebPage"}'), F.lit("</script>")))))
+query("h21_build_jsonld", "part")(lambda d: web.build_jsonld(d.select(F.lower("p_name").alias("slug"), F.col("p_name").alias("name")), "https://example.org"))
+query("a5_read_url_list", "pages", "SELECT url FROM pages WHERE url LIKE 'https://%'")(lambda d: web.read_url_list(d.select(F.concat(F.lit("<url><loc>"), F.col("url"), F.lit("</loc></url>")).alias("text"))))
+query("g4_duplicate_urls", "pages", "SELECT url, count(*) AS n FROM (SELECT regexp_extract(url, '^[a-z]+://[^/]+') AS url FROM pages) GROUP BY url HAVING count(*) > 1")(lambda d: web.duplicate_urls(d.select(F.regexp_extract("url", "^([a-z]+://[^/]+)", 1).alias("url"))))
+query("k13_set_block", "pages", "SELECT page_id, page_id % 2 = 0 AS matched, CASE WHEN page_id % 2 = 0 THEN concat('<head>', chr(10), '<!-- images -->', chr(10), html) ELSE html END AS html FROM pages")(lambda d: web.set_block(d.withColumn("html", F.when(F.col("page_id") % 2 == 0, F.concat(F.lit('<head>\n<meta property="og:image" content="a">\n <meta property="og:image:width" content="b">\n'), F.col("html"))).otherwise(F.col("html"))), "<!-- images -->\n").select("page_id", "matched", "html"))
+query("h9_html_to_markdown", "pages")(web.html_to_markdown)
+query("h14_html_diagnose", "pages")(web.html_diagnose)
+query("a7_page_source", "pages", "SELECT page_id, url, CAST(octet_length(encode(html)) AS BIGINT) AS bytes FROM pages")(lambda d: d.select("page_id", "url", F.octet_length("html").cast("long").alias("bytes")))

@@ -117,7 +117,7 @@ def escape_xml(s: Column) -> Column:
 
 
 def split_keywords(s: Column) -> Column:
-    return F.filter(F.transform(F.split(s, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(s, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def is_present(c: Column) -> Column:
