@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 
 from docspark.operators import columns as C
 from docspark.operators import layout, pages, scans, web, workflows
+from docspark.plans import recipes
+from docspark.plans.shared import new_folder
 from docspark.plans.views import view, with_views
+from docspark.sources import files as sources
+from docspark.streaming import queues
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -185,3 +189,103 @@ query("k13_set_block", "pages", "SELECT page_id, page_id % 2 = 0 AS matched, CAS
 query("h9_html_to_markdown", "pages")(web.html_to_markdown)
 query("h14_html_diagnose", "pages")(web.html_diagnose)
 query("a7_page_source", "pages", "SELECT page_id, url, CAST(octet_length(encode(html)) AS BIGINT) AS bytes FROM pages")(lambda d: d.select("page_id", "url", F.octet_length("html").cast("long").alias("bytes")))
+
+# --- sources and sinks: written to the shared folder and read back
+
+
+def _written(name: str) -> Callable:
+    def register(f: Callable[[SparkSession, str, str], DataFrame]) -> Callable:
+        QUERIES[name] = lambda spark, sf_dir: f(spark, sf_dir, new_folder(spark, name))
+        return f
+
+    return register
+
+
+@_written("a3_read_text_docs")
+def _a3(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    sources.write_text_docs(view(spark, sf_dir, "benchmark").select(F.concat(F.lit("item"), F.col("item_id").cast("string")).alias("name"), "text"), folder)
+    return sources.read_text_docs(spark, folder).select("text")
+
+
+ORACLE["a3_read_text_docs"] = "SELECT text || chr(10) AS text FROM benchmark"
+
+
+@_written("a1_scan_files")
+def _a1(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    view(spark, sf_dir, "benchmark").select(F.concat(F.lit("%PDF-1.7 "), F.coalesce("text", F.lit(""))).alias("value")).repartition(4).write.text(folder)
+    found, _ = sources.scan_files(spark, folder, ["text"])
+    return found.select(sources.check_magic(F.col("content")).alias("detected"), "kind").distinct()
+
+
+ORACLE["a1_scan_files"] = "SELECT 'pdf' AS detected, 'text' AS kind"
+
+
+@_written("a4_read_sheet_rows")
+def _a4(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    view(spark, sf_dir, "part").select(F.col("p_partkey").cast("string"), "p_name", F.when(F.col("p_size") > 10, F.col("p_brand")).alias("b")).write.csv(folder, escape='"')
+    return sources.read_sheet_rows(spark, folder, ["a", "b", "c"])
+
+
+ORACLE["a4_read_sheet_rows"] = "SELECT CAST(p_partkey AS VARCHAR) AS a, p_name AS b, CASE WHEN p_size > 10 THEN p_brand ELSE '' END AS c FROM part"
+
+query("a6_read_dictionary", "part", "SELECT DISTINCT p_brand AS locale, p_type AS key, p_type AS value FROM part")(lambda d: sources.read_dictionary(d.select(F.to_json(F.create_map(F.col("p_brand"), F.create_map(F.col("p_type"), F.col("p_type")))).alias("text"))).distinct())
+query("a2_check_magic", "documents", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'pdf' WHEN 1 THEN 'png' END AS kind FROM documents")(lambda d: d.select("doc_id", sources.check_magic(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("%PDF-").cast("binary"), F.col("text").cast("binary"))).when(F.col("doc_id") % 3 == 1, F.unhex(F.lit("89504E470D0A"))).otherwise(F.col("text").cast("binary"))).alias("kind")))
+
+# --- queues and streams
+
+query("i1_queue_state", "queue_events")(queues.queue_state)
+query("i2_expire_state", "files", f"SELECT file_id, coalesce(expires_at, updated_at + INTERVAL 1 DAY) > {NOW} AS alive FROM files", "files")(lambda d: queues.expire_state(d, F.expr(NOW)).select("file_id", "alive"))
+query("i3_drop_stale", "events", "SELECT event_id, user_id FROM (SELECT *, max(g) OVER (PARTITION BY user_id ORDER BY event_id) m FROM (SELECT event_id, user_id, event_id % 17 AS g FROM events)) WHERE g = m")(lambda d: queues.drop_stale(d.select("user_id", F.col("event_id").alias("seq"), (F.col("event_id") % 17).alias("g")), "user_id", "g").select(F.col("seq").alias("event_id"), "user_id"))
+query("i4_reserve_quota", "files", "WITH RECURSIVE files AS (SELECT o_custkey workflow_id, o_orderkey file_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) seq, CAST(floor(o_totalprice * 1000) AS BIGINT) size FROM orders), r AS (SELECT workflow_id, CAST(0 AS BIGINT) AS seq, 0 AS n, CAST(0 AS BIGINT) AS bytes, CAST(NULL AS BIGINT) AS file_id FROM files WHERE seq = 1 UNION ALL SELECT f.workflow_id, f.seq, r.n + CASE WHEN r.n < 5 AND r.bytes + f.size <= 400000000 THEN 1 ELSE 0 END, r.bytes + CASE WHEN r.n < 5 AND r.bytes + f.size <= 400000000 THEN f.size ELSE 0 END, CASE WHEN r.n < 5 AND r.bytes + f.size <= 400000000 THEN f.file_id END FROM r JOIN files f ON f.workflow_id = r.workflow_id AND f.seq = r.seq + 1) SELECT workflow_id, file_id FROM r WHERE file_id IS NOT NULL")(lambda d: queues.reserve_quota(d, 5, 400_000_000))
+query("i5_progress_windows", "events", "SELECT time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') AS begins, count(*) AS events, count(*) FILTER (WHERE event_type = 'error') AS errors FROM events GROUP BY 1")(queues.progress_windows)
+query("i6_debounce", "events", "SELECT event_id FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS after FROM events) WHERE after IS NULL OR after > ts + INTERVAL 10 MINUTE")(lambda d: queues.debounce(d, "10 MINUTES", "user_id").select("event_id"))
+query("i7_restore", "files", "SELECT file_id, status, greatest(0, least(2, step)) AS step FROM files", "files")(lambda d: queues.restore(d, 2).select("file_id", "status", "step"))
+
+
+@_written("i9_stream_scan")
+def _i9(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    schema = view(spark, sf_dir, "documents").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parque[t]")  # a pattern may name a file or a folder
+    return queues.run_available(scans.scan_sensitive(stream).select("doc_id", "category", "match"), spark, folder)
+
+
+ORACLE["i9_stream_scan"] = f"WITH {_FOUND} SELECT doc_id, category, substring(match, 1, 120) AS match FROM found"
+
+
+@_written("i8_idempotent_sink")
+def _i8(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    sink, orders = queues.idempotent_sink(folder), view(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    for batch in (0, 1, 1):  # the second batch runs twice
+        sink(orders.where(F.col("o_orderkey") % 2 == batch), batch)
+    return spark.read.schema(orders.schema).parquet(f"{folder}/batch_id=*")
+
+
+ORACLE["i8_idempotent_sink"] = "SELECT o_orderkey, o_orderstatus FROM orders"
+
+# --- recipes
+
+query("j2_run_recipe", "doc_pages", "SELECT doc_id, src_index, row_number() OVER (PARTITION BY doc_id ORDER BY page_no DESC) AS page_no, row_number() OVER (PARTITION BY doc_id ORDER BY page_no DESC) + 2 AS number, count(*) OVER (PARTITION BY doc_id) + 2 AS total FROM doc_pages", "doc_pages")(lambda d: recipes.run_recipe(d.select("doc_id", "page_no", "src_index"), ["organize-pages-v1", "page-numbers-v1"], {"page-numbers-v1": {"start": 3}}))
+query("k4_loss_manifest", "documents", "SELECT doc_id, s.* FROM documents, (VALUES (0, 'organize-pages-v1', 'changes the reading order'), (1, 'page-numbers-v1', 'adds numbers to every page')) s(step_no, step, loss)")(lambda d: recipes.loss_manifest(d.select("doc_id"), ["organize-pages-v1", "page-numbers-v1"]))
+query("k3_clean_and_verify", "documents", "SELECT doc_id, CAST(NULL AS VARCHAR) AS lang, CAST(NULL AS VARCHAR) AS source, true AS ok FROM documents")(lambda d: recipes.clean_and_verify(d, ["lang", "source"]).select("doc_id", "lang", "source", "ok"))
+query("k6_normalize", "documents")(recipes.normalize)
+query("k16_stamp_ttl", "files", f"SELECT file_id, updated_at AS created_at, {NOW} AS updated_at, coalesce(expires_at, {NOW} + INTERVAL 1 DAY) AS expires_at FROM files", "files")(lambda d: workflows.stamp_ttl(d.withColumn("created_at", F.col("updated_at")), F.expr(NOW)).select("file_id", "created_at", "updated_at", "expires_at"))
+query("j6_merge_v1", "conversations", "SELECT conv_id, turn AS page_no, input_no, row_number() OVER (ORDER BY input_no, turn) AS new_page FROM (SELECT conv_id, turn, CASE conv_id WHEN 1 THEN 0 WHEN 0 THEN 1 END AS input_no FROM conversations WHERE conv_id IN (0, 1))")(lambda d: recipes.merge_v1([d.where("conv_id = 1").select("conv_id", F.col("turn").alias("page_no")), d.where("conv_id = 0").select("conv_id", F.col("turn").alias("page_no"))]))
+
+
+def _sql(name: str, text: str, needs: str, sql: str | None = None, *views: str) -> None:
+    """A query in SQL that uses the package's own functions."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        recipes.register_sql(spark)
+        for n in needs.split():
+            view(spark, sf_dir, n)
+        return spark.sql(text)
+
+    QUERIES[name] = run
+    if sql:
+        ORACLE[name] = with_views(sql, *views)
+
+
+_sql("j3_blocks", "SELECT doc_id, b.* FROM md_docs, LATERAL blocks(text) b", "md_docs")
+_sql("j5_size_estimate", "SELECT doc_id, CAST(floor(size_estimate(page_no, CAST(length(text) AS DOUBLE)) + 0.5) AS BIGINT) AS estimate FROM doc_pages GROUP BY doc_id", "doc_pages", "SELECT doc_id, CAST(floor(CASE WHEN max(n) <= 5 THEN sum(size) ELSE sum(size) FILTER (WHERE page_no = 1) + avg(size) FILTER (WHERE page_no > 1) * (max(n) - 1) END + 300 * max(n) + 1000 + 0.5) AS BIGINT) AS estimate FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) n FROM (SELECT doc_id, page_no, CAST(length(text) AS BIGINT) AS size FROM doc_pages)) WHERE n <= 5 OR page_no IN (1, 1 + floor((n-1)/4.0 + 0.5), 1 + floor(2*(n-1)/4.0 + 0.5), 1 + floor(3*(n-1)/4.0 + 0.5), n) GROUP BY doc_id", "doc_pages")
+query("c12_fill_form", "part", "SELECT p_partkey AS name, CASE p_size % 4 WHEN 0 THEN 'text' WHEN 1 THEN 'dropdown' WHEN 2 THEN 'radio' ELSE 'signature' END AS kind, CASE WHEN p_size % 4 = 3 THEN 'unknown kind' WHEN p_partkey % 5 = 0 THEN 'empty' WHEN p_size % 4 = 0 OR p_brand IN ('Brand#1', 'Brand#2') THEN 'filled' ELSE 'rejected' END AS state, CASE WHEN p_size % 4 <> 3 AND p_partkey % 5 <> 0 AND (p_size % 4 = 0 OR p_brand IN ('Brand#1', 'Brand#2')) THEN p_brand END AS filled FROM part")(lambda d: workflows.fill_form(d.select(F.col("p_partkey").alias("name"), F.expr("CASE p_size % 4 WHEN 0 THEN 'text' WHEN 1 THEN 'dropdown' WHEN 2 THEN 'radio' ELSE 'signature' END").alias("kind"), F.array(F.lit("Brand#1"), F.lit("Brand#2")).alias("options")), d.where("p_partkey % 5 <> 0").select(F.col("p_partkey").alias("name"), F.col("p_brand").alias("value"))))
