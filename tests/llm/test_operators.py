@@ -87,7 +87,7 @@ def test_simhash(which, request, spark):
     df = request.getfixturevalue(which)
     prints = [(d, plain_fingerprint(t)) for d, t in pairs(df)]
     want = Counter((d, f, c) for (d, f), c in zip(prints, plain_components(prints), strict=True))
-    got = Counter((r[0], r[1] & (2**64 - 1), r[2]) for r in simhash.near_duplicates(df).collect())
+    got = Counter((r["doc_id"], r["fp"] & (2**64 - 1), r["component_id"]) for r in simhash.near_duplicates(df).collect())
     assert got == want
 
 
