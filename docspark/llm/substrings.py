@@ -16,9 +16,10 @@ sorted one bucket at a time, and only those of a cover that equal strings share:
   of all texts sends one row a batch to its bucket.
 * What remains are first anchors of different ranks in one bucket (the ends of repeated passages). Their
   bytes are fetched, and the windows compared: each bucket is streamed in order of place, and a window is a
-  repeat if it was met before.
+  repeat if it was met before. A bucket that holds over one in SHARE of them, or over LARGE (the end of a
+  passage that much of the corpus shares), is dealt over salts; each salt gives the first place of every window it met, and these meet by window.
 
-A task holds one batch of anchors and, for the bucket it is in, one number for each distinct window met.
+A task holds one batch of anchors and, for the salted bucket it is in, one number for each distinct window met.
 
 Defined cases: a null text is an empty one (nothing to remove; the checksum is that of no bytes); rows with equal
 doc_id and text are one document and get equal results; texts under LENGTH bytes lose nothing; ties of places
@@ -39,6 +40,8 @@ from docspark.llm.common import kept, text_rows
 
 LENGTH = 100
 GRAM = 24
+SHARE, LARGE = 2048, 1 << 18  # runs of one bucket that are compared in one place: one in SHARE of all, and LARGE, at most
+NARROW = 100_000  # rows of a table of buckets that is broadcast
 PIECE = 1 << 20  # windows looked at together: a longer text is read in such pieces
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)  # odd, so that it has an inverse modulo 2^64
@@ -147,7 +150,7 @@ def _sampled(texts: DataFrame) -> DataFrame:
 
 
 def _sorted_out(rows: DataFrame) -> DataFrame:
-    """doc_id, first, span, unsure: repeats (unsure is false), and the first of its rank in a bucket of several ranks (true)."""
+    """doc_id, first, span, unsure, gram: repeats (unsure is false, gram 0), and the first of its rank in a bucket of several ranks (true)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead: tuple | None = None  # gram, rank, doc_id, first, span, told: the first row of the rank that is being read
@@ -156,7 +159,7 @@ def _sorted_out(rows: DataFrame) -> DataFrame:
                 continue
             gram, rank, doc, first, span, known = (c.to_numpy(zero_copy_only=False) for c in b.columns)
             if known.any():
-                yield pa.RecordBatch.from_arrays([pa.array(doc[known]), pa.array(first[known]), pa.array(span[known]), pa.array(np.zeros(known.sum(), dtype=bool))], names=["doc_id", "first", "span", "unsure"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc[known]), pa.array(first[known]), pa.array(span[known]), pa.array(np.zeros(known.sum(), dtype=bool)), pa.array(np.zeros(known.sum(), dtype=np.int64))], names=["doc_id", "first", "span", "unsure", "gram"])
                 gram, rank, doc, first, span = (c[~known] for c in (gram, rank, doc, first, span))
                 if not len(gram):
                     continue
@@ -169,7 +172,7 @@ def _sorted_out(rows: DataFrame) -> DataFrame:
             head_doc = np.r_[doc[heads], lead[2] if lead else 0][of]
             head_first = np.r_[first[heads], lead[3] if lead else 0][of]
             repeat = (doc != head_doc) | (first != head_first)
-            out.append((doc[repeat], first[repeat], span[repeat], np.zeros(repeat.sum(), dtype=bool)))
+            out.append((doc[repeat], first[repeat], span[repeat], np.zeros(repeat.sum(), dtype=bool), np.zeros(repeat.sum(), dtype=np.int64)))
             # heads that share their bucket with another head
             g = np.r_[[lead[0]] if lead else [], gram[heads]].astype(np.int64)
             same = g[1:] == g[:-1]
@@ -181,51 +184,63 @@ def _sorted_out(rows: DataFrame) -> DataFrame:
             if lead:
                 told[0] = lead[5]
             tell = several & ~told
-            out.append((d[tell], f[tell], s[tell], np.ones(tell.sum(), dtype=bool)))
+            out.append((d[tell], f[tell], s[tell], np.ones(tell.sum(), dtype=bool), g[tell]))
             if len(heads):
                 h = heads[-1]
                 lead = (gram[h], rank[h], doc[h], first[h], span[h], bool(several[-1]))
             elif lead:
                 lead = (*lead[:5], bool(lead[5] or several[-1]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["doc_id", "first", "span", "unsure"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["doc_id", "first", "span", "unsure", "gram"])
 
     bucket = rows.repartition("gram").sortWithinPartitions("gram", "rank", "doc_id", "first")
-    return bucket.mapInArrow(run, "doc_id long, first long, span int, unsure boolean")
+    return bucket.mapInArrow(run, "doc_id long, first long, span int, unsure boolean, gram long")
+
+
+def _salted(unsure: DataFrame, share: int, large: int) -> DataFrame:
+    """unsure with salt: -1, or one of as many numbers as bring its bucket down to the bounds."""
+    limit = min(large, unsure.count() // share + 1)
+    hot = kept(unsure.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > limit), "hot-buckets")
+    salt = F.pmod(F.xxhash64("doc_id", "first"), F.ceil(F.col("n") / limit)).cast("int")
+    few = hot.limit(NARROW + 1).count() <= NARROW
+    return unsure.join(F.broadcast(hot) if few else hot, "gram", "left").select("doc_id", "first", "span", "gram", F.coalesce(salt, F.lit(-1)).alias("salt"))
 
 
 def _fetched(texts: DataFrame, unsure: DataFrame) -> DataFrame:
-    """gram, doc_id, first, data: the bytes that the windows of each unsure run span."""
+    """gram, salt, doc_id, first, data: the bytes that the windows of each unsure run span."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            doc, at, data = [], [], []
+            out: list[tuple] = []
             for i, raw, runs in zip(b.column(0).to_pylist(), text_rows(b), b.column(2).to_pylist(), strict=True):
-                for r in runs:
-                    doc.append(i)
-                    at.append(r["first"])
-                    data.append(raw[r["first"] : r["first"] + r["span"] + LENGTH])
-            gram = np.zeros(len(data), dtype=np.int64)
-            for i in range(0, len(data), 4096):
-                part = data[i : i + 4096]
-                whole = np.frombuffer(b"".join(part), dtype=np.uint8)
-                found, _, text, _, _, _ = anchors(whole, np.cumsum([len(x) for x in part]))
-                gram[i + text] = found  # one run each: all its windows have one anchor
-            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(doc, pa.int64()), pa.array(at, pa.int64()), pa.array(data, pa.binary())], names=["gram", "doc_id", "first", "data"])
-
-    runs = unsure.groupBy("doc_id").agg(F.collect_list(F.struct("first", "span")).alias("runs"))
-    return texts.join(runs, "doc_id").select("doc_id", "text", "runs").mapInArrow(run, "gram long, doc_id long, first long, data binary")
+                out += [(r["gram"], r["salt"], i, r["first"], (raw or b"")[r["first"] : r["first"] + r["span"] + LENGTH]) for r in runs]
+            columns = list(zip(*out, strict=True)) if out else [[]] * 5
+            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["gram", "salt", "doc_id", "first", "data"])
+
+    runs = unsure.groupBy("doc_id").agg(F.collect_list(F.struct("first", "span", "gram", "salt")).alias("runs"))
+    return texts.join(runs, "doc_id").select("doc_id", "text", "runs").mapInArrow(run, "gram long, salt int, doc_id long, first long, data binary").where(F.length("data") >= LENGTH)
 
 
 def _resolved(rows: DataFrame) -> DataFrame:
-    """doc_id, first, span: runs of windows that were met before in their bucket."""
+    """doc_id, first, span, window: runs of windows that were met before in their salted bucket (window is null), and
+    of the buckets with salts each window that was not, with its hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, met = None, np.zeros(0, dtype=_U)  # windows met before in the bucket that is being read
+        bucket, met = None, np.zeros(0, dtype=_U)  # windows met before in the salted bucket that is being read
+        before: tuple | None = None  # the last row: a document that is there twice gives each row twice
+        names = ["doc_id", "first", "span", "window"]
         for batch in batches:
             for k in range(0, batch.num_rows, 4096):
-                b = batch.slice(k, 4096)
-                gram, doc, first = (b.column(i).to_numpy() for i in range(3))
-                data = b.column(3).to_pylist()
+                found = batch.slice(k, 4096).to_pydict()
+                fresh = []
+                for x in zip(found["gram"], found["salt"], found["doc_id"], found["first"], found["data"], strict=True):
+                    if x != before:
+                        fresh.append(x)
+                    before = x
+                if not fresh:
+                    continue
+                data = [x[4] for x in fresh]
+                gram, salt, doc, first = (np.array([x[i] for x in fresh], dtype=np.int64) for i in range(4))
                 size = np.array([len(x) for x in data])
                 whole = np.frombuffer(b"".join(data), dtype=np.uint8)
                 starts = np.cumsum(size) - size
@@ -234,22 +249,22 @@ def _resolved(rows: DataFrame) -> DataFrame:
                 offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 at = starts[row] + offset
                 p, down = _prefix(whole)
-                h = _mixed(((p[at + LENGTH] - p[at]) * down[at]) ^ _mixed(gram[row].view(_U)))
-                place = np.arange(len(h))
-                order = np.lexsort((place, h))
+                window = _mixed(((p[at + LENGTH] - p[at]) * down[at]) ^ _mixed(gram[row].view(_U)))
+                h = window ^ _mixed((salt[row] + 1).view(_U))  # salts do not meet here
+                order = np.lexsort((np.arange(len(h)), h))
                 again = np.zeros(len(h), dtype=bool)
                 again[order[1:]] = h[order[1:]] == h[order[:-1]]
-                # equal places of rows that are one document (repeated rows) are no repeats of each other
-                head = np.maximum.accumulate(np.where(np.r_[True, ~again[order[1:]]], np.arange(len(h)), 0))
-                source = order[head]
-                self_ = np.zeros(len(h), dtype=bool)
-                self_[order] = (doc[row[order]] == doc[row[source]]) & (first[row[order]] + offset[order] == first[row[source]] + offset[source])
-                again &= ~self_
+                # equal places are no repeats of each other
+                source = order[np.maximum.accumulate(np.where(again[order], 0, np.arange(len(h))))]
+                same = np.zeros(len(h), dtype=bool)
+                same[order] = (doc[row[order]] == doc[row[source]]) & (first[row[order]] + offset[order] == first[row[source]] + offset[source])
+                new = ~again
+                again &= ~same
                 if bucket is not None and len(met):
-                    mine = gram[row] == bucket
+                    mine = (gram[row] == bucket[0]) & (salt[row] == bucket[1])
                     again[mine] |= np.isin(h[mine], met)
-                last = gram[-1]
-                mine = np.unique(h[gram[row] == last])
+                last = (gram[-1], salt[-1])
+                mine = np.unique(h[(gram[row] == last[0]) & (salt[row] == last[1])])
                 met = np.union1d(met, mine) if bucket == last else mine
                 bucket = last
                 hit = np.flatnonzero(again)
@@ -257,9 +272,33 @@ def _resolved(rows: DataFrame) -> DataFrame:
                     cut = np.r_[True, (row[hit][1:] != row[hit][:-1]) | (offset[hit][1:] != offset[hit][:-1] + 1)]
                     heads = np.flatnonzero(cut)
                     ends = np.r_[heads[1:], len(hit)] - 1
-                    yield pa.RecordBatch.from_arrays([pa.array(doc[row[hit[heads]]]), pa.array(first[row[hit[heads]]] + offset[hit[heads]]), pa.array((offset[hit[ends]] - offset[hit[heads]]).astype(np.int32))], names=["doc_id", "first", "span"])
+                    yield pa.RecordBatch.from_arrays([pa.array(doc[row[hit[heads]]]), pa.array(first[row[hit[heads]]] + offset[hit[heads]]), pa.array((offset[hit[ends]] - offset[hit[heads]]).astype(np.int32)), pa.nulls(len(heads), pa.int64())], names=names)
+                lead = np.flatnonzero(new & ~again & (salt[row] >= 0))
+                if len(lead):
+                    yield pa.RecordBatch.from_arrays([pa.array(doc[row[lead]]), pa.array(first[row[lead]] + offset[lead]), pa.array(np.zeros(len(lead), dtype=np.int32)), pa.array(window[lead].view(np.int64))], names=names)
+
+    bucket = rows.repartition("gram", "salt").sortWithinPartitions("gram", "salt", "doc_id", "first")
+    return bucket.mapInArrow(run, "doc_id long, first long, span int, window long")
+
+
+def _met_elsewhere(leads: DataFrame) -> DataFrame:
+    """doc_id, first, span: of the windows that salts give, all but the first place of each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead: tuple | None = None  # window, doc_id, first: the first place of the window that is being read
+        for b in batches:
+            if not b.num_rows:
+                continue
+            window, doc, first = (c.to_numpy() for c in b.columns)
+            fresh = np.r_[lead is None or lead[0] != window[0], window[1:] != window[:-1]]
+            heads = np.flatnonzero(fresh)
+            of = np.cumsum(fresh) - 1  # -1: the one from before
+            repeat = (doc != np.r_[doc[heads], lead[1] if lead else 0][of]) | (first != np.r_[first[heads], lead[2] if lead else 0][of])
+            if len(heads):
+                lead = (window[heads[-1]], doc[heads[-1]], first[heads[-1]])
+            yield pa.RecordBatch.from_arrays([pa.array(doc[repeat]), pa.array(first[repeat]), pa.array(np.zeros(repeat.sum(), dtype=np.int32))], names=["doc_id", "first", "span"])
 
-    bucket = rows.repartition("gram").sortWithinPartitions("gram", "doc_id", "first")
+    bucket = leads.select("window", "doc_id", "first").repartition("window").sortWithinPartitions("window", "doc_id", "first")
     return bucket.mapInArrow(run, "doc_id long, first long, span int")
 
 
@@ -287,14 +326,15 @@ def _cut(texts: DataFrame, repeats: DataFrame, keep_text: bool) -> DataFrame:
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
-def without_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
+def without_repeats(docs: DataFrame, keep_text: bool = False, share: int = SHARE, large: int = LARGE) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes, if asked for).
 
     A null doc_id counts as the largest and is treated as one document for each distinct text under it.
     """
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
     found = kept(_sorted_out(_sampled(texts)), "anchors")
-    ends = kept(_resolved(_fetched(texts, found.where("unsure"))), "ends")
-    repeats = found.where("not unsure").select("doc_id", "first", "span").unionByName(ends)
+    ends = kept(_resolved(_fetched(texts, _salted(found.where("unsure"), share, large))), "ends")
+    repeats = found.where("not unsure").unionByName(ends.where("window is null"), allowMissingColumns=True).select("doc_id", "first", "span")
+    repeats = repeats.unionByName(_met_elsewhere(ends.where("window is not null")))
     out = _cut(texts, repeats, keep_text)
     return out.withColumn("doc_id", F.nullif("doc_id", F.lit((1 << 63) - 1)))

@@ -289,15 +289,17 @@ def test_repeated_substrings(which, request, monkeypatch):
     assert Counter(tuple(r[:5]) for r in substrings.without_repeats(df).collect()) == plain_repeats(pairs(df))
 
 
-def test_repeats_across_pieces_and_batches(spark):
+@pytest.mark.parametrize(("share", "large"), [(substrings.SHARE, substrings.LARGE), (1, substrings.LARGE), (1, 3)])
+def test_repeats_across_pieces_and_batches(spark, share, large):
     r = random.Random(4)
     shared = "".join(r.choice("ab ") for _ in range(700))
     rows = [(i, "".join(r.choice("abc ") for _ in range(r.randint(0, 300))) + shared[r.randint(0, 500) :] + "".join(r.choice("abc ") for _ in range(200))) for i in range(60)]
     rows += [(60, "z" * 3000), (61, "zy" * 800), (62, "z" * 150)]
+    rows += rows[:9]  # rows that are there twice
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
-        assert Counter(tuple(x[:5]) for x in substrings.without_repeats(df).collect()) == plain_repeats(rows)
+        assert Counter(tuple(x[:5]) for x in substrings.without_repeats(df, share=share, large=large).collect()) == plain_repeats(rows)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
