@@ -80,6 +80,7 @@ query("h1_scan_sensitive", "documents", f"WITH {_FOUND} SELECT doc_id, category,
 query("e6_cap_findings", "documents", f"WITH {_FOUND} SELECT doc_id, category, substring(match, 1, 120) AS match, CAST(position AS INT) AS position, truncated FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rank, i) position, count(*) OVER (PARTITION BY doc_id) >= 3 truncated FROM found) WHERE position <= 3")(lambda d: scans.cap_findings(scans.scan_sensitive(d), 3).select("doc_id", "category", "match", "position", "truncated"))
 query("d1_category_counts", "documents", f"WITH {_FOUND} SELECT doc_id, category, count(*) AS n FROM found GROUP BY ALL")(lambda d: scans.category_counts(scans.scan_sensitive(d)))
 query("k15_public_summary", "documents", f"WITH {_FOUND} SELECT category, confidence, count(*) AS n, count(DISTINCT doc_id) AS documents FROM found GROUP BY ALL")(lambda d: scans.public_summary(scans.scan_sensitive(d)))
+query("d2_privacy_summary", "documents", f"WITH {_FOUND} SELECT doc_id, least(count(*), 100) AS findings, count(*) > 100 AS truncated, count(DISTINCT category) AS categories FROM found GROUP BY doc_id")(lambda d: scans.privacy_summary(scans.scan_sensitive(d)))
 query("d4_metadata_scan", "documents", "SELECT doc_id, array_to_string(list_filter([CASE WHEN trim(lang) <> '' THEN 'lang' END, CASE WHEN trim(source) <> '' THEN 'source' END], lambda x: x IS NOT NULL), ',') AS fields, 2 - CAST(lang IS NULL OR trim(lang) = '' AS INT) - CAST(source IS NULL OR trim(source) = '' AS INT) AS n_fields FROM documents")(lambda d: scans.metadata_scan(d, ["lang", "source"]))
 query("k2_clean_metadata", "documents", "SELECT doc_id, CAST(NULL AS VARCHAR) AS lang, CAST(NULL AS VARCHAR) AS source, n_chars FROM documents")(lambda d: scans.clean_metadata(d, ["lang", "source"]).select("doc_id", "lang", "source", "n_chars"))
 query("k9_banned_phrases", "documents benchmark", "SELECT doc_id, phrase FROM documents, (SELECT DISTINCT substring(text, 1, 12) AS phrase FROM benchmark) p WHERE contains(lower(text), lower(phrase))")(lambda d, b: scans.banned_phrases(d, b.select(F.substring("text", 1, 12).alias("phrase")).distinct()))
@@ -125,6 +126,7 @@ query("e10_swap_neighbour", "files", "SELECT workflow_id, file_id, CAST(CASE WHE
 query("e12_latest_generation", "events", "SELECT user_id, event_type, max(event_id) AS event_id FROM events GROUP BY user_id, event_type")(lambda d: workflows.latest_generation(d.select("user_id", "event_type", "event_id"), ["user_id", "event_type"], "event_id"))
 query("e13_position_labels", "files", "SELECT workflow_id, file_id, row_number() OVER (PARTITION BY workflow_id ORDER BY seq) AS position, count(*) OVER (PARTITION BY workflow_id) AS total FROM files", "files")(lambda d: workflows.position_labels(d.select("workflow_id", "file_id", "seq"), "workflow_id", "seq").drop("seq"))
 query("f2_search_top", "part", "SELECT p_partkey, matches, matches > 6 AS truncated FROM (SELECT p_partkey, count(*) OVER () AS matches FROM part WHERE contains(lower(p_name || ' ' || p_brand), 'brand#2') ORDER BY p_partkey LIMIT 6)")(lambda d: workflows.search_top(d, "brand#2", "p_partkey", 6, "p_name", "p_brand").select("p_partkey", "matches", "truncated"))
+query("f5_popular_first", "part", "SELECT p_partkey, p_brand, CAST(position AS BIGINT) AS position FROM part JOIN (VALUES ('Brand#3', 1), ('Brand#99', 2), ('Brand#1', 3)) v(name, position) ON p_brand = name")(lambda d: workflows.popular_first(d, "p_brand", ["Brand#3", "Brand#99", "Brand#1"]).select("p_partkey", "p_brand", "position"))
 query("f6_bounded_list", "files", "SELECT workflow_id, file_id, total > 4 AS truncated FROM (SELECT workflow_id, file_id, row_number() OVER (PARTITION BY workflow_id ORDER BY seq) p, count(*) OVER (PARTITION BY workflow_id) total FROM files) WHERE p <= 4", "files")(lambda d: workflows.bounded_list(d, "workflow_id", "seq", 4).select("workflow_id", "file_id", "truncated"))
 query("f7_next_queued", "files", "SELECT workflow_id, arg_min(file_id, seq) AS file_id FROM files WHERE status = 'queued' GROUP BY workflow_id", "files")(workflows.next_queued)
 query("c4_lookup_translation", "dictionary", "SELECT d.locale, d.key, d.key AS english, CASE WHEN d.value <> '' THEN d.value ELSE d.key END AS text FROM dictionary d", "dictionary")(lambda d: workflows.lookup_translation(d.select("locale", "key", F.col("key").alias("english")), d))
@@ -163,6 +165,8 @@ _KIND = "CASE WHEN regexp_replace(line, '\\s+', '', 'g') = '' THEN 'blank' WHEN
 _BLOCKS = f"k AS (SELECT *, {_KIND} AS kind FROM md_lines), i AS (SELECT *, sum(CASE WHEN kind = 'text' AND p = 'text' THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line_no) island FROM (SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY line_no) p FROM k)), b AS (SELECT doc_id, island, any_value(kind) AS kind, string_agg(trim(line), ' ' ORDER BY line_no) AS text FROM i WHERE kind <> 'blank' GROUP BY doc_id, island), c AS (SELECT *, sum(CASE WHEN kind = 'ordered' THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY island) cut FROM b)"
 query("h3_parse_blocks", "md_lines", with_views("SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY island) AS block_no, kind, CASE WHEN kind = 'heading' THEN CAST(length(regexp_extract(text, '^(#+)', 1)) AS INT) END AS level, CASE WHEN kind = 'ordered' THEN count(*) FILTER (WHERE kind = 'ordered') OVER (PARTITION BY doc_id, cut ORDER BY island) END AS item_index, CASE kind WHEN 'heading' THEN regexp_replace(text, '^#{1,4} +', '') WHEN 'bullet' THEN regexp_replace(text, '^[-*+] +', '') WHEN 'ordered' THEN regexp_replace(text, '^[0-9]{1,3}[.)] +', '') WHEN 'rule' THEN '' ELSE text END AS text FROM c", "md_lines").replace(") SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY island) AS block_no", f"), {_BLOCKS} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY island) AS block_no"))(layout.parse_blocks)
 query("e14_list_groups", "md_lines", f"SELECT doc_id, kind, count(*) AS items, min(line_no) AS first_line FROM (SELECT *, sum(CASE WHEN kind = p THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line_no) run FROM (SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY line_no) p FROM (SELECT *, {_KIND} AS kind FROM md_lines))) WHERE kind IN ('bullet', 'ordered') GROUP BY doc_id, run, kind", "md_lines")(layout.list_groups)
+query("e7_ordered_index", "md_lines", f"SELECT doc_id, line_no, row_number() OVER (PARTITION BY doc_id, cut ORDER BY line_no) AS item_index FROM (SELECT *, sum(CASE WHEN kind = 'ordered' THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS cut FROM (SELECT *, {_KIND} AS kind FROM md_lines) WHERE kind <> 'blank') WHERE kind = 'ordered'", "md_lines")(layout.ordered_index)
+query("e8_paragraph_islands", "md_lines", f"SELECT doc_id, min(line_no) AS first_line, count(*) AS n_lines, string_agg(trim(line), ' ' ORDER BY line_no) AS text FROM (SELECT *, sum(CASE WHEN kind = 'text' AND p = 'text' THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS island FROM (SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY line_no) AS p FROM (SELECT *, {_KIND} AS kind FROM md_lines))) WHERE kind = 'text' GROUP BY doc_id, island", "md_lines")(layout.paragraph_islands)
 query("h2_parse_inline", "md_lines")(lambda d: d.select("doc_id", "line_no", F.posexplode(layout.parse_inline(F.col("line"))).alias("run_no", "r")).select("doc_id", "line_no", "run_no", "r.*"))
 query("h18_wrap_lines", "md_lines")(lambda d: layout.wrap_lines(layout.parse_blocks(d)))
 query("h17_image_page_size", "page_boxes", "SELECT doc_id, page_no, media_w * (842 / greatest(media_w, media_h)) AS w, media_h * (842 / greatest(media_w, media_h)) AS h FROM page_boxes", "page_boxes")(lambda d: d.select("doc_id", "page_no", (F.col("media_w") * (F.lit(842) / F.greatest("media_w", "media_h"))).alias("w"), (F.col("media_h") * (F.lit(842) / F.greatest("media_w", "media_h"))).alias("h")))
@@ -179,6 +183,7 @@ query("d19_distinct_hashes", "pages", "SELECT DISTINCT base64(unhex(sha256(s)))
 query("h13_html_inspect", "pages", " UNION ALL ".join(f"SELECT page_id, '{c}' AS category, CAST(len(regexp_extract_all(html, '{p}')) AS BIGINT) AS n FROM pages" for c, p in web.CATEGORIES.items()))(web.html_inspect)
 _FIG = "SELECT page_id, figures, figures - described AS missing, has_lang, has_title FROM (SELECT page_id, CAST(len(regexp_extract_all(html, '(?i)<img\\b')) AS BIGINT) figures, CAST(len(regexp_extract_all(html, '(?i)<img\\b[^>]*\\salt=\"[^\"]+\"')) AS BIGINT) described, regexp_matches(html, '(?i)<html[^>]*\\slang=\"[^\"]+\"') AS has_lang, " + _TITLE + " IS NOT NULL AS has_title FROM pages)"
 query("d14_figure_readiness", "pages", _FIG)(web.figure_readiness)
+query("d12_action_count", "pages", "SELECT page_id, CAST(len(regexp_extract_all(html, 'href=')) + len(regexp_extract_all(html, 'src=')) AS BIGINT) AS actions FROM pages")(lambda d: d.select("page_id", C.action_count(F.create_map(*[x for a in ("href", "src") for x in (F.lit(a), F.regexp_extract_all("html", F.lit(a + "="), F.lit(0)))])).alias("actions")))
 query("d20_warnings", "pages", f"SELECT page_id, array_to_string(list_filter([CASE WHEN missing > 0 THEN 'figures without text' END, CASE WHEN NOT has_lang THEN 'no language' END, CASE WHEN NOT has_title THEN 'no title' END], lambda x: x IS NOT NULL), ',') AS warnings FROM ({_FIG})")(web.warnings)
 query("k8_audit_pages", "pages", "SELECT * FROM (" + " UNION ALL ".join(f"SELECT page_id, '{t}' AS rule, CAST(len(regexp_extract_all(html, '(?i)<{t}\\b')) AS BIGINT) AS n FROM pages" for t in ("title", "body", "html", "main")) + ") WHERE n <> 1")(web.audit_pages)
 query("h11_extract_jsonld", "pages")(lambda d: web.extract_jsonld(d.withColumn("html", F.concat("html", F.lit('<script type="application/ld+json">'), F.when(F.col("page_id") % 3 == 0, "{broken").otherwise('{"@type":"WebPage"}'), F.lit("</script>")))))
@@ -269,7 +274,7 @@ query("k4_loss_manifest", "documents", "SELECT doc_id, s.* FROM documents, (VALU
 query("k3_clean_and_verify", "documents", "SELECT doc_id, CAST(NULL AS VARCHAR) AS lang, CAST(NULL AS VARCHAR) AS source, true AS ok FROM documents")(lambda d: recipes.clean_and_verify(d, ["lang", "source"]).select("doc_id", "lang", "source", "ok"))
 query("k6_normalize", "documents")(recipes.normalize)
 query("k16_stamp_ttl", "files", f"SELECT file_id, updated_at AS created_at, {NOW} AS updated_at, coalesce(expires_at, {NOW} + INTERVAL 1 DAY) AS expires_at FROM files", "files")(lambda d: workflows.stamp_ttl(d.withColumn("created_at", F.col("updated_at")), F.expr(NOW)).select("file_id", "created_at", "updated_at", "expires_at"))
-query("j6_merge_v1", "conversations", "SELECT conv_id, turn AS page_no, input_no, row_number() OVER (ORDER BY input_no, turn) AS new_page FROM (SELECT conv_id, turn, CASE conv_id WHEN 1 THEN 0 WHEN 0 THEN 1 END AS input_no FROM conversations WHERE conv_id IN (0, 1))")(lambda d: recipes.merge_v1([d.where("conv_id = 1").select("conv_id", F.col("turn").alias("page_no")), d.where("conv_id = 0").select("conv_id", F.col("turn").alias("page_no"))]))
+query("j6_merge_v1", "conversations", "SELECT conv_id, turn AS page_no, input_no, row_number() OVER (PARTITION BY conv_id ORDER BY input_no, turn) AS new_page FROM (SELECT *, max(input_no) OVER (PARTITION BY conv_id) > min(input_no) OVER (PARTITION BY conv_id) AS several FROM (SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN 1 ELSE 0 END AS input_no FROM conversations)) WHERE several")(lambda d: recipes.merge_v1([d.where(r).select("conv_id", F.col("turn").alias("page_no")) for r in ("coalesce(role <> 'assistant', true)", "role = 'assistant'")], "conv_id"))
 
 
 def _sql(name: str, text: str, needs: str, sql: str | None = None, *views: str) -> None:
@@ -287,5 +292,6 @@ def _sql(name: str, text: str, needs: str, sql: str | None = None, *views: str)
 
 
 _sql("j3_blocks", "SELECT doc_id, b.* FROM md_docs, LATERAL blocks(text) b", "md_docs")
+_sql("j4_html_markdown", "SELECT page_id, html_markdown(html) AS markdown FROM pages", "pages")
 _sql("j5_size_estimate", "SELECT doc_id, CAST(floor(size_estimate(page_no, CAST(length(text) AS DOUBLE)) + 0.5) AS BIGINT) AS estimate FROM doc_pages GROUP BY doc_id", "doc_pages", "SELECT doc_id, CAST(floor(CASE WHEN max(n) <= 5 THEN sum(size) ELSE sum(size) FILTER (WHERE page_no = 1) + avg(size) FILTER (WHERE page_no > 1) * (max(n) - 1) END + 300 * max(n) + 1000 + 0.5) AS BIGINT) AS estimate FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) n FROM (SELECT doc_id, page_no, CAST(length(text) AS BIGINT) AS size FROM doc_pages)) WHERE n <= 5 OR page_no IN (1, 1 + floor((n-1)/4.0 + 0.5), 1 + floor(2*(n-1)/4.0 + 0.5), 1 + floor(3*(n-1)/4.0 + 0.5), n) GROUP BY doc_id", "doc_pages")
 query("c12_fill_form", "part", "SELECT p_partkey AS name, CASE p_size % 4 WHEN 0 THEN 'text' WHEN 1 THEN 'dropdown' WHEN 2 THEN 'radio' ELSE 'signature' END AS kind, CASE WHEN p_size % 4 = 3 THEN 'unknown kind' WHEN p_partkey % 5 = 0 THEN 'empty' WHEN p_size % 4 = 0 OR p_brand IN ('Brand#1', 'Brand#2') THEN 'filled' ELSE 'rejected' END AS state, CASE WHEN p_size % 4 <> 3 AND p_partkey % 5 <> 0 AND (p_size % 4 = 0 OR p_brand IN ('Brand#1', 'Brand#2')) THEN p_brand END AS filled FROM part")(lambda d: workflows.fill_form(d.select(F.col("p_partkey").alias("name"), F.expr("CASE p_size % 4 WHEN 0 THEN 'text' WHEN 1 THEN 'dropdown' WHEN 2 THEN 'radio' ELSE 'signature' END").alias("kind"), F.array(F.lit("Brand#1"), F.lit("Brand#2")).alias("options")), d.where("p_partkey % 5 <> 0").select(F.col("p_partkey").alias("name"), F.col("p_brand").alias("value"))))

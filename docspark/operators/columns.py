@@ -46,6 +46,11 @@ def clamp_count(n: Column, low: int, high: int) -> Column:
     return F.coalesce(F.greatest(F.lit(low), F.least(F.lit(high), whole.cast("bigint"))), F.lit(low)).cast("bigint")
 
 
+def action_count(actions: Column) -> Column:
+    """Entries over all lists of a map."""
+    return F.aggregate(F.map_values(actions), F.lit(0).cast("long"), lambda n, v: n + F.greatest(F.coalesce(F.size(v), F.lit(0)), F.lit(0)))
+
+
 def fill_template(template: Column, params: Column) -> Column:
     """{name} replaced for each entry of the map; unknown names stay."""
     return F.reduce(F.map_entries(params), template, lambda acc, e: F.replace(acc, F.concat(F.lit("{"), e["key"], F.lit("}")), e["value"]))

@@ -161,6 +161,23 @@ def parse_blocks(lines: DataFrame) -> DataFrame:
     return blocks.select("doc_id", F.row_number().over(by).cast("long").alias("block_no"), "kind", level.cast("int").alias("level"), index.cast("long").alias("item_index"), bare.alias("text"))
 
 
+def ordered_index(lines: DataFrame) -> DataFrame:
+    """Number of each line of an ordered list; it restarts after any line but a blank one or another of the list."""
+    df = line_kinds(lines).where("kind <> 'blank'")
+    cut = F.sum(F.when(F.col("kind") == "ordered", 0).otherwise(1)).over(Window.partitionBy("doc_id").orderBy("line_no"))
+    df = df.withColumn("cut", cut).where("kind = 'ordered'")
+    return df.select("doc_id", "line_no", F.row_number().over(Window.partitionBy("doc_id", "cut").orderBy("line_no")).cast("long").alias("item_index"))
+
+
+def paragraph_islands(lines: DataFrame) -> DataFrame:
+    """Paragraphs: runs of plain lines, joined by a space."""
+    by = Window.partitionBy("doc_id").orderBy("line_no")
+    begins = F.when((F.col("kind") == "text") & (F.lag("kind").over(by) == "text"), 0).otherwise(1)
+    df = line_kinds(lines).withColumn("island", F.sum(begins).over(by)).where("kind = 'text'")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: F.trim(x["line"])), " ")
+    return df.groupBy("doc_id", "island").agg(F.min("line_no").alias("first_line"), F.count("*").alias("n_lines"), text.alias("text")).drop("island")
+
+
 def list_groups(lines: DataFrame) -> DataFrame:
     """Lists: runs of lines of one list kind; a blank line, another kind or any other block closes one."""
     by = Window.partitionBy("doc_id").orderBy("line_no")

@@ -42,6 +42,12 @@ def category_counts(findings: DataFrame) -> DataFrame:
     return findings.groupBy("doc_id", "category").agg(F.count("*").alias("n"))
 
 
+def privacy_summary(findings: DataFrame, cap: int = 100) -> DataFrame:
+    """One row a document: findings (at most cap), whether there were more, and categories."""
+    n = F.count("*")
+    return findings.groupBy("doc_id").agg(F.least(n, F.lit(cap)).cast("long").alias("findings"), (n > cap).alias("truncated"), F.count_distinct("category").alias("categories"))
+
+
 def metadata_scan(df: DataFrame, fields: list[str]) -> DataFrame:
     """doc_id, the names of the fields that are present, and how many."""
     present = F.array_compact(F.array(*[F.when(F.col(c).isNotNull() & (F.trim(F.col(c).cast("string")) != ""), F.lit(c)) for c in fields]))

@@ -137,6 +137,12 @@ def search_top(df: DataFrame, query: str, order: str, limit: int, *columns: str)
     return found.orderBy(order).limit(max(1, min(limit, 10))).crossJoin(F.broadcast(n)).withColumn("truncated", F.col("matches") > limit)
 
 
+def popular_first(catalogue: DataFrame, key: str, names: list[str]) -> DataFrame:
+    """The entries of a short fixed list, in its order; names that the catalogue lacks are skipped."""
+    place = F.array_position(F.array(*[F.lit(n) for n in names]), F.col(key))
+    return catalogue.withColumn("position", place).where("position > 0").orderBy("position")
+
+
 def missing_keys(required: DataFrame, dictionary: DataFrame, locales: DataFrame) -> DataFrame:
     """(locale, key) that are required but absent or empty. locales is a list of codes, and keys x locales is the answer's own size."""
     wanted = required.select("key").distinct().join(F.broadcast(locales))

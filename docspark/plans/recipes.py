@@ -108,7 +108,13 @@ class Blocks:
 
 
 def register_sql(spark) -> None:  # noqa: ANN001
-    """blocks(text) as a table function and size_estimate(page_no, size) as an aggregate."""
+    """blocks(text) as a table function, html_markdown(html), and size_estimate(page_no, size) as an aggregate."""
+    from docspark.operators.web import markdown_of
+
+    def html_markdown(html: pd.Series) -> pd.Series:
+        return html.map(markdown_of)
+
+    spark.udf.register("html_markdown", F.pandas_udf(html_markdown, "string"))
     spark.udtf.register("blocks", F.udtf(Blocks, returnType="block_no int, kind string, text string"))
 
     def size_estimate(page: pd.Series, size: pd.Series) -> float:
@@ -126,11 +132,12 @@ def register_sql(spark) -> None:  # noqa: ANN001
 # --- the four calls
 
 
-def merge_v1(inputs: list[DataFrame]) -> DataFrame:
-    """Pages of two inputs or more, one after the other."""
+def merge_v1(inputs: list[DataFrame], by: str | None = None) -> DataFrame:
+    """Pages of two inputs or more, one after the other; with by, one merged document for each of its values that
+    two inputs have."""
     if len(inputs) < 2:
         raise ValueError("merging needs two inputs")
-    both = [df.withColumn("input_no", F.lit(i)).withColumn("target", F.lit(0)) for i, df in enumerate(inputs)]
+    both = [df.withColumn("input_no", F.lit(i)).withColumn("target", F.col(by) if by else F.lit(0)) for i, df in enumerate(inputs)]
     out = both[0]
     for df in both[1:]:
         out = out.unionByName(df)
