@@ -183,6 +183,7 @@ query("d19_distinct_hashes", "pages", "SELECT DISTINCT base64(unhex(sha256(s)))
 query("h13_html_inspect", "pages", " UNION ALL ".join(f"SELECT page_id, '{c}' AS category, CAST(len(regexp_extract_all(html, '{p}')) AS BIGINT) AS n FROM pages" for c, p in web.CATEGORIES.items()))(web.html_inspect)
 _FIG = "SELECT page_id, figures, figures - described AS missing, has_lang, has_title FROM (SELECT page_id, CAST(len(regexp_extract_all(html, '(?i)<img\\b')) AS BIGINT) figures, CAST(len(regexp_extract_all(html, '(?i)<img\\b[^>]*\\salt=\"[^\"]+\"')) AS BIGINT) described, regexp_matches(html, '(?i)<html[^>]*\\slang=\"[^\"]+\"') AS has_lang, " + _TITLE + " IS NOT NULL AS has_title FROM pages)"
 query("d14_figure_readiness", "pages", _FIG)(web.figure_readiness)
+query("d3_doctor_summary", "pages", f"SELECT page_id, least(figures, 100000) AS figures, least(missing, 100000) AS missing, has_lang, has_title, missing = 0 AND has_lang AND has_title AS ready FROM ({_FIG})")(web.doctor_summary)
 query("d12_action_count", "pages", "SELECT page_id, CAST(len(regexp_extract_all(html, 'href=')) + len(regexp_extract_all(html, 'src=')) AS BIGINT) AS actions FROM pages")(lambda d: d.select("page_id", C.action_count(F.create_map(*[x for a in ("href", "src") for x in (F.lit(a), F.regexp_extract_all("html", F.lit(a + "="), F.lit(0)))])).alias("actions")))
 query("d20_warnings", "pages", f"SELECT page_id, array_to_string(list_filter([CASE WHEN missing > 0 THEN 'figures without text' END, CASE WHEN NOT has_lang THEN 'no language' END, CASE WHEN NOT has_title THEN 'no title' END], lambda x: x IS NOT NULL), ',') AS warnings FROM ({_FIG})")(web.warnings)
 query("k8_audit_pages", "pages", "SELECT * FROM (" + " UNION ALL ".join(f"SELECT page_id, '{t}' AS rule, CAST(len(regexp_extract_all(html, '(?i)<{t}\\b')) AS BIGINT) AS n FROM pages" for t in ("title", "body", "html", "main")) + ") WHERE n <> 1")(web.audit_pages)

@@ -65,6 +65,13 @@ def figure_readiness(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", figures.alias("figures"), (figures - described).alias("missing"), F.col("html").rlike(r'(?i)<html[^>]*\slang="[^"]+"').alias("has_lang"), title(F.col("html")).isNotNull().alias("has_title"))
 
 
+def doctor_summary(pages: DataFrame, cap: int = 100_000) -> DataFrame:
+    """figure_readiness with bounded counts, and whether a page breaks no rule."""
+    bounded = lambda c: F.least(F.col(c), F.lit(cap).cast("long")).alias(c)
+    ready = (F.col("missing") == 0) & F.col("has_lang") & F.col("has_title")
+    return figure_readiness(pages).select("page_id", bounded("figures"), bounded("missing"), "has_lang", "has_title", ready.alias("ready"))
+
+
 def warnings(pages: DataFrame) -> DataFrame:
     """page_id and the rules it breaks."""
     f = figure_readiness(pages)
