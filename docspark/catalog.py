@@ -155,19 +155,42 @@ query("d21_words_added", "doc_lines", "SELECT doc_id, CAST(sum(len(string_split(
 query("f1_reading_order", "text_items", "SELECT doc_id, page_no, item_no, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY y DESC, x, item_no) AS place FROM text_items", "text_items")(lambda d: layout.reading_order(d).select("doc_id", "page_no", "item_no", "place"))
 query("c10_redact_pages", "text_items", "SELECT doc_id, page_no, item_no FROM text_items WHERE NOT (page_no = 1 AND doc_id % 3 = 0)", "text_items")(lambda d: layout.redact_pages(d, d.where("page_no = 1 and doc_id % 3 = 0").select("doc_id", "page_no")).select("doc_id", "page_no", "item_no"))
 query("c11_items_in_rects", "text_items page_boxes", "SELECT DISTINCT i.doc_id, i.page_no, i.item_no FROM text_items i JOIN page_boxes b USING (doc_id, page_no) WHERE x < 300 AND x + width > 100 AND y < 700 AND y + font_size > 600 AND doc_id % 2 = 0", "text_items", "page_boxes")(lambda d, b: layout.items_in_rects(d, b.where("doc_id % 2 = 0").select("doc_id", "page_no", F.lit(300.0).alias("x1"), F.lit(100.0).alias("x2"), F.lit(600.0).alias("y1"), F.lit(700.0).alias("y2"))))
-query("h4_cluster_lines", "text_items")(layout.cluster_lines)
-query("e4_gap_to_next", "text_items")(lambda d: layout.gap_to_next(layout.cluster_lines(d)))
-query("e9_paragraph_break", "text_items")(lambda d: layout.paragraph_break(layout.gap_to_next(layout.cluster_lines(d))))
-query("h5_render_markdown", "text_items")(lambda d: layout.render_markdown(layout.cluster_lines(d), layout.body_size(d)))
-query("e11_column_breaks", "text_items", "SELECT doc_id, page_no, begins, row_number() OVER w AS column_no, lead(begins) OVER w AS ends FROM (SELECT DISTINCT doc_id, page_no, 0.0::DOUBLE AS begins FROM text_items UNION ALL SELECT doc_id, page_no, (x + before) / 2 FROM (SELECT *, lag(x) OVER (PARTITION BY doc_id, page_no ORDER BY x) before FROM (SELECT DISTINCT doc_id, page_no, x FROM text_items)) JOIN (SELECT doc_id, page_no, list_sort(list(font_size))[len(list(font_size)) // 2 + 1] AS size FROM text_items GROUP BY ALL) USING (doc_id, page_no) WHERE x - before > 2 * size) WINDOW w AS (PARTITION BY doc_id, page_no ORDER BY begins)", "text_items")(layout.column_breaks)
-query("h8_table_cells", "text_items")(layout.table_cells)
+#: the line fold of layout.cluster_lines, one item a step: the items of a page in reading order, then the line each has come to
+_FOLD = """items AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY y DESC, x, item_no) AS i, contains(font_family, 'Bold') AS b, contains(font_family, 'Oblique') AS o FROM text_items WHERE trim(str) <> ''),
+ fold AS (SELECT doc_id, page_no, i, item_no, x, y AS item_y, str, CAST(0 AS BIGINT) AS line_no, str AS text, y, x + width AS endx, font_size AS size, b AS bold, o AS italic FROM items WHERE i = 1
+ UNION ALL SELECT doc_id, page_no, i, item_no, x, item_y, str, CASE WHEN joins THEN line_no ELSE line_no + 1 END, CASE WHEN joins THEN text || CASE WHEN x - endx > 0.28 * greatest(size, font_size) AND text NOT LIKE '% ' THEN ' ' ELSE '' END || str ELSE str END,
+ CASE WHEN joins THEN y ELSE item_y END, x + width, CASE WHEN joins THEN greatest(size, font_size) ELSE font_size END, CASE WHEN joins THEN bold OR b ELSE b END, CASE WHEN joins THEN italic AND o ELSE o END
+ FROM (SELECT n.*, f.line_no, f.text, f.y AS line_y, f.endx, f.size, f.bold, f.italic, abs(n.y - f.y) <= 0.4 * greatest(f.size, n.font_size) AS joins FROM fold f JOIN items n ON n.doc_id = f.doc_id AND n.page_no = f.page_no AND n.i = f.i + 1) AS t(doc_id, page_no, item_no, str, x, item_y, width, font_size, font_family, i, b, o, line_no, text, y, endx, size, bold, italic, joins))"""
+_LINES = _FOLD + ", lines AS (SELECT doc_id, page_no, line_no, arg_max(text, i) AS text, any_value(y) AS y, arg_max(endx, i) AS endx, max(size) AS size, bool_or(bold) AS bold, arg_max(italic, i) AS italic FROM fold GROUP BY ALL)"
+_GAPS = _LINES + ", gaps AS (SELECT * FROM (SELECT *, y - lead(y) OVER (PARTITION BY doc_id, page_no ORDER BY line_no) AS gap FROM lines) WHERE trim(text) <> '')"
+_PARAS = _GAPS + ", paras AS (SELECT * EXCLUDE (ends), coalesce(sum(ends) OVER (PARTITION BY doc_id, page_no ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS paragraph FROM (SELECT g.*, CAST(gap IS NULL OR gap > 1.6 * usual AS INT) AS ends FROM gaps g JOIN (SELECT doc_id, page_no, coalesce(median(gap) FILTER (WHERE gap > 0), 10) AS usual FROM gaps GROUP BY ALL) USING (doc_id, page_no)))"
+_RENDERED = _PARAS + r""", kinds AS (SELECT *, CASE WHEN size / body >= 1.8 THEN 'heading1' WHEN size / body >= 1.5 THEN 'heading2' WHEN size / body >= 1.25 THEN 'heading3' WHEN size / body >= 1.1 THEN 'heading4' WHEN regexp_matches(trim(text), '^[-*•] +') THEN 'bullet' WHEN regexp_matches(trim(text), '^[0-9]{1,3}[.)] +') THEN 'ordered' ELSE 'paragraph' END AS kind
+ FROM paras JOIN (SELECT doc_id, coalesce(nullif(median(font_size), 0), 10) AS body FROM text_items WHERE trim(str) <> '' GROUP BY doc_id) USING (doc_id)),
+ bare AS (SELECT *, trim(regexp_replace(CASE kind WHEN 'bullet' THEN regexp_replace(trim(text), '^[-*•] +', '') WHEN 'ordered' THEN regexp_replace(trim(text), '^[0-9]{1,3}[.)] +', '') ELSE text END, '\s+', ' ', 'g')) AS t, CASE WHEN bold AND italic THEN '***' WHEN bold THEN '**' WHEN italic THEN '*' ELSE '' END AS mark FROM kinds),
+ styled AS (SELECT *, CASE WHEN kind = 'paragraph' AND t <> '' THEN regexp_replace(mark || t || mark, '^([#\-*+>])', '\\\1') ELSE t END AS s, sum(CASE WHEN kind = 'paragraph' AND was = 'paragraph' AND paragraph = before THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, page_no ORDER BY line_no) AS block FROM (SELECT *, lag(kind) OVER w AS was, lag(paragraph) OVER w AS before FROM bare WINDOW w AS (PARTITION BY doc_id, page_no ORDER BY line_no))),
+ blocks AS (SELECT doc_id, page_no, block, any_value(kind) AS kind, string_agg(s, ' ' ORDER BY line_no) AS s FROM styled GROUP BY ALL),
+ runs AS (SELECT *, sum(CASE WHEN kind = was THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, page_no ORDER BY block) AS run FROM (SELECT *, lag(kind) OVER (PARTITION BY doc_id, page_no ORDER BY block) AS was FROM blocks)),
+ numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no, run ORDER BY block) AS n FROM runs)"""
+_RENDER = "SELECT doc_id, page_no, ltrim(string_agg(CASE WHEN kind IN ('bullet', 'ordered') AND n > 1 THEN chr(10) ELSE chr(10) || chr(10) END || CASE WHEN kind LIKE 'heading%' THEN repeat('#', CAST(kind[8:] AS INT)) || ' ' || s WHEN kind = 'bullet' THEN '- ' || s WHEN kind = 'ordered' THEN n || '. ' || s ELSE s END, '' ORDER BY block), chr(10)) AS text FROM numbered GROUP BY ALL"
+query("h4_cluster_lines", "text_items", with_views("SELECT * FROM lines", "text_items", more=_LINES))(layout.cluster_lines)
+query("e4_gap_to_next", "text_items", with_views("SELECT * FROM gaps", "text_items", more=_GAPS))(lambda d: layout.gap_to_next(layout.cluster_lines(d)))
+query("e9_paragraph_break", "text_items", with_views("SELECT * FROM paras", "text_items", more=_PARAS))(lambda d: layout.paragraph_break(layout.gap_to_next(layout.cluster_lines(d))))
+query("h5_render_markdown", "text_items", with_views(_RENDER, "text_items", more=_RENDERED))(lambda d: layout.render_markdown(layout.cluster_lines(d), layout.body_size(d)))
+_COLUMNS = "SELECT doc_id, page_no, begins, row_number() OVER w AS column_no, lead(begins) OVER w AS ends FROM (SELECT DISTINCT doc_id, page_no, 0.0::DOUBLE AS begins FROM text_items UNION ALL SELECT doc_id, page_no, (x + before) / 2 FROM (SELECT *, lag(x) OVER (PARTITION BY doc_id, page_no ORDER BY x) before FROM (SELECT DISTINCT doc_id, page_no, x FROM text_items)) JOIN (SELECT doc_id, page_no, list_sort(list(font_size))[len(list(font_size)) // 2 + 1] AS size FROM text_items GROUP BY ALL) USING (doc_id, page_no) WHERE x - before > 2 * size) WINDOW w AS (PARTITION BY doc_id, page_no ORDER BY begins)"
+query("e11_column_breaks", "text_items", _COLUMNS, "text_items")(layout.column_breaks)
+_CELLS = "SELECT doc_id, page_no, line_no AS row_no, row_number() OVER (PARTITION BY doc_id, page_no, line_no ORDER BY x, item_y DESC, item_no) AS cell_no, x, item_no, str FROM fold"
+query("h7_cluster_rows", "text_items", with_views(_CELLS, "text_items", more=_FOLD))(layout.cluster_rows)
+query("h8_table_cells", "text_items", with_views("SELECT doc_id, page_no, row_no, column_no, trim(string_agg(str, ' ' ORDER BY cell_no)) AS value FROM cells JOIN columns USING (doc_id, page_no) WHERE (x >= begins OR column_no = 1) AND (ends IS NULL OR x < ends) GROUP BY ALL", "text_items", more=f"{_FOLD}, cells AS ({_CELLS}), columns AS ({_COLUMNS.replace('text_items', 'items')})"))(layout.table_cells)
 _KIND = "CASE WHEN regexp_replace(line, '\\s+', '', 'g') = '' THEN 'blank' WHEN regexp_matches(line, '^\\s*(?:-{3,}|\\*{3,}|_{3,})\\s*$') THEN 'rule' WHEN regexp_matches(line, '^#{1,4} +') THEN 'heading' WHEN regexp_matches(line, '^[-*+] +') THEN 'bullet' WHEN regexp_matches(line, '^[0-9]{1,3}[.)] +') THEN 'ordered' ELSE 'text' END"
 _BLOCKS = f"k AS (SELECT *, {_KIND} AS kind FROM md_lines), i AS (SELECT *, sum(CASE WHEN kind = 'text' AND p = 'text' THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line_no) island FROM (SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY line_no) p FROM k)), b AS (SELECT doc_id, island, any_value(kind) AS kind, string_agg(trim(line), ' ' ORDER BY line_no) AS text FROM i WHERE kind <> 'blank' GROUP BY doc_id, island), c AS (SELECT *, sum(CASE WHEN kind = 'ordered' THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY island) cut FROM b)"
 query("h3_parse_blocks", "md_lines", with_views("SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY island) AS block_no, kind, CASE WHEN kind = 'heading' THEN CAST(length(regexp_extract(text, '^(#+)', 1)) AS INT) END AS level, CASE WHEN kind = 'ordered' THEN count(*) FILTER (WHERE kind = 'ordered') OVER (PARTITION BY doc_id, cut ORDER BY island) END AS item_index, CASE kind WHEN 'heading' THEN regexp_replace(text, '^#{1,4} +', '') WHEN 'bullet' THEN regexp_replace(text, '^[-*+] +', '') WHEN 'ordered' THEN regexp_replace(text, '^[0-9]{1,3}[.)] +', '') WHEN 'rule' THEN '' ELSE text END AS text FROM c", "md_lines").replace(") SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY island) AS block_no", f"), {_BLOCKS} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY island) AS block_no"))(layout.parse_blocks)
 query("e14_list_groups", "md_lines", f"SELECT doc_id, kind, count(*) AS items, min(line_no) AS first_line FROM (SELECT *, sum(CASE WHEN kind = p THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line_no) run FROM (SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY line_no) p FROM (SELECT *, {_KIND} AS kind FROM md_lines))) WHERE kind IN ('bullet', 'ordered') GROUP BY doc_id, run, kind", "md_lines")(layout.list_groups)
 query("e7_ordered_index", "md_lines", f"SELECT doc_id, line_no, row_number() OVER (PARTITION BY doc_id, cut ORDER BY line_no) AS item_index FROM (SELECT *, sum(CASE WHEN kind = 'ordered' THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS cut FROM (SELECT *, {_KIND} AS kind FROM md_lines) WHERE kind <> 'blank') WHERE kind = 'ordered'", "md_lines")(layout.ordered_index)
 query("e8_paragraph_islands", "md_lines", f"SELECT doc_id, min(line_no) AS first_line, count(*) AS n_lines, string_agg(trim(line), ' ' ORDER BY line_no) AS text FROM (SELECT *, sum(CASE WHEN kind = 'text' AND p = 'text' THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS island FROM (SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY line_no) AS p FROM (SELECT *, {_KIND} AS kind FROM md_lines))) WHERE kind = 'text' GROUP BY doc_id, island", "md_lines")(layout.paragraph_islands)
-query("h2_parse_inline", "md_lines")(lambda d: d.select("doc_id", "line_no", F.posexplode(layout.parse_inline(F.col("line"))).alias("run_no", "r")).select("doc_id", "line_no", "run_no", "r.*"))
+_INLINE = layout.INLINE.replace("'", "''")
+_RUNS = f"""SELECT doc_id, line_no, CAST(row_number() OVER (PARTITION BY doc_id, line_no ORDER BY k) - 1 AS INT) AS run_no, text, style FROM (SELECT doc_id, line_no, 2 * j AS k, text, 'plain' AS style FROM md_lines, unnest(regexp_split_to_array(line, '{_INLINE}')) WITH ORDINALITY u(text, j)
+ UNION ALL SELECT doc_id, line_no, 2 * j + 1, trim(m, '*`'), CASE WHEN m LIKE '***%' THEN 'bold-italic' WHEN m LIKE '**%' THEN 'bold' WHEN m LIKE '*%' THEN 'italic' ELSE 'code' END FROM md_lines, unnest(regexp_extract_all(line, '{_INLINE}')) WITH ORDINALITY v(m, j)) WHERE text <> ''"""
+query("h2_parse_inline", "md_lines", _RUNS, "md_lines")(lambda d: d.select("doc_id", "line_no", F.posexplode(layout.parse_inline(F.col("line"))).alias("run_no", "r")).select("doc_id", "line_no", "run_no", "r.*"))
 query("h18_wrap_lines", "md_lines")(lambda d: layout.wrap_lines(layout.parse_blocks(d)))
 query("h17_image_page_size", "page_boxes", "SELECT doc_id, page_no, media_w * (842 / greatest(media_w, media_h)) AS w, media_h * (842 / greatest(media_w, media_h)) AS h FROM page_boxes", "page_boxes")(lambda d: d.select("doc_id", "page_no", (F.col("media_w") * (F.lit(842) / F.greatest("media_w", "media_h"))).alias("w"), (F.col("media_h") * (F.lit(842) / F.greatest("media_w", "media_h"))).alias("h")))
 query("h19_clip_cell", "part", "SELECT p_partkey, substring(p_name, 1, greatest(1, p_size % 9)) AS clipped FROM part")(lambda d: d.select("p_partkey", C.clip_cell(F.col("p_name"), F.col("p_size") % 9).alias("clipped")))
@@ -187,8 +210,10 @@ query("d3_doctor_summary", "pages", f"SELECT page_id, least(figures, 100000) AS
 query("d12_action_count", "pages", "SELECT page_id, CAST(len(regexp_extract_all(html, 'href=')) + len(regexp_extract_all(html, 'src=')) AS BIGINT) AS actions FROM pages")(lambda d: d.select("page_id", C.action_count(F.create_map(*[x for a in ("href", "src") for x in (F.lit(a), F.regexp_extract_all("html", F.lit(a + "="), F.lit(0)))])).alias("actions")))
 query("d20_warnings", "pages", f"SELECT page_id, array_to_string(list_filter([CASE WHEN missing > 0 THEN 'figures without text' END, CASE WHEN NOT has_lang THEN 'no language' END, CASE WHEN NOT has_title THEN 'no title' END], lambda x: x IS NOT NULL), ',') AS warnings FROM ({_FIG})")(web.warnings)
 query("k8_audit_pages", "pages", "SELECT * FROM (" + " UNION ALL ".join(f"SELECT page_id, '{t}' AS rule, CAST(len(regexp_extract_all(html, '(?i)<{t}\\b')) AS BIGINT) AS n FROM pages" for t in ("title", "body", "html", "main")) + ") WHERE n <> 1")(web.audit_pages)
-query("h11_extract_jsonld", "pages")(lambda d: web.extract_jsonld(d.withColumn("html", F.concat("html", F.lit('<script type="application/ld+json">'), F.when(F.col("page_id") % 3 == 0, "{broken").otherwise('{"@type":"WebPage"}'), F.lit("</script>")))))
-query("h21_build_jsonld", "part")(lambda d: web.build_jsonld(d.select(F.lower("p_name").alias("slug"), F.col("p_name").alias("name")), "https://example.org"))
+_LD = """SELECT page_id, CAST(j - 1 AS INT) AS block_no, json_valid(json) AS valid, CASE WHEN json_valid(json) THEN json_extract_string(json, '$."@type"') END AS type FROM (SELECT page_id, html || '<script type="application/ld+json">' || CASE WHEN page_id % 3 = 0 THEN '{broken' ELSE '{"@type":"WebPage"}' END || '</script>' AS html FROM pages), unnest(regexp_extract_all(html, '(?is)<script type="application/ld\\+json">(.*?)</script>', 1)) WITH ORDINALITY u(json, j)"""
+query("h11_extract_jsonld", "pages", _LD)(lambda d: web.extract_jsonld(d.withColumn("html", F.concat("html", F.lit('<script type="application/ld+json">'), F.when(F.col("page_id") % 3 == 0, "{broken").otherwise('{"@type":"WebPage"}'), F.lit("</script>")))))
+_GRAPH = """SELECT slug, '{"@context":"https://schema.org","@graph":[{"@type":"SoftwareApplication","name":' || to_json(name) || ',"url":"' || url || '"},{"@type":"BreadcrumbList","itemListElement":[{"@type":"ListItem","position":1,"name":"Home","item":"https://example.org"},{"@type":"ListItem","position":2,"name":' || to_json(name) || ',"item":"' || url || '"}]}]}' AS jsonld FROM (SELECT lower(p_name) AS slug, p_name AS name, 'https://example.org/' || lower(p_name) AS url FROM part)"""
+query("h21_build_jsonld", "part", _GRAPH)(lambda d: web.build_jsonld(d.select(F.lower("p_name").alias("slug"), F.col("p_name").alias("name")), "https://example.org"))
 query("a5_read_url_list", "pages", "SELECT url FROM pages WHERE url LIKE 'https://%'")(lambda d: web.read_url_list(d.select(F.concat(F.lit("<url><loc>"), F.col("url"), F.lit("</loc></url>")).alias("text"))))
 query("g4_duplicate_urls", "pages", "SELECT url, count(*) AS n FROM (SELECT regexp_extract(url, '^[a-z]+://[^/]+') AS url FROM pages) GROUP BY url HAVING count(*) > 1")(lambda d: web.duplicate_urls(d.select(F.regexp_extract("url", "^([a-z]+://[^/]+)", 1).alias("url"))))
 query("k13_set_block", "pages", "SELECT page_id, page_id % 2 = 0 AS matched, CASE WHEN page_id % 2 = 0 THEN concat('<head>', chr(10), '<!-- images -->', chr(10), html) ELSE html END AS html FROM pages")(lambda d: web.set_block(d.withColumn("html", F.when(F.col("page_id") % 2 == 0, F.concat(F.lit('<head>\n<meta property="og:image" content="a">\n <meta property="og:image:width" content="b">\n'), F.col("html"))).otherwise(F.col("html"))), "<!-- images -->\n").select("page_id", "matched", "html"))
@@ -216,6 +241,15 @@ def _a3(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
 ORACLE["a3_read_text_docs"] = "SELECT text || chr(10) AS text FROM benchmark"
 
 
+@_written("a8_write_text_docs")
+def _a8(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    sources.write_text_docs(view(spark, sf_dir, "documents").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"), "text"), folder)
+    return sources.read_written_docs(spark, folder)
+
+
+ORACLE["a8_write_text_docs"] = "SELECT 'doc' || doc_id || '.md' AS name, coalesce(text, '') AS text FROM documents"
+
+
 @_written("a1_scan_files")
 def _a1(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
     view(spark, sf_dir, "benchmark").select(F.concat(F.lit("%PDF-1.7 "), F.coalesce("text", F.lit(""))).alias("value")).repartition(4).write.text(folder)
@@ -239,7 +273,11 @@ query("a2_check_magic", "documents", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN
 
 # --- queues and streams
 
-query("i1_queue_state", "queue_events")(queues.queue_state)
+_MOVED = "CASE op || ':' || state " + " ".join(f"WHEN '{op}:{a}' THEN '{b}'" for op, m in queues.MOVES.items() for a, b in m.items()) + " END"
+_STATES = f"""e AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY workflow_id, item_id ORDER BY seq) AS i FROM queue_events),
+ s AS (SELECT DISTINCT workflow_id, item_id, CAST(0 AS BIGINT) AS i, '' AS state, CAST(0 AS BIGINT) AS moves FROM e
+ UNION ALL SELECT workflow_id, item_id, i, coalesce(moved, state), moves + CASE WHEN moved IS NULL THEN 0 ELSE 1 END FROM (SELECT e.workflow_id, e.item_id, e.i, state, moves, {_MOVED} AS moved FROM s JOIN e ON e.workflow_id = s.workflow_id AND e.item_id = s.item_id AND e.i = s.i + 1))"""
+query("i1_queue_state", "queue_events", with_views("SELECT workflow_id, item_id, arg_max(state, i) AS state, max(moves) AS moves FROM s GROUP BY ALL", "queue_events", more=_STATES))(queues.queue_state)
 query("i2_expire_state", "files", f"SELECT file_id, coalesce(expires_at, updated_at + INTERVAL 1 DAY) > {NOW} AS alive FROM files", "files")(lambda d: queues.expire_state(d, F.expr(NOW)).select("file_id", "alive"))
 query("i3_drop_stale", "events", "SELECT event_id, user_id FROM (SELECT *, max(g) OVER (PARTITION BY user_id ORDER BY event_id) m FROM (SELECT event_id, user_id, event_id % 17 AS g FROM events)) WHERE g = m")(lambda d: queues.drop_stale(d.select("user_id", F.col("event_id").alias("seq"), (F.col("event_id") % 17).alias("g")), "user_id", "g").select(F.col("seq").alias("event_id"), "user_id"))
 query("i4_reserve_quota", "files", "WITH RECURSIVE files AS (SELECT o_custkey workflow_id, o_orderkey file_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) seq, CAST(floor(o_totalprice * 1000) AS BIGINT) size FROM orders), r AS (SELECT workflow_id, CAST(0 AS BIGINT) AS seq, 0 AS n, CAST(0 AS BIGINT) AS bytes, CAST(NULL AS BIGINT) AS file_id FROM files WHERE seq = 1 UNION ALL SELECT f.workflow_id, f.seq, r.n + CASE WHEN r.n < 5 AND r.bytes + f.size <= 400000000 THEN 1 ELSE 0 END, r.bytes + CASE WHEN r.n < 5 AND r.bytes + f.size <= 400000000 THEN f.size ELSE 0 END, CASE WHEN r.n < 5 AND r.bytes + f.size <= 400000000 THEN f.file_id END FROM r JOIN files f ON f.workflow_id = r.workflow_id AND f.seq = r.seq + 1) SELECT workflow_id, file_id FROM r WHERE file_id IS NOT NULL")(lambda d: queues.reserve_quota(d, 5, 400_000_000))
@@ -273,7 +311,14 @@ ORACLE["i8_idempotent_sink"] = "SELECT o_orderkey, o_orderstatus FROM orders"
 query("j2_run_recipe", "doc_pages", "SELECT doc_id, src_index, row_number() OVER (PARTITION BY doc_id ORDER BY page_no DESC) AS page_no, row_number() OVER (PARTITION BY doc_id ORDER BY page_no DESC) + 2 AS number, count(*) OVER (PARTITION BY doc_id) + 2 AS total FROM doc_pages", "doc_pages")(lambda d: recipes.run_recipe(d.select("doc_id", "page_no", "src_index"), ["organize-pages-v1", "page-numbers-v1"], {"page-numbers-v1": {"start": 3}}))
 query("k4_loss_manifest", "documents", "SELECT doc_id, s.* FROM documents, (VALUES (0, 'organize-pages-v1', 'changes the reading order'), (1, 'page-numbers-v1', 'adds numbers to every page')) s(step_no, step, loss)")(lambda d: recipes.loss_manifest(d.select("doc_id"), ["organize-pages-v1", "page-numbers-v1"]))
 query("k3_clean_and_verify", "documents", "SELECT doc_id, CAST(NULL AS VARCHAR) AS lang, CAST(NULL AS VARCHAR) AS source, true AS ok FROM documents")(lambda d: recipes.clean_and_verify(d, ["lang", "source"]).select("doc_id", "lang", "source", "ok"))
-query("k6_normalize", "documents")(recipes.normalize)
+_SPACES = "[" + recipes.SPACES + "]"
+query("k6_normalize", "documents", rf"SELECT doc_id, normal, trim(regexp_replace(text, '[\s{recipes.SPACES}]+', ' ', 'g')) = trim(regexp_replace(normal, '[\s{recipes.SPACES}]+', ' ', 'g')) AS accepted FROM (SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '{_SPACES}', ' ', 'g'), '(?m)[ \t]+$', '', 'g') AS normal FROM documents)")(recipes.normalize)
+_STEP = "CASE event_id % 4 WHEN 0 THEN 'page-numbers-v1' WHEN 1 THEN 'organize-pages-v1' WHEN 2 THEN 'metadata-cleanup-v1' ELSE 'other-v1' END"
+query("j1_registered_steps", "events", f"SELECT event_id, step, step <> 'other-v1' AS known, CASE step WHEN 'page-numbers-v1' THEN 'adds numbers to every page' WHEN 'organize-pages-v1' THEN 'changes the reading order' WHEN 'metadata-cleanup-v1' THEN 'clears standard fields only' END AS loss FROM (SELECT event_id, {_STEP} AS step FROM events)")(lambda d: recipes.describe_steps(d.select("event_id", F.expr(_STEP).alias("step"))))
+_ASKED = "CASE event_id % 4 WHEN 0 THEN map('start', CAST(user_id * event_id % 150 * 1000 - 2000 AS STRING)) WHEN 1 THEN map('order', event_type) WHEN 2 THEN map('start', '1') END"
+query("k1_check_params", "events", f"""SELECT event_id, step, CASE WHEN step = 'other-v1' THEN 'unknown step' WHEN step = 'metadata-cleanup-v1' THEN 'unknown parameter' WHEN step = 'organize-pages-v1' AND given <> 'reverse' AND given <> 'keep' THEN 'invalid order' WHEN step = 'page-numbers-v1' AND CAST(given AS BIGINT) NOT BETWEEN 1 AND 100000 THEN 'invalid start' END AS problem,
+ CASE WHEN step = 'organize-pages-v1' THEN given END AS "order", CASE WHEN step IN ('page-numbers-v1', 'metadata-cleanup-v1') THEN given END AS start
+ FROM (SELECT event_id, {_STEP} AS step, CASE event_id % 4 WHEN 0 THEN CAST(user_id * event_id % 150 * 1000 - 2000 AS VARCHAR) WHEN 1 THEN CASE event_type WHEN 'view' THEN 'keep' WHEN 'error' THEN 'reverse' ELSE coalesce(event_type, 'reverse') END WHEN 2 THEN '1' END AS given FROM events)""")(lambda d: recipes.check_params(d.replace({"view": "keep", "error": "reverse"}, subset=["event_type"]).select("event_id", F.expr(_STEP).alias("step"), F.expr(_ASKED).alias("params"))).select("event_id", "step", "problem", F.try_element_at("params", F.lit("order")).alias("order"), F.try_element_at("params", F.lit("start")).alias("start")))
 query("k16_stamp_ttl", "files", f"SELECT file_id, updated_at AS created_at, {NOW} AS updated_at, coalesce(expires_at, {NOW} + INTERVAL 1 DAY) AS expires_at FROM files", "files")(lambda d: workflows.stamp_ttl(d.withColumn("created_at", F.col("updated_at")), F.expr(NOW)).select("file_id", "created_at", "updated_at", "expires_at"))
 query("j6_merge_v1", "conversations", "SELECT conv_id, turn AS page_no, input_no, row_number() OVER (PARTITION BY conv_id ORDER BY input_no, turn) AS new_page FROM (SELECT *, max(input_no) OVER (PARTITION BY conv_id) > min(input_no) OVER (PARTITION BY conv_id) AS several FROM (SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN 1 ELSE 0 END AS input_no FROM conversations)) WHERE several")(lambda d: recipes.merge_v1([d.where(r).select("conv_id", F.col("turn").alias("page_no")) for r in ("coalesce(role <> 'assistant', true)", "role = 'assistant'")], "conv_id"))
 
@@ -292,7 +337,7 @@ def _sql(name: str, text: str, needs: str, sql: str | None = None, *views: str)
         ORACLE[name] = with_views(sql, *views)
 
 
-_sql("j3_blocks", "SELECT doc_id, b.* FROM md_docs, LATERAL blocks(text) b", "md_docs")
+_sql("j3_blocks", "SELECT doc_id, b.* FROM md_docs, LATERAL blocks(text) b", "md_docs", ORACLE["h3_parse_blocks"])
 _sql("j4_html_markdown", "SELECT page_id, html_markdown(html) AS markdown FROM pages", "pages")
 _sql("j5_size_estimate", "SELECT doc_id, CAST(floor(size_estimate(page_no, CAST(length(text) AS DOUBLE)) + 0.5) AS BIGINT) AS estimate FROM doc_pages GROUP BY doc_id", "doc_pages", "SELECT doc_id, CAST(floor(CASE WHEN max(n) <= 5 THEN sum(size) ELSE sum(size) FILTER (WHERE page_no = 1) + avg(size) FILTER (WHERE page_no > 1) * (max(n) - 1) END + 300 * max(n) + 1000 + 0.5) AS BIGINT) AS estimate FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) n FROM (SELECT doc_id, page_no, CAST(length(text) AS BIGINT) AS size FROM doc_pages)) WHERE n <= 5 OR page_no IN (1, 1 + floor((n-1)/4.0 + 0.5), 1 + floor(2*(n-1)/4.0 + 0.5), 1 + floor(3*(n-1)/4.0 + 0.5), n) GROUP BY doc_id", "doc_pages")
 query("c12_fill_form", "part", "SELECT p_partkey AS name, CASE p_size % 4 WHEN 0 THEN 'text' WHEN 1 THEN 'dropdown' WHEN 2 THEN 'radio' ELSE 'signature' END AS kind, CASE WHEN p_size % 4 = 3 THEN 'unknown kind' WHEN p_partkey % 5 = 0 THEN 'empty' WHEN p_size % 4 = 0 OR p_brand IN ('Brand#1', 'Brand#2') THEN 'filled' ELSE 'rejected' END AS state, CASE WHEN p_size % 4 <> 3 AND p_partkey % 5 <> 0 AND (p_size % 4 = 0 OR p_brand IN ('Brand#1', 'Brand#2')) THEN p_brand END AS filled FROM part")(lambda d: workflows.fill_form(d.select(F.col("p_partkey").alias("name"), F.expr("CASE p_size % 4 WHEN 0 THEN 'text' WHEN 1 THEN 'dropdown' WHEN 2 THEN 'radio' ELSE 'signature' END").alias("kind"), F.array(F.lit("Brand#1"), F.lit("Brand#2")).alias("options")), d.where("p_partkey % 5 <> 0").select(F.col("p_partkey").alias("name"), F.col("p_brand").alias("value"))))

@@ -105,11 +105,32 @@ def column_breaks(items: DataFrame) -> DataFrame:
     return edges.withColumn("column_no", F.row_number().over(Window.partitionBy(*PAGE).orderBy("begins")).cast("long")).withColumn("ends", F.lead("begins").over(Window.partitionBy(*PAGE).orderBy("begins")))
 
 
+def cluster_rows(items: DataFrame) -> DataFrame:
+    """Each item with its row and its place in it: rows as in cluster_lines, cells of a row by x.
+
+    The same fold over the items of one page; only the row's first y and largest size are carried."""
+    item = F.struct((-F.col("y")).alias("ny"), "x", "item_no", "str", "font_size")
+    pages = items.where("trim(str) <> ''").groupBy(*PAGE).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    start = F.from_json(F.lit('{"row":-1,"cells":[]}'), "struct<row:bigint,y:double,size:double,cells:array<struct<row_no:bigint,x:double,ny:double,item_no:bigint,str:string>>>")
+
+    def add(acc: Column, it: Column) -> Column:
+        y, size = -it["ny"], F.greatest(acc["size"], it["font_size"])
+        joins = (acc["row"] >= 0) & (F.abs(y - acc["y"]) <= 0.4 * size)
+        row = F.when(joins, acc["row"]).otherwise(acc["row"] + 1)
+        cell = F.struct(row.alias("row_no"), it["x"].alias("x"), it["ny"].alias("ny"), it["item_no"].cast("long").alias("item_no"), it["str"].alias("str"))
+        return F.struct(row.alias("row"), F.when(joins, acc["y"]).otherwise(y).alias("y"), F.when(joins, size).otherwise(it["font_size"]).alias("size"), F.array_append(acc["cells"], cell).alias("cells"))
+
+    cells = pages.select(*PAGE, F.explode(F.aggregate("items", start, add)["cells"]).alias("c")).select(*PAGE, "c.*")
+    place = F.row_number().over(Window.partitionBy(*PAGE, "row_no").orderBy("x", "ny", "item_no")).cast("long")
+    return cells.select(*PAGE, "row_no", place.alias("cell_no"), "x", "item_no", "str")
+
+
 def table_cells(items: DataFrame) -> DataFrame:
-    """Cells of each page: rows by their y, columns by the gaps; the texts of a cell joined by a space."""
-    at = items.where("trim(str) <> ''").join(column_breaks(items), PAGE).where("x >= begins and (ends is null or x < ends)")
-    at = at.withColumn("row_no", F.dense_rank().over(Window.partitionBy(*PAGE).orderBy(F.floor(-F.col("y") / 12))).cast("long"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "item_no", "str"))), lambda s: s["str"]), " ")
+    """Cells of each page: its rows, cut at the column breaks; the texts of a cell joined by a space. What is left of
+    the first column belongs to it; cells without text give no row."""
+    filled = items.where("trim(str) <> ''")
+    at = cluster_rows(filled).join(column_breaks(filled), PAGE).where("(x >= begins or column_no = 1) and (ends is null or x < ends)")
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cell_no", "str"))), lambda s: s["str"]), " ")
     return at.groupBy(*PAGE, "row_no", "column_no").agg(F.trim(text).alias("value"))
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docspark.operators import pages, scans
@@ -53,6 +54,38 @@ def validate_params(step: Step, values: dict[str, Any]) -> dict[str, Any]:
     return full
 
 
+def _of_steps(value: Callable[[Step], Any]) -> Column:
+    """A literal map over the registered steps, which are few."""
+    return F.create_map(*[x for i, step in STEPS.items() for x in (F.lit(i), F.lit(value(step)))])
+
+
+def describe_steps(requests: DataFrame) -> DataFrame:
+    """requests (with a column step) with known, and what the registered step loses; null for an unknown one."""
+    loss = F.try_element_at(_of_steps(lambda s: s.loss), F.col("step"))
+    return requests.withColumn("known", F.coalesce(F.col("step").isin(list(STEPS)), F.lit(False))).withColumn("loss", loss)
+
+
+def check_params(requests: DataFrame) -> DataFrame:
+    """requests (step, params: a map of texts) with problem, the first rule a row breaks (null: none), and the
+    params filled up with the step's defaults. The twin of validate_params for tables of parameters."""
+    problem = F.when(~F.coalesce(F.col("step").isin(list(STEPS)), F.lit(False)), "unknown step")
+    full = F.coalesce("params", F.create_map().cast("map<string,string>"))
+    for id_, step in STEPS.items():
+        here = F.col("step") == id_
+        known = F.array(*[F.lit(n) for n in step.rules]).cast("array<string>")
+        problem = problem.when(here & (F.size(F.array_except(F.map_keys(full), known)) > 0), "unknown parameter")
+        for name, rule in step.rules.items():
+            given = F.try_element_at(full, F.lit(name))
+            number = {"string": F.length(given), "integer": F.when(given.rlike(r"^-?[0-9]+\z"), given.try_cast("long")), "number": given.try_cast("double")}[rule["type"]]
+            ok = number.isNotNull() & (number >= rule.get("least", number)) & (number <= rule.get("most", number)) & (given.isin(rule["enum"]) if "enum" in rule else F.lit(True))
+            if rule.get("required"):
+                problem = problem.when(here & given.isNull() & F.lit(name not in step.defaults), f"missing {name}")
+            problem = problem.when(here & given.isNotNull() & ~F.coalesce(ok, F.lit(False)), f"invalid {name}")
+    defaults = F.coalesce(*[F.when(F.col("step") == i, F.create_map(*[F.lit(str(x)) for kv in s.defaults.items() for x in kv]).cast("map<string,string>")) for i, s in STEPS.items()], F.create_map().cast("map<string,string>"))
+    missing = F.map_filter(defaults, lambda k, v: ~F.map_contains_key(full, k))
+    return requests.withColumn("problem", problem).withColumn("params", F.map_concat(full, missing))
+
+
 def run_recipe(df: DataFrame, recipe: list[str], params: dict[str, dict[str, Any]] | None = None) -> DataFrame:
     """The steps in order, each fed the last one's output; one plan, run when the result is."""
     for id_ in recipe:
@@ -81,30 +114,43 @@ def clean_and_verify(docs: DataFrame, fields: list[str]) -> DataFrame:
     return both.withColumn("ok", (F.col("left") == 0) & F.xxhash64("text").eqNullSafe(F.col("was"))).drop("left", "was")
 
 
+#: spaces of Unicode that become plain ones (fixed values)
+SPACES = "\u00a0\u2000-\u200a"
+
+
 def normalize(docs: DataFrame) -> DataFrame:
     """Canonical text (line ends, trailing blanks, Unicode spaces) with accepted: the same words remain."""
-    flat = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", "\r\n?", "\n"), "[  - ]", " "), r"(?m)[ \t]+$", "")
-    words = lambda c: F.regexp_replace(c, r"[\s  - ]+", " ")
+    flat = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", "\r\n?", "\n"), f"[{SPACES}]", " "), r"(?m)[ \t]+$", "")
+    words = lambda c: F.regexp_replace(c, rf"[\s{SPACES}]+", " ")
     return docs.withColumn("normal", flat).withColumn("accepted", F.trim(words(F.col("text"))) == F.trim(words(F.col("normal")))).select("doc_id", "normal", "accepted")
 
 
+#: kind: pattern of a line (fixed values), tried in this order
+LINES = {"blank": r"\s*\Z", "rule": r"\s*(?:-{3,}|\*{3,}|_{3,})\s*\Z", "heading": "#{1,4} +", "bullet": "[-*+] +", "ordered": r"[0-9]{1,3}[.)] +"}
+
+
 class Blocks:
-    """Markdown blocks of a text, for SQL: SELECT ... FROM documents, LATERAL blocks(text)."""
+    """Markdown blocks of a text as layout.parse_blocks gives them, for SQL: SELECT ... FROM documents, LATERAL blocks(text)."""
 
     def eval(self, text: str):  # noqa: ANN201
-        number, paragraph = 0, []
-        for line in [*(text or "").replace("\r\n", "\n").split("\n"), ""]:
-            bare = line.strip()
-            kind = "blank" if not bare else "rule" if set(bare) in ({"-"}, {"*"}, {"_"}) and len(bare) >= 3 else "heading" if line.split(" ")[0] in ("#", "##", "###", "####") else "bullet" if line[:2] in ("- ", "* ", "+ ") else "text"
-            if kind != "text" and paragraph:
-                number += 1
-                yield number, "paragraph", " ".join(paragraph)
-                paragraph = []
+        if text is None:
+            return
+        number = item = 0
+        paragraph: list[str] = []
+        for line in [*text.split("\n"), ""]:
+            kind = next((k for k, p in LINES.items() if re.match(p, line, re.ASCII)), "text")
+            bare = line.strip(" ")
             if kind == "text":
                 paragraph.append(bare)
-            elif kind != "blank":
-                number += 1
-                yield number, kind, "" if kind == "rule" else line.split(" ", 1)[1].strip()
+                continue
+            if paragraph:
+                number, item = number + 1, 0
+                yield number, "text", None, None, " ".join(paragraph)
+                paragraph = []
+            if kind != "blank":
+                number, item = number + 1, item + 1 if kind == "ordered" else 0
+                inner = "" if kind == "rule" else re.sub("^" + LINES[kind], "", bare)
+                yield number, kind, len(bare) - len(bare.lstrip("#")) if kind == "heading" else None, item or None, inner
 
 
 def register_sql(spark) -> None:  # noqa: ANN001
@@ -115,7 +161,7 @@ def register_sql(spark) -> None:  # noqa: ANN001
         return html.map(markdown_of)
 
     spark.udf.register("html_markdown", F.pandas_udf(html_markdown, "string"))
-    spark.udtf.register("blocks", F.udtf(Blocks, returnType="block_no int, kind string, text string"))
+    spark.udtf.register("blocks", F.udtf(Blocks, returnType="block_no long, kind string, level int, item_index long, text string"))
 
     def size_estimate(page: pd.Series, size: pd.Series) -> float:
         by = dict(zip(page, size, strict=True))

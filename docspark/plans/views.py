@@ -53,8 +53,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
-def with_views(body: str, *names: str) -> str:
-    """ANSI SQL of a query whose views become common table expressions."""
+def with_views(body: str, *names: str, more: str = "") -> str:
+    """ANSI SQL of a query whose views become common table expressions; more: further ones, which may be recursive."""
     order: list[str] = []
 
     def add(n: str) -> None:
@@ -65,5 +65,5 @@ def with_views(body: str, *names: str) -> str:
 
     for n in names:
         add(n)
-    ctes = ", ".join(f"{n} AS ({VIEWS[n][2]})" for n in order)
-    return f"WITH {ctes} {body}" if ctes else body
+    ctes = ", ".join([*[f"{n} AS ({VIEWS[n][2]})" for n in order], *([more] if more else [])])
+    return f"WITH {'RECURSIVE ' if more else ''}{ctes} {body}" if ctes else body

@@ -48,6 +48,14 @@ def read_dictionary(json: DataFrame) -> DataFrame:
     return maps.select(F.explode("m").alias("locale", "entries")).select("locale", F.explode("entries").alias("key", "value"))
 
 
-def write_text_docs(docs: DataFrame, path: str) -> None:
-    """One folder a document (name=...), with its text; each document is one row, whatever lines it has."""
-    docs.select("name", "text").write.partitionBy("name").option("lineSep", "\n").text(path)
+def write_text_docs(docs: DataFrame, path: str, extension: str = "md") -> None:
+    """One output for each document: a folder name=<name>.<extension> with its text as one row, whatever lines it has.
+    A document without a name is called document."""
+    base = F.coalesce(F.nullif(F.col("name"), F.lit("")), F.lit("document"))
+    docs.select(F.concat(base, F.lit("." + extension)).alias("name"), F.coalesce("text", F.lit("")).alias("text")).write.partitionBy("name").option("lineSep", "\n").text(path)
+
+
+def read_written_docs(spark: SparkSession, path: str) -> DataFrame:
+    """name and text of what write_text_docs wrote, without the line end it puts behind each text."""
+    docs = spark.read.schema("value string, name string").text(path, wholetext=True)
+    return docs.select("name", F.regexp_replace("value", r"\n\z", "").alias("text"))

@@ -117,3 +117,75 @@ def test_everything_but_llm_imports_without_it():
 
     code = "import sys; sys.modules['docspark.llm'] = None; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; q = e.queries(); assert q and not [k for k in q if k.startswith('op') or k == 'pipeline']"
     subprocess.run([sys.executable, "-c", code], check=True)
+
+
+def plain_wrap(text, width):
+    """Greedy wrap, one word at a time."""
+    lines = [""]
+    for word in text.split(" "):
+        if not word:
+            continue
+        if lines[-1] and len(lines[-1]) + 1 + len(word) > width:
+            lines.append(word)
+        else:
+            lines[-1] = f"{lines[-1]} {word}".strip(" ")
+    return lines
+
+
+def test_wrapped_lines_equal_the_plain_wrap(spark, sf):
+    blocks = layout.parse_blocks(view(spark, sf, "md_lines"))
+    got = {}
+    for r in layout.wrap_lines(blocks).orderBy("wrapped_no").collect():
+        got.setdefault((r["doc_id"], r["block_no"]), []).append(r["text"])
+    assert got == {(r["doc_id"], r["block_no"]): plain_wrap(r["text"], 60) for r in blocks.collect()}
+
+
+def test_strict_parse_equals_another_parser(spark):
+    from xml.etree import ElementTree
+
+    pages = ["<a><b>x</b></a>", "<a><b>x</a>", "", None, "<html lang=\"en\"><title>t</title><br/></html>", "<p>&nbsp;</p>", "<a x=1></a>", "<a/><b/>"]
+    d = spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")
+
+    def strict(html):
+        try:
+            ElementTree.fromstring(html or "")
+        except ElementTree.ParseError:
+            return False
+        return True
+
+    assert {r["page_id"]: r["strict"] for r in web.html_diagnose(d).collect()} == {i: strict(h) for i, h in enumerate(pages)}
+
+
+def test_html_function_for_sql_equals_the_operator(spark, sf):
+    recipes.register_sql(spark)
+    d = view(spark, sf, "pages")
+    got = spark.sql("SELECT page_id, html_markdown(html) AS markdown FROM pages")
+    assert got.exceptAll(web.html_to_markdown(d)).isEmpty() and web.html_to_markdown(d).exceptAll(got).isEmpty()
+
+
+def test_blocks_of_nothing_and_of_lists(spark):
+    recipes.register_sql(spark)
+    spark.createDataFrame([(1, None), (2, ""), (3, "1. a\n\n2) b\nplain\n3. c"), (4, "***\n# h #\n- \n* x")], "doc_id long, t string").createOrReplaceTempView("t")
+    got = [tuple(r) for r in spark.sql("SELECT doc_id, b.kind, b.item_index, b.text FROM t, LATERAL blocks(t) b ORDER BY doc_id, block_no").collect()]
+    assert got == [(3, "ordered", 1, "a"), (3, "ordered", 2, "b"), (3, "text", None, "plain"), (3, "ordered", 1, "c"), (4, "rule", None, ""), (4, "heading", None, "h #"), (4, "bullet", None, "-"), (4, "bullet", None, "x")]
+
+
+def test_rows_of_a_page_keep_cells_by_x(spark):
+    d = spark.createDataFrame([(1, 1, 1, "b", 50.0, 700.0, 5.0, 10.0), (1, 1, 2, "a", 5.0, 697.0, 5.0, 10.0), (1, 1, 3, "c", 5.0, 690.0, 5.0, 12.0), (1, 1, 4, " ", 1.0, 690.0, 5.0, 12.0)], "doc_id long, page_no long, item_no long, str string, x double, y double, width double, font_size double")
+    assert [(r["row_no"], r["cell_no"], r["str"]) for r in layout.cluster_rows(d).orderBy("row_no", "cell_no").collect()] == [(0, 1, "a"), (0, 2, "b"), (1, 1, "c")]
+    assert [(r["row_no"], r["column_no"], r["value"]) for r in layout.table_cells(d).orderBy("row_no", "column_no").collect()] == [(0, 1, "a"), (0, 2, "b"), (1, 1, "c")]
+    assert layout.cluster_rows(d.limit(0)).isEmpty() and layout.table_cells(d.limit(0)).isEmpty()
+
+
+def test_parameter_tables(spark):
+    rows = [("page-numbers-v1", None), ("page-numbers-v1", {"start": "0"}), ("page-numbers-v1", {"start": "x"}), ("page-numbers-v1", {"to": "1"}), ("organize-pages-v1", {"order": "keep"}), ("organize-pages-v1", {"order": "up"}), ("none", {}), (None, None)]
+    got = recipes.check_params(spark.createDataFrame(rows, "step string, params map<string,string>")).collect()
+    assert [r["problem"] for r in got] == [None, "invalid start", "invalid start", "unknown parameter", None, "invalid order", "unknown step", "unknown step"]
+    assert got[0]["params"] == {"start": "1"} and got[7]["params"] == {}
+
+
+def test_written_documents_come_back(spark):
+    folder = new_folder(spark, "texts")
+    d = spark.createDataFrame([("a", "x\n\ny\n"), ("b", None), ("c", "é")], "name string, text string")
+    files.write_text_docs(d, folder, "txt")
+    assert sorted(tuple(r) for r in files.read_written_docs(spark, folder).collect()) == [("a.txt", "x\n\ny\n"), ("b.txt", ""), ("c.txt", "é")]
