@@ -15,19 +15,36 @@ SENSITIVE = [
 MATCH_LENGTH = 120
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """array of (offset, match): offsets are the lengths of what stands before."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    place = lambda i: F.aggregate(F.slice(gaps, F.lit(1), i + 1), F.lit(0), lambda a, x: a + x) + F.aggregate(F.slice(found, F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x))
-    return F.when(F.size(found) > 0, F.transform(found, lambda m, i: F.struct(place(i).alias("offset"), m.alias("match")))).otherwise(F.array().cast("array<struct<offset:int,match:string>>"))
+#: category: what a text without can hold no finding of (fixed values)
+NEEDS = {"email": "@", "us-ssn": "-"}
+
+
+def placed(found: Column, gaps: Column) -> Column:
+    """array of (offset, match) of the matches found; gaps is the text split at them. One fold, so neither is computed again."""
+    start = F.struct(F.lit(0).alias("at"), F.from_json(F.lit("[]"), "array<struct<offset:int,match:string>>").alias("out"))
+
+    def add(acc: Column, x: Column) -> Column:
+        begin = acc["at"] + F.length(x["gap"])
+        more = F.array_append(acc["out"], F.struct(begin.alias("offset"), x["match"].alias("match")))
+        return F.when(x["match"].isNull(), acc).otherwise(F.struct((begin + F.length(x["match"])).alias("at"), more.alias("out")))
+
+    return F.aggregate(F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("gap"), m.alias("match"))), start, add)["out"]
 
 
 def scan_sensitive(docs: DataFrame, patterns: list[tuple[str, str, str]] = SENSITIVE) -> DataFrame:
-    """doc_id, rank, category, confidence, offset, match: one row a finding; categories may overlap."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    scanned = docs.select("doc_id", F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(c).alias("category"), F.lit(conf).alias("confidence"), matches(text, p).alias("m")) for i, (c, conf, p) in enumerate(patterns)]).alias("all"))
-    rows = scanned.select("doc_id", F.explode("all").alias("k")).where(F.size("k.m") > 0).select("doc_id", "k.rank", "k.category", "k.confidence", F.explode("k.m").alias("f"))
+    """doc_id, rank, category, confidence, offset, match: one row a finding; categories may overlap.
+
+    Only texts that have a finding of a category are split at its pattern, which tells the offsets."""
+    none = F.from_json(F.lit("[]"), "array<string>")
+
+    def found(category: str, pattern: str) -> Column:
+        every = F.regexp_extract_all("t", F.lit(pattern), F.lit(0))
+        return F.when(F.contains("t", F.lit(NEEDS[category])), every).otherwise(none) if category in NEEDS else every
+
+    kinds = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(c).alias("category"), F.lit(conf).alias("confidence"), found(c, p).alias("m")) for i, (c, conf, p) in enumerate(patterns)])
+    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("t")).select("doc_id", "t", F.explode(kinds).alias("k")).where(F.size("k.m") > 0)
+    gaps = F.coalesce(*[F.when(F.col("k.rank") == i, F.split("t", p, -1)) for i, (_, _, p) in enumerate(patterns)])
+    rows = rows.select("doc_id", "k.rank", "k.category", "k.confidence", F.explode(placed(F.col("k.m"), gaps)).alias("f"))
     return rows.select("doc_id", "rank", "category", "confidence", F.col("f.offset").cast("long").alias("offset"), F.substring("f.match", 1, MATCH_LENGTH).alias("match"))
 
 
