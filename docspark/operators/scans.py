@@ -77,7 +77,9 @@ def clean_metadata(df: DataFrame, fields: list[str]) -> DataFrame:
 
 def banned_phrases(docs: DataFrame, phrases: DataFrame) -> DataFrame:
     """(doc_id, phrase) for each forbidden phrase in a text. phrases is a stated list: a single column, joined as it is small by contract."""
-    return docs.join(F.broadcast(phrases), F.contains(F.lower("text"), F.lower("phrase"))).select("doc_id", "phrase")
+    low = docs.select("doc_id", F.lower("text").alias("low"))  # once a text, not once a phrase
+    wanted = phrases.select("phrase", F.lower("phrase").alias("low_phrase"))
+    return low.join(F.broadcast(wanted), F.contains("low", "low_phrase")).select("doc_id", "phrase")
 
 
 def leak_check(rows: DataFrame, needles: DataFrame) -> DataFrame:
