@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "benchmark", "labels", "conversations"]
 
-_ITEMS = """SELECT doc_id, page_no, k*20 + w AS item_no, str, CAST(64 + 60*w AS DOUBLE) x,
- CAST(720 - 30*k - CASE WHEN k >= 5 THEN 30 ELSE 0 END + w % 2 AS DOUBLE) y, CAST(6*length(str) AS DOUBLE) width,
+# A line of more than 20 words takes as many visual rows as it needs; the rows of a page are numbered in reading order, blank lines included.
+_ITEMS = """SELECT doc_id, page_no, CAST(r*20 + w % 20 AS BIGINT) AS item_no, str, CAST(64 + 60*(w % 20) AS DOUBLE) x,
+ CAST(720 - 30*r - CASE WHEN k >= 5 THEN 30 ELSE 0 END + w % 2 AS DOUBLE) y, CAST(6*length(str) AS DOUBLE) width,
  CAST(CASE (doc_id + 3*page_no + k) % 17 WHEN 0 THEN 20 WHEN 1 THEN 17 WHEN 2 THEN 14 WHEN 3 THEN 12.5 ELSE 11 END AS DOUBLE) font_size,
  CASE WHEN (doc_id + k) % 5 = 0 THEN 'Helvetica-Bold' WHEN (doc_id + k) % 7 = 0 THEN 'Helvetica-Oblique' ELSE 'Helvetica' END font_family
-FROM (SELECT doc_id, CAST(floor(line_no/10)+1 AS BIGINT) page_no, line_no % 10 AS k, w, str FROM words WHERE w < 20 AND str <> '') t"""
+FROM (SELECT *, dense_rank() OVER (PARTITION BY doc_id, page_no ORDER BY k, v) - 1 AS r FROM
+ (SELECT doc_id, CAST(floor(line_no/10)+1 AS BIGINT) page_no, line_no % 10 AS k, w, CAST(floor(w/20) AS BIGINT) v, str FROM words) a) t WHERE str <> ''"""
 _BOXES = """SELECT doc_id, page_no, CAST(0 AS DOUBLE) media_x, CAST(0 AS DOUBLE) media_y, CAST(CASE WHEN doc_id % 29 = 0 THEN 0 ELSE 612 END AS DOUBLE) media_w, CAST(792 AS DOUBLE) media_h,
  CAST(CASE WHEN doc_id % 31 = 0 THEN -5 ELSE 0 END AS DOUBLE) crop_x, CAST(0 AS DOUBLE) crop_y, CAST(612 AS DOUBLE) crop_w, CAST(CASE WHEN doc_id % 37 = 0 THEN 900 ELSE 792 END AS DOUBLE) crop_h,
  CAST(90 * ((doc_id + page_no) % 4) AS INT) rotation FROM doc_pages"""
