@@ -1,29 +1,32 @@
 """Private data: pattern spans, and terms that give protected entities away. DataFrame functions only.
 
 Base spans are e-mail addresses, IPv4 addresses, payment cards and phone numbers (leftmost, not overlapping within
-a kind). Each distinct value is a protected entity. The terms (runs of three letters or more) within REACH code points
-of a span are its context. Over the whole corpus, with p(e) the share of documents that hold entity e, p(t) the
-share that hold term t and p(e, t) the share where t stands in a context of e:
+a kind). Each distinct value is a protected entity. The terms (runs of three letters or more outside of spans) of a
+document that holds an entity are its context. Over the whole corpus, with p(e) the share of documents that hold entity
+e, n(t) the documents that hold term t and n(e, t) those that hold both:
 
-    information IC(e) = -log2 p(e),   disclosure PMI(e; t) = log2 p(e, t) / (p(e) p(t))
+    information IC(e) = -log2 p(e),   disclosure PMI(e; t) = log2 ((n(e, t) + PRIOR p(e)) / (n(t) + PRIOR) / p(e))
 
-A term seen with e in at least SUPPORT different texts discloses it if PMI >= IC / ALPHA, that is, if knowing t leaves
-little of what e tells. It is removed where PMI = IC (t occurs with e only), else generalised, in the contexts of e.
+that is, p(e | t) with PRIOR documents added in which t tells nothing. No pair is left out for its count: chance meetings
+are held down by the prior, most where e itself tells little. A term discloses e if PMI >= IC / ALPHA, that is, if
+knowing t leaves little of what e tells. It is removed where n(e, t) = n(t) (t occurs with e only), else generalised,
+wherever it stands in the documents that hold e.
 
 Offsets are code points, from the lengths between and of the matches. The patterns use possessive repeats and
 start only where a run starts (or the last match ended), so that no text makes them go back; they match what
 the plain patterns match.
 
-Contexts and counts grow with the input in proportion (a span has at most 2 * REACH / 4 terms), counts are
-pre-aggregated before they are shuffled, and nothing is broadcast by hand.
+A term with n(t) > (n(e) + PRIOR p(e)) / 2^(-IC (1 - 1 / ALPHA)) - PRIOR cannot disclose e and is paired with it nowhere.
+All entities that occur in one and the same document only have equal counts with every term; one stands for them, so
+that pairs grow with the input. Counts are pre-aggregated before they are shuffled, and nothing is broadcast by hand.
 
 Defined cases: a null text is an empty one (no spans); equal spans of different kinds all stay; repeated rows are
-each scanned and count as documents, but not as support; other columns pass through untouched.
+each scanned and count as documents; other columns pass through untouched.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docspark.llm.common import kept
@@ -37,8 +40,7 @@ PATTERNS = {
 }
 MARKS = {"email": "@", "ip": ".", "phone": "+"}  # a text without it has no such span
 TERM = r"\p{L}{3,}"
-REACH = 48
-SUPPORT = 3
+PRIOR = 1.0
 ALPHA = 1.1
 _SPAN = "array<struct<start:int,rank:int,end:int,kind:string,value:string>>"
 
@@ -95,69 +97,69 @@ def with_spans(docs: DataFrame, text: str = "text", to: str = "__spans") -> Data
     return df.select(*[F.col(f"`{c}`") for c in names], F.array_sort(F.concat(*parts)).alias(to))
 
 
-def _with_contexts(df: DataFrame, text: str) -> DataFrame:
-    """Adds __near: for each span its entity and the pieces of text on either side, which hold no part of a span."""
-    spans, t = F.col("__spans"), F.coalesce(F.col(text).cast("string"), F.lit(""))
-    empty = F.struct(F.lit(0).alias("end"), F.from_json(F.lit("[]"), "array<struct<entity:string,lo:int,start:int,end:int>>").alias("out"))
+def _masked(text: Column) -> Column:
+    """The text with a space for each code point of a span, so that all offsets stay."""
+    start = F.struct(F.lit(0).alias("at"), F.from_json(F.lit("[]"), "array<string>").alias("out"))
 
     def add(acc: Column, s: Column) -> Column:
-        return F.struct(
-            F.greatest(acc["end"], s["end"]).alias("end"),
-            F.array_append(acc["out"], F.struct(F.concat(s["kind"], F.lit(":"), F.lower(s["value"])).alias("entity"), F.greatest(s["start"] - REACH, acc["end"], F.lit(0)).alias("lo"), s["start"].alias("start"), F.greatest(acc["end"], s["end"]).alias("end"))).alias("out"),
-        )
+        between = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        blank = F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(acc["at"], s["start"]), F.lit(0)))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.array_append(acc["out"], F.concat(between, blank)).alias("out"))
 
-    ordered = F.aggregate(spans, empty, add)["out"]
-    df = df.withColumn("__o", F.when(F.size(spans) > 0, ordered))
-
-    def sides(s: Column, i: Column) -> Column:
-        ahead = F.coalesce(F.try_element_at(F.col("__o"), i + 2)["start"], F.length(t))
-        hi = F.least(s["end"] + REACH, ahead)
-        return F.struct(s["entity"].alias("entity"), s["lo"].alias("lo"), F.substring(t, s["lo"] + 1, F.greatest(s["start"] - s["lo"], F.lit(0))).alias("left"), s["end"].alias("from"), F.substring(t, s["end"] + 1, F.greatest(hi - s["end"], F.lit(0))).alias("right"))
-
-    return df.withColumn("__near", F.transform("__o", sides)).drop("__o")
-
-
-def _terms(found: DataFrame) -> DataFrame:
-    """__row, __hash, entity, term, start, end: each whole word in a context of an entity."""
-    near = found.where("__near is not null").select("__row", "__hash", F.explode("__near").alias("n"))
-    side = F.explode(F.array(F.struct(F.col("n.lo").alias("at"), F.col("n.left").alias("s"), F.lit(True).alias("left")), F.struct(F.col("n.from").alias("at"), F.col("n.right").alias("s"), F.lit(False).alias("left"))))
-    cut = near.select("__row", "__hash", "n.entity", side.alias("x")).select("__row", "__hash", "entity", "x.at", "x.s", "x.left")
-    cut = cut.withColumn("m", F.regexp_extract_all("s", F.lit(TERM), F.lit(0))).where(F.size("m") > 0)
-    words = cut.select("__row", "__hash", "entity", "at", "left", F.length("s").alias("n"), F.explode(_placed(F.col("s"), F.col("m"), F.lit(TERM))).alias("w"))
-    # a word at the outer edge may be the rest of a longer one
-    inner = F.when(F.col("left"), F.col("w.start") > 0).otherwise(F.col("w.end") < F.col("n"))
-    return words.where(inner).select("__row", "__hash", "entity", F.lower("w.value").alias("term"), (F.col("at") + F.col("w.start")).alias("start"), (F.col("at") + F.col("w.end")).alias("end"))
-
-
-def _disclosing(terms: DataFrame, texts: DataFrame, support: int, alpha: float) -> DataFrame:
-    """entity, term, removed."""
-    pairs = terms.groupBy("entity", "term", "__row").agg(F.first("__hash").alias("h"))
-    pairs = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_te"), F.countDistinct("h").alias("support"))
-    pairs = pairs.where(F.col("support") >= support).select("entity", "term", "n_te")
-    entities = terms.groupBy("entity", "__row").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count("*").alias("n_e"))
-    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(F.col("t"), F.lit(""))), F.lit(TERM), F.lit(0)))
-    often = texts.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
-    total = texts.agg(F.count("*").alias("n"))
-    known = pairs.join(entities, "entity").join(often, "term").crossJoin(total)  # total is one row
-    n = F.col("n").cast("double")
-    ic, pmi = F.log2(n / F.col("n_e")), F.log2(n * F.col("n_te") / (F.col("n_t") * F.col("n_e").cast("double")))
-    return known.where(pmi >= ic / alpha).select("entity", "term", (F.col("n_te") >= F.col("n_t")).alias("removed"))
+    done = F.aggregate("__spans", start, add)
+    return F.concat(F.array_join(done["out"], ""), F.substring(text, done["at"] + 1, F.length(text)))
 
 
-def find_private(docs: DataFrame, text: str = "text", support: int = SUPPORT, alpha: float = ALPHA, carry: bool = False) -> DataFrame:
+def _words(text: Column) -> Column:
+    return F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower)
+
+
+def _disclosing(held: DataFrame, texts: DataFrame, alpha: float) -> DataFrame:
+    """__row, term, removed: the terms of each row that give away an entity of it. held: __row, __entities, __masked."""
+    often = texts.select(F.explode(F.array_distinct(_words(F.coalesce("t", F.lit(""))))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    total = texts.agg(F.count("*").alias("n"))
+    pairs = held.select("__row", F.explode("__entities").alias("entity"))
+    entities = pairs.groupBy("entity").agg(F.count("*").alias("n_e")).crossJoin(total)  # total is one row
+    p = F.col("n_e") / F.col("n").cast("double")
+    entities = entities.withColumn("p", p).withColumn("least", F.pow("p", F.lit(1 - 1 / alpha)))  # of p(e | t)
+    entities = entities.withColumn("most", (F.col("n_e") + PRIOR * F.col("p")) / F.col("least") - PRIOR)  # of n_t
+    alone = F.when(F.col("n_e") > 1, F.col("entity"))
+    own = pairs.join(entities, "entity").groupBy("__row", alone.alias("alone")).agg(F.min_by(F.struct("entity", "n_e", "p", "least", "most"), "entity").alias("e")).select("__row", "e.*")
+    own = kept(own, "entities")
+    terms = held.select("__row", F.explode(F.array_distinct(_words(F.col("__masked")))).alias("term"))
+    bound = own.agg(F.max("most").alias("bound"))  # one row
+    rare = often.crossJoin(bound).where("n_t <= bound").select("term", "n_t")
+    near = kept(terms.join(rare, "term").join(own, "__row").where("n_t <= most").select("__row", "term", "n_t", "entity", "p", "least"), "pairs")
+    counts = near.groupBy("entity", "term").agg(F.count("*").alias("n_te"), F.first("n_t").alias("n_t"), F.first("p").alias("p"), F.first("least").alias("least"))
+    reveal = counts.where((F.col("n_te") + PRIOR * F.col("p")) / (F.col("n_t") + PRIOR) >= F.col("least")).select("entity", "term", (F.col("n_te") >= F.col("n_t")).alias("removed"))
+    return near.join(reveal, ["entity", "term"]).groupBy("__row", "term").agg(F.max("removed").alias("removed"))
+
+
+def _standing(held: DataFrame, hits: DataFrame) -> DataFrame:
+    """__row, __terms: where the terms of hits stand in their rows."""
+    hits = hits.groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("term", "removed"))).alias("hits"))
+    words = F.regexp_extract_all("__masked", F.lit(TERM), F.lit(0))
+    gaps = F.transform(F.slice(F.split("__masked", F.lit(TERM), -1), F.lit(1), F.size(words)), F.length)
+    each = held.join(hits, "__row").select("__row", F.posexplode(F.zip_with(gaps, words, lambda g, w: F.struct(g.alias("g"), F.length(w).alias("l"), F.try_element_at("hits", F.lower(w)).alias("removed")))).alias("i", "x")).select("__row", "i", "x.*")
+    end = F.sum(F.col("g") + F.col("l")).over(Window.partitionBy("__row").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    found = each.withColumn("end", end).where("removed is not null")
+    kind = F.when(F.col("removed"), F.lit("term_removed")).otherwise(F.lit("term_general"))
+    term = F.struct((F.col("end") - F.col("l")).alias("start"), F.lit(len(KINDS)).alias("rank"), "end", kind.alias("kind"))
+    return found.groupBy("__row").agg(F.array_sort(F.collect_list(term)).alias("__terms"))
+
+
+def find_private(docs: DataFrame, text: str = "text", alpha: float = ALPHA, carry: bool = False) -> DataFrame:
     """Columns of docs (with carry; else doc_id alone), __spans (base) and __terms: array of (start, rank, end, kind)."""
     scanned = with_spans(docs, text).withColumn("__row", F.monotonically_increasing_id())
-    scanned = _with_contexts(scanned, text).withColumn("__hash", F.xxhash64(F.col(text).cast("string")))
+    scanned = scanned.withColumn("__masked", F.when(F.size("__spans") > 0, _masked(F.col(f"`{text}`").cast("string"))))
     names = docs.columns if carry else ["doc_id"]
-    found = kept(scanned.select(*[F.col(f"`{c}`") for c in names], "__spans", "__row", "__near", "__hash"), "spans")
-    terms = _terms(found)
-    reveal = _disclosing(terms, docs.select(F.col(text).cast("string").alias("t")), support, alpha)
-    kind = F.when(F.max("removed"), F.lit("term_removed")).otherwise("term_general")
-    hit = terms.join(reveal, ["entity", "term"]).groupBy("__row", "start", "end").agg(kind.alias("kind"))
-    hit = hit.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("rank"), "end", "kind"))).alias("__terms"))
+    found = kept(scanned.select(*[F.col(f"`{c}`") for c in names], "__spans", "__row", "__masked"), "spans")
+    entity = lambda s: F.concat(s["kind"], F.lit(":"), F.lower(s["value"]))
+    held = found.where("size(__spans) > 0").select("__row", F.array_distinct(F.transform("__spans", entity)).alias("__entities"), "__masked")
+    hit = _standing(held, _disclosing(held, docs.select(F.col(f"`{text}`").cast("string").alias("t")), alpha))
     empty = F.from_json(F.lit("[]"), "array<struct<start:int,rank:int,end:int,kind:string>>")
-    plain = found.where("size(__spans) = 0").drop("__near", "__hash", "__row").withColumn("__terms", empty)
-    rest = found.where("size(__spans) > 0").drop("__near", "__hash").join(hit, "__row", "left").drop("__row")
+    plain = found.where("size(__spans) = 0").drop("__masked", "__row").withColumn("__terms", empty)
+    rest = found.where("size(__spans) > 0").drop("__masked").join(hit, "__row", "left").drop("__row")
     return plain.unionByName(rest.withColumn("__terms", F.coalesce("__terms", empty)))
 
 

@@ -1,5 +1,6 @@
 """What must not be left out of a job: each test counts from the raw tables, not from a view that could share a cut."""
 
+from docspark.llm import private
 from docspark.plans.views import view
 
 
@@ -14,3 +15,13 @@ def test_every_word_is_an_item(spark, sf):
         places.add((r["doc_id"], r["page_no"], r["item_no"]))
     assert got == {k: v for k, v in want.items() if v}
     assert len(places) == sum(map(len, got.values()))
+
+
+def test_terms_of_a_value_in_one_text_are_found_wherever_they_stand(spark):
+    rare = "Quillfeather grows here. " + "plain words again " * 20 + "write to a@b.org now. " + "plain words again " * 20 + "so says quillfeather."
+    texts = [rare] + [f"plain words again write to now says here grows {i}" for i in range(4000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = {r["doc_id"]: (r["spans"], r["n_terms"]) for r in private.private_spans(df).collect()}
+    m, z = rare.index("a@b"), rare.index("quill")
+    assert rows.pop(0) == (f"term_removed:0:12,email:{m}:{m + 7},term_removed:{z}:{z + 12}", 2)
+    assert set(rows.values()) == {("", 0)}
