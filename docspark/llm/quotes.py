@@ -3,10 +3,11 @@
 A line's quote level is the number of ``>`` before its text (spaces between are allowed). A passage is a run of lines
 of one level; its normalised form (lower case, white space runs to one space, trimmed) is hashed. Lines of level 0 are a
 message's own words; the passage of all of a message's own lines, and each of its paragraphs (runs of lines between
-blank ones), can be quoted. A quoted passage of level 1 links to the first earlier message of its conversation
-that wrote it; deeper levels only tell what was already quoted and are dropped with the rest.
+blank ones), can be quoted. A quoted passage of any level links to the first earlier message of its conversation
+that wrote it.
 
-A message answers the latest message that it quotes, or nobody. ``thread`` is the first message reached by answers,
+A message answers the latest message found at the least level that links, or nobody: where what it answers is gone or
+was edited, what that had quoted still places it. ``thread`` is the first message reached by answers,
 ``depth`` the answers up to it; (thread, depth, turn) is an order in which every answer comes after
 what it answers. Chains are followed by doubling: each round joins the answers to themselves, so a chain of n
 messages takes log2 n rounds on tables in the shared folder. One conversation may hold any share of all rows: joins go
@@ -55,12 +56,14 @@ def passages(df: DataFrame) -> DataFrame:
 
 
 def linked_messages(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role, reply_to, thread, depth, n_quotes (linked quoted passages), own_text."""
+    """conv_id, turn, role, reply_to, thread, depth, n_quotes (linked passages of level 1), n_nested (of deeper ones), own_text."""
     df = kept(parsed(messages), "messages")
     found = passages(df).where("conv_id is not null and turn is not null").select("conv_id", "turn", "level", F.xxhash64("passage").alias("h"), F.md5("passage").alias("m"))
     found = kept(found.distinct(), "passages")
     first = found.where("level = 0").groupBy("conv_id", "h", "m").agg(F.min("turn").alias("wrote"))
-    links = found.where("level = 1").join(first, ["conv_id", "h", "m"]).where("wrote < turn").groupBy("conv_id", "turn").agg(F.max("wrote").alias("reply_to"), F.count("*").alias("n_quotes"))
+    links = found.where("level > 0").join(first, ["conv_id", "h", "m"]).where("wrote < turn").groupBy("conv_id", "turn", "level").agg(F.max("wrote").alias("wrote"), F.count("*").alias("n"))
+    direct = F.col("level") == 1
+    links = links.groupBy("conv_id", "turn").agg(F.min_by("wrote", "level").alias("reply_to"), F.sum(F.when(direct, F.col("n")).otherwise(0)).alias("n_quotes"), F.sum(F.when(direct, 0).otherwise(F.col("n"))).alias("n_nested"))
     links = kept(links, "replies")
     up = links.select("conv_id", "turn", F.col("reply_to").alias("top"), F.lit(1).cast("long").alias("depth"))
     while True:  # after k rounds top is 2^k answers up, or the end of the chain
@@ -70,13 +73,16 @@ def linked_messages(messages: DataFrame) -> DataFrame:
             break
         up = step.select("conv_id", "turn", F.coalesce("next", "top").alias("top"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
     out = df.join(links, ["conv_id", "turn"], "left").join(up, ["conv_id", "turn"], "left")
-    return out.select("conv_id", "turn", "role", "reply_to", F.coalesce("top", "turn").alias("thread"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"), F.coalesce("n_quotes", F.lit(0)).cast("long").alias("n_quotes"), F.col("own").alias("own_text"))
+    return out.select("conv_id", "turn", "role", "reply_to", F.coalesce("top", "turn").alias("thread"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"), F.coalesce("n_quotes", F.lit(0)).cast("long").alias("n_quotes"), F.coalesce("n_nested", F.lit(0)).cast("long").alias("n_nested"), F.col("own").alias("own_text"))
 
 
 def as_mail(conversations: DataFrame) -> DataFrame:
-    """The conversations as mail: each message from the third on quotes the one before the last, which quotes the one two before it."""
-    c = conversations.where("conv_id is not null and turn is not null").groupBy("conv_id", "turn").agg(F.min("role").alias("role"), F.min(F.coalesce("text", F.lit(""))).alias("text"))
-    earlier = lambda k, name: c.select("conv_id", (F.col("turn") + k).alias("turn"), F.col("text").alias(name))
+    """The conversations as mail: each message from the third on quotes the one before the last, which quotes the one two before it.
+
+    Every row stays. Of rows with equal conv_id and turn the least (role, text) is the one that is quoted."""
+    c = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
+    said = c.where("conv_id is not null and turn is not null").groupBy("conv_id", "turn").agg(F.min(F.struct("role", "text")).alias("m"))
+    earlier = lambda k, name: said.select("conv_id", (F.col("turn") + k).alias("turn"), F.col("m.text").alias(name))
     quoted = lambda col, mark: F.concat(F.lit(mark), F.replace(F.col(col), F.lit("\n"), F.lit("\n" + mark)), F.lit("\n"))
     both = c.join(earlier(2, "a"), ["conv_id", "turn"], "left").join(earlier(4, "b"), ["conv_id", "turn"], "left")
     head = F.concat(F.when(F.col("b").isNotNull(), quoted("b", ">> ")).otherwise(""), F.when(F.col("a").isNotNull(), quoted("a", "> ")).otherwise(""))
