@@ -1,6 +1,6 @@
-"""What the training-data operators share: reading tables, shared tables that cut lineage, text batches.
+"""What the training-data operators share: reading tables, shared tables that cut lineage, text batches, rolling hashes.
 
-Nothing here keeps state between calls. ``kept`` writes a table into the folder the cluster names in
+``kept`` writes a table into the folder the cluster names in
 ``spark.checkpoint.dir`` (all executors see it), so a lost executor costs no recomputation of what
 came before and no stage is run twice.
 """
@@ -9,12 +9,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docspark.plans.shared import new_folder
 
+_U = np.uint64
+BASE = _U(0x9E3779B97F4A7C15)  # odd, so that it has an inverse modulo 2^64
+INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -33,11 +38,53 @@ def text_rows(batch: pa.RecordBatch, name: str = "text") -> Iterator[bytes | Non
         yield value.as_py()
 
 
+def text_bytes(name: str = "text") -> Column:
+    return F.col(f"`{name}`").cast("string").cast("binary")
+
+
+def text_hash(name: str = "text") -> Column:
+    """With doc_id it tells rows apart whose doc_id is null or stands in several rows; equal in rows that are equal."""
+    return F.xxhash64(text_bytes(name))
+
+
 def documents_of(docs: DataFrame) -> DataFrame:
     """Only doc_id and the text's UTF-8 bytes, so that the scan prunes the rest."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("text"))
+
+
+def keyed_documents_of(docs: DataFrame) -> DataFrame:
+    """doc_id, the text's UTF-8 bytes, and text_hash."""
+    return documents_of(docs).withColumn("text_hash", F.xxhash64("text"))
+
 
+def rows_of(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """docs semi- or anti-joined with found (doc_id, text_hash). The caller's columns travel in one struct, so no name can clash."""
+    whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"))
+    other = found.select(F.col("doc_id").alias("other_id"), F.col("text_hash").alias("other_hash"))
+    return whole.join(other, F.col("doc_id").eqNullSafe(F.col("other_id")) & (F.col("text_hash") == F.col("other_hash")), how).select("row.*")
 
-def is_held_out() -> F.Column:
+
+def is_held_out() -> Column:
     """crc32 of the decimal doc_id modulo 3 is 1. A null doc_id counts as held out: nothing is learned from it."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(True))
+
+
+# --- rolling hashes -----------------------------------------------------------------------------
+
+_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n (or more) powers of BASE, and of its inverse, modulo 2^64."""
+    size = 1 << max(16, n.bit_length())
+    if size not in _tables:
+        both = np.full(size, BASE, dtype=_U), np.full(size, INVERSE, dtype=_U)
+        for p in both:
+            p[0] = 1
+        _tables[size] = np.multiply.accumulate(both[0]), np.multiply.accumulate(both[1])
+    return _tables[size]
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> _U(31))) * _U(0xBF58476D1CE4E5B9)
+    return h ^ (h >> _U(29))

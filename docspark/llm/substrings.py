@@ -5,9 +5,8 @@ sorted one bucket at a time, and only those of a cover that equal strings share:
 
 * Cover. In every window of LENGTH bytes one place is its anchor: the start of the k-gram with the least hash
   (leftmost of equals). The choice depends on the window's bytes alone, so equal windows have the same
-  anchor at the same offset: a difference cover whose period follows the content. It has about one place in 40
-  bytes; a difference cover of positions modulo v has one in 7 to 9 for the strings that matter here, which
-  no shuffle budget of a few times the input can carry.
+  anchor at the same offset: a difference cover whose period follows the content. It has one place in 35
+  bytes; a difference cover of positions modulo 73 (nine of them) has one in 8 and was measured to shuffle 3.7 times as much.
 * Buckets. Anchors meet by their k-gram. Each carries a precomputed rank for long ties: the hash of
   all bytes its windows span. Anchors of equal rank are equal over all of it: all but the first are repeats,
   whatever the group's size, in one streaming pass over the sorted bucket.
@@ -16,13 +15,13 @@ sorted one bucket at a time, and only those of a cover that equal strings share:
   of all texts sends one row a batch to its bucket.
 * What remains are first anchors of different ranks in one bucket (the ends of repeated passages). Their
   bytes are fetched, and the windows compared: each bucket is streamed in order of place, and a window is a
-  repeat if it was met before. A bucket that holds over one in SHARE of them, or over LARGE (the end of a
-  passage that much of the corpus shares), is dealt over salts; each salt gives the first place of every window it met, and these meet by window.
+  repeat if it was met before. A bucket that holds over LIMIT of them (the end of a passage that many
+  texts share) is dealt over salts; each salt gives the first place of every window it met, and these meet by window.
 
 A task holds one batch of anchors and, for the salted bucket it is in, one number for each distinct window met.
 
 Defined cases: a null text is an empty one (nothing to remove; the checksum is that of no bytes); rows with equal
-doc_id and text are one document and get equal results; texts under LENGTH bytes lose nothing; ties of places
+doc_id and text are one document and get equal results; rows with equal (or null) doc_id and other texts are documents of their own; texts under LENGTH bytes lose nothing; ties of places
 cannot be; other columns are ignored. Window hashes are 64 bits, and only windows with equal k-grams meet.
 """
 
@@ -36,44 +35,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspark.llm.common import kept, text_rows
+from docspark.llm.common import kept, keyed_documents_of, mixed, powers, text_rows
 
 LENGTH = 100
 GRAM = 24
-SHARE, LARGE = 2048, 1 << 18  # runs of one bucket that are compared in one place: one in SHARE of all, and LARGE, at most
-NARROW = 100_000  # rows of a table of buckets that is broadcast
+NO_ID = (1 << 63) - 1  # stands for a null doc_id
+KEY = ["doc_id", "text_hash"]  # of a text: its place in the order, too
+LIMIT = 256  # runs of one bucket that are compared in one place
 PIECE = 1 << 20  # windows looked at together: a longer text is read in such pieces
 _U = np.uint64
-_BASE = _U(0x9E3779B97F4A7C15)  # odd, so that it has an inverse modulo 2^64
-_INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _BYTE = np.random.default_rng(100).integers(1, 1 << 63, 256, dtype=np.uint64)
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=_U)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
 def _prefix(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Running sums of byte * base^i, and the inverse powers: the hash of [i, j) is (p[j] - p[i]) * inverse[i]."""
-    size = 1 << max(16, int(len(data)).bit_length())
-    if size not in _tables:
-        _tables[size] = _powers(_BASE, size), _powers(_INVERSE, size)
-    up, down = _tables[size]
+    up, down = powers(len(data))
     p = np.zeros(len(data) + 1, dtype=_U)
     np.cumsum(_BYTE[data] * up[: len(data)], out=p[1:])
     return p, down
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> _U(31))) * _U(0xBF58476D1CE4E5B9)
-    return h ^ (h >> _U(29))
-
-
 def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     """data: texts put together; ends: where each ends. For each run of windows with one anchor:
     k-gram hash, hash of the run's bytes and offsets, text number, first and last window, anchor place."""
@@ -83,7 +64,7 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
         return empty, empty, empty, empty, empty, empty
     p, down = _prefix(data)
     grams = len(data) - GRAM + 1
-    key = _mixed((p[GRAM:] - p[:grams]) * down[:grams])
+    key = mixed((p[GRAM:] - p[:grams]) * down[:grams])
     place = np.arange(grams, dtype=_U)
     ranked = (key & ~_U((1 << 24) - 1)) | place
     w = LENGTH - GRAM + 1
@@ -102,7 +83,7 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     last = np.minimum(np.r_[begins[1:], windows] - 1, ends[text[first]] - LENGTH)
     at = anchor[first]
     rank = (p[last + LENGTH] - p[first]) * down[first]
-    rank = _mixed(rank ^ _mixed((at - first).astype(_U) * _U(257) + (last - first).astype(_U)))
+    rank = mixed(rank ^ mixed((at - first).astype(_U) * _U(257) + (last - first).astype(_U)))
     return key[at].view(np.int64), rank.view(np.int64), text[first], first - starts[text[first]], last - starts[text[first]], at - starts[text[first]]
 
 
@@ -127,120 +108,118 @@ def _grouped(batch: pa.RecordBatch) -> Iterator[list[tuple[int, bytes, int]]]:
 
 
 def _sampled(texts: DataFrame) -> DataFrame:
-    """gram, rank, doc_id, first, span, known: for each run of windows with one anchor (span: last - first).
+    """gram, rank, doc_id, text_hash, first, span, known: for each run of windows with one anchor (span: last - first).
     known: an equal run with an earlier place was met in the same batch; gram then only deals the row out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0)
+            ids, hashes = b.column(0), b.column(2)
             for some in _grouped(b):
                 data = np.frombuffer(b"".join(x[1] for x in some), dtype=np.uint8)
                 gram, rank, text, first, last, _ = anchors(data, np.cumsum([len(x[1]) for x in some]))
                 row, shift = np.array([x[0] for x in some]), np.array([x[2] for x in some])
-                doc, place = ids.take(pa.array(row[text])).to_numpy(), first + shift[text]
-                order = np.lexsort((place, doc, rank, gram))
+                of = pa.array(row[text])
+                doc, own, place = ids.take(of).to_numpy(), hashes.take(of).to_numpy(), first + shift[text]
+                order = np.lexsort((place, own, doc, rank, gram))
                 same = np.r_[False, (gram[order][1:] == gram[order][:-1]) & (rank[order][1:] == rank[order][:-1])] if len(order) else np.zeros(0, dtype=bool)
                 head = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
                 known = np.zeros(len(order), dtype=bool)
-                known[order] = same & ((doc[order] != doc[head]) | (place[order] != place[head]))
-                gram = np.where(known, _mixed((doc * 31 + place).view(_U)).view(np.int64), gram)
-                yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(rank), pa.array(doc), pa.array(place), pa.array((last - first).astype(np.int32)), pa.array(known)], names=["gram", "rank", "doc_id", "first", "span", "known"])
+                known[order] = same & ((doc[order] != doc[head]) | (own[order] != own[head]) | (place[order] != place[head]))
+                gram = np.where(known, mixed((own * 31 + place).view(_U)).view(np.int64), gram)
+                yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(rank), pa.array(doc), pa.array(own), pa.array(place), pa.array((last - first).astype(np.int32)), pa.array(known)], names=["gram", "rank", "doc_id", "text_hash", "first", "span", "known"])
 
-    return texts.mapInArrow(run, "gram long, rank long, doc_id long, first long, span int, known boolean")
+    return texts.mapInArrow(run, "gram long, rank long, doc_id long, text_hash long, first long, span int, known boolean")
 
 
 def _sorted_out(rows: DataFrame) -> DataFrame:
-    """doc_id, first, span, unsure, gram: repeats (unsure is false, gram 0), and the first of its rank in a bucket of several ranks (true)."""
+    """doc_id, text_hash, first, span, unsure, gram: repeats (unsure is false, gram 0), and the first of its rank in a bucket of several ranks (true)."""
+    names = ["doc_id", "text_hash", "first", "span", "unsure", "gram"]
+
+    def told(doc: np.ndarray, own: np.ndarray, first: np.ndarray, span: np.ndarray, gram: np.ndarray | None = None) -> pa.RecordBatch:
+        n = len(doc)
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(own), pa.array(first), pa.array(span), pa.array(np.full(n, gram is not None)), pa.array(np.zeros(n, dtype=np.int64) if gram is None else gram)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lead: tuple | None = None  # gram, rank, doc_id, first, span, told: the first row of the rank that is being read
+        lead: tuple | None = None  # gram, rank, doc_id, text_hash, first, span, told: the first row of the rank that is being read
         for b in batches:
             if not b.num_rows:
                 continue
-            gram, rank, doc, first, span, known = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            gram, rank, doc, own, first, span, known = (c.to_numpy(zero_copy_only=False) for c in b.columns)
             if known.any():
-                yield pa.RecordBatch.from_arrays([pa.array(doc[known]), pa.array(first[known]), pa.array(span[known]), pa.array(np.zeros(known.sum(), dtype=bool)), pa.array(np.zeros(known.sum(), dtype=np.int64))], names=["doc_id", "first", "span", "unsure", "gram"])
-                gram, rank, doc, first, span = (c[~known] for c in (gram, rank, doc, first, span))
+                yield told(doc[known], own[known], first[known], span[known])
+                gram, rank, doc, own, first, span = (c[~known] for c in (gram, rank, doc, own, first, span))
                 if not len(gram):
                     continue
             fresh = np.r_[True, (gram[1:] != gram[:-1]) | (rank[1:] != rank[:-1])]
-            out = []
             if lead is not None and (lead[0], lead[1]) == (gram[0], rank[0]):
                 fresh[0] = False
             heads = np.flatnonzero(fresh)
             of = np.cumsum(fresh) - 1  # which head a row is under; -1: the one from before
-            head_doc = np.r_[doc[heads], lead[2] if lead else 0][of]
-            head_first = np.r_[first[heads], lead[3] if lead else 0][of]
-            repeat = (doc != head_doc) | (first != head_first)
-            out.append((doc[repeat], first[repeat], span[repeat], np.zeros(repeat.sum(), dtype=bool), np.zeros(repeat.sum(), dtype=np.int64)))
+            repeat = np.zeros(len(gram), dtype=bool)
+            for k, c in ((2, doc), (3, own), (4, first)):
+                repeat |= c != np.r_[c[heads], lead[k] if lead else 0][of]
+            yield told(doc[repeat], own[repeat], first[repeat], span[repeat])
             # heads that share their bucket with another head
-            g = np.r_[[lead[0]] if lead else [], gram[heads]].astype(np.int64)
+            g, d, o, f, s = (np.r_[np.array([lead[k]] if lead else [], dtype=c.dtype), c[heads]] for k, c in ((0, gram), (2, doc), (3, own), (4, first), (5, span)))
             same = g[1:] == g[:-1]
             several = np.r_[False, same] | np.r_[same, False]
-            d = np.r_[[lead[2]] if lead else [], doc[heads]].astype(np.int64)
-            f = np.r_[[lead[3]] if lead else [], first[heads]].astype(np.int64)
-            s = np.r_[[lead[4]] if lead else [], span[heads]].astype(np.int32)
-            told = np.zeros(len(g), dtype=bool)
+            tell = several.copy()
             if lead:
-                told[0] = lead[5]
-            tell = several & ~told
-            out.append((d[tell], f[tell], s[tell], np.ones(tell.sum(), dtype=bool), g[tell]))
+                tell[0] &= not lead[6]
+            yield told(d[tell], o[tell], f[tell], s[tell], g[tell])
             if len(heads):
                 h = heads[-1]
-                lead = (gram[h], rank[h], doc[h], first[h], span[h], bool(several[-1]))
+                lead = (gram[h], rank[h], doc[h], own[h], first[h], span[h], bool(several[-1]))
             elif lead:
-                lead = (*lead[:5], bool(lead[5] or several[-1]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["doc_id", "first", "span", "unsure", "gram"])
+                lead = (*lead[:6], bool(lead[6] or several[-1]))
 
-    bucket = rows.repartition("gram").sortWithinPartitions("gram", "rank", "doc_id", "first")
-    return bucket.mapInArrow(run, "doc_id long, first long, span int, unsure boolean, gram long")
+    bucket = rows.repartition("gram").sortWithinPartitions("gram", "rank", "doc_id", "text_hash", "first")
+    return bucket.mapInArrow(run, "doc_id long, text_hash long, first long, span int, unsure boolean, gram long")
 
 
-def _salted(unsure: DataFrame, share: int, large: int) -> DataFrame:
-    """unsure with salt: -1, or one of as many numbers as bring its bucket down to the bounds."""
-    limit = min(large, unsure.count() // share + 1)
+def _salted(unsure: DataFrame, limit: int) -> DataFrame:
+    """unsure with salt: -1, or one of as many numbers as bring its bucket down to the limit."""
     hot = kept(unsure.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > limit), "hot-buckets")
-    salt = F.pmod(F.xxhash64("doc_id", "first"), F.ceil(F.col("n") / limit)).cast("int")
-    few = hot.limit(NARROW + 1).count() <= NARROW
-    return unsure.join(F.broadcast(hot) if few else hot, "gram", "left").select("doc_id", "first", "span", "gram", F.coalesce(salt, F.lit(-1)).alias("salt"))
+    salt = F.pmod(F.xxhash64("text_hash", "first"), F.ceil(F.col("n") / limit)).cast("int")
+    return unsure.join(hot, "gram", "left").select(*KEY, "first", "span", "gram", F.coalesce(salt, F.lit(-1)).alias("salt"))
 
 
 def _fetched(texts: DataFrame, unsure: DataFrame) -> DataFrame:
-    """gram, salt, doc_id, first, data: the bytes that the windows of each unsure run span."""
+    """gram, salt, doc_id, text_hash, first, data: the bytes that the windows of each unsure run span."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
-            for i, raw, runs in zip(b.column(0).to_pylist(), text_rows(b), b.column(2).to_pylist(), strict=True):
-                out += [(r["gram"], r["salt"], i, r["first"], (raw or b"")[r["first"] : r["first"] + r["span"] + LENGTH]) for r in runs]
-            columns = list(zip(*out, strict=True)) if out else [[]] * 5
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["gram", "salt", "doc_id", "first", "data"])
+            for i, own, raw, runs in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), text_rows(b), b.column(3).to_pylist(), strict=True):
+                out += [(r["gram"], r["salt"], i, own, r["first"], (raw or b"")[r["first"] : r["first"] + r["span"] + LENGTH]) for r in runs]
+            columns = list(zip(*out, strict=True)) if out else [[]] * 6
+            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["gram", "salt", "doc_id", "text_hash", "first", "data"])
 
-    runs = unsure.groupBy("doc_id").agg(F.collect_list(F.struct("first", "span", "gram", "salt")).alias("runs"))
-    return texts.join(runs, "doc_id").select("doc_id", "text", "runs").mapInArrow(run, "gram long, salt int, doc_id long, first long, data binary").where(F.length("data") >= LENGTH)
+    runs = unsure.groupBy(*KEY).agg(F.collect_list(F.struct("first", "span", "gram", "salt")).alias("runs"))  # of one text
+    return texts.join(runs, KEY).select("doc_id", "text", "text_hash", "runs").mapInArrow(run, "gram long, salt int, doc_id long, text_hash long, first long, data binary")
 
 
 def _resolved(rows: DataFrame) -> DataFrame:
-    """doc_id, first, span, window: runs of windows that were met before in their salted bucket (window is null), and
+    """doc_id, text_hash, first, span, window: runs of windows that were met before in their salted bucket (window is null), and
     of the buckets with salts each window that was not, with its hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, met = None, np.zeros(0, dtype=_U)  # windows met before in the salted bucket that is being read
         before: tuple | None = None  # the last row: a document that is there twice gives each row twice
-        names = ["doc_id", "first", "span", "window"]
+        names = ["doc_id", "text_hash", "first", "span", "window"]
         for batch in batches:
             for k in range(0, batch.num_rows, 4096):
                 found = batch.slice(k, 4096).to_pydict()
                 fresh = []
-                for x in zip(found["gram"], found["salt"], found["doc_id"], found["first"], found["data"], strict=True):
+                for x in zip(found["gram"], found["salt"], found["doc_id"], found["text_hash"], found["first"], found["data"], strict=True):
                     if x != before:
                         fresh.append(x)
                     before = x
                 if not fresh:
                     continue
-                data = [x[4] for x in fresh]
-                gram, salt, doc, first = (np.array([x[i] for x in fresh], dtype=np.int64) for i in range(4))
+                data = [x[5] for x in fresh]
+                gram, salt, doc, own, first = (np.array([x[i] for x in fresh], dtype=np.int64) for i in range(5))
                 size = np.array([len(x) for x in data])
                 whole = np.frombuffer(b"".join(data), dtype=np.uint8)
                 starts = np.cumsum(size) - size
@@ -249,15 +228,15 @@ def _resolved(rows: DataFrame) -> DataFrame:
                 offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 at = starts[row] + offset
                 p, down = _prefix(whole)
-                window = _mixed(((p[at + LENGTH] - p[at]) * down[at]) ^ _mixed(gram[row].view(_U)))
-                h = window ^ _mixed((salt[row] + 1).view(_U))  # salts do not meet here
+                window = mixed(((p[at + LENGTH] - p[at]) * down[at]) ^ mixed(gram[row].view(_U)))
+                h = window ^ mixed((salt[row] + 1).view(_U))  # salts do not meet here
                 order = np.lexsort((np.arange(len(h)), h))
                 again = np.zeros(len(h), dtype=bool)
                 again[order[1:]] = h[order[1:]] == h[order[:-1]]
                 # equal places are no repeats of each other
                 source = order[np.maximum.accumulate(np.where(again[order], 0, np.arange(len(h))))]
                 same = np.zeros(len(h), dtype=bool)
-                same[order] = (doc[row[order]] == doc[row[source]]) & (first[row[order]] + offset[order] == first[row[source]] + offset[source])
+                same[order] = (doc[row[order]] == doc[row[source]]) & (own[row[order]] == own[row[source]]) & (first[row[order]] + offset[order] == first[row[source]] + offset[source])
                 new = ~again
                 again &= ~same
                 if bucket is not None and len(met):
@@ -272,41 +251,44 @@ def _resolved(rows: DataFrame) -> DataFrame:
                     cut = np.r_[True, (row[hit][1:] != row[hit][:-1]) | (offset[hit][1:] != offset[hit][:-1] + 1)]
                     heads = np.flatnonzero(cut)
                     ends = np.r_[heads[1:], len(hit)] - 1
-                    yield pa.RecordBatch.from_arrays([pa.array(doc[row[hit[heads]]]), pa.array(first[row[hit[heads]]] + offset[hit[heads]]), pa.array((offset[hit[ends]] - offset[hit[heads]]).astype(np.int32)), pa.nulls(len(heads), pa.int64())], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(doc[row[hit[heads]]]), pa.array(own[row[hit[heads]]]), pa.array(first[row[hit[heads]]] + offset[hit[heads]]), pa.array((offset[hit[ends]] - offset[hit[heads]]).astype(np.int32)), pa.nulls(len(heads), pa.int64())], names=names)
                 lead = np.flatnonzero(new & ~again & (salt[row] >= 0))
                 if len(lead):
-                    yield pa.RecordBatch.from_arrays([pa.array(doc[row[lead]]), pa.array(first[row[lead]] + offset[lead]), pa.array(np.zeros(len(lead), dtype=np.int32)), pa.array(window[lead].view(np.int64))], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(doc[row[lead]]), pa.array(own[row[lead]]), pa.array(first[row[lead]] + offset[lead]), pa.array(np.zeros(len(lead), dtype=np.int32)), pa.array(window[lead].view(np.int64))], names=names)
 
-    bucket = rows.repartition("gram", "salt").sortWithinPartitions("gram", "salt", "doc_id", "first")
-    return bucket.mapInArrow(run, "doc_id long, first long, span int, window long")
+    bucket = rows.repartition("gram", "salt").sortWithinPartitions("gram", "salt", "doc_id", "text_hash", "first")
+    return bucket.mapInArrow(run, "doc_id long, text_hash long, first long, span int, window long")
 
 
 def _met_elsewhere(leads: DataFrame) -> DataFrame:
-    """doc_id, first, span: of the windows that salts give, all but the first place of each."""
+    """doc_id, text_hash, first, span: of the windows that salts give, all but the first place of each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lead: tuple | None = None  # window, doc_id, first: the first place of the window that is being read
+        lead: tuple | None = None  # the first row of the window that is being read
         for b in batches:
             if not b.num_rows:
                 continue
-            window, doc, first = (c.to_numpy() for c in b.columns)
+            window, *place = (c.to_numpy() for c in b.columns)
             fresh = np.r_[lead is None or lead[0] != window[0], window[1:] != window[:-1]]
             heads = np.flatnonzero(fresh)
             of = np.cumsum(fresh) - 1  # -1: the one from before
-            repeat = (doc != np.r_[doc[heads], lead[1] if lead else 0][of]) | (first != np.r_[first[heads], lead[2] if lead else 0][of])
+            repeat = np.zeros(len(window), dtype=bool)
+            for k, c in enumerate(place):
+                repeat |= c != np.r_[c[heads], lead[k + 1] if lead else 0][of]
             if len(heads):
-                lead = (window[heads[-1]], doc[heads[-1]], first[heads[-1]])
-            yield pa.RecordBatch.from_arrays([pa.array(doc[repeat]), pa.array(first[repeat]), pa.array(np.zeros(repeat.sum(), dtype=np.int32))], names=["doc_id", "first", "span"])
+                lead = (window[heads[-1]], *(c[heads[-1]] for c in place))
+            yield pa.RecordBatch.from_arrays([*(pa.array(c[repeat]) for c in place), pa.array(np.zeros(repeat.sum(), dtype=np.int32))], names=["doc_id", "text_hash", "first", "span"])
 
-    bucket = leads.select("window", "doc_id", "first").repartition("window").sortWithinPartitions("window", "doc_id", "first")
-    return bucket.mapInArrow(run, "doc_id long, first long, span int")
+    order = ["window", "doc_id", "text_hash", "first"]
+    bucket = leads.select(*order).repartition("window").sortWithinPartitions(*order)
+    return bucket.mapInArrow(run, "doc_id long, text_hash long, first long, span int")
 
 
 def _cut(texts: DataFrame, repeats: DataFrame, keep_text: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for raw, runs in zip(text_rows(b), b.column(2).to_pylist(), strict=True):
+            for raw, runs in zip(text_rows(b), b.column(3).to_pylist(), strict=True):
                 raw = raw or b""
                 spans: list[list[int]] = []
                 for r in sorted(runs or [], key=lambda r: r["first"]):
@@ -321,20 +303,19 @@ def _cut(texts: DataFrame, repeats: DataFrame, keep_text: bool) -> DataFrame:
             columns = list(zip(*out, strict=True)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(columns[i], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    runs = repeats.groupBy("doc_id").agg(F.collect_list(F.struct("first", "span")).alias("runs"))
-    joined = texts.join(runs, "doc_id", "left").select("doc_id", "text", "runs")
+    runs = repeats.groupBy(*KEY).agg(F.collect_list(F.struct("first", "span")).alias("runs"))  # of one text
+    joined = texts.join(runs, KEY, "left").select("doc_id", "text", "text_hash", "runs")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
-def without_repeats(docs: DataFrame, keep_text: bool = False, share: int = SHARE, large: int = LARGE) -> DataFrame:
+def without_repeats(docs: DataFrame, keep_text: bool = False, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes, if asked for).
 
-    A null doc_id counts as the largest and is treated as one document for each distinct text under it.
+    A null doc_id counts as the largest. Rows of one doc_id are told apart by their texts, in the order of the texts' hashes.
     """
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
+    texts = keyed_documents_of(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
     found = kept(_sorted_out(_sampled(texts)), "anchors")
-    ends = kept(_resolved(_fetched(texts, _salted(found.where("unsure"), share, large))), "ends")
-    repeats = found.where("not unsure").unionByName(ends.where("window is null"), allowMissingColumns=True).select("doc_id", "first", "span")
+    ends = kept(_resolved(_fetched(texts, _salted(found.where("unsure"), limit))), "ends")
+    repeats = found.where("not unsure").unionByName(ends.where("window is null"), allowMissingColumns=True).select(*KEY, "first", "span")
     repeats = repeats.unionByName(_met_elsewhere(ends.where("window is not null")))
-    out = _cut(texts, repeats, keep_text)
-    return out.withColumn("doc_id", F.nullif("doc_id", F.lit((1 << 63) - 1)))
+    return _cut(texts, repeats, keep_text).withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))

@@ -205,6 +205,50 @@ def test_leaks_exact_edited_and_clean(spark, nothing):
     assert decontaminate.without_leaks(df, bench.limit(0)).count() == df.count()
 
 
+def test_long_items_are_scored_whole(spark):
+    r = random.Random(9)
+    words = ["".join(r.choice("abcdefghijklm") for _ in range(r.randint(2, 8))) for _ in range(4000)]
+    say = lambda n: [r.choice(words) for _ in range(n)]
+    items = {1: [*say(400), "in", "the", "end"], 2: say(1000), 3: say(5000)}
+    docs = {1: [*say(3), "in", "the", "end", *say(3)], 2: [*say(50), *items[2][300:520], *say(50)], 3: [*say(9), *items[2][100:800], *say(9)], 4: [*say(30), *items[1], *say(9)], 5: items[3][:4000]}
+    rows = [(d, " ".join(w)) for d, w in docs.items()]
+    rows += [(None, rows[3][1]), (None, "clean words only " * 9), (4, "other clean words " * 9), rows[3], (8, "x " * 30_000), (9, "y" * 300_000 + " " + rows[3][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]): (x["score"], x["end_word"] - x["first_word"]) for x in decontaminate.leaks(df, bench).collect()}
+    assert got == {(3, 2): (0.7, 700), (4, 1): (1.0, 403), (None, 1): (1.0, 403), (5, 3): (0.8, 4000), (9, 1): (1.0, 403)}
+    left = Counter((x["doc_id"], x["text"][:20]) for x in decontaminate.without_leaks(df, bench).collect())
+    assert left == Counter((d, t[:20]) for d, t in rows if (d, t) not in [rows[2], rows[3], rows[4], rows[5], rows[10]])
+
+
+def test_rarity_comes_before_passages(spark, given):
+    """10,000 items of common prose: of all words, an item is aligned to less than 1 in 2,000."""
+    r = random.Random(10)
+    prose = [t.split() for t in (x["text"] for x in given.where("length(text) > 400").select("text").collect())]
+    words = [x for w in prose for x in w]
+    items = [[r.choice(words) for _ in range(30)] for _ in range(9_000)] + [w[k : k + 5] + [r.choice(words) for _ in range(25)] for w in prose for k in range(0, len(w) - 12, 60)][:1_000]
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    texts = decontaminate.keyed_documents_of(given)
+    table = decontaminate.kept(decontaminate.item_table(bench), "items")
+    grams = table.selectExpr("explode(grams) as gram")
+    seeds = decontaminate.seeds_of(table, decontaminate._frequencies(texts, decontaminate._bit_set(grams)), texts.count())
+    found = decontaminate.passages(decontaminate._places(texts, decontaminate._bit_set(seeds)), seeds).selectExpr("sum(last - first) as n").first()["n"] or 0
+    assert found < 0.0005 * len(items) * sum(map(len, prose))
+
+
+@pytest.mark.parametrize("piece", [7, 1 << 17])
+def test_word_hashes_are_those_of_words(monkeypatch, piece):
+    monkeypatch.setattr(decontaminate, "PIECE", piece)
+    r, of = random.Random(1), {}
+    for _ in range(300):
+        low = "".join(r.choice("ab_ ,\n\u00e9\u4e2d\u2014") for _ in range(r.randint(0, 60)))
+        h, begin = decontaminate.word_hashes(low)
+        words = list(re.finditer(r"\w+", low))
+        assert begin.tolist() == [m.start() for m in words]
+        assert all(of.setdefault(m[0], x) == x for m, x in zip(words, h.tolist(), strict=True))
+    assert len(set(of.values())) == len(of)
+
+
 def plain_smith_waterman(a, b):
     h = np.zeros((len(a) + 1, len(b) + 1), dtype=int)
     for i in range(1, len(a) + 1):
@@ -216,7 +260,8 @@ def plain_smith_waterman(a, b):
 def test_alignment_scores():
     r = np.random.default_rng(2)
     a = [r.integers(0, 5, r.integers(3, 20)) for _ in range(60)]
-    b = [r.integers(-1, 5, r.integers(3, 50)) for _ in range(60)]
+    b = [r.integers(0, 6, r.integers(3, 50)) for _ in range(60)]
+    a, b = [x.astype(np.uint64) for x in a], [x.astype(np.uint64) for x in b]
     assert decontaminate.smith_waterman(a, b)[0].tolist() == [plain_smith_waterman(x, y) for x, y in zip(a, b, strict=True)]
 
 
@@ -267,9 +312,14 @@ def test_packing_nothing(nothing):
 # --- 6
 
 
+def signed_hash(text):
+    h = xxhash.xxh64_intdigest((text or "").encode(), 42)  # Spark's xxhash64
+    return h - (1 << 64) if h >> 63 else h
+
+
 def plain_repeats(rows, n=100):
     first, out = {}, {}
-    for d, t in sorted({(d, t or "") for d, t in rows}, key=lambda x: (x[0] is None, x[0] or 0)):
+    for d, t in sorted({(d, t or "") for d, t in rows}, key=lambda x: (x[0] is None, x[0] or 0, signed_hash(x[1]))):
         raw = t.encode()
         gone = np.zeros(len(raw), dtype=bool)
         for i in range(len(raw) - n + 1):
@@ -284,13 +334,20 @@ def plain_repeats(rows, n=100):
 @pytest.mark.parametrize("which", ["docs", "given"])
 def test_repeated_substrings(which, request, monkeypatch):
     df = request.getfixturevalue(which)
-    if which == "docs":
-        df = df.where("doc_id is not null")
     assert Counter(tuple(r[:5]) for r in substrings.without_repeats(df).collect()) == plain_repeats(pairs(df))
 
 
-@pytest.mark.parametrize(("share", "large"), [(substrings.SHARE, substrings.LARGE), (1, substrings.LARGE), (1, 3)])
-def test_repeats_across_pieces_and_batches(spark, share, large):
+def test_repeats_stay_in_rows_of_one_doc_id(spark):
+    r = random.Random(6)
+    say = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage = say(150)
+    rows = [(1, passage + say(90)), (5, passage + say(120)), (5, say(300)), (5, None), (None, passage + say(40)), (None, say(200)), (None, passage + say(77)), (5, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(tuple(x[:5]) for x in substrings.without_repeats(df).collect()) == plain_repeats(rows)
+
+
+@pytest.mark.parametrize("limit", [substrings.LIMIT, 3, 1])
+def test_repeats_across_pieces_and_batches(spark, limit):
     r = random.Random(4)
     shared = "".join(r.choice("ab ") for _ in range(700))
     rows = [(i, "".join(r.choice("abc ") for _ in range(r.randint(0, 300))) + shared[r.randint(0, 500) :] + "".join(r.choice("abc ") for _ in range(200))) for i in range(60)]
@@ -299,7 +356,7 @@ def test_repeats_across_pieces_and_batches(spark, share, large):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
-        assert Counter(tuple(x[:5]) for x in substrings.without_repeats(df, share=share, large=large).collect()) == plain_repeats(rows)
+        assert Counter(tuple(x[:5]) for x in substrings.without_repeats(df, limit=limit).collect()) == plain_repeats(rows)
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
