@@ -504,6 +504,76 @@ def test_quotes(spark):
     assert quotes.linked_messages(df.limit(0)).count() == 0
 
 
+def plain_links(rows):
+    """Of rows (conv, turn, role, text), all with conv and turn: what linked_messages gives, by comparing everything."""
+    norm = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t.lower()).strip(" ")
+    found = {}
+    for c, t, _, text in rows:
+        runs, own, before = [], [], None
+        for line in re.split("\r?\n", text or ""):
+            m = re.match(r"(?:[ \t]*>)+", line)
+            level, said = (m[0].count(">"), re.sub(r"^[ \t]", "", line[m.end() :])) if m else (0, line)
+            if level == 0:
+                own.append(said)
+            if not norm(said):
+                before = None
+                continue
+            if level == before:
+                runs[-1][1] += " " + said
+            else:
+                runs.append([level, said])
+            before = level
+        found.setdefault((c, t), []).append(({(x, norm(y)) for x, y in [*runs, [0, "\n".join(own)]] if norm(y)}, "\n".join(own).strip("\n")))
+    wrote = {}
+    for at in sorted(found):
+        for p, _ in found[at]:
+            for level, x in p:
+                if level == 0:
+                    wrote.setdefault(x, []).append(at)
+    links = {}
+    for (c, t), same in found.items():
+        for level, x in set().union(*(p for p, _ in same)):
+            mine = [a for a in wrote.get(x, []) if a[0] == c][:1]
+            if level and mine and mine[0] < (c, t):
+                links.setdefault((c, t), []).append((level, False, -c, -mine[0][1]))
+            elif level and len(x.split(" ")) >= quotes.ELSEWHERE and x in wrote and wrote[x][0][0] < c:
+                links.setdefault((c, t), []).append((level, True, -wrote[x][0][0], -wrote[x][0][1]))
+    out = Counter()
+    for at, same in found.items():
+        up, depth = at, 0
+        while up in links:
+            up, depth = tuple(-v for v in min(links[up])[2:]), depth + 1
+        n = [x[0] for x in links.get(at, [])]
+        reply = tuple(-v for v in min(links[at])[2:]) if n else (None, None)
+        for _, own in same:
+            out[(*at, *reply, *up, depth, n.count(1), len(n) - n.count(1), own)] += 1
+    return out
+
+
+def test_quotes_across_conversations_and_levels(spark):
+    long = "this is a passage of more than eight words all told"
+    rows = [(1, 0, "a", long), (1, 1, "b", f"> {long}\nshort"), (2, 0, "c", f"> {long}\n\nnew words here that are many enough to be found again"), (2, 1, "d", f">> {long}\n> {long} changed\nso it goes")]
+    rows += [(3, 5, "e", "> new words here that are many enough to be found again\n>> " + long), (3, 6, "e", "> short\n> > so it goes\nx"), (0, 9, "f", f"> {long}"), (2, 1, "z", "a second row of this turn")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = Counter(tuple(x[:2]) + tuple(x[3:]) for x in quotes.linked_messages(df).collect())
+    assert got == plain_links(rows)
+    by = {x[:2]: x[2:8] for x in got}
+    assert by[1, 1] == (1, 0, 1, 0, 1, 1) and by[2, 0] == (1, 0, 1, 0, 1, 1) and by[3, 5] == (2, 0, 1, 0, 2, 1) and by[0, 9] == (None, None, 0, 9, 0, 0)
+    assert (2, 1, 1, 0, 1, 0, 1, 0, 1, "so it goes") in got  # a passage of level 2 leads to who wrote it
+
+
+def test_every_row_of_the_conversations_stays(spark):
+    rows = [(1, 0, "a", "x"), (1, 0, "a", "y"), (None, 2, "b", "z"), (3, None, None, None), (1, 2, "a", "w")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    assert quotes.linked_messages(quotes.as_mail(df)).count() == len(rows)
+
+
+def test_quotes_of_the_given_mail(spark, sf):
+    mail = quotes.as_mail(spark.read.parquet(f"{sf}/conversations.parquet"))
+    rows = [tuple(r) for r in mail.select("conv_id", "turn", "role", "text").collect()]
+    assert Counter(tuple(x[:2]) + tuple(x[3:]) for x in quotes.linked_messages(mail).collect()) == plain_links(rows)
+
+
 def test_quotes_of_mail_lead_back_to_their_messages(spark, sf):
     c = spark.read.parquet(f"{sf}/conversations.parquet")
     said = {(r["conv_id"], r["turn"]): r["text"] for r in c.collect()}
