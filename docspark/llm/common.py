@@ -7,7 +7,7 @@ came before and no stage is run twice.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -88,3 +88,42 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> _U(31))) * _U(0xBF58476D1CE4E5B9)
     return h ^ (h >> _U(29))
+
+
+def run_hashes(length: int, units: Callable[[int, int], np.ndarray], piece: int) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of each run of units between zeros, and where it begins. units(i, j) gives the units from i to j, 0 where
+    none belongs to a run; ``piece`` of them are held at a time."""
+    hashes, begins, start, open_ = [], [], _U(0), 0  # start, open_: hash and length of the run that goes on from the last piece
+    for at in range(0, length, piece):
+        c = units(at, min(at + piece, length))
+        inside = np.zeros(len(c) + 2, dtype=bool)
+        np.not_equal(c, 0, out=inside[1:-1])
+        edge = np.flatnonzero(inside[1:] != inside[:-1])
+        begin, end = edge[::2], edge[1::2]
+        up, down = powers(len(c))
+        p = np.zeros(len(c) + 1, dtype=_U)
+        np.cumsum(c * up[: len(c)], out=p[1:])
+        h, place = (p[end] - p[begin]) * down[begin], begin + at
+        if open_ and len(begin) and begin[0] == 0:
+            h[:1] = start + h[:1] * _U(pow(int(up[1]), open_, 1 << 64))
+            place[0] -= open_
+        elif open_:
+            h, place = np.r_[start, h], np.r_[at - open_, place]
+        open_ = 0
+        if len(place) and at + piece < length and inside[len(c)]:
+            start, open_ = h[-1], at + len(c) - int(place[-1])
+            h, place = h[:-1], place[:-1]
+        hashes.append(h)
+        begins.append(place)
+    if not hashes:
+        return np.zeros(0, dtype=_U), np.zeros(0, dtype=np.int64)
+    return mixed(np.concatenate(hashes)), np.concatenate(begins)
+
+
+def gram_hashes(w: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each run of n of the words, by the place of its first word."""
+    m = max(len(w) - n + 1, 0)
+    h = np.zeros(m, dtype=_U)
+    for k in range(n):
+        h = mixed(h * BASE + w[k : k + m])
+    return h

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docspark.llm.common import kept, keyed_documents_of, mixed, powers, rows_of, text_rows
+from docspark.llm.common import gram_hashes, kept, keyed_documents_of, mixed, powers, rows_of, run_hashes, text_rows
 
 N = 3
 RARE = 8
@@ -54,40 +54,7 @@ def _code_points() -> np.ndarray:
 def word_hashes(low: str) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each word (\\w+) of a lower-cased text, and where it begins."""
     points = _code_points()
-    hashes, begins, start, length = [], [], _U(0), 0  # start, length: of the word that goes on from the last piece
-    for at in range(0, len(low), PIECE):
-        c = points[np.frombuffer(low[at : at + PIECE].encode("utf-32-le", "surrogatepass"), dtype="<u4")]
-        inside = np.zeros(len(c) + 2, dtype=bool)
-        np.not_equal(c, 0, out=inside[1:-1])
-        edge = np.flatnonzero(inside[1:] != inside[:-1])
-        begin, end = edge[::2], edge[1::2]
-        up, down = powers(len(c))
-        p = np.zeros(len(c) + 1, dtype=_U)
-        np.cumsum(c * up[: len(c)], out=p[1:])
-        h, place = (p[end] - p[begin]) * down[begin], begin + at
-        if length and len(begin) and begin[0] == 0:
-            h[:1] = start + h[:1] * _U(pow(int(up[1]), length, 1 << 64))
-            place[0] -= length
-        elif length:
-            h, place = np.r_[start, h], np.r_[at - length, place]
-        length = 0
-        if len(place) and at + PIECE < len(low) and inside[len(c)]:
-            start, length = h[-1], at + len(c) - int(place[-1])
-            h, place = h[:-1], place[:-1]
-        hashes.append(h)
-        begins.append(place)
-    if not hashes:
-        return np.zeros(0, dtype=_U), np.zeros(0, dtype=np.int64)
-    return mixed(np.concatenate(hashes)), np.concatenate(begins)
-
-
-def gram_hashes(w: np.ndarray) -> np.ndarray:
-    """A hash of each N-gram, by the place of its first word."""
-    m = max(len(w) - N + 1, 0)
-    h = np.zeros(m, dtype=_U)
-    for k in range(N):
-        h = mixed(h * _U(0x9E3779B97F4A7C15) + w[k : k + m])
-    return h
+    return run_hashes(len(low), lambda i, j: points[np.frombuffer(low[i:j].encode("utf-32-le", "surrogatepass"), dtype="<u4")], PIECE)
 
 
 def _low(raw: bytes | None) -> str:
@@ -112,7 +79,7 @@ def _grams(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.n
         w, begin = word_hashes("\n".join(some))
         of = np.searchsorted(np.cumsum([len(x) + 1 for x in some]), begin, side="right")
         place = np.arange(len(w)) - np.searchsorted(of, np.arange(len(some)))[of]
-        h = gram_hashes(w)
+        h = gram_hashes(w, N)
         own = of[: len(h)] == of[N - 1 :][: len(h)]
         yield np.array(rows)[of[: len(h)][own]], place[: len(h)][own], h[own]
         rows, some, size = [], [], 0
@@ -124,7 +91,7 @@ def item_table(benchmark: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = [(i, k, w) for i, k, w in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), map(_words, text_rows(b)), strict=True) if len(w) >= N]
-            columns = [[x[0] for x in rows], [x[1] for x in rows], [len(x[2]) for x in rows], [x[2].view(np.int64) for x in rows], [np.unique(gram_hashes(x[2])).view(np.int64) for x in rows]]
+            columns = [[x[0] for x in rows], [x[1] for x in rows], [len(x[2]) for x in rows], [x[2].view(np.int64) for x in rows], [np.unique(gram_hashes(x[2], N)).view(np.int64) for x in rows]]
             types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["item", "item_id", "n", "words", "grams"])
 

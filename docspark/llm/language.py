@@ -2,21 +2,23 @@
 
 Training counts every n-gram (1 to 3 code points of the lower-cased text, bounded by a space on
 either side) of every training document: each task gives its counts by language and bucket, which
-are summed by Spark. The log-probability matrix (languages x BUCKETS, bounded) is broadcast; a batch of
-texts is scored sparsely, by summing the matrix rows of the n-grams that occur.
+are summed by Spark. The log-probability matrix (languages x buckets) is broadcast; a batch of
+texts is scored sparsely, by summing the matrix rows of the n-grams that occur. The number of buckets is a parameter; more
+languages than CELLS / buckets share fewer buckets, so that the matrix, and the sums that reach the driver, have at most CELLS cells
+(up to CELLS / 256 values of lang; beyond that 256 cells for each).
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; with no training rows
 every document is ``und``; ties go to the language first in order; a null lang teaches nothing; a null
-doc_id counts as held out; at most MAX_LANGUAGES different values are learned, else an error says so.
+doc_id counts as held out. A letter is a code point of Unicode category L.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,13 +26,13 @@ from docspark.llm.common import documents_of, is_held_out, text_rows
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
-MAX_LANGUAGES = 512
+CELLS = 1 << 22
 PIECE = 1 << 18  # code points hashed at a time
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _MIX = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B), np.uint32(0xC2B2AE35))  # odd multipliers of the usual 32-bit mixers
 
 
-def ngrams(text: str) -> Iterator[np.ndarray]:
+def ngrams(text: str, buckets: int = BUCKETS) -> Iterator[np.ndarray]:
     """Buckets of all n-grams of the text, piece by piece; an n-gram belongs to the piece it starts in."""
     text = f" {text.lower()} "
     for i in range(0, len(text), PIECE):
@@ -44,7 +46,7 @@ def ngrams(text: str) -> Iterator[np.ndarray]:
             for k in range(n):
                 h = (h ^ c[k : k + m]) * _MIX[k]
                 h ^= h >> np.uint32(15)
-            out.append(h & np.uint32(BUCKETS - 1))
+            out.append(h & np.uint32(buckets - 1))
         yield np.concatenate(out)
 
 
@@ -52,16 +54,16 @@ def has_letter(text: str) -> bool:
     return _LETTER.search(text) is not None
 
 
-def count_ngrams(docs: DataFrame) -> DataFrame:
-    """lang, bucket, n over all rows with a lang. A task holds one row of BUCKETS for each language it meets."""
+def count_ngrams(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """lang, bucket, n over all rows with a lang. A task holds one row of buckets for each language it meets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for b in batches:
             for lang, raw in zip(b.column(2).to_pylist(), text_rows(b), strict=True):
-                row = sums.setdefault(lang, np.zeros(BUCKETS, dtype=np.int64))
-                for h in ngrams((raw or b"").decode("utf-8", "replace")):
-                    row += np.bincount(h, minlength=BUCKETS)
+                row = sums.setdefault(lang, np.zeros(buckets, dtype=np.int64))
+                for h in ngrams((raw or b"").decode("utf-8", "replace"), buckets):
+                    row += np.bincount(h, minlength=buckets)
         for lang, row in sums.items():
             at = np.flatnonzero(row)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(row[at])], names=["lang", "bucket", "n"])
@@ -71,14 +73,13 @@ def count_ngrams(docs: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, smoothing: float = 0.5) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages, log-probability matrix (BUCKETS x languages), log priors: from the rows that are not held out."""
+    """Languages, log-probability matrix (buckets x languages), log priors: from the rows that are not held out."""
     rows = docs.where(~is_held_out() & F.col("lang").isNotNull())
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} values of lang")
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row for each language
     langs = sorted(sizes)
-    counts = np.zeros((BUCKETS, len(langs)))
-    sums = count_ngrams(rows).toPandas()  # at most BUCKETS x MAX_LANGUAGES rows, whatever the input
+    buckets = max(256, min(BUCKETS, 1 << (CELLS // max(len(langs), 1)).bit_length() - 1))
+    counts = np.zeros((buckets, len(langs)))
+    sums = count_ngrams(rows, buckets).toPandas()  # a row for each cell at most
     if len(sums):
         counts[sums["bucket"].to_numpy(), np.searchsorted(langs, sums["lang"].to_numpy(dtype=str))] = sums["n"].to_numpy()
     counts += smoothing
@@ -90,8 +91,8 @@ def predict_one(text: str | None, langs: list[str], weights: np.ndarray, prior:
     if not text or not langs or not has_letter(text):
         return "und", 0.0
     total = prior.copy()
-    for h in ngrams(text):
-        total += np.bincount(h, minlength=BUCKETS).astype(np.float32) @ weights if len(h) > 2048 else weights[h].sum(axis=0, dtype=np.float64)
+    for h in ngrams(text, len(weights)):
+        total += np.bincount(h, minlength=len(weights)).astype(np.float32) @ weights if len(h) > 2048 else weights[h].sum(axis=0, dtype=np.float64)
     best = int(np.argmax(total))
     return langs[best], float(1 / np.exp(total - total[best]).sum())
 

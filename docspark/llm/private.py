@@ -79,22 +79,21 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def with_spans(docs: DataFrame, text: str = "text", to: str = "__spans") -> DataFrame:
-    """docs with the base spans, sorted: array of (start, rank, end, kind, value)."""
-    names = docs.columns
-    df = docs.withColumn("__t", F.coalesce(F.col(text).cast("string"), F.lit("")))
+def with_spans(rows: DataFrame) -> DataFrame:
+    """rows (t: the text, not null, and others) with spans, the sorted base spans: array of (start, rank, end, kind, value)."""
+    df, names = rows, rows.columns
     none = F.from_json(F.lit("[]"), "array<string>")
     for kind in KINDS:
-        all_ = F.regexp_extract_all("__t", F.lit(PATTERNS[kind]), F.lit(0))
-        df = df.withColumn(f"__{kind}", F.when(F.contains("__t", F.lit(MARKS[kind])), all_).otherwise(none) if kind in MARKS else all_)
+        all_ = F.regexp_extract_all("t", F.lit(PATTERNS[kind]), F.lit(0))
+        df = df.withColumn(kind, F.when(F.contains("t", F.lit(MARKS[kind])), all_).otherwise(none) if kind in MARKS else all_)
 
     def of(rank: int, kind: str) -> Column:
-        placed = F.filter(_placed(F.col("__t"), F.col(f"__{kind}"), F.lit(PATTERNS[kind])), lambda x: _valid(kind, x["value"]))
+        placed = F.filter(_placed(F.col("t"), F.col(kind), F.lit(PATTERNS[kind])), lambda x: _valid(kind, x["value"]))
         made = F.transform(placed, lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"), F.lit(kind).alias("kind"), x["value"].alias("value")))
-        return F.when(F.size(f"__{kind}") > 0, made).otherwise(F.from_json(F.lit("[]"), _SPAN))
+        return F.when(F.size(kind) > 0, made).otherwise(F.from_json(F.lit("[]"), _SPAN))
 
     parts = [of(rank, kind) for rank, kind in enumerate(KINDS)]
-    return df.select(*[F.col(f"`{c}`") for c in names], F.array_sort(F.concat(*parts)).alias(to))
+    return df.select(*names, F.array_sort(F.concat(*parts)).alias("spans"))
 
 
 def _masked(text: Column) -> Column:
@@ -106,7 +105,7 @@ def _masked(text: Column) -> Column:
         blank = F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(acc["at"], s["start"]), F.lit(0)))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.array_append(acc["out"], F.concat(between, blank)).alias("out"))
 
-    done = F.aggregate("__spans", start, add)
+    done = F.aggregate("spans", start, add)
     return F.concat(F.array_join(done["out"], ""), F.substring(text, done["at"] + 1, F.length(text)))
 
 
@@ -115,52 +114,54 @@ def _words(text: Column) -> Column:
 
 
 def _disclosing(held: DataFrame, texts: DataFrame, alpha: float) -> DataFrame:
-    """__row, term, removed: the terms of each row that give away an entity of it. held: __row, __entities, __masked."""
+    """row, term, removed: the terms of each row that give away an entity of it. held: row, entities, masked."""
     often = texts.select(F.explode(F.array_distinct(_words(F.coalesce("t", F.lit(""))))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     total = texts.agg(F.count("*").alias("n"))
-    pairs = held.select("__row", F.explode("__entities").alias("entity"))
+    pairs = held.select("row", F.explode("entities").alias("entity"))
     entities = pairs.groupBy("entity").agg(F.count("*").alias("n_e")).crossJoin(total)  # total is one row
     p = F.col("n_e") / F.col("n").cast("double")
     entities = entities.withColumn("p", p).withColumn("least", F.pow("p", F.lit(1 - 1 / alpha)))  # of p(e | t)
     entities = entities.withColumn("most", (F.col("n_e") + PRIOR * F.col("p")) / F.col("least") - PRIOR)  # of n_t
     alone = F.when(F.col("n_e") > 1, F.col("entity"))
-    own = pairs.join(entities, "entity").groupBy("__row", alone.alias("alone")).agg(F.min_by(F.struct("entity", "n_e", "p", "least", "most"), "entity").alias("e")).select("__row", "e.*")
+    own = pairs.join(entities, "entity").groupBy("row", alone.alias("alone")).agg(F.min_by(F.struct("entity", "n_e", "p", "least", "most"), "entity").alias("e")).select("row", "e.*")
     own = kept(own, "entities")
-    terms = held.select("__row", F.explode(F.array_distinct(_words(F.col("__masked")))).alias("term"))
+    terms = held.select("row", F.explode(F.array_distinct(_words(F.col("masked")))).alias("term"))
     bound = own.agg(F.max("most").alias("bound"))  # one row
     rare = often.crossJoin(bound).where("n_t <= bound").select("term", "n_t")
-    near = kept(terms.join(rare, "term").join(own, "__row").where("n_t <= most").select("__row", "term", "n_t", "entity", "p", "least"), "pairs")
+    near = kept(terms.join(rare, "term").join(own, "row").where("n_t <= most").select("row", "term", "n_t", "entity", "p", "least"), "pairs")
     counts = near.groupBy("entity", "term").agg(F.count("*").alias("n_te"), F.first("n_t").alias("n_t"), F.first("p").alias("p"), F.first("least").alias("least"))
     reveal = counts.where((F.col("n_te") + PRIOR * F.col("p")) / (F.col("n_t") + PRIOR) >= F.col("least")).select("entity", "term", (F.col("n_te") >= F.col("n_t")).alias("removed"))
-    return near.join(reveal, ["entity", "term"]).groupBy("__row", "term").agg(F.max("removed").alias("removed"))
+    return near.join(reveal, ["entity", "term"]).groupBy("row", "term").agg(F.max("removed").alias("removed"))
 
 
 def _standing(held: DataFrame, hits: DataFrame) -> DataFrame:
-    """__row, __terms: where the terms of hits stand in their rows."""
-    hits = hits.groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("term", "removed"))).alias("hits"))
-    words = F.regexp_extract_all("__masked", F.lit(TERM), F.lit(0))
-    gaps = F.transform(F.slice(F.split("__masked", F.lit(TERM), -1), F.lit(1), F.size(words)), F.length)
-    each = held.join(hits, "__row").select("__row", F.posexplode(F.zip_with(gaps, words, lambda g, w: F.struct(g.alias("g"), F.length(w).alias("l"), F.try_element_at("hits", F.lower(w)).alias("removed")))).alias("i", "x")).select("__row", "i", "x.*")
-    end = F.sum(F.col("g") + F.col("l")).over(Window.partitionBy("__row").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    """row, terms: where the terms of hits stand in their rows."""
+    hits = hits.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "removed"))).alias("hits"))
+    words = F.regexp_extract_all("masked", F.lit(TERM), F.lit(0))
+    gaps = F.transform(F.slice(F.split("masked", F.lit(TERM), -1), F.lit(1), F.size(words)), F.length)
+    each = held.join(hits, "row").select("row", F.posexplode(F.zip_with(gaps, words, lambda g, w: F.struct(g.alias("g"), F.length(w).alias("l"), F.try_element_at("hits", F.lower(w)).alias("removed")))).alias("i", "x")).select("row", "i", "x.*")
+    end = F.sum(F.col("g") + F.col("l")).over(Window.partitionBy("row").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
     found = each.withColumn("end", end).where("removed is not null")
     kind = F.when(F.col("removed"), F.lit("term_removed")).otherwise(F.lit("term_general"))
     term = F.struct((F.col("end") - F.col("l")).alias("start"), F.lit(len(KINDS)).alias("rank"), "end", kind.alias("kind"))
-    return found.groupBy("__row").agg(F.array_sort(F.collect_list(term)).alias("__terms"))
+    return found.groupBy("row").agg(F.array_sort(F.collect_list(term)).alias("terms"))
 
 
 def find_private(docs: DataFrame, text: str = "text", alpha: float = ALPHA, carry: bool = False) -> DataFrame:
-    """Columns of docs (with carry; else doc_id alone), __spans (base) and __terms: array of (start, rank, end, kind)."""
-    scanned = with_spans(docs, text).withColumn("__row", F.monotonically_increasing_id())
-    scanned = scanned.withColumn("__masked", F.when(F.size("__spans") > 0, _masked(F.col(f"`{text}`").cast("string"))))
-    names = docs.columns if carry else ["doc_id"]
-    found = kept(scanned.select(*[F.col(f"`{c}`") for c in names], "__spans", "__row", "__masked"), "spans")
+    """doc (a struct of the row's columns with carry, else of doc_id), spans (base) and terms: array of (start, rank, end, kind).
+
+    What is the caller's stays in the struct, so no name of a column can clash with one of the operator's."""
+    value = F.col(f"`{text}`").cast("string")
+    doc = F.struct("*") if carry else F.struct("doc_id")
+    scanned = with_spans(docs.select(doc.alias("doc"), F.coalesce(value, F.lit("")).alias("t"), F.monotonically_increasing_id().alias("row")))
+    found = kept(scanned.select("doc", "spans", "row", F.when(F.size("spans") > 0, _masked(F.col("t"))).alias("masked")), "spans")
     entity = lambda s: F.concat(s["kind"], F.lit(":"), F.lower(s["value"]))
-    held = found.where("size(__spans) > 0").select("__row", F.array_distinct(F.transform("__spans", entity)).alias("__entities"), "__masked")
-    hit = _standing(held, _disclosing(held, docs.select(F.col(f"`{text}`").cast("string").alias("t")), alpha))
+    held = found.where("size(spans) > 0").select("row", F.array_distinct(F.transform("spans", entity)).alias("entities"), "masked")
+    hit = _standing(held, _disclosing(held, docs.select(value.alias("t")), alpha))
     empty = F.from_json(F.lit("[]"), "array<struct<start:int,rank:int,end:int,kind:string>>")
-    plain = found.where("size(__spans) = 0").drop("__masked", "__row").withColumn("__terms", empty)
-    rest = found.where("size(__spans) > 0").drop("__masked").join(hit, "__row", "left").drop("__row")
-    return plain.unionByName(rest.withColumn("__terms", F.coalesce("__terms", empty)))
+    plain = found.where("size(spans) = 0").select("doc", "spans", empty.alias("terms"))
+    rest = found.where("size(spans) > 0").join(hit, "row", "left")
+    return plain.unionByName(rest.select("doc", "spans", F.coalesce("terms", empty).alias("terms")))
 
 
 def _listed(spans: Column) -> Column:
@@ -174,27 +175,30 @@ def _short(spans: Column) -> Column:
 def private_spans(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_terms."""
     found = find_private(docs)
-    count = lambda k: F.size(F.filter("__spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
-    every = F.array_sort(F.concat(_short(F.col("__spans")), F.col("__terms")))
-    return found.select(F.col("doc_id").cast("long").alias("doc_id"), *[count(k) for k in KINDS], F.sha2(_listed(F.col("__spans")), 256).alias("base_sha256"), _listed(every).alias("spans"), F.size("__terms").cast("long").alias("n_terms"))
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    every = F.array_sort(F.concat(_short(F.col("spans")), F.col("terms")))
+    return found.select(F.col("doc.doc_id").cast("long").alias("doc_id"), *[count(k) for k in KINDS], F.sha2(_listed(F.col("spans")), 256).alias("base_sha256"), _listed(every).alias("spans"), F.size("terms").cast("long").alias("n_terms"))
 
 
 def sanitised(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with every span of the text replaced by its kind in brackets; overlapping spans become one. Columns as they came."""
     found = find_private(docs, text, carry=True)
-    every = F.array_sort(F.concat(_short(F.col("__spans")), F.col("__terms")))
+    value = F.col(f"doc.`{text}`").cast("string")
+    every = F.array_sort(F.concat(_short(F.col("spans")), F.col("terms")))
     start = F.struct(F.lit(0).alias("at"), F.from_json(F.lit("[]"), "array<string>").alias("out"))
 
     def add(acc: Column, s: Column) -> Column:
-        between = F.substring(F.col(f"`{text}`"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        between = F.substring(value, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
         label = F.concat(F.lit("["), F.upper(F.replace(s["kind"], F.lit("_"), F.lit(" "))), F.lit("]"))
         fresh = F.when(s["start"] >= acc["at"], F.concat(between, label)).otherwise("")
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.array_append(acc["out"], fresh).alias("out"))
 
-    whole = F.aggregate(every, start, add)
-    made = found.withColumn("__w", F.when(F.size("__spans") > 0, whole))
-    new = F.when(F.col("__w").isNotNull(), F.concat(F.array_join("__w.out", ""), F.substring(F.col(f"`{text}`"), F.col("__w.at") + 1, F.length(F.col(f"`{text}`"))))).otherwise(F.col(f"`{text}`"))
-    out = made.withColumn(text, new)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__w").isNotNull(), F.length(text)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    whole = F.when(F.size("spans") > 0, F.aggregate(every, start, add))
+    made = found.select("doc", whole.alias("w"))
+    new = F.when(F.col("w").isNull(), value).otherwise(F.concat(F.array_join("w.out", ""), F.substring(value, F.col("w.at") + 1, F.length(value))))
+    made = made.select("doc", "w", new.alias("new"))
+    columns = {c: F.col(f"doc.`{c}`") for c in docs.columns}
+    columns[text] = F.col("new")
+    if "n_chars" in columns:
+        columns["n_chars"] = F.when(F.col("w").isNotNull(), F.length("new")).otherwise(columns["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return made.select(*[x.alias(c) for c, x in columns.items()])

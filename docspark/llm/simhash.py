@@ -18,6 +18,12 @@ How the links are found, exactly:
 * A group gives a star to its smallest node for each class it finds, never all pairs. The stars meet
   in a components job (alternating large-star and small-star) on tables in the shared folder.
 
+``keep_one`` links texts by what they share, not by bits alone: two texts are near copies when their sets of five-word shingles
+have a Jaccard similarity of 0.8 or more. Candidates come from the same index, over a fingerprint of single words (near copies
+differ in few of its bits: NEAR at most) with a second one of three-word shingles that must differ in SECOND bits at most; in the task that holds a class of
+candidates the sets are compared exactly. Texts of equal words-fingerprint meet first, and only one of each class goes on to the index, so
+that a large group of near copies shrinks before it is dealt under the top nodes.
+
 Defined cases: a null text is an empty one; a text without words has fingerprint zero and is linked
 like any other; a null doc_id takes part and gets the smallest doc_id of its class (null if the class
 has none); repeated rows each get a row; other columns are ignored.
@@ -25,7 +31,7 @@ has none); repeated rows each get a row; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -34,10 +40,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspark.llm.common import documents_of, kept, text_rows
+from docspark.llm.common import gram_hashes, kept, keyed_documents_of, mixed, rows_of, run_hashes, text_rows
 
 SEED = 42
 FAN = 8
+SHINGLE, SIMILARITY = 5, 0.8  # of near copies that keep_one finds
+NEAR, SECOND = 5, 16  # bits in which candidates may differ, of either fingerprint
+TOGETHER = 4096  # texts of one words-fingerprint that are compared in one place
+GROUP = 1 << 15  # texts under one top node that are compared in one place
 NO_ID = (1 << 63) - 1
 
 
@@ -64,7 +74,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fp = np.fromiter((fingerprint(t or b"") for t in text_rows(b)), dtype=np.uint64, count=b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), b.column(2)], names=["doc_id", "fp", "text_hash"])
 
-    return documents_of(docs).withColumn("text_hash", F.xxhash64("text")).mapInArrow(run, "doc_id long, fp long, text_hash long")
+    return keyed_documents_of(docs).mapInArrow(run, "doc_id long, fp long, text_hash long")
 
 
 # --- the index of a group ---------------------------------------------------------------------
@@ -113,8 +123,9 @@ def _levels(fp: np.ndarray, group: np.ndarray) -> list[tuple[np.ndarray, np.ndar
         out.append((heads, np.r_[heads[1:], place.size], value, mask))
 
 
-def linked(fp: np.ndarray, group: np.ndarray, distance: int = 3, at_once: int = 1 << 14) -> np.ndarray:
-    """For rows sorted by (group, Gray rank): the first row of each row's class within its group."""
+def linked(fp: np.ndarray, group: np.ndarray, distance: int = 3, at_once: int = 1 << 14, second: np.ndarray | None = None) -> np.ndarray:
+    """For rows sorted by (group, Gray rank): the first row of each row's class within its group. second: other fingerprints of the
+    rows, in which linked ones differ in SECOND bits at most."""
     parent = np.arange(len(fp))
     if not len(fp):
         return parent
@@ -128,6 +139,9 @@ def linked(fp: np.ndarray, group: np.ndarray, distance: int = 3, at_once: int =
             stack += [(level, a[i : i + at_once], b[i : i + at_once]) for i in range(0, len(a), at_once)]
             continue
         if level == 0:
+            if second is not None:
+                near = np.bitwise_count(second[a] ^ second[b]) <= SECOND
+                a, b = a[near], b[near]
             _unite(parent, a, b)
             continue
         first, last = levels[level][:2]
@@ -159,62 +173,72 @@ def _signed(x: int) -> int:
 def _under(rows: DataFrame, masks: dict[int, list[int]]) -> DataFrame:
     """Each row once under each child of its mask."""
     children = F.create_map(*[c for m, kids in masks.items() for c in (F.lit(_signed(m)), F.array(*[F.lit(_signed(k)) for k in kids]))])
-    return rows.select("fp", "node", F.explode(children[F.col("mask")]).alias("mask")).withColumn("shared", F.col("fp").bitwiseAND(F.col("mask")))
-
+    others = [c for c in rows.columns if c not in ("mask", "shared")]
+    return rows.select(*others, F.explode(children[F.col("mask")]).alias("mask")).withColumn("shared", F.col("fp").bitwiseAND(F.col("mask")))
 
-def links(nodes: DataFrame, distance: int = 3, group_limit: int = 8192) -> DataFrame:
-    """nodes: fp, node. Edges (a, b), a > b, whose components are those of all links."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def solve(t: pa.Table) -> pa.RecordBatch:
-            mask, shared, fp, node = (t.column(k).to_numpy() for k in ("mask", "shared", "fp", "node"))
-            fp = fp.view(np.uint64)
-            begins = np.r_[True, (mask[1:] != mask[:-1]) | (shared[1:] != shared[:-1])]
-            group = np.cumsum(begins)
-            order = np.lexsort((gray_rank(fp), group))
-            fp, node = fp[order], node[order]
-            root = linked(fp, group[order], distance)
-            least = np.full(len(fp), NO_ID)
-            np.minimum.at(least, root, node)
-            a, b = node, least[root]
-            other = a != b
-            return pa.RecordBatch.from_arrays([pa.array(a[other]), pa.array(b[other])], names=["a", "b"])
-
-        rest: pa.Table | None = None  # the last group so far, which the next batch may go on with
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            t = pa.concat_tables([rest, t]) if rest is not None else t
-            if not t.num_rows:
-                continue
-            mask, shared = t.column("mask").to_numpy(), t.column("shared").to_numpy()
-            apart = np.flatnonzero((mask != mask[-1]) | (shared != shared[-1]))
-            cut = apart[-1] + 1 if len(apart) else 0
-            if cut:
-                yield solve(t.slice(0, cut).combine_chunks())
-            rest = t.slice(cut)
-        if rest is not None and rest.num_rows:
-            yield solve(rest.combine_chunks())
 
+def _by_group(batches: Iterator[pa.RecordBatch], keys: list[str], solve: Callable[[pa.Table], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """solve() of whole groups of sorted rows, some at a time."""
+    rest: list[pa.RecordBatch] = []  # the last group so far, which the next batch may go on with
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        column = lambda b, k: b.column(b.schema.get_field_index(k)).to_numpy()
+        apart = np.zeros(batch.num_rows, dtype=bool)
+        for k in keys:
+            apart |= column(batch, k) != column(batch, k)[-1]
+        cut = int(np.flatnonzero(apart)[-1]) + 1 if apart.any() else 0
+        goes_on = bool(rest) and all(column(rest[-1], k)[-1] == column(batch, k)[0] for k in keys)
+        if rest and (cut or not goes_on):
+            yield solve(pa.Table.from_batches([*rest, batch.slice(0, cut)]).combine_chunks())
+            rest = []
+        elif cut:
+            yield solve(pa.Table.from_batches([batch.slice(0, cut)]).combine_chunks())
+        rest.append(batch.slice(cut))
+    if rest:
+        yield solve(pa.Table.from_batches(rest).combine_chunks())
+
+
+def _dealt(rows: DataFrame, distance: int, group_limit: int) -> Iterator[DataFrame]:
+    """rows (fp and others) with mask, shared: under the top nodes, or where these have over group_limit of them under nodes of
+    theirs; with the bits of a node's mask shared by all, a group has a bound."""
     level = {0: _blocks(0, distance + 1)}
-    rows = nodes.withColumn("mask", F.lit(0).cast("long"))
-    parts = []
+    rows = rows.withColumn("mask", F.lit(0).cast("long"))
     while True:
         rows = _under(rows, level)
         level = {m: _blocks(m, distance + 1) for kids in level.values() for m in kids}
         if min(64 - m.bit_count() for m in level) <= 11:
-            parts.append(rows)
-            break
-        counts = rows.groupBy("mask", "shared").count()
-        large = counts.where(F.col("count") > group_limit)
+            yield rows
+            return
+        large = rows.groupBy("mask", "shared").count().where(F.col("count") > group_limit)
         if large.isEmpty():
-            parts.append(rows)
-            break
+            yield rows
+            return
         large = kept(large.drop("count"), "large-groups")
-        parts.append(rows.join(large, ["mask", "shared"], "left_anti"))
+        yield rows.join(large, ["mask", "shared"], "left_anti")
         rows = rows.join(large, ["mask", "shared"], "left_semi")
+
+
+def links(nodes: DataFrame, distance: int = 3, group_limit: int = 8192) -> DataFrame:
+    """nodes: fp, node. Edges (a, b), a > b, whose components are those of all links."""
+
+    def solve(t: pa.Table) -> pa.RecordBatch:
+        mask, shared, fp, node = (t.column(k).to_numpy() for k in ("mask", "shared", "fp", "node"))
+        fp = fp.view(np.uint64)
+        group = np.cumsum(np.r_[True, (mask[1:] != mask[:-1]) | (shared[1:] != shared[:-1])])
+        order = np.lexsort((gray_rank(fp), group))
+        fp, node = fp[order], node[order]
+        root = linked(fp, group[order], distance)
+        least = np.full(len(fp), NO_ID)
+        np.minimum.at(least, root, node)
+        a, b = node, least[root]
+        other = a != b
+        return pa.RecordBatch.from_arrays([pa.array(a[other]), pa.array(b[other])], names=["a", "b"])
+
     edges = None
-    for p in parts:
-        found = p.select("mask", "shared", "fp", "node").repartition("mask", "shared").sortWithinPartitions("mask", "shared").mapInArrow(run, "a long, b long")
+    for p in _dealt(nodes, distance, group_limit):
+        grouped = p.select("mask", "shared", "fp", "node").repartition("mask", "shared").sortWithinPartitions("mask", "shared")
+        found = grouped.mapInArrow(lambda batches: _by_group(batches, ["mask", "shared"], solve), "a long, b long")
         edges = found if edges is None else edges.unionByName(found)
     return edges.distinct()
 
@@ -246,12 +270,128 @@ def near_duplicates(docs: DataFrame, distance: int = 3, group_limit: int = 8192)
     return prints.join(named, "fp", "left").select("doc_id", "fp", "text_hash", F.nullif(F.col("component"), F.lit(NO_ID)).alias("component_id"))
 
 
-def keep_one(docs: DataFrame, distance: int = 3) -> DataFrame:
-    """The document with the smallest doc_id of each class, a repeated row once; rows without a doc_id stay
-    unless they are near one that has one. Columns as they came."""
-    first = near_duplicates(docs, distance).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    first = kept(first.groupBy("doc_id", "text_hash").agg(F.count("*").alias("__rows")), "firsts")
-    ids = first.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col("text").cast("string").cast("binary")) == F.col("__hash"))
-    out = docs.join(ids, same, "left_semi")
-    return out if first.where("__rows > 1").isEmpty() else out.dropDuplicates(["doc_id", "text"])
+# --- near copies by what texts share --------------------------------------------------------------
+
+
+_IS_SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
+_BYTE = np.where(_IS_SPACE, 0, mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+
+
+def _bits(h: np.ndarray) -> int:
+    ones = np.zeros(64, dtype=np.int64)
+    for i in range(0, len(h), 1 << 16):
+        ones += np.unpackbits(h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
+
+
+def traits(raw: bytes, shingle: int = SHINGLE) -> tuple[int, int, bytes]:
+    """Fingerprints of single words and of three-word shingles, and the set of shingles (sorted 32-bit hashes)."""
+    w, _ = run_hashes(len(raw), lambda i, j: _BYTE[np.frombuffer(raw[i:j].lower(), dtype=np.uint8)], 1 << 17)
+    grams = lambda n: gram_hashes(w, min(n, max(len(w), 1)))
+    return _bits(w), _bits(grams(3)), np.unique((grams(shingle) >> np.uint64(32)).astype("<u4")).tobytes()
+
+
+def _alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (len(a) + len(b) - both)
+
+
+def near_classes(fp: np.ndarray, second: np.ndarray, sets: list[np.ndarray], similarity: float, distance: int = NEAR) -> np.ndarray:
+    """The first row of each row's class: rows that are alike, and candidates by their fingerprints, are linked."""
+    parent, m = np.arange(len(fp)), len(fp)
+    ones = np.unpackbits(fp.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    middle = np.packbits(2 * ones > m, bitorder="little").view("<u8")[0]
+    firsts: list[int] = []
+    for i in np.argsort(np.bitwise_count(fp ^ middle), kind="stable").tolist():  # what is most like all others comes first
+        of = [k for k in firsts if _alike(sets[k], sets[i], similarity)]
+        if not of:
+            firsts.append(i)
+        for k in of:
+            _unite(parent, np.array([i]), np.array([k]))
+    if len(firsts) > 1 and len(firsts) < m:  # links between others of different classes
+        for i in range(m):
+            rest = np.arange(i)
+            near = rest[(np.bitwise_count(fp[rest] ^ fp[i]) <= distance) & (np.bitwise_count(second[rest] ^ second[i]) <= SECOND)]
+            for k in near[_roots(parent, near) != _roots(parent, np.array([i]))[0]].tolist():
+                if _roots(parent, np.array([k]))[0] != _roots(parent, np.array([i]))[0] and _alike(sets[k], sets[i], similarity):
+                    _unite(parent, np.array([i]), np.array([k]))
+    return _roots(parent, np.arange(m))
+
+
+def _verified(groups: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) to one text of its class from each other, of texts in one group that are alike. groups: key, node; texts: node, fp, second, shingles."""
+
+    def solve(t: pa.Table) -> pa.RecordBatch:
+        key, node = (t.column(k).to_numpy() for k in ("key", "node"))
+        begins = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        fp, second = (t.column(k).to_numpy().view(np.uint64) for k in ("fp", "second"))
+        a, b = [], []
+        for i, j in zip(begins.tolist(), [*begins[1:].tolist(), len(key)], strict=True):
+            sets = [np.frombuffer(x.as_buffer(), dtype="<u4") for x in t.column("shingles").slice(i, j - i)]
+            root = i + near_classes(fp[i:j], second[i:j], sets, similarity)
+            other = np.flatnonzero(root != np.arange(i, j))
+            a.append(node[i:j][other])
+            b.append(node[root[other]])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    rows = groups.join(texts, "node").select("key", "node", "fp", "second", "shingles").repartition("key").sortWithinPartitions("key", "node")
+    return rows.mapInArrow(lambda batches: _by_group(batches, ["key"], solve), "a long, b long")
+
+
+def _candidates(texts: DataFrame, distance: int, group_limit: int) -> DataFrame:
+    """key, node: the classes of candidates of two texts and more, each class once."""
+
+    def solve(t: pa.Table) -> pa.RecordBatch:
+        mask, shared, fp, second, node = (t.column(k).to_numpy() for k in ("mask", "shared", "fp", "second", "node"))
+        fp, second = fp.view(np.uint64), second.view(np.uint64)
+        group = np.cumsum(np.r_[True, (mask[1:] != mask[:-1]) | (shared[1:] != shared[:-1])])
+        order = np.lexsort((gray_rank(fp), group))
+        fp, second, node = fp[order], second[order], node[order]
+        root = linked(fp, group[order], distance, second=second)
+        several = np.bincount(root, minlength=len(root))[root] > 1
+        key = np.zeros(len(root), dtype=np.uint64)
+        np.add.at(key, root, mixed(node.view(np.uint64)))  # the same for the same members, under whatever top node
+        return pa.RecordBatch.from_arrays([pa.array(key[root[several]].view(np.int64)), pa.array(node[several])], names=["key", "node"])
+
+    out = None
+    for p in _dealt(texts.select("fp", "second", "node"), distance, group_limit):
+        grouped = p.select("mask", "shared", "fp", "second", "node").repartition("mask", "shared").sortWithinPartitions("mask", "shared")
+        found = grouped.mapInArrow(lambda batches: _by_group(batches, ["mask", "shared"], solve), "key long, node long")
+        out = found if out is None else out.unionByName(found)
+    return out.distinct()
+
+
+def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, distance: int = NEAR, group_limit: int = GROUP) -> DataFrame:
+    """doc_id, text_hash, copy_of: the text_hash of one text of the row's class."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [traits(t or b"", shingle) for t in text_rows(b)]
+            fp, second = (pa.array(np.array([x[i] for x in found], dtype=np.uint64).view(np.int64)) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), fp, second, pa.array([x[2] for x in found], pa.binary())], names=["doc_id", "node", "fp", "second", "shingles"])
+
+    rows = kept(keyed_documents_of(docs).mapInArrow(run, "doc_id long, node long, fp long, second long, shingles binary"), "traits")
+    texts = rows.drop("doc_id")
+    nodes = kept(texts.select("node", "fp", "second").distinct(), "texts")
+    same = nodes.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1")
+    salt = F.pmod("node", F.ceil(F.col("n") / TOGETHER))
+    first = kept(_verified(nodes.join(same, "fp").select(F.xxhash64("fp", salt).alias("key"), "node"), texts.dropDuplicates(["node"]), similarity), "same-words")
+    left = nodes.join(first.select(F.col("a").alias("node")), "node", "left_anti")
+    groups = kept(_candidates(left, distance, group_limit), "candidates")
+    edges = first.unionByName(_verified(groups, texts.join(groups.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), similarity))
+    to = components(edges)
+    return rows.select("doc_id", F.col("node").alias("text_hash")).join(to.withColumnRenamed("node", "text_hash"), "text_hash", "left").select("doc_id", "text_hash", F.coalesce("component", "text_hash").alias("copy_of"))
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """Of each class of near copies the row with the smallest doc_id (a null one comes last, ties go by text), a repeated row once. Columns as they came."""
+    rows = kept(near_copies(docs, shingle, similarity), "copies")
+    place = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "text_hash")
+    several = rows.groupBy("copy_of").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    of = rows.join(several, "copy_of")
+    copies = kept(of.where(place != F.col("first")).select("doc_id", "text_hash").distinct(), "copies")
+    repeated = of.where(place == F.col("first")).groupBy("copy_of").count().where("count > 1")
+    out = rows_of(docs, copies, "left_anti")
+    return out if repeated.isEmpty() else out.dropDuplicates(["doc_id", "text"])

@@ -1,6 +1,7 @@
 """The ten operators against plain single-machine versions, on given rows and on awkward ones."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -8,11 +9,13 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import regex
 import xxhash
 
 from docspark.llm import decontaminate, language, packing, private, pu, queries, quotes, rules, sharding, simhash, substrings
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, mask long, rank int"
+CLASH = ["row", "text_hash", "spans", "t", "terms", "doc", "node", "other_id", "__id", "__hash", "__t", "__spans", "__row", "__email"]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, mask long, rank int, " + ", ".join(f"`{c}` string" for c in CLASH)
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -33,8 +36,9 @@ def awkward_texts():
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    rows = [(i, t, None if i % 7 == 0 else "en", f"s{i % 3}", len(t or ""), "clash", 1, 2) for i, t in enumerate(awkward_texts())]
-    rows += [rows[6], rows[6], (None, "no id at all, " * 9, None, None, None, None, None, None), (None, rows[6][1], "en", "s", 1, "", 0, 0)]
+    clash = tuple(f"own {c}" for c in CLASH)
+    rows = [(i, t, None if i % 7 == 0 else "en", f"s{i % 3}", len(t or ""), "clash", 1, 2, *clash) for i, t in enumerate(awkward_texts())]
+    rows += [rows[6], rows[6], (None, "no id at all, " * 9, None, None, None, None, None, None, *clash), (None, rows[6][1], "en", "s", 1, "", 0, 0, *clash)]
     return spark.createDataFrame(rows, SCHEMA).repartition(3)
 
 
@@ -113,12 +117,64 @@ def test_gray_order_has_one_bit_between_neighbours():
     assert (simhash.gray_rank(codes) == ranks).all()
 
 
+def plain_copies(texts, similarity=0.8):
+    """The first of each text's class: Jaccard of five-word shingles, by comparing all."""
+    sets = []
+    for t in texts:
+        w = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    up = list(range(len(texts)))
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if min(len(a), len(b)) >= similarity * max(len(a), len(b)) and len(a & b) >= similarity * len(a | b):
+                up[max(top(i), top(j))] = min(top(i), top(j))
+    return [top(i) for i in range(len(texts))]
+
+
+def family(n, seed=21):
+    r = random.Random(seed)
+    words = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9))) for _ in range(2000)]
+    base = [r.choice(words) for _ in range(300)]
+    out = []
+    for _ in range(n):
+        copy = list(base)
+        for k in r.sample(range(300), r.randint(0, 4)):
+            copy[k] = r.choice(words)
+        out.append(" ".join(copy))
+    return out + [" ".join(r.choice(words) for _ in range(r.randint(1, 300))) for _ in range(n // 2)]
+
+
+@pytest.mark.parametrize("group", [simhash.GROUP, 20])
+def test_near_copies_are_those_of_all_pairs(spark, given, docs, group, monkeypatch):
+    monkeypatch.setattr(simhash, "TOGETHER", 5 if group == 20 else simhash.TOGETHER)
+    texts = [t for _, t in pairs(given)] + [t for _, t in pairs(docs)] + family(60)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    of = {x["doc_id"]: x["copy_of"] for x in simhash.near_copies(df, group_limit=group).collect()}
+    want = plain_copies(texts)
+    found, whole = defaultdict(set), defaultdict(set)
+    for i, k in enumerate(want):
+        found[of[i]].add(i)
+        whole[k].add(i)
+    assert all(len({want[i] for i in g}) == 1 for g in found.values())  # nothing is linked that is not alike
+    linked = lambda groups: sum(len(g) - 1 for g in groups.values())
+    assert linked(found) >= 0.97 * linked(whole)
+
+
 def test_keep_one(docs, nothing):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
-    want = {r["component_id"] for r in simhash.near_duplicates(docs).collect()}
-    got = [r["doc_id"] for r in kept.collect()]
-    assert set(got) == want and len(got) == len(want)
+    first = {}
+    rows = sorted(set(pairs(docs)), key=lambda x: (x[0] is None, x[0] or 0, signed_hash(x[1])))
+    for (d, t), k in zip(rows, plain_copies([t for _, t in rows]), strict=True):
+        first.setdefault(k, (d, t))
+    assert Counter(pairs(kept)) == Counter(first.values())
+    assert [r for r in kept.collect() if any(r[c] != f"own {c}" for c in CLASH)] == []
     assert simhash.keep_one(nothing).count() == 0
 
 
@@ -170,9 +226,45 @@ def test_terms_that_disclose(spark, nothing):
     assert private.private_spans(nothing).count() == 0 and private.sanitised(nothing).columns == nothing.columns
 
 
+def plain_terms(texts, alpha=private.ALPHA, prior=private.PRIOR):
+    """(document, term, removed) of the terms that give an entity away, from all pairs."""
+    words = lambda t: {w.lower() for w in regex.findall(r"\p{L}{3,}", t)}
+    entities, near, all_ = defaultdict(set), {}, Counter()
+    for i, t in enumerate(texts):
+        spans = plain_spans(t)
+        all_.update(words(t))
+        for a, _, b, k in spans:
+            entities[f"{k}:{t[a:b].lower()}"].add(i)
+        gone = {x for a, _, b, _ in spans for x in range(a, b)}
+        near[i] = words("".join(" " if x in gone else c for x, c in enumerate(t)))
+    out = {}
+    for held in entities.values():
+        p = len(held) / len(texts)
+        for term in set().union(*(near[i] for i in held)):
+            both = {i for i in held if term in near[i]}
+            pmi = math.log2((len(both) + prior * p) / (all_[term] + prior) / p)
+            if pmi >= -math.log2(p) / alpha - 1e-12:
+                for i in both:
+                    out[i, term] = out.get((i, term), False) or len(both) >= all_[term]
+    return {(*k, v) for k, v in out.items()}
+
+
+def test_terms_are_those_of_their_pmi(spark):
+    r = random.Random(15)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(3, 5))) for _ in range(300)]
+    texts = [" ".join(r.choice(words) for _ in range(r.randint(0, 14))) + r.choice(["", "", f" u{r.randint(0, 9)}@x.org", " 10.0.0.1 secretly", " b@c.de +49 30 1234567"]) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = set()
+    for x in private.private_spans(df).collect():
+        for kind, a, b in (y.split(":") for y in x["spans"].split(",") if y.startswith("term")):
+            got.add((x["doc_id"], texts[x["doc_id"]][int(a) : int(b)].lower(), kind == "term_removed"))
+    assert got == plain_terms(texts) and got
+
+
 def test_sanitised_keeps_rows_and_columns(docs):
     out = private.sanitised(docs)
     assert out.columns == docs.columns and out.count() == docs.count()
+    assert [r for r in out.collect() if any(r[c] != f"own {c}" for c in CLASH)] == []
     assert not [x for x in out.collect() if "@b.co" in (x["text"] or "")]
 
 
@@ -401,6 +493,37 @@ def test_rules_verdict(given, spark, sf, nothing):
     assert rules.quality_rules(given, labels.limit(0)).where("kept = base_failed").count() == 0
 
 
+def test_rules_judge_rows_not_ids(spark, docs, sf):
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    r = random.Random(2)
+    good = " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9))) for _ in range(120))
+    rows = [(None, good), (None, "too short"), (7, good), (7, "short"), (7, None)]
+    left = rules.keep_good(spark.createDataFrame(rows, "doc_id long, text string"), labels.limit(0)).collect()
+    assert Counter(map(tuple, left)) == Counter([rows[0], rows[2]])
+    out = rules.keep_good(docs, labels.limit(0))
+    assert out.columns == docs.columns and out.count() == sum(plain_counts(t)[0] >= 50 and 2 * plain_counts(t)[4] <= plain_counts(t)[0] for _, t in pairs(docs))
+    assert [x for x in out.collect() if any(x[c] != f"own {c}" for c in CLASH)] == []
+
+
+def test_forest_scores_are_mean_paths():
+    r = np.random.default_rng(3)
+    good, bad = r.normal(size=(300, 4)), r.normal(3, 1, size=(40, 4))
+    f = rules.fit_forest(good, bad)
+    usual = lambda n: 2 * (sum(1 / i for i in range(1, n)) - (n - 1) / n) if n > 1 else 0
+    for x, got in zip(np.r_[good[:5], bad[:5]], f.scores(np.r_[good[:5], bad[:5]]), strict=True):
+        paths = []
+        for feature, split, path in zip(f.feature, f.split, f.path, strict=True):
+            at = depth = 0
+            while feature[at] >= 0:
+                at, depth = 2 * at + (2 if x[feature[at]] >= split[at] else 1), depth + 1
+            paths.append(path[at])
+            assert path[at] >= depth
+        assert abs(got - 2 ** (-np.mean(paths) / rules._usual_path(f.sample))) < 1e-9
+    assert abs(rules._usual_path(256) - usual(256)) < 0.01
+    kept_good, kept_bad = (np.mean(f.scores(v) <= f.threshold) for v in (good, bad))
+    assert kept_good >= 0.985 and kept_bad < 0.3  # max_loss is one in a hundred
+
+
 # --- 8
 
 
@@ -459,6 +582,60 @@ def test_language_counts_and_scores_are_plain_naive_bayes(spark):
         assert np.allclose(weights[:, k], np.log(counts[g] / counts[g].sum()), atol=1e-5)
 
 
+def test_language_predictions_are_plain_bayes(spark):
+    r = random.Random(12)
+    say = lambda abc: "".join(r.choice(abc) for _ in range(r.randint(1, 40)))
+    rows = [(i, say("abcde " if i % 2 else "cdefg "), "xy"[i % 2]) for i in range(120)] + [(200, "\u00bd \u00b2 \u2167 5", "x"), (201, None, "y"), (202, "", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    counts, seen = {g: Counter() for g in "xy"}, Counter()
+    grams = lambda t: [int(h) for part in language.ngrams(t) for h in part]
+    for i, t, g in rows:
+        if not held_out(i):
+            seen[g] += 1
+            counts[g].update(grams(t) if t is not None else [])
+    weight = {g: math.log(seen[g] / sum(seen.values())) for g in "xy"}
+    total = {g: sum(counts[g].values()) + 0.5 * language.BUCKETS for g in "xy"}
+    for x in language.identify(df).collect():
+        t = rows[x["doc_id"] if x["doc_id"] < 120 else x["doc_id"] - 80][1]
+        if not t or not regex.search(r"\p{L}", t):
+            assert (x["lang_pred"], x["score"]) == ("und", 0.0)
+            continue
+        s = {g: weight[g] + sum(math.log((counts[g][h] + 0.5) / total[g]) for h in grams(t)) for g in "xy"}
+        best = max("xy", key=lambda g: s[g])
+        assert x["lang_pred"] == best and abs(x["score"] - 1 / sum(math.exp(v - s[best]) for v in s.values())) < 1e-3
+
+
+def test_many_languages_share_fewer_buckets(spark):
+    df = spark.createDataFrame([(i, f"text {i % 700} of its own", f"l{i % 700}") for i in range(2100)], "doc_id long, text string, lang string")
+    langs, weights, _ = language.train(df)
+    assert len(langs) > 512 and weights.size <= language.CELLS
+
+
+def test_positive_unlabelled_risk_and_gradient():
+    r = np.random.default_rng(4)
+    p, u, w, prior = r.normal(size=(30, pu.INPUTS)), r.normal(size=(50, pu.INPUTS)), r.normal(size=pu.INPUTS) / 9, 0.3
+    sigmoid = lambda z: 1 / (1 + np.exp(z))
+    both = lambda w: (prior * sigmoid(p @ w).mean(), sigmoid(-(u @ w)).mean() - prior * sigmoid(-(p @ w)).mean())
+    for prior in (0.3, 0.95):
+        got = pu.risk(pu.slope(p, w, 1) / len(p), pu.slope(p, w, -1) / len(p), pu.slope(u, w, -1) / len(u), prior)
+        good, rest = both(w)
+        assert abs(got[0] - (good + max(0, rest))) < 1e-9
+        for k in (0, 7, pu.INPUTS - 1):
+            step = np.eye(pu.INPUTS)[k] * 1e-6
+            a, b = both(w + step), both(w - step)
+            want = sum(a) - sum(b) if rest >= 0 else b[1] - a[1]  # where the second term is negative its gradient is reversed
+            assert abs(got[1 + k] - want / 2e-6) < 1e-5
+
+
+def test_class_prior_needs_no_negatives():
+    r = np.random.default_rng(5)
+    for prior in (0.2, 0.5, 0.85):
+        p, u = r.beta(8, 2, 4000), np.r_[r.beta(8, 2, int(9000 * prior)), r.beta(2, 8, 9000 - int(9000 * prior))]
+        bins = lambda v: np.bincount((v * 1000).astype(int), minlength=1000).astype(float)
+        assert abs(pu.best_bin(bins(p), bins(u)) - prior) < 0.06
+    assert pu.best_bin(bins(p), bins(p)) > 0.95
+
+
 def test_positive_unlabelled(given, docs, nothing, spark, sf):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     marks = {r["doc_id"]: r["quality"] for r in labels.collect()}
