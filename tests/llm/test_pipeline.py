@@ -10,7 +10,7 @@ import pytest
 import corpus_pipeline
 from docspark.llm import decontaminate, packing, queries, rules
 from docspark.llm.common import kept, table
-from tests.llm.test_operators import SCHEMA, awkward_texts, plain_copies, plain_counts, plain_spans
+from tests.llm.test_operators import CLASH, SCHEMA, awkward_texts, plain_copies, plain_counts, plain_spans
 
 STAGE = dict(corpus_pipeline.STAGES)
 
@@ -101,13 +101,14 @@ def test_run_gives_the_rows_of_its_stages(tables, spark, sf):
 
 @pytest.mark.parametrize("name", STAGE)
 def test_stages_take_awkward_and_empty_tables(name, spark, sf):
-    rows = [(i, t, None if i % 7 == 0 else "en", f"s{i % 3}", len(t or ""), "clash", 1, 2) for i, t in enumerate(awkward_texts())]
-    rows += [rows[6], rows[6], (None, "no id at all, " * 9, None, None, None, None, None, None), (None, rows[6][1], "en", "s", 1, "", 0, 0), (None, None, None, None, None, None, None, None)]
+    rows = [(i, t, None if i % 7 == 0 else "en", f"s{i % 3}", len(t or ""), "clash", 1, 2, *CLASH) for i, t in enumerate(awkward_texts())]
+    rows += [rows[6], rows[6], (None, "no id at all, " * 9, None, None, None, None, None, None, *CLASH), (None, rows[6][1], "en", "s", 1, "", 0, 0, *CLASH), (*[None] * 8, *CLASH)]
     docs = spark.createDataFrame(rows, SCHEMA)
     out, none = STAGE[name](spark, docs, sf), STAGE[name](spark, docs.limit(0), sf)
     assert none.count() == 0 and none.columns == out.columns
     if name != corpus_pipeline.STAGES[-1][0]:
         assert out.columns == docs.columns
+        assert all(r[c] == c for r in out.collect() for c in CLASH)  # columns that are named like the operators' own
         ids = Counter(r["doc_id"] for r in out.collect())
         assert ids and all(ids[d] <= n for d, n in Counter(r[0] for r in rows).items()) and not set(ids) - {r[0] for r in rows}
     else:
