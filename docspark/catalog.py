@@ -53,8 +53,8 @@ query("b15_markdown_to_plain", "md_docs", "SELECT doc_id, regexp_replace(regexp_
 query("b16_text_paragraphs", "md_docs", "SELECT doc_id, array_to_string(list_filter(list_transform(string_split_regex(text, '\\n[\\x20\\t]*\\n'), lambda p: trim(regexp_replace(p, '\\s*\\n\\s*', ' ', 'g'))), lambda p: p <> ''), chr(10) || chr(10)) AS text FROM md_docs", "md_docs")(lambda d: d.select("doc_id", C.text_paragraphs(F.col("text")).alias("text")))
 query("b17_escape_html", "pages", "SELECT page_id, replace(replace(replace(replace(html, '&', '&amp;'), '\"', '&quot;'), '<', '&lt;'), '>', '&gt;') AS attr, replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS xml FROM pages")(lambda d: d.select("page_id", C.escape_html(F.col("html")).alias("attr"), C.escape_xml(F.col("html")).alias("xml")))
 query("b18_split_keywords", "part", "SELECT p_partkey, array_to_string(list_filter([trim(p_brand), trim(p_type), ''], lambda x: x <> ''), '|') AS keywords FROM part")(lambda d: d.select("p_partkey", F.array_join(C.split_keywords(F.concat_ws(" , ", "p_brand", "p_type", F.lit(" "))), "|").alias("keywords")))
-query("b19_set_metadata", "documents", "SELECT doc_id, concat('Doc ', doc_id) AS title, source AS author, TIMESTAMP '2026-01-01 00:00:00' AS modified FROM documents")(lambda d: d.select("doc_id", F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("title"), F.col("source").alias("author"), F.expr("timestamp_ntz'2026-01-01 00:00:00'").alias("modified")))
-query("b20_carry_metadata", "documents", "SELECT doc_id, coalesce(nullif(CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 3 = 1 THEN source END, ''), lang) AS author FROM documents")(lambda d: d.select("doc_id", F.coalesce(F.nullif(F.when(F.col("doc_id") % 3 == 0, "").when(F.col("doc_id") % 3 == 1, F.col("source")), F.lit("")), F.col("lang")).alias("author")))
+query("b19_set_metadata", "documents", "SELECT doc_id, concat('Doc ', doc_id) AS title, source AS author, lang AS subject, source AS keywords, 'writer' AS creator, 'maker' AS producer, TIMESTAMP '2026-01-01 00:00:00' AS modified FROM documents")(lambda d: C.set_metadata(d.select("doc_id", F.col("source").alias("author"), F.col("lang").alias("subject"), "source"), {"title": F.concat(F.lit("Doc "), F.col("doc_id").cast("string")), "keywords": F.col("source"), "creator": F.lit("writer"), "producer": F.lit("maker")}, F.expr("timestamp_ntz'2026-01-01 00:00:00'")).drop("source"))
+query("b20_carry_metadata", "documents", "SELECT doc_id, coalesce(nullif(source, ''), lang) AS author, coalesce(TRY_CAST(source AS BIGINT), n_chars) AS n_chars FROM documents")(lambda d: C.carry_metadata(d.select("doc_id", F.col("lang").alias("author"), F.col("n_chars").cast("long").alias("n_chars"), F.struct(F.col("source").alias("author"), F.col("source").alias("n_chars")).alias("was")), "was", ["author", "n_chars"]).drop("was"))
 _URL = "CASE page_id % 4 WHEN 0 THEN concat('https://www.example.org/', CASE WHEN page_id % 8 = 0 THEN 'fr/' ELSE 'tools/' END, '?q=1') WHEN 1 THEN url WHEN 2 THEN concat(url, '/') ELSE 'https://example.org/de/' END"
 query("b21_canonical_url", "pages", f"SELECT page_id, concat(CASE WHEN regexp_extract(b, '^[a-z]+://[^/?#]+([^?#]*)', 1) = '/' OR regexp_replace(regexp_extract(b, '^[a-z]+://[^/?#]+([^?#]*)', 1), '^/|/$', '', 'g') IN ({', '.join(repr(x) for x in C.LANGUAGES)}) THEN b ELSE regexp_replace(b, '/$', '') END, q) AS canonical FROM (SELECT page_id, split_part(u, '?', 1) b, CASE WHEN contains(u, '?') THEN concat('?', split_part(u, '?', 2)) ELSE '' END q FROM (SELECT page_id, regexp_replace({_URL}, '^([a-z]+://)www\\.', '\\1') u FROM pages))")(lambda d: d.select("page_id", C.canonical_url(F.expr(_URL)).alias("canonical")))
 _PATH = "CASE page_id % 3 WHEN 0 THEN '/fr/tools' WHEN 1 THEN '/de' ELSE '/tools/merge' END"
@@ -66,7 +66,7 @@ query("b25_text_direction", "dictionary", "SELECT locale, key, CASE WHEN locale
 query("b26_is_present", "dictionary", "SELECT locale, key, value IS NOT NULL AND trim(value) <> '' AS present FROM dictionary", "dictionary")(lambda d: d.select("locale", "key", C.is_present(F.col("value")).alias("present")))
 query("b27_search_rows", "part", "SELECT p_partkey FROM part WHERE contains(lower(concat_ws(' ', p_name, p_brand, p_type)), 'brand#1')")(lambda d: workflows.search_rows(d, "Brand#1", "p_name", "p_brand", "p_type").select("p_partkey"))
 query("b28_select_pages", "doc_pages", "SELECT doc_id, page_no, n_lines FROM doc_pages WHERE page_no IN (1, 3)", "doc_pages")(lambda d: pages.select_pages(d, d.where("page_no in (1, 3)").select("doc_id", "page_no")).select("doc_id", "page_no", "n_lines"))
-query("b29_map_permissions", "files", "SELECT file_id, CASE file_id % 3 WHEN 0 THEN 'none' WHEN 1 THEN 'lowResolution' ELSE 'highResolution' END AS printing, file_id % 2 = 0 AS copying, true AS accessibility FROM files", "files")(lambda d: d.select("file_id", F.when(F.col("file_id") % 3 == 0, "none").when(F.col("file_id") % 3 == 1, "lowResolution").otherwise("highResolution").alias("printing"), (F.col("file_id") % 2 == 0).alias("copying"), F.lit(True).alias("accessibility")))
+query("b29_map_permissions", "files", "SELECT file_id, CASE status WHEN 'queued' THEN 'none' WHEN 'error' THEN 'lowResolution' ELSE 'highResolution' END AS printing, step > 1 AS copying, size > 100000000 AS modifying, true AS accessibility FROM files", "files")(lambda d: d.select("file_id", C.map_permissions(F.replace(F.replace("status", F.lit("queued"), F.lit("none")), F.lit("error"), F.lit("low")), F.col("step") > 1, F.col("size") > 100_000_000).alias("p")).select("file_id", "p.*"))
 query("b30_classify_line", "text_items", "SELECT doc_id, page_no, item_no, CASE WHEN font_size/11 >= 1.8 THEN 'heading1' WHEN font_size/11 >= 1.5 THEN 'heading2' WHEN font_size/11 >= 1.25 THEN 'heading3' WHEN font_size/11 >= 1.1 THEN 'heading4' WHEN regexp_matches(str, '^[-*•] +') THEN 'bullet' WHEN regexp_matches(str, '^[0-9]{1,3}[.)] +') THEN 'ordered' ELSE 'paragraph' END AS kind FROM text_items", "text_items")(lambda d: d.select("doc_id", "page_no", "item_no", C.classify_line(F.col("font_size"), F.lit(11.0), F.col("str"))["kind"].alias("kind")))
 query("b31_is_locked_error", "events", "SELECT event_id, regexp_matches(m, '(?i)password|encrypted') AS locked FROM (SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'File is Encrypted' WHEN 1 THEN 'no PASSWORD given' ELSE 'broken' END m FROM events)")(lambda d: d.select("event_id", C.is_locked_error(F.lit("Error"), F.expr("CASE event_id % 3 WHEN 0 THEN 'File is Encrypted' WHEN 1 THEN 'no PASSWORD given' ELSE 'broken' END")).alias("locked")))
 query("b32_needs_ocr", "text_items page_boxes", "SELECT b.doc_id, b.page_no, CASE WHEN b.rotation <> 0 THEN 'skip' WHEN coalesce(n, 0) < 6 OR coalesce(c, 0) < 25 THEN 'recognise' ELSE 'keep' END AS action FROM page_boxes b LEFT JOIN (SELECT doc_id, page_no, count(*) FILTER (WHERE trim(str) <> '') n, sum(length(trim(str))) c FROM text_items GROUP BY ALL) s ON b.doc_id = s.doc_id AND b.page_no = s.page_no", "text_items", "page_boxes")(layout.needs_ocr)
@@ -80,20 +80,20 @@ query("h1_scan_sensitive", "documents", f"WITH {_FOUND} SELECT doc_id, category,
 query("e6_cap_findings", "documents", f"WITH {_FOUND} SELECT doc_id, category, substring(match, 1, 120) AS match, CAST(position AS INT) AS position, truncated FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY rank, i) position, count(*) OVER (PARTITION BY doc_id) >= 3 truncated FROM found) WHERE position <= 3")(lambda d: scans.cap_findings(scans.scan_sensitive(d), 3).select("doc_id", "category", "match", "position", "truncated"))
 query("d1_category_counts", "documents", f"WITH {_FOUND} SELECT doc_id, category, count(*) AS n FROM found GROUP BY ALL")(lambda d: scans.category_counts(scans.scan_sensitive(d)))
 query("k15_public_summary", "documents", f"WITH {_FOUND} SELECT category, confidence, count(*) AS n, count(DISTINCT doc_id) AS documents FROM found GROUP BY ALL")(lambda d: scans.public_summary(scans.scan_sensitive(d)))
-query("d2_privacy_summary", "documents", f"WITH {_FOUND} SELECT doc_id, least(count(*), 100) AS findings, count(*) > 100 AS truncated, count(DISTINCT category) AS categories FROM found GROUP BY doc_id")(lambda d: scans.privacy_summary(scans.scan_sensitive(d)))
+query("d2_privacy_summary", "documents", f"WITH {_FOUND} SELECT doc_id, least(count(*), 100) AS findings, count(*) >= 100 AS truncated, count(DISTINCT category) AS categories, count(*) FILTER (WHERE category = 'email') AS n_email, count(*) FILTER (WHERE category = 'us-ssn') AS n_us_ssn, count(*) FILTER (WHERE category = 'payment-card') AS n_payment_card, count(*) FILTER (WHERE category = 'phone') AS n_phone FROM found GROUP BY doc_id")(lambda d: scans.privacy_summary(scans.scan_sensitive(d)))
 query("d4_metadata_scan", "documents", "SELECT doc_id, array_to_string(list_filter([CASE WHEN trim(lang) <> '' THEN 'lang' END, CASE WHEN trim(source) <> '' THEN 'source' END], lambda x: x IS NOT NULL), ',') AS fields, 2 - CAST(lang IS NULL OR trim(lang) = '' AS INT) - CAST(source IS NULL OR trim(source) = '' AS INT) AS n_fields FROM documents")(lambda d: scans.metadata_scan(d, ["lang", "source"]))
 query("k2_clean_metadata", "documents", "SELECT doc_id, CAST(NULL AS VARCHAR) AS lang, CAST(NULL AS VARCHAR) AS source, n_chars FROM documents")(lambda d: scans.clean_metadata(d, ["lang", "source"]).select("doc_id", "lang", "source", "n_chars"))
-query("k9_banned_phrases", "documents benchmark", "SELECT doc_id, phrase FROM documents, (SELECT DISTINCT substring(text, 1, 12) AS phrase FROM benchmark) p WHERE contains(lower(text), lower(phrase))")(lambda d, b: scans.banned_phrases(d, b.select(F.substring("text", 1, 12).alias("phrase")).distinct()))
-query("k14_leak_check", "documents benchmark", "SELECT needle, count(*) AS n FROM documents, (SELECT DISTINCT substring(text, 1, 20) AS needle FROM benchmark) WHERE contains(text, needle) GROUP BY needle")(lambda d, b: scans.leak_check(d.select(F.col("text").alias("value")), b.select(F.substring("text", 1, 20).alias("needle")).distinct()))
-query("d15_error_rollup", "events", "SELECT key, least(sum(n), 100000) AS errors, string_agg(category, ',' ORDER BY first) AS categories FROM (SELECT user_id AS key, concat('c', event_id % 7) AS category, count(*) n, min(event_id) AS first FROM events WHERE event_type = 'error' GROUP BY ALL) GROUP BY key")(lambda d: scans.error_rollup(d.where("event_type = 'error'").select(F.col("user_id").alias("key"), F.concat(F.lit("c"), (F.col("event_id") % 7).cast("string")).alias("category"), F.col("event_id").alias("seq"))))
-query("d16_invisible_ops", "events", "SELECT user_id, count(*) FILTER (WHERE (event_id % 8) & 3 = 3) AS n FROM events GROUP BY user_id")(lambda d: d.groupBy("user_id").agg(F.count_if((F.col("event_id") % 8).bitwiseAND(3) == 3).alias("n")))
+query("k9_banned_phrases", "documents benchmark", "SELECT doc_id, phrase FROM documents, (SELECT DISTINCT text AS phrase FROM benchmark UNION ALL SELECT 'the end' UNION ALL SELECT 'license') p WHERE contains(lower(text), lower(phrase))")(lambda d, b: scans.banned_phrases(d, b.select(F.col("text").alias("phrase")).distinct().unionByName(b.select(F.explode(F.array(F.lit("the end"), F.lit("license"))).alias("phrase")).distinct())))
+query("k14_leak_check", "documents benchmark", "SELECT needle, count(*) AS n FROM documents, (SELECT DISTINCT text AS needle FROM benchmark) WHERE contains(text, needle) GROUP BY needle")(lambda d, b: scans.leak_check(d.select(F.col("text").alias("value")), b.select(F.col("text").alias("needle")).distinct()))
+query("d15_error_rollup", "events", "SELECT key, least(sum(n), 100000) AS errors, sum(n) >= 100000 AS truncated, string_agg(category, ',' ORDER BY first) AS categories, any_value(locations) AS locations FROM (SELECT user_id AS key, concat('c', event_id % 7) AS category, count(*) n, min(event_id) AS first FROM events WHERE event_type = 'error' GROUP BY ALL) JOIN (SELECT user_id AS key, string_agg(event_id, ',' ORDER BY event_id) AS locations FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) k FROM events WHERE event_type = 'error') WHERE k <= 100 GROUP BY 1) USING (key) GROUP BY key")(lambda d: scans.error_rollup(d.where("event_type = 'error'").select(F.col("user_id").alias("key"), F.concat(F.lit("c"), (F.col("event_id") % 7).cast("string")).alias("category"), F.col("event_id").alias("seq"))))
+query("d16_invisible_ops", "events", "SELECT user_id, count(*) FILTER (WHERE (event_id % 8) & 3 = 3) AS n FROM events GROUP BY user_id")(lambda d: scans.invisible_ops(d, "user_id", F.col("event_id") % 8))
 
 # --- pages
 
-query("c2_apply_order", "doc_pages", "SELECT doc_id, page_no, CAST(n_pages - page_no + 1 AS BIGINT) AS position FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) n_pages FROM doc_pages) WHERE doc_id % 5 <> 0", "doc_pages")(lambda d: pages.apply_order(d.select("doc_id", "page_no"), d.where(~((F.col("doc_id") % 5 == 0) & (F.col("page_no") == 1))).select("doc_id", "page_no").withColumn("position", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("page_no"))).cast("long"))))
+query("c2_apply_order", "doc_pages", "SELECT doc_id, page_no, CASE WHEN doc_id % 5 <> 0 THEN CAST(n_pages - page_no + 1 AS BIGINT) END AS position, CASE WHEN doc_id % 5 = 0 THEN 'order is no permutation' END AS problem FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) n_pages FROM doc_pages)", "doc_pages")(lambda d: pages.apply_order(d.select("doc_id", "page_no"), d.where(~((F.col("doc_id") % 5 == 0) & (F.col("page_no") == 1))).select("doc_id", "page_no").withColumn("position", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("page_no"))).cast("long"))))
 query("c13_merge_documents", "conversations", "SELECT conv_id // 3 AS target, conv_id AS input_no, turn AS page_no, row_number() OVER (PARTITION BY conv_id // 3 ORDER BY conv_id, turn) AS new_page FROM conversations WHERE conv_id // 3 IN (SELECT conv_id // 3 FROM conversations GROUP BY 1 HAVING count(DISTINCT conv_id) > 1)")(lambda d: pages.merge_documents(d.select(F.expr("conv_id div 3").alias("target"), F.col("conv_id").alias("input_no"), F.col("turn").alias("page_no"))))
-query("d8_estimate_size", "doc_pages", "SELECT doc_id, CAST(floor(CASE WHEN max(n) <= 5 THEN sum(size) ELSE sum(size) FILTER (WHERE page_no = 1) + avg(size) FILTER (WHERE page_no > 1) * (max(n) - 1) END + 300 * max(n) + 1000 + 0.5) AS BIGINT) AS estimate, CAST(max(exact) AS BIGINT) AS exact FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) n, sum(size) OVER (PARTITION BY doc_id) exact FROM (SELECT doc_id, page_no, CAST(length(text) AS BIGINT) AS size FROM doc_pages)) WHERE n <= 5 OR page_no IN (1, 1 + floor((n-1)/4.0 + 0.5), 1 + floor(2*(n-1)/4.0 + 0.5), 1 + floor(3*(n-1)/4.0 + 0.5), n) GROUP BY doc_id", "doc_pages")(lambda d: pages.estimate_size(d.select("doc_id", "page_no", F.length("text").cast("long").alias("size"))))
-query("d11_rotation_hint", "page_boxes", "SELECT doc_id, count(*) AS pages, count(*) FILTER (WHERE rotation <> 0) AS rotated FROM page_boxes GROUP BY doc_id", "page_boxes")(pages.rotation_hint)
+query("d8_estimate_size", "doc_pages", "SELECT *, CAST(floor((estimate - exact) * 100.0::DOUBLE / nullif(exact, 0) + 0.5) AS BIGINT) AS percent FROM (SELECT doc_id, CAST(floor(CASE WHEN max(n) <= 5 THEN sum(size) ELSE sum(size) FILTER (WHERE page_no = 1) + avg(size) FILTER (WHERE page_no > 1) * (max(n) - 1) END + 300 * max(n) + 1000 + 0.5) AS BIGINT) AS estimate, CAST(max(exact) AS BIGINT) AS exact FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) n, sum(size) OVER (PARTITION BY doc_id) exact FROM (SELECT doc_id, page_no, CAST(length(text) AS BIGINT) AS size FROM doc_pages)) WHERE n <= 5 OR page_no IN (1, 1 + floor((n-1)/4.0 + 0.5), 1 + floor(2*(n-1)/4.0 + 0.5), 1 + floor(3*(n-1)/4.0 + 0.5), n) GROUP BY doc_id)", "doc_pages")(lambda d: pages.estimate_size(d.select("doc_id", "page_no", F.length("text").cast("long").alias("size"))))
+query("d11_rotation_hint", "page_boxes", "SELECT doc_id, count(*) AS pages, count(*) FILTER (WHERE page_no % 3 <> 0) AS kept, count(*) FILTER (WHERE page_no % 3 = 0) AS removed, count(*) FILTER (WHERE page_no % 3 <> 0 AND rotation <> 0) AS rotated FROM page_boxes GROUP BY doc_id", "page_boxes")(lambda d: pages.rotation_hint(d, F.col("page_no") % 3 != 0))
 query("d13_box_issues", "page_boxes", "SELECT doc_id, least(count(*) FILTER (WHERE bad), 100) AS issues, count(*) FILTER (WHERE bad) >= 100 AS truncated FROM (SELECT doc_id, media_w <= 0 OR media_h <= 0 OR crop_w <= 0 OR crop_h <= 0 OR crop_x < media_x OR crop_y < media_y OR crop_x + crop_w > media_x + media_w OR crop_y + crop_h > media_y + media_h AS bad FROM page_boxes) GROUP BY doc_id", "page_boxes")(pages.box_issues)
 query("e1_renumber", "lineitem", "SELECT l_orderkey AS doc_id, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_quantity, l_discount, l_tax) AS page_no FROM lineitem")(lambda d: pages.renumber(d.withColumnRenamed("l_orderkey", "doc_id"), "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity", "l_discount", "l_tax").select("doc_id", "l_partkey", "page_no"))
 query("e2_number_pages", "doc_pages", "SELECT doc_id, page_no, CASE WHEN k > s THEN CAST(k - s + 4 AS BIGINT) END AS number, CAST(n - s + 4 AS BIGINT) AS total FROM (SELECT *, CASE WHEN n > 1 THEN 1 ELSE 0 END s FROM (SELECT doc_id, page_no, count(*) OVER (PARTITION BY doc_id) n, row_number() OVER (PARTITION BY doc_id ORDER BY page_no) k FROM doc_pages))", "doc_pages")(lambda d: pages.number_pages(d.select("doc_id", "page_no"), 5))
@@ -101,13 +101,13 @@ query("e3_reverse_pages", "conversations", "SELECT conv_id AS doc_id, text, row_
 query("f3_sample_pages", "doc_pages", "SELECT doc_id, page_no FROM (SELECT doc_id, page_no, count(*) OVER (PARTITION BY doc_id) n FROM doc_pages) WHERE n <= 5 OR page_no IN (1, 1 + floor((n-1)/4.0 + 0.5), 1 + floor(2*(n-1)/4.0 + 0.5), 1 + floor(3*(n-1)/4.0 + 0.5), n)", "doc_pages")(lambda d: pages.sample_pages(d.select("doc_id", "page_no")))
 query("f4_first_last", "doc_pages", "SELECT doc_id, page_no FROM (SELECT doc_id, page_no, min(page_no) OVER w a, max(page_no) OVER w b FROM doc_pages WINDOW w AS (PARTITION BY doc_id)) WHERE page_no IN (a, b)", "doc_pages")(lambda d: pages.first_last(d.select("doc_id", "page_no")))
 query("f8_page_at", "doc_pages", "SELECT doc_id, page_no FROM (SELECT doc_id, page_no, count(*) OVER (PARTITION BY doc_id) n FROM doc_pages) WHERE page_no = least(greatest(3, 1), n)", "doc_pages")(lambda d: pages.page_at(d.select("doc_id", "page_no"), 3))
-query("g1_delete_pages", "doc_pages", "SELECT doc_id, page_no FROM doc_pages WHERE page_no % 2 = 1", "doc_pages")(lambda d: pages.delete_pages(d, d.where("page_no % 2 = 0").select("doc_id", "page_no")).select("doc_id", "page_no"))
+query("g1_delete_pages", "doc_pages", "SELECT doc_id, page_no, NULL::VARCHAR AS problem FROM doc_pages WHERE page_no % 2 = 1 AND doc_id % 5 <> 0 UNION ALL SELECT DISTINCT doc_id, NULL, 'nothing is left' FROM doc_pages WHERE doc_id % 5 = 0", "doc_pages")(lambda d: pages.delete_pages(d, d.where("page_no % 2 = 0 or doc_id % 5 = 0").select("doc_id", "page_no")).select("doc_id", "page_no", "problem"))
 query("g3_append_documents", "doc_pages", "SELECT doc_id, src_index, row_number() OVER (PARTITION BY doc_id ORDER BY part, src_index) AS page_no FROM (SELECT doc_id, src_index, 0 part FROM doc_pages UNION ALL SELECT doc_id, src_index, 1 part FROM doc_pages WHERE src_index = 1)", "doc_pages")(lambda d: pages.append_documents(d.select("doc_id", "page_no", "src_index"), d.where("src_index = 1").select("doc_id", "page_no", "src_index")))
 query("h6_document_text", "doc_pages", "SELECT doc_id, concat(trim(string_agg(text, chr(10) || chr(10) ORDER BY page_no)), chr(10)) AS text FROM doc_pages WHERE trim(text) <> '' GROUP BY doc_id", "doc_pages")(pages.document_text)
 query("h15_split_each", "doc_pages", "SELECT doc_id, page_no, concat('doc', doc_id, '-page-', page_no) AS name FROM doc_pages", "doc_pages")(lambda d: pages.split_each(d.select("doc_id", "page_no")))
-query("h16_organize", "page_boxes", "SELECT doc_id, page_no, (rotation + 90) % 360 AS rotation, row_number() OVER (PARTITION BY doc_id ORDER BY -page_no, page_no) AS new_page FROM page_boxes WHERE page_no % 3 <> 0", "page_boxes")(lambda d: pages.organize(d.select("doc_id", "page_no", "rotation"), d.select("doc_id", "page_no", (F.col("page_no") % 3 != 0).alias("keep"), (-F.col("page_no")).alias("position"), F.lit(90).alias("turn"))).select("doc_id", "page_no", "rotation", "new_page"))
+query("h16_organize", "page_boxes", "SELECT doc_id, page_no, (rotation + 90) % 360 AS rotation, row_number() OVER (PARTITION BY doc_id ORDER BY -page_no, page_no) AS new_page, NULL::VARCHAR AS problem FROM page_boxes WHERE page_no % 3 <> 0 AND doc_id % 7 <> 0 UNION ALL SELECT DISTINCT doc_id, NULL, NULL, NULL, 'nothing is kept' FROM page_boxes WHERE doc_id % 7 = 0", "page_boxes")(lambda d: pages.organize(d.select("doc_id", "page_no", "rotation"), d.select("doc_id", "page_no", ((F.col("page_no") % 3 != 0) & (F.col("doc_id") % 7 != 0)).alias("keep"), (-F.col("page_no")).alias("position"), F.lit(90).alias("turn"))).select("doc_id", "page_no", "rotation", "new_page", "problem"))
 query("k5_verify_counts", "doc_pages", "SELECT doc_id, count(*) AS expected, count(*) FILTER (WHERE page_no <= 5) AS found, count(*) = count(*) FILTER (WHERE page_no <= 5) AS ok FROM doc_pages GROUP BY doc_id", "doc_pages")(lambda d: pages.verify_counts(d, d.where("page_no <= 5")))
-query("k7_rebuild", "doc_pages", "SELECT doc_id, page_no, text FROM doc_pages", "doc_pages")(lambda d: d.select("doc_id", "page_no", "text"))
+query("k7_rebuild", "doc_pages", "SELECT doc_id, page_no, text, true AS verified FROM doc_pages", "doc_pages")(lambda d: recipes.rebuild(d, ["text"]))
 query("c8_compare_parsers", "pages", "SELECT page_id AS doc_id, n AS n_a, CASE WHEN page_id % 4 <> 0 THEN n END AS n_b, page_id % 4 <> 0 AND n > 0 AS consistent FROM (SELECT page_id, CAST(len(regexp_extract_all(html, '(?i)<p>')) AS BIGINT) n FROM pages)")(lambda d: pages.compare_parsers(d.select(F.col("page_id").alias("doc_id"), F.regexp_count("html", F.lit("(?i)<p>")).cast("long").alias("n")), d.where("page_id % 4 <> 0").select(F.col("page_id").alias("doc_id"), F.regexp_count("html", F.lit("(?i)<p>")).cast("long").alias("n"))))
 
 # --- files, workflows, dictionaries
@@ -119,10 +119,10 @@ query("a9_archive_manifest", "files", "SELECT archive, entry_no, name, size, CAS
 query("a10_upsert_bundle", "files", "SELECT workflow_id, file_id, size FROM files WHERE workflow_id % 10 <> 1 UNION ALL SELECT workflow_id, file_id, size + 1 FROM files WHERE workflow_id % 10 = 1 AND seq <= 2", "files")(lambda d: workflows.upsert_bundle(d.select("workflow_id", "file_id", "size"), d.where("workflow_id % 10 = 1 and seq <= 2").select("workflow_id", "file_id", (F.col("size") + 1).alias("size"))))
 query("d5_page_totals", "files", "SELECT workflow_id, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM files GROUP BY workflow_id", "files")(lambda d: workflows.page_totals(d, "workflow_id"))
 query("d9_before_after", "files", "SELECT file_id, CAST(floor((1 - after / size) * 100 + 0.5) AS BIGINT) AS percent, CASE WHEN floor((1 - after / size) * 100 + 0.5) <= 0 THEN 'did not shrink' END AS note FROM (SELECT file_id, CAST(size AS DOUBLE) size, CAST(size AS DOUBLE) * (file_id % 13) / 10 AS after FROM files)", "files")(lambda d: workflows.before_after(d.select("file_id", F.col("size").cast("double").alias("size"), (F.col("size").cast("double") * (F.col("file_id") % 13) / 10).alias("after")), "size", "after").select("file_id", "percent", "note"))
-query("d10_status_rollup", "files", "SELECT workflow_id, status, count(*) AS n FROM files GROUP BY workflow_id, status UNION ALL SELECT workflow_id, NULL, count(*) FROM files GROUP BY workflow_id", "files")(workflows.status_rollup)
+query("d10_status_rollup", "files", "SELECT *, bool_or(coalesce(status = 'queued', false)) OVER w AS has_queued, bool_or(coalesce(status = 'running', false)) OVER w AS has_running, bool_or(coalesce(status = 'success', false)) OVER w AS has_success FROM (SELECT workflow_id, status, count(*) AS n FROM files GROUP BY workflow_id, status UNION ALL SELECT workflow_id, NULL, count(*) FROM files GROUP BY workflow_id) WINDOW w AS (PARTITION BY workflow_id)", "files")(workflows.status_rollup)
 query("d22_current_step", "files", "SELECT workflow_id, greatest(max(step), 0) AS step FROM files GROUP BY workflow_id", "files")(workflows.current_step)
 query("e5_allocate_names", "files", "SELECT workflow_id, file_id, CASE WHEN k = 1 THEN name ELSE concat(regexp_replace(name, '\\.[^.]*$', ''), '-', k, regexp_extract(name, '(\\.[^.]*)$', 1)) END AS unique_name FROM (SELECT *, row_number() OVER (PARTITION BY workflow_id, lower(name) ORDER BY seq) k FROM files)", "files")(lambda d: workflows.allocate_names(d).select("workflow_id", "file_id", "unique_name"))
-query("e10_swap_neighbour", "files", "SELECT workflow_id, file_id, CAST(CASE WHEN seq = 2 AND n > 2 THEN 3 WHEN seq = 3 THEN 2 ELSE seq END AS BIGINT) AS new_seq FROM (SELECT *, count(*) OVER (PARTITION BY workflow_id) n FROM files)", "files")(lambda d: workflows.swap_neighbour(d, F.col("seq") == 2, 1).select("workflow_id", "file_id", "new_seq"))
+query("e10_swap_neighbour", "files", "SELECT workflow_id, file_id, CAST(CASE WHEN seq = 6 THEN coalesce(after, seq) WHEN before = 6 THEN before ELSE seq END AS BIGINT) AS new_seq FROM (SELECT workflow_id, file_id, seq * 3 AS seq, lead(seq * 3) OVER w AS after, lag(seq * 3) OVER w AS before FROM files WHERE seq <> 3 WINDOW w AS (PARTITION BY workflow_id ORDER BY seq))", "files")(lambda d: workflows.swap_neighbour(d.where("seq <> 3").withColumn("seq", F.col("seq") * 3), F.col("seq") == 6, 1).select("workflow_id", "file_id", "new_seq"))
 query("e12_latest_generation", "events", "SELECT user_id, event_type, max(event_id) AS event_id FROM events GROUP BY user_id, event_type")(lambda d: workflows.latest_generation(d.select("user_id", "event_type", "event_id"), ["user_id", "event_type"], "event_id"))
 query("e13_position_labels", "files", "SELECT workflow_id, file_id, row_number() OVER (PARTITION BY workflow_id ORDER BY seq) AS position, count(*) OVER (PARTITION BY workflow_id) AS total FROM files", "files")(lambda d: workflows.position_labels(d.select("workflow_id", "file_id", "seq"), "workflow_id", "seq").drop("seq"))
 query("f2_search_top", "part", "SELECT p_partkey, matches, matches > 6 AS truncated FROM (SELECT p_partkey, count(*) OVER () AS matches FROM part WHERE contains(lower(p_name || ' ' || p_brand), 'brand#2') ORDER BY p_partkey LIMIT 6)")(lambda d: workflows.search_top(d, "brand#2", "p_partkey", 6, "p_name", "p_brand").select("p_partkey", "matches", "truncated"))
@@ -132,10 +132,10 @@ query("f7_next_queued", "files", "SELECT workflow_id, arg_min(file_id, seq) AS f
 query("c4_lookup_translation", "dictionary", "SELECT d.locale, d.key, d.key AS english, CASE WHEN d.value <> '' THEN d.value ELSE d.key END AS text FROM dictionary d", "dictionary")(lambda d: workflows.lookup_translation(d.select("locale", "key", F.col("key").alias("english")), d))
 query("c5_missing_keys", "dictionary", "SELECT l.locale, k.key FROM (SELECT DISTINCT key FROM dictionary) k CROSS JOIN (SELECT DISTINCT locale FROM dictionary) l WHERE NOT EXISTS (SELECT 1 FROM dictionary d WHERE d.value <> '' AND d.locale = l.locale AND d.key = k.key)", "dictionary")(lambda d: workflows.missing_keys(d, d, d.select("locale").distinct()).select("locale", "key"))
 query("c6_add_missing", "dictionary", "SELECT locale, key, value FROM dictionary UNION ALL SELECT 'eo', key, concat('eo:', key) FROM (SELECT DISTINCT key FROM dictionary)", "dictionary")(lambda d: workflows.add_missing(d, d.select(F.lit("eo").alias("locale"), "key").distinct().withColumn("value", F.concat(F.lit("eo:"), F.col("key"))).unionByName(d.select("locale", "key", F.lit("never").alias("value")))))
-query("c7_expand_locales", "part dictionary", "SELECT DISTINCT slug, locale, concat('https://example.org', CASE WHEN locale = 'en' THEN '' ELSE concat('/', locale) END, '/', slug) AS url FROM (SELECT DISTINCT lower(p_brand) slug FROM part) CROSS JOIN (SELECT DISTINCT locale FROM dictionary UNION ALL SELECT 'en')", "dictionary")(lambda p, d: workflows.expand_locales(p.select(F.lower("p_brand").alias("slug")).distinct(), d.select("locale").distinct().unionByName(d.select(F.lit("en").alias("locale")).distinct()), "https://example.org").select("slug", "locale", "url"))
+query("c7_expand_locales", "part dictionary", "SELECT slug, locale, url, count(*) OVER (PARTITION BY slug) + 1 AS n_alternates, concat('https://example.org/', slug) AS x_default FROM (SELECT DISTINCT slug, locale, concat('https://example.org', CASE WHEN locale = 'en' THEN '' ELSE concat('/', locale) END, '/', slug) AS url FROM (SELECT DISTINCT lower(p_brand) slug FROM part WHERE p_brand <> 'Brand#1') CROSS JOIN (SELECT DISTINCT locale FROM dictionary UNION ALL SELECT 'en'))", "dictionary")(lambda p, d: workflows.expand_locales(p.select(F.lower("p_brand").alias("slug")).distinct(), d.select("locale").distinct().unionByName(d.select(F.lit("en").alias("locale")).distinct()), "https://example.org", p.where("p_brand = 'Brand#1'").select(F.lower("p_brand").alias("slug"))).select("slug", "locale", "url", F.size("alternates").cast("long").alias("n_alternates"), F.element_at("alternates", -1)["url"].alias("x_default")))
 query("g2_same_keys", "dictionary", "SELECT key, 'extra' AS side FROM (SELECT key FROM dictionary WHERE locale = 'es' EXCEPT ALL SELECT key FROM dictionary WHERE locale = 'fr') UNION ALL SELECT key, 'missing' FROM (SELECT key FROM dictionary WHERE locale = 'fr' EXCEPT ALL SELECT key FROM dictionary WHERE locale = 'es')", "dictionary")(lambda d: workflows.same_keys(d.where("locale = 'es'").select("key"), d.where("locale = 'fr'").select("key")))
 query("g5_toggle_set", "events", "SELECT user_id, event_id % 9 AS item FROM events GROUP BY ALL HAVING count(*) % 2 = 1")(lambda d: workflows.toggle_set(d.select("user_id", (F.col("event_id") % 9).alias("item")), "user_id", "item"))
-query("g6_subset_check", "files", "SELECT workflow_id, list(status ORDER BY seq) = ['queued', 'success'] AS matches FROM files GROUP BY workflow_id", "files")(lambda d: d.groupBy("workflow_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "status"))), lambda x: x["status"]).alias("s")).select("workflow_id", (F.col("s") == F.array(F.lit("queued"), F.lit("success"))).alias("matches")))
+query("g6_subset_check", "files", "SELECT workflow_id, list(status ORDER BY seq) = ['queued', 'success'] AS matches FROM files GROUP BY workflow_id", "files")(lambda d: workflows.matches_list(d, "workflow_id", "seq", "status", ["queued", "success"]))
 RECIPES = {"smaller-shareable-secure": "compress-watermark-protect-v1", "reorder-and-number": "organize-page-numbers-v1", "remove-standard-metadata": "privacy-scan-cleanup-v1"}  # fixed values
 _GOAL = "CASE event_id % 4 WHEN 0 THEN 'smaller-shareable-secure' WHEN 1 THEN 'reorder-and-number' WHEN 2 THEN 'remove-standard-metadata' ELSE 'other' END"
 query("c14_recommend_recipe", "events", f"SELECT event_id, goal, CASE goal WHEN 'smaller-shareable-secure' THEN 'compress-watermark-protect-v1' WHEN 'reorder-and-number' THEN 'organize-page-numbers-v1' WHEN 'remove-standard-metadata' THEN 'privacy-scan-cleanup-v1' END AS recipe, goal <> 'other' AS known FROM (SELECT event_id, {_GOAL} AS goal FROM events)")(lambda d: workflows.recommend(d.select("event_id", F.expr(_GOAL).alias("goal")), RECIPES))
@@ -151,7 +151,7 @@ query("k18_allowlist_check", "documents", "SELECT coalesce(a.name, b.name) AS na
 query("d6_median_size", "text_items", "SELECT doc_id, coalesce(nullif(median(font_size), 0), 10) AS body FROM text_items WHERE trim(str) <> '' GROUP BY doc_id", "text_items")(layout.body_size)
 query("d7_upper_median", "text_items", "SELECT doc_id, page_no, list_sort(list(font_size))[len(list(font_size)) // 2 + 1] AS size FROM text_items GROUP BY doc_id, page_no", "text_items")(layout.upper_median)
 query("d18_text_stats", "text_items", "SELECT doc_id, page_no, count(*) FILTER (WHERE trim(str) <> '') AS n_items, CAST(sum(length(trim(str))) AS BIGINT) AS n_chars FROM text_items GROUP BY ALL", "text_items")(layout.text_stats)
-query("d21_words_added", "doc_lines", "SELECT doc_id, CAST(sum(len(string_split(line, ' '))) AS BIGINT) AS words FROM doc_lines GROUP BY doc_id", "doc_lines")(lambda d: d.groupBy("doc_id").agg(F.sum(F.size(F.split("line", " "))).alias("words")))
+query("d21_words_added", "doc_lines", "SELECT doc_id, CAST(sum(len(string_split(line, ' '))) AS BIGINT) AS words FROM doc_lines GROUP BY doc_id", "doc_lines")(lambda d: d.groupBy("doc_id").agg(C.words_added(F.col("line")).alias("words")))
 query("f1_reading_order", "text_items", "SELECT doc_id, page_no, item_no, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY y DESC, x, item_no) AS place FROM text_items", "text_items")(lambda d: layout.reading_order(d).select("doc_id", "page_no", "item_no", "place"))
 query("c10_redact_pages", "text_items", "SELECT doc_id, page_no, item_no FROM text_items WHERE NOT (page_no = 1 AND doc_id % 3 = 0)", "text_items")(lambda d: layout.redact_pages(d, d.where("page_no = 1 and doc_id % 3 = 0").select("doc_id", "page_no")).select("doc_id", "page_no", "item_no"))
 query("c11_items_in_rects", "text_items page_boxes", "SELECT DISTINCT i.doc_id, i.page_no, i.item_no FROM text_items i JOIN page_boxes b USING (doc_id, page_no) WHERE x < 300 AND x + width > 100 AND y < 700 AND y + font_size > 600 AND doc_id % 2 = 0", "text_items", "page_boxes")(lambda d, b: layout.items_in_rects(d, b.where("doc_id % 2 = 0").select("doc_id", "page_no", F.lit(300.0).alias("x1"), F.lit(100.0).alias("x2"), F.lit(600.0).alias("y1"), F.lit(700.0).alias("y2"))))
@@ -167,7 +167,7 @@ _PARAS = _GAPS + ", paras AS (SELECT * EXCLUDE (ends), coalesce(sum(ends) OVER (
 _RENDERED = _PARAS + r""", kinds AS (SELECT *, CASE WHEN size / body >= 1.8 THEN 'heading1' WHEN size / body >= 1.5 THEN 'heading2' WHEN size / body >= 1.25 THEN 'heading3' WHEN size / body >= 1.1 THEN 'heading4' WHEN regexp_matches(trim(text), '^[-*•] +') THEN 'bullet' WHEN regexp_matches(trim(text), '^[0-9]{1,3}[.)] +') THEN 'ordered' ELSE 'paragraph' END AS kind
  FROM paras JOIN (SELECT doc_id, coalesce(nullif(median(font_size), 0), 10) AS body FROM text_items WHERE trim(str) <> '' GROUP BY doc_id) USING (doc_id)),
  bare AS (SELECT *, trim(regexp_replace(CASE kind WHEN 'bullet' THEN regexp_replace(trim(text), '^[-*•] +', '') WHEN 'ordered' THEN regexp_replace(trim(text), '^[0-9]{1,3}[.)] +', '') ELSE text END, '\s+', ' ', 'g')) AS t, CASE WHEN bold AND italic THEN '***' WHEN bold THEN '**' WHEN italic THEN '*' ELSE '' END AS mark FROM kinds),
- styled AS (SELECT *, CASE WHEN kind = 'paragraph' AND t <> '' THEN regexp_replace(mark || t || mark, '^([#\-*+>])', '\\\1') ELSE t END AS s, sum(CASE WHEN kind = 'paragraph' AND was = 'paragraph' AND paragraph = before THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, page_no ORDER BY line_no) AS block FROM (SELECT *, lag(kind) OVER w AS was, lag(paragraph) OVER w AS before FROM bare WINDOW w AS (PARTITION BY doc_id, page_no ORDER BY line_no))),
+ styled AS (SELECT *, CASE WHEN t = '' THEN t WHEN kind = 'paragraph' THEN mark || regexp_replace(t, '^([#\-*+>])', '\\\1') || mark WHEN kind LIKE 'heading%' THEN CASE WHEN italic THEN '*' || t || '*' ELSE t END ELSE mark || t || mark END AS s, sum(CASE WHEN kind = 'paragraph' AND was = 'paragraph' AND paragraph = before THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, page_no ORDER BY line_no) AS block FROM (SELECT *, lag(kind) OVER w AS was, lag(paragraph) OVER w AS before FROM bare WINDOW w AS (PARTITION BY doc_id, page_no ORDER BY line_no))),
  blocks AS (SELECT doc_id, page_no, block, any_value(kind) AS kind, string_agg(s, ' ' ORDER BY line_no) AS s FROM styled GROUP BY ALL),
  runs AS (SELECT *, sum(CASE WHEN kind = was THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, page_no ORDER BY block) AS run FROM (SELECT *, lag(kind) OVER (PARTITION BY doc_id, page_no ORDER BY block) AS was FROM blocks)),
  numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no, run ORDER BY block) AS n FROM runs)"""
@@ -192,34 +192,35 @@ _RUNS = f"""SELECT doc_id, line_no, CAST(row_number() OVER (PARTITION BY doc_id,
  UNION ALL SELECT doc_id, line_no, 2 * j + 1, trim(m, '*`'), CASE WHEN m LIKE '***%' THEN 'bold-italic' WHEN m LIKE '**%' THEN 'bold' WHEN m LIKE '*%' THEN 'italic' ELSE 'code' END FROM md_lines, unnest(regexp_extract_all(line, '{_INLINE}')) WITH ORDINALITY v(m, j)) WHERE text <> ''"""
 query("h2_parse_inline", "md_lines", _RUNS, "md_lines")(lambda d: d.select("doc_id", "line_no", F.posexplode(layout.parse_inline(F.col("line"))).alias("run_no", "r")).select("doc_id", "line_no", "run_no", "r.*"))
 query("h18_wrap_lines", "md_lines")(lambda d: layout.wrap_lines(layout.parse_blocks(d)))
-query("h17_image_page_size", "page_boxes", "SELECT doc_id, page_no, media_w * (842 / greatest(media_w, media_h)) AS w, media_h * (842 / greatest(media_w, media_h)) AS h FROM page_boxes", "page_boxes")(lambda d: d.select("doc_id", "page_no", (F.col("media_w") * (F.lit(842) / F.greatest("media_w", "media_h"))).alias("w"), (F.col("media_h") * (F.lit(842) / F.greatest("media_w", "media_h"))).alias("h")))
+query("h17_image_page_size", "page_boxes", "SELECT doc_id, page_no, media_w * (842 / greatest(media_w, media_h)) AS w, media_h * (842 / greatest(media_w, media_h)) AS h FROM page_boxes", "page_boxes")(lambda d: d.select("doc_id", "page_no", C.image_page_size(F.col("media_w"), F.col("media_h")).alias("s")).select("doc_id", "page_no", "s.*"))
 query("h19_clip_cell", "part", "SELECT p_partkey, substring(p_name, 1, greatest(1, p_size % 9)) AS clipped FROM part")(lambda d: d.select("p_partkey", C.clip_cell(F.col("p_name"), F.col("p_size") % 9).alias("clipped")))
-query("d17_column_count", "part", "SELECT max(len(string_split(p_name, ' '))) AS columns FROM part")(lambda d: d.agg(F.max(F.size(F.split("p_name", " "))).alias("columns")))
+query("d17_column_count", "part", "SELECT max(len(string_split(p_name, ' '))) AS columns FROM part")(lambda d: d.agg(C.column_count(F.split("p_name", " ")).alias("columns")))
 
 # --- web pages
 
 _TITLE = "nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')), '')"
-query("h10_extract_meta", "pages", f"SELECT page_id, {_TITLE} AS title, nullif(regexp_extract(html, '(?i)<meta\\s+name=\"description\"\\s+content=\"([^\"]*)\"', 1), '') AS description, coalesce(nullif(regexp_extract(html, '(?i)<meta\\s+name=\"twitter:title\"\\s+content=\"([^\"]*)\"', 1), ''), nullif(regexp_extract(html, '(?i)<meta\\s+property=\"og:title\"\\s+content=\"([^\"]*)\"', 1), ''), {_TITLE}, '') AS twitter_title FROM pages")(web.extract_meta)
+_META = lambda a, n: f"nullif(regexp_extract(regexp_extract(html, '(?i)(<meta\\b[^>]*\\b{a}=\"{n}\"[^>]*>)', 1), '(?i)\\bcontent=\"([^\"]*)\"', 1), '')"
+query("h10_extract_meta", "pages", f"SELECT page_id, {_TITLE} AS title, coalesce({_META('name', 'description')}, {_META('property', 'og:description')}) AS description, coalesce({_META('name', 'twitter:title')}, {_META('property', 'og:title')}, {_TITLE}, '') AS twitter_title, coalesce({_META('name', 'twitter:description')}, {_META('property', 'og:description')}, {_META('name', 'description')}, '') AS twitter_description FROM pages")(web.extract_meta)
 query("h12_rewrite_meta", "pages", "SELECT page_id, html LIKE '%<title>%' AND page_id % 2 = 0 AS changed, CASE WHEN page_id % 2 = 0 THEN regexp_replace(html, '(?is)(<title[^>]*>).*?(</title>)', concat('\\1New ', page_id, '\\2')) ELSE html END AS html FROM pages")(lambda d: web.rewrite_meta(d, d.where("page_id % 2 = 0").select("page_id", F.concat(F.lit("New "), F.col("page_id").cast("string")).alias("new_title"))).select("page_id", "changed", "html"))
 query("h20_link_table", "pages", _LINKS)(web.link_table)
-query("d19_distinct_hashes", "pages", "SELECT DISTINCT base64(unhex(sha256(s))) AS hash FROM (SELECT unnest(regexp_extract_all(html, '(?s)<script>(.*?)</script>', 1)) s FROM pages) WHERE trim(s) <> ''")(web.inline_scripts)
+query("d19_distinct_hashes", "pages", "SELECT DISTINCT base64(unhex(sha256(s))) AS hash FROM (SELECT unnest(regexp_extract_all(html, '(?is)<script([^>]*)>(.*?)</script>', 1)) AS a, unnest(regexp_extract_all(html, '(?is)<script([^>]*)>(.*?)</script>', 2)) AS s FROM pages) WHERE trim(s) <> '' AND NOT regexp_matches(a, '(?i)\\bsrc\\b')")(web.inline_scripts)
 query("h13_html_inspect", "pages", " UNION ALL ".join(f"SELECT page_id, '{c}' AS category, CAST(len(regexp_extract_all(html, '{p}')) AS BIGINT) AS n FROM pages" for c, p in web.CATEGORIES.items()))(web.html_inspect)
 _FIG = "SELECT page_id, figures, figures - described AS missing, has_lang, has_title FROM (SELECT page_id, CAST(len(regexp_extract_all(html, '(?i)<img\\b')) AS BIGINT) figures, CAST(len(regexp_extract_all(html, '(?i)<img\\b[^>]*\\salt=\"[^\"]+\"')) AS BIGINT) described, regexp_matches(html, '(?i)<html[^>]*\\slang=\"[^\"]+\"') AS has_lang, " + _TITLE + " IS NOT NULL AS has_title FROM pages)"
 query("d14_figure_readiness", "pages", _FIG)(web.figure_readiness)
 query("d3_doctor_summary", "pages", f"SELECT page_id, least(figures, 100000) AS figures, least(missing, 100000) AS missing, has_lang, has_title, missing = 0 AND has_lang AND has_title AS ready FROM ({_FIG})")(web.doctor_summary)
 query("d12_action_count", "pages", "SELECT page_id, CAST(len(regexp_extract_all(html, 'href=')) + len(regexp_extract_all(html, 'src=')) AS BIGINT) AS actions FROM pages")(lambda d: d.select("page_id", C.action_count(F.create_map(*[x for a in ("href", "src") for x in (F.lit(a), F.regexp_extract_all("html", F.lit(a + "="), F.lit(0)))])).alias("actions")))
 query("d20_warnings", "pages", f"SELECT page_id, array_to_string(list_filter([CASE WHEN missing > 0 THEN 'figures without text' END, CASE WHEN NOT has_lang THEN 'no language' END, CASE WHEN NOT has_title THEN 'no title' END], lambda x: x IS NOT NULL), ',') AS warnings FROM ({_FIG})")(web.warnings)
-query("k8_audit_pages", "pages", "SELECT * FROM (" + " UNION ALL ".join(f"SELECT page_id, '{t}' AS rule, CAST(len(regexp_extract_all(html, '(?i)<{t}\\b')) AS BIGINT) AS n FROM pages" for t in ("title", "body", "html", "main")) + ") WHERE n <> 1")(web.audit_pages)
+query("k8_audit_pages", "pages", "SELECT * FROM (" + " UNION ALL ".join(f"SELECT page_id, '{t}' AS rule, CAST(len(regexp_extract_all(html, '{p}')) AS BIGINT) AS n FROM pages" for t, p in web.PARTS.items()) + """) WHERE n <> 1 UNION ALL SELECT page_id, 'json-ld', CAST(len(list_filter(regexp_extract_all(html, '(?is)<script type="application/ld\\+json">(.*?)</script>', 1), lambda x: NOT json_valid(x))) AS BIGINT) AS n FROM pages WHERE n > 0""")(web.audit_pages)
 _LD = """SELECT page_id, CAST(j - 1 AS INT) AS block_no, json_valid(json) AS valid, CASE WHEN json_valid(json) THEN json_extract_string(json, '$."@type"') END AS type FROM (SELECT page_id, html || '<script type="application/ld+json">' || CASE WHEN page_id % 3 = 0 THEN '{broken' ELSE '{"@type":"WebPage"}' END || '</script>' AS html FROM pages), unnest(regexp_extract_all(html, '(?is)<script type="application/ld\\+json">(.*?)</script>', 1)) WITH ORDINALITY u(json, j)"""
 query("h11_extract_jsonld", "pages", _LD)(lambda d: web.extract_jsonld(d.withColumn("html", F.concat("html", F.lit('<script type="application/ld+json">'), F.when(F.col("page_id") % 3 == 0, "{broken").otherwise('{"@type":"WebPage"}'), F.lit("</script>")))))
 _GRAPH = """SELECT slug, '{"@context":"https://schema.org","@graph":[{"@type":"SoftwareApplication","name":' || to_json(name) || ',"url":"' || url || '"},{"@type":"BreadcrumbList","itemListElement":[{"@type":"ListItem","position":1,"name":"Home","item":"https://example.org"},{"@type":"ListItem","position":2,"name":' || to_json(name) || ',"item":"' || url || '"}]}]}' AS jsonld FROM (SELECT lower(p_name) AS slug, p_name AS name, 'https://example.org/' || lower(p_name) AS url FROM part)"""
 query("h21_build_jsonld", "part", _GRAPH)(lambda d: web.build_jsonld(d.select(F.lower("p_name").alias("slug"), F.col("p_name").alias("name")), "https://example.org"))
 query("a5_read_url_list", "pages", "SELECT url FROM pages WHERE url LIKE 'https://%'")(lambda d: web.read_url_list(d.select(F.concat(F.lit("<url><loc>"), F.col("url"), F.lit("</loc></url>")).alias("text"))))
-query("g4_duplicate_urls", "pages", "SELECT url, count(*) AS n FROM (SELECT regexp_extract(url, '^[a-z]+://[^/]+') AS url FROM pages) GROUP BY url HAVING count(*) > 1")(lambda d: web.duplicate_urls(d.select(F.regexp_extract("url", "^([a-z]+://[^/]+)", 1).alias("url"))))
+query("g4_duplicate_urls", "pages", "WITH u AS (SELECT regexp_extract(url, '^[a-z]+://[^/]+/?[^/]*') AS url FROM pages), h AS (SELECT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS value, count(*) AS n FROM u GROUP BY 1) SELECT 'duplicate' AS problem, url AS value, count(*) AS n FROM u GROUP BY url HAVING count(*) > 1 UNION ALL SELECT 'host', value, n FROM h WHERE (SELECT count(*) FROM h) > 1 UNION ALL SELECT 'count', NULL, count(*) FROM u HAVING count(*) NOT BETWEEN 1 AND 10000")(lambda d: web.check_url_list(d.select(F.regexp_extract("url", "^([a-z]+://[^/]+/?[^/]*)", 1).alias("url"))))
 query("k13_set_block", "pages", "SELECT page_id, page_id % 2 = 0 AS matched, CASE WHEN page_id % 2 = 0 THEN concat('<head>', chr(10), '<!-- images -->', chr(10), html) ELSE html END AS html FROM pages")(lambda d: web.set_block(d.withColumn("html", F.when(F.col("page_id") % 2 == 0, F.concat(F.lit('<head>\n<meta property="og:image" content="a">\n <meta property="og:image:width" content="b">\n'), F.col("html"))).otherwise(F.col("html"))), "<!-- images -->\n").select("page_id", "matched", "html"))
 query("h9_html_to_markdown", "pages")(web.html_to_markdown)
 query("h14_html_diagnose", "pages")(web.html_diagnose)
-query("a7_page_source", "pages", "SELECT page_id, url, CAST(octet_length(encode(html)) AS BIGINT) AS bytes FROM pages")(lambda d: d.select("page_id", "url", F.octet_length("html").cast("long").alias("bytes")))
+query("a7_page_source", "pages", "SELECT page_id, url, nullif(regexp_extract(url, '([^/?#]*)(?:[?#].*)?$', 1), '') AS name, CAST(octet_length(encode(html)) AS BIGINT) AS bytes, sha256(html) AS content FROM pages")(lambda d: web.page_source(d).withColumn("content", F.sha2("content", 256)))
 
 # --- sources and sinks: written to the shared folder and read back
 
@@ -252,12 +253,18 @@ ORACLE["a8_write_text_docs"] = "SELECT 'doc' || doc_id || '.md' AS name, coalesc
 
 @_written("a1_scan_files")
 def _a1(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
-    view(spark, sf_dir, "benchmark").select(F.concat(F.lit("%PDF-1.7 "), F.coalesce("text", F.lit(""))).alias("value")).repartition(4).write.text(folder)
-    found, _ = sources.scan_files(spark, folder, ["text"])
-    return found.select(sources.check_magic(F.col("content")).alias("detected"), "kind").distinct()
+    """A file for each source and language of the documents, some of another kind: a row for each that is read, and how many are skipped."""
+    docs = view(spark, sf_dir, "documents").select(F.concat(F.lit("%PDF-1.7 "), F.translate(F.coalesce("text", F.lit("")), "\n\r", "  ")).alias("value"), F.coalesce("source", F.lit("none")).alias("source"), F.coalesce("lang", F.lit("none")).alias("lang"))
+    text = docs.where("lang in ('en', 'de')")
+    text.repartition("source", "lang").write.partitionBy("source", "lang").text(folder)
+    docs.where("lang not in ('en', 'de')").repartition("source", "lang").write.mode("append").partitionBy("source", "lang").json(folder)
+    found, skipped = sources.scan_files(spark, folder, ["text"])
+    place = F.concat_ws("/", *[F.regexp_extract("path", f"/{k}=([^/]*)/", 1) for k in ("source", "lang")]).alias("place")
+    told = found.select(place, "kind", sources.check_magic(F.col("content")).alias("detected"))
+    return told.unionByName(skipped.select(F.col("extension").alias("place"), F.lit("skipped").alias("kind"), F.col("n").cast("string").alias("detected")))
 
 
-ORACLE["a1_scan_files"] = "SELECT 'pdf' AS detected, 'text' AS kind"
+ORACLE["a1_scan_files"] = "WITH f AS (SELECT DISTINCT coalesce(source, 'none') AS source, coalesce(lang, 'none') AS lang FROM documents) SELECT source || '/' || lang AS place, 'text' AS kind, 'pdf' AS detected FROM f WHERE lang IN ('en', 'de') UNION ALL SELECT 'json', 'skipped', CAST(count(*) AS VARCHAR) FROM f WHERE lang NOT IN ('en', 'de')"
 
 
 @_written("a4_read_sheet_rows")
@@ -282,6 +289,9 @@ query("i2_expire_state", "files", f"SELECT file_id, coalesce(expires_at, updated
 query("i3_drop_stale", "events", "SELECT event_id, user_id FROM (SELECT *, max(g) OVER (PARTITION BY user_id ORDER BY event_id) m FROM (SELECT event_id, user_id, event_id % 17 AS g FROM events)) WHERE g = m")(lambda d: queues.drop_stale(d.select("user_id", F.col("event_id").alias("seq"), (F.col("event_id") % 17).alias("g")), "user_id", "g").select(F.col("seq").alias("event_id"), "user_id"))
 query("i4_reserve_quota", "files", "WITH RECURSIVE files AS (SELECT o_custkey workflow_id, o_orderkey file_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) seq, CAST(floor(o_totalprice * 1000) AS BIGINT) size FROM orders), r AS (SELECT workflow_id, CAST(0 AS BIGINT) AS seq, 0 AS n, CAST(0 AS BIGINT) AS bytes, CAST(NULL AS BIGINT) AS file_id FROM files WHERE seq = 1 UNION ALL SELECT f.workflow_id, f.seq, r.n + CASE WHEN r.n < 5 AND r.bytes + f.size <= 400000000 THEN 1 ELSE 0 END, r.bytes + CASE WHEN r.n < 5 AND r.bytes + f.size <= 400000000 THEN f.size ELSE 0 END, CASE WHEN r.n < 5 AND r.bytes + f.size <= 400000000 THEN f.file_id END FROM r JOIN files f ON f.workflow_id = r.workflow_id AND f.seq = r.seq + 1) SELECT workflow_id, file_id FROM r WHERE file_id IS NOT NULL")(lambda d: queues.reserve_quota(d, 5, 400_000_000))
 query("i5_progress_windows", "events", "SELECT time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') AS begins, count(*) AS events, count(*) FILTER (WHERE event_type = 'error') AS errors FROM events GROUP BY 1")(queues.progress_windows)
+query("i5_sliding_windows", "events", "SELECT begins, count(*) AS events, count(*) FILTER (WHERE event_type = 'error') AS errors FROM (SELECT time_bucket(INTERVAL 30 MINUTE, ts, TIMESTAMP '1970-01-01') - k * INTERVAL 30 MINUTE AS begins, event_type FROM events, (VALUES (0), (1)) w(k)) GROUP BY 1")(lambda d: queues.progress_windows(d, slide="30 minutes"))
+query("i5_sessions", "events", "SELECT user_id, min(ts) AS begins, count(*) AS events, count(*) FILTER (WHERE event_type = 'error') AS errors FROM (SELECT *, sum(CASE WHEN ts < was + INTERVAL 30 MINUTE THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM events)) GROUP BY user_id, s")(lambda d: queues.progress_sessions(d, "user_id"))
+query("i5_percent", "doc_pages", "SELECT doc_id, max(CAST(floor(100.0::DOUBLE * page_no / page_count + 0.5) AS BIGINT)) AS percent FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) + 2 AS page_count FROM doc_pages) GROUP BY doc_id", "doc_pages")(lambda d: queues.progress_percent(d.select("doc_id", F.col("page_no").alias("page"), (F.count("*").over(Window.partitionBy("doc_id")) + 2).alias("page_count")), "doc_id"))
 query("i6_debounce", "events", "SELECT event_id FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS after FROM events) WHERE after IS NULL OR after > ts + INTERVAL 10 MINUTE")(lambda d: queues.debounce(d, "10 MINUTES", "user_id").select("event_id"))
 query("i7_restore", "files", "SELECT file_id, status, greatest(0, least(2, step)) AS step FROM files", "files")(lambda d: queues.restore(d, 2).select("file_id", "status", "step"))
 
@@ -301,7 +311,7 @@ def _i8(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
     sink, orders = queues.idempotent_sink(folder), view(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
     for batch in (0, 1, 1):  # the second batch runs twice
         sink(orders.where(F.col("o_orderkey") % 2 == batch), batch)
-    return spark.read.schema(orders.schema).parquet(f"{folder}/batch_id=*")
+    return queues.current(spark, folder, orders.schema)
 
 
 ORACLE["i8_idempotent_sink"] = "SELECT o_orderkey, o_orderstatus FROM orders"
@@ -319,7 +329,7 @@ _ASKED = "CASE event_id % 4 WHEN 0 THEN map('start', CAST(user_id * event_id % 1
 query("k1_check_params", "events", f"""SELECT event_id, step, CASE WHEN step = 'other-v1' THEN 'unknown step' WHEN step = 'metadata-cleanup-v1' THEN 'unknown parameter' WHEN step = 'organize-pages-v1' AND given <> 'reverse' AND given <> 'keep' THEN 'invalid order' WHEN step = 'page-numbers-v1' AND CAST(given AS BIGINT) NOT BETWEEN 1 AND 100000 THEN 'invalid start' END AS problem,
  CASE WHEN step = 'organize-pages-v1' THEN given END AS "order", CASE WHEN step IN ('page-numbers-v1', 'metadata-cleanup-v1') THEN given END AS start
  FROM (SELECT event_id, {_STEP} AS step, CASE event_id % 4 WHEN 0 THEN CAST(user_id * event_id % 150 * 1000 - 2000 AS VARCHAR) WHEN 1 THEN CASE event_type WHEN 'view' THEN 'keep' WHEN 'error' THEN 'reverse' ELSE coalesce(event_type, 'reverse') END WHEN 2 THEN '1' END AS given FROM events)""")(lambda d: recipes.check_params(d.replace({"view": "keep", "error": "reverse"}, subset=["event_type"]).select("event_id", F.expr(_STEP).alias("step"), F.expr(_ASKED).alias("params"))).select("event_id", "step", "problem", F.try_element_at("params", F.lit("order")).alias("order"), F.try_element_at("params", F.lit("start")).alias("start")))
-query("k16_stamp_ttl", "files", f"SELECT file_id, updated_at AS created_at, {NOW} AS updated_at, coalesce(expires_at, {NOW} + INTERVAL 1 DAY) AS expires_at FROM files", "files")(lambda d: workflows.stamp_ttl(d.withColumn("created_at", F.col("updated_at")), F.expr(NOW)).select("file_id", "created_at", "updated_at", "expires_at"))
+query("k16_stamp_ttl", "files", f"SELECT file_id, updated_at AS created_at, {NOW} AS updated_at, coalesce(expires_at, {NOW} + INTERVAL 1 DAY) AS expires_at, 1 AS version FROM files", "files")(lambda d: workflows.stamp_ttl(d.withColumn("created_at", F.col("updated_at")), F.expr(NOW)).select("file_id", "created_at", "updated_at", "expires_at", "version"))
 query("j6_merge_v1", "conversations", "SELECT conv_id, turn AS page_no, input_no, row_number() OVER (PARTITION BY conv_id ORDER BY input_no, turn) AS new_page FROM (SELECT *, max(input_no) OVER (PARTITION BY conv_id) > min(input_no) OVER (PARTITION BY conv_id) AS several FROM (SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN 1 ELSE 0 END AS input_no FROM conversations)) WHERE several")(lambda d: recipes.merge_v1([d.where(r).select("conv_id", F.col("turn").alias("page_no")) for r in ("coalesce(role <> 'assistant', true)", "role = 'assistant'")], "conv_id"))
 
 

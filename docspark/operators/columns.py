@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LANGUAGES = ["es", "fr", "de", "pt", "it", "ru", "ja", "ko", "zh", "zh-TW", "ar", "hi", "tr", "nl", "pl", "id", "vi", "th", "uk", "cs", "sv"]  # fixed values
@@ -52,8 +52,10 @@ def action_count(actions: Column) -> Column:
 
 
 def fill_template(template: Column, params: Column) -> Column:
-    """{name} replaced for each entry of the map; unknown names stay."""
-    return F.reduce(F.map_entries(params), template, lambda acc, e: F.replace(acc, F.concat(F.lit("{"), e["key"], F.lit("}")), e["value"]))
+    """{name} replaced for each entry of the map, all at once: what a value holds is not replaced again. Unknown names stay."""
+    name = r"\{[^{}]*\}"
+    value = lambda n: F.coalesce(F.try_element_at(params, F.substring(n, F.lit(2), F.length(n) - 2)), n)
+    return F.array_join(F.zip_with(F.split(template, name, -1), F.regexp_extract_all(template, F.lit(name), F.lit(0)), lambda part, n: F.concat(part, F.coalesce(value(n), F.lit("")))), "")
 
 
 def page_label(style: Column, n: Column, total: Column) -> Column:
@@ -82,13 +84,15 @@ def quality_level(v: Column) -> Column:
     return F.struct(F.when(v <= 50, 0.85 + low * 0.45).otherwise(1.3 + high * 0.7).alias("scale"), F.when(v <= 50, 0.55 + low * 0.23).otherwise(0.78 + high * 0.12).alias("quality"))
 
 
+#: the labels and their bounds are fixed values
 def quality_label(v: Column) -> Column:
     return F.when(v < 20, "Smallest file").when(v < 40, "Smaller file").when(v <= 60, "Balanced").when(v < 80, "Good quality").otherwise("Highest quality")
 
 
-def encodable_text(s: Column, most: int = 40) -> Column:
-    """Printable ASCII only, at most so many characters; dropped tells whether anything went, text is null if nothing is left."""
-    ascii_ = F.regexp_replace(s, r"[^\x20-\x7e]", "")
+def encodable_text(s: Column, most: int = 40, latin: bool = False) -> Column:
+    """Printable ASCII only, at most so many characters; dropped tells whether anything went, text is null if nothing is left.
+    latin: printable Latin-1 stays, and a question mark stands for what does not."""
+    ascii_ = F.regexp_replace(s, r"[^\x20-\x7e\xa0-\xff]", "?") if latin else F.regexp_replace(s, r"[^\x20-\x7e]", "")
     return F.struct(F.nullif(F.substring(F.trim(ascii_), 1, most), F.lit("")).alias("text"), (ascii_ != s).alias("dropped"))
 
 
@@ -183,3 +187,44 @@ def clip_cell(s: Column, width: Column) -> Column:
 
 def available_actions(queued: Column, running: Column, failed: Column, locked: Column) -> Column:
     return F.array_compact(F.array(F.when(queued | running, "cancel"), F.when(failed, "retry"), F.when(~locked, "normalise")))
+
+
+# --- metadata, permissions, sizes
+
+#: fields of a document's metadata (fixed values)
+FIELDS = ["title", "author", "subject", "keywords", "creator", "producer"]
+
+
+def set_metadata(df: DataFrame, values: dict[str, Column], now: Column) -> DataFrame:
+    """df with the given fields overwritten (others stay as they are) and the time of modification."""
+    unknown = set(values) - set(FIELDS)
+    if unknown:
+        raise ValueError(f"no such field: {sorted(unknown)}")
+    return df.withColumns({**values, "modified": now})
+
+
+def carry_metadata(df: DataFrame, source: str, fields: list[str]) -> DataFrame:
+    """Fields copied from the struct source where it has one that is not null and not empty; a value that does not fit the field's type is skipped."""
+    return df.withColumns({c: F.coalesce(F.nullif(F.col(f"{source}.{c}").cast("string"), F.lit("")).try_cast(df.schema[c].dataType), F.col(c)) for c in fields})
+
+
+def map_permissions(printing: Column, copying: Column, editing: Column) -> Column:
+    """Choices as flags; printing has three levels, and content is always accessible."""
+    level = F.when(printing == "none", "none").when(printing == "low", "lowResolution").otherwise("highResolution")
+    return F.struct(level.alias("printing"), F.coalesce(copying, F.lit(False)).alias("copying"), F.coalesce(editing, F.lit(False)).alias("modifying"), F.lit(True).alias("accessibility"))
+
+
+def image_page_size(width: Column, height: Column, edge: int = 842) -> Column:
+    """Width and height scaled so that the longer edge is ``edge``."""
+    scale = F.lit(edge) / F.greatest(width, height)
+    return F.struct((width * scale).alias("w"), (height * scale).alias("h"))
+
+
+def column_count(row: Column) -> Column:
+    """The widest of all rows (arrays)."""
+    return F.max(F.size(row))
+
+
+def words_added(line: Column) -> Column:
+    """Words of all lines, cut at single spaces."""
+    return F.sum(F.size(F.split(line, " ")))

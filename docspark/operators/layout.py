@@ -135,14 +135,15 @@ def table_cells(items: DataFrame) -> DataFrame:
 
 
 def render_markdown(lines: DataFrame, body: DataFrame) -> DataFrame:
-    """doc_id, page_no, text: headings, lists numbered anew, paragraphs with emphasis."""
+    """doc_id, page_no, text: headings (italics stay), lists numbered anew, list items and paragraphs with emphasis."""
     df = paragraph_break(gap_to_next(lines)).join(body, "doc_id")
     df = df.withColumn("c", classify_line(F.col("size"), F.col("body"), F.trim("text"))).withColumn("kind", F.col("c.kind")).withColumn("t", squeezed(F.col("c.text")))
     by = Window.partitionBy(*PAGE).orderBy("line_no")
     plain = F.col("kind") == "paragraph"
     begins = F.when(~plain | (F.lag("kind").over(by) != "paragraph") | F.lag("kind").over(by).isNull() | (F.col("paragraph") != F.lag("paragraph").over(by)), 1).otherwise(0)
     df = df.withColumn("block", F.sum(begins).over(by))
-    styled = F.when(plain, escape_leading_token(wrap_emphasis(F.col("t"), F.col("bold"), F.col("italic")))).otherwise(F.col("t"))
+    no = F.lit(False)  # headings are bold as they are
+    styled = F.when(plain, wrap_emphasis(escape_leading_token(F.col("t")), F.col("bold"), F.col("italic"))).when(F.col("kind").startswith("heading"), wrap_emphasis(F.col("t"), no, F.col("italic"))).otherwise(wrap_emphasis(F.col("t"), F.col("bold"), F.col("italic")))
     blocks = df.withColumn("s", styled).groupBy(*PAGE, "block").agg(F.first("kind").alias("kind"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "s"))), lambda x: x["s"]), " ").alias("s"))
     by = Window.partitionBy(*PAGE).orderBy("block")
     run = F.sum(F.when(F.col("kind") == F.lag("kind").over(by), 0).otherwise(1)).over(by)

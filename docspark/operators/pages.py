@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docspark.operators.columns import rotate_angle
@@ -13,7 +13,15 @@ def select_pages(pages: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def delete_pages(pages: DataFrame, unwanted: DataFrame) -> DataFrame:
-    return pages.join(unwanted, ["doc_id", "page_no"], "left_anti")
+    """The other pages. A document of which nothing is left has one row, with page_no null and a problem."""
+    left = pages.join(unwanted, ["doc_id", "page_no"], "left_anti")
+    return _told(left, pages, "nothing is left")
+
+
+def _told(left: DataFrame, before: DataFrame, problem: str) -> DataFrame:
+    """left with a column problem (null), and for each document of before that it lacks one row with the problem and nothing else."""
+    gone = before.select("doc_id").distinct().join(left.select("doc_id").distinct(), "doc_id", "left_anti").withColumn("problem", F.lit(problem))
+    return left.withColumn("problem", F.lit(None).cast("string")).unionByName(gone, allowMissingColumns=True)
 
 
 def renumber(pages: DataFrame, *order: str) -> DataFrame:
@@ -35,11 +43,13 @@ def reverse_pages(pages: DataFrame) -> DataFrame:
 
 
 def apply_order(items: DataFrame, order: DataFrame) -> DataFrame:
-    """Items at their new positions; a group whose order is no permutation of its ids is left out."""
+    """Items at their new positions; where a group's order is no permutation of its ids, its items have none, and a problem."""
     both = items.withColumn("here", F.lit(1)).join(order.withColumn("there", F.lit(1)), ["doc_id", "page_no"], "full")
     by = Window.partitionBy("doc_id")
     bad = F.sum(F.when(F.col("here").isNull() | F.col("there").isNull(), 1).otherwise(0)).over(by)
-    return both.withColumn("bad", bad).where("bad = 0").drop("bad", "here", "there")
+    told = both.withColumn("bad", bad > 0).where("here is not null")
+    told = told.withColumn("problem", F.when(F.col("bad"), "order is no permutation"))
+    return told.withColumns({c: F.when(~F.col("bad"), F.col(c)) for c in order.columns if c not in ("doc_id", "page_no")}).drop("bad", "here", "there")
 
 
 def merge_documents(inputs: DataFrame) -> DataFrame:
@@ -79,14 +89,18 @@ def split_each(pages: DataFrame) -> DataFrame:
 
 
 def organize(pages: DataFrame, edits: DataFrame) -> DataFrame:
-    """edits: doc_id, page_no, keep, position, turn. Kept pages at their new places with their rotation turned."""
+    """edits: doc_id, page_no, keep, position, turn. Kept pages at their new places with their rotation turned; a document of which
+    nothing is kept has one row with a problem."""
     kept = pages.join(edits, ["doc_id", "page_no"]).where("keep")
     kept = kept.withColumn("rotation", rotate_angle(F.col("rotation"), F.col("turn")))
-    return kept.withColumn("new_page", F.row_number().over(Window.partitionBy("doc_id").orderBy("position", "page_no")).cast("long"))
+    placed = kept.withColumn("new_page", F.row_number().over(Window.partitionBy("doc_id").orderBy("position", "page_no")).cast("long"))
+    return _told(placed, pages, "nothing is kept")
 
 
-def rotation_hint(boxes: DataFrame) -> DataFrame:
-    return boxes.groupBy("doc_id").agg(F.count("*").alias("pages"), F.count_if(F.col("rotation") != 0).alias("rotated"))
+def rotation_hint(boxes: DataFrame, keep: Column | None = None) -> DataFrame:
+    """Pages, those kept, removed, and those kept that are rotated, of each document."""
+    kept = F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))
+    return boxes.groupBy("doc_id").agg(F.count("*").alias("pages"), F.count_if(kept).alias("kept"), F.count_if(~kept).alias("removed"), F.count_if(kept & (F.col("rotation") != 0)).alias("rotated"))
 
 
 def box_issues(boxes: DataFrame, limit: int = 100) -> DataFrame:
@@ -97,12 +111,14 @@ def box_issues(boxes: DataFrame, limit: int = 100) -> DataFrame:
 
 
 def estimate_size(pages: DataFrame) -> DataFrame:
-    """doc_id, bytes estimated from at most five sampled pages, and the exact sum. pages: doc_id, page_no, size."""
+    """doc_id, bytes estimated from at most five sampled pages, the exact sum, and the change in percent. pages: doc_id, page_no, size."""
     n = F.count("*").over(Window.partitionBy("doc_id"))
     sampled = sample_pages(pages.withColumn("all", n).withColumn("exact", F.sum("size").over(Window.partitionBy("doc_id"))))
     one, rest = F.sum(F.when(F.col("page_no") == 1, F.col("size"))), F.avg(F.when(F.col("page_no") > 1, F.col("size")))
     body = F.when(F.max("all") <= 5, F.sum("size")).otherwise(one + rest * (F.max("all") - 1))
-    return sampled.groupBy("doc_id").agg(F.floor(body + 300 * F.max("all") + 1000 + 0.5).alias("estimate"), F.max("exact").alias("exact"))
+    sizes = sampled.groupBy("doc_id").agg(F.floor(body + 300 * F.max("all") + 1000 + 0.5).alias("estimate"), F.max("exact").alias("exact"))
+    change = F.floor((F.col("estimate") - F.col("exact")) * 100.0 / F.nullif(F.col("exact"), F.lit(0)) + 0.5)
+    return sizes.withColumn("percent", change.cast("long"))
 
 
 def document_text(pages: DataFrame, rule: bool = False) -> DataFrame:

@@ -60,9 +60,10 @@ def category_counts(findings: DataFrame) -> DataFrame:
 
 
 def privacy_summary(findings: DataFrame, cap: int = 100) -> DataFrame:
-    """One row a document: findings (at most cap), whether there were more, and categories."""
+    """One row a document: findings (at most cap), whether the cap was reached, how many categories, and the findings of each."""
     n = F.count("*")
-    return findings.groupBy("doc_id").agg(F.least(n, F.lit(cap)).cast("long").alias("findings"), (n > cap).alias("truncated"), F.count_distinct("category").alias("categories"))
+    each = [F.count_if(F.col("category") == c).alias("n_" + c.replace("-", "_")) for c, _, _ in SENSITIVE]
+    return findings.groupBy("doc_id").agg(F.least(n, F.lit(cap)).cast("long").alias("findings"), (n >= cap).alias("truncated"), F.count_distinct("category").alias("categories"), *each)
 
 
 def metadata_scan(df: DataFrame, fields: list[str]) -> DataFrame:
@@ -75,16 +76,41 @@ def clean_metadata(df: DataFrame, fields: list[str]) -> DataFrame:
     return df.withColumns({c: F.lit(None).cast(df.schema[c].dataType) for c in fields})
 
 
+_TOKEN = r"[^\p{L}\p{N}]+"
+
+
+def _containing(rows: DataFrame, value: str, phrases: DataFrame, phrase: str) -> DataFrame:
+    """rows joined with the phrases that their value contains.
+
+    A word inside a phrase, with others on both sides, is a whole word of every text that contains it. So each phrase meets the texts by its longest
+    such word, in an equi-join, and only these are searched. Phrases of fewer than three words meet all texts."""
+    words = F.split(phrase, _TOKEN, -1)
+    inner = F.filter(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))), lambda w: w != "")
+    longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    keyed = phrases.withColumn("word", longest)
+    keyed_rows = rows.withColumn("row", F.xxhash64(value))  # equal values are searched as one
+    words = keyed_rows.select("row", F.explode(F.array_distinct(F.split(value, _TOKEN, -1))).alias("word"))
+    met = words.join(keyed.where("word is not null"), "word").drop("word").distinct()
+    long = keyed_rows.join(met, "row").where(F.contains(value, phrase))
+    short = keyed_rows.join(keyed.where("word is null"), F.contains(value, phrase))
+    columns = [*rows.columns, *phrases.columns]
+    return long.select(*columns).unionByName(short.select(*columns))
+
+
 def banned_phrases(docs: DataFrame, phrases: DataFrame) -> DataFrame:
-    """(doc_id, phrase) for each forbidden phrase in a text. phrases is a stated list: a single column, joined as it is small by contract."""
+    """(doc_id, phrase) for each forbidden phrase in a text, regardless of case."""
     low = docs.select("doc_id", F.lower("text").alias("low"))  # once a text, not once a phrase
-    wanted = phrases.select("phrase", F.lower("phrase").alias("low_phrase"))
-    return low.join(F.broadcast(wanted), F.contains("low", "low_phrase")).select("doc_id", "phrase")
+    return _containing(low, "low", phrases.select("phrase", F.lower("phrase").alias("low_phrase")), "low_phrase").select("doc_id", "phrase")
 
 
 def leak_check(rows: DataFrame, needles: DataFrame) -> DataFrame:
     """Needles found in outgoing rows, with how often."""
-    return rows.join(F.broadcast(needles), F.contains("value", "needle")).groupBy("needle").agg(F.count("*").alias("n"))
+    return _containing(rows.select("value"), "value", needles, "needle").groupBy("needle").agg(F.count("*").alias("n"))
+
+
+def invisible_ops(ops: DataFrame, by: str, mode: Column) -> DataFrame:
+    """by, n: operations whose text mode draws nothing (both low bits set)."""
+    return ops.groupBy(by).agg(F.count_if(mode.bitwiseAND(3) == 3).alias("n"))
 
 
 def public_summary(findings: DataFrame) -> DataFrame:
@@ -92,8 +118,10 @@ def public_summary(findings: DataFrame) -> DataFrame:
     return findings.groupBy("category", "confidence").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("documents"))
 
 
-def error_rollup(events: DataFrame, cap: int = 100_000, categories: int = 30) -> DataFrame:
-    """Per key: errors counted up to the cap, its categories in first-seen order."""
+def error_rollup(events: DataFrame, cap: int = 100_000, categories: int = 30, locations: int = 100) -> DataFrame:
+    """Per key: errors counted up to the cap (truncated: it was reached), its categories in first-seen order, and where the first ones are."""
     each = events.groupBy("key", "category").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
     seen = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("first", "category"))), 1, categories), lambda x: x["category"])
-    return each.groupBy("key").agg(F.least(F.sum("n"), F.lit(cap)).alias("errors"), F.array_join(seen, ",").alias("categories"))
+    sums = each.groupBy("key").agg(F.least(F.sum("n"), F.lit(cap)).alias("errors"), (F.sum("n") >= cap).alias("truncated"), F.array_join(seen, ",").alias("categories"))
+    ranked = events.select("key", "seq", F.row_number().over(Window.partitionBy("key").orderBy("seq")).alias("k")).where(F.col("k") <= locations)
+    return sums.join(ranked.groupBy("key").agg(F.array_join(F.array_sort(F.collect_list("seq")), ",").alias("locations")), "key")

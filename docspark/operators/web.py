@@ -20,13 +20,18 @@ def title(html: Column) -> Column:
 
 
 def meta(html: Column, attribute: str, name: str) -> Column:
-    return F.nullif(F.regexp_extract(html, rf'(?i)<meta\s+{attribute}="{name}"\s+content="([^"]*)"', 1), F.lit(""))
+    """content of the first meta element with that attribute, in whatever order its attributes stand."""
+    tag = F.regexp_extract(html, rf'(?i)(<meta\b[^>]*\b{attribute}="{name}"[^>]*>)', 1)
+    return F.nullif(F.regexp_extract(tag, r'(?i)\bcontent="([^"]*)"', 1), F.lit(""))
 
 
 def extract_meta(pages: DataFrame, default: str = "") -> DataFrame:
-    """page_id, title, description, twitter_title (own, else og's, else the title, else the default)."""
+    """page_id, title, description (own, else og's), twitter_title and twitter_description (own, else og's, else the page's, else the default)."""
     h = F.col("html")
-    return pages.select("page_id", title(h).alias("title"), meta(h, "name", "description").alias("description"), F.coalesce(meta(h, "name", "twitter:title"), meta(h, "property", "og:title"), title(h), F.lit(default)).alias("twitter_title"))
+    own = F.coalesce(meta(h, "name", "description"), meta(h, "property", "og:description"))
+    named = F.coalesce(meta(h, "name", "twitter:title"), meta(h, "property", "og:title"), title(h), F.lit(default))
+    told = F.coalesce(meta(h, "name", "twitter:description"), meta(h, "property", "og:description"), meta(h, "name", "description"), F.lit(default))
+    return pages.select("page_id", title(h).alias("title"), own.alias("description"), named.alias("twitter_title"), told.alias("twitter_description"))
 
 
 def rewrite_meta(pages: DataFrame, values: DataFrame) -> DataFrame:
@@ -48,9 +53,9 @@ def localized_links(pages: DataFrame, lang: str) -> DataFrame:
 
 
 def inline_scripts(pages: DataFrame) -> DataFrame:
-    """Distinct base64 SHA-256 of the non-blank inline scripts."""
-    scripts = pages.select(F.explode(F.regexp_extract_all("html", F.lit(r"(?s)<script>(.*?)</script>"), F.lit(1))).alias("s")).where("trim(s) <> ''")
-    return scripts.select(F.base64(F.unhex(F.sha2("s", 256))).alias("hash")).distinct()
+    """Distinct base64 SHA-256 of the non-blank inline scripts (those without src), sorted."""
+    scripts = pages.select(F.explode(F.regexp_extract_all("html", F.lit(r"(?is)<script(?![^>]*\bsrc\b)[^>]*>(.*?)</script>"), F.lit(1))).alias("s")).where("trim(s) <> ''")
+    return scripts.select(F.base64(F.unhex(F.sha2("s", 256))).alias("hash")).distinct().orderBy("hash")
 
 
 def html_inspect(pages: DataFrame) -> DataFrame:
@@ -59,10 +64,25 @@ def html_inspect(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.explode(counts).alias("category", "n"))
 
 
+def _readiness(html: Column) -> tuple[Column, Column, Column]:
+    """Figures, those with a text, and whether the page names its language."""
+    return F.regexp_count(html, F.lit(r"(?i)<img\b")).cast("long"), F.regexp_count(html, F.lit(r'(?i)<img\b[^>]*\salt="[^"]+"')).cast("long"), html.rlike(r'(?i)<html[^>]*\slang="[^"]+"')
+
+
 def figure_readiness(pages: DataFrame) -> DataFrame:
-    figures = F.regexp_count("html", F.lit(r"(?i)<img\b")).cast("long")
-    described = F.regexp_count("html", F.lit(r'(?i)<img\b[^>]*\salt="[^"]+"')).cast("long")
-    return pages.select("page_id", figures.alias("figures"), (figures - described).alias("missing"), F.col("html").rlike(r'(?i)<html[^>]*\slang="[^"]+"').alias("has_lang"), title(F.col("html")).isNotNull().alias("has_title"))
+    figures, described, has_lang = _readiness(F.col("html"))
+    return pages.select("page_id", figures.alias("figures"), (figures - described).alias("missing"), has_lang.alias("has_lang"), title(F.col("html")).isNotNull().alias("has_title"))
+
+
+#: part: pattern of which every page has exactly one (fixed values)
+PARTS = {"title": r"(?i)<title\b", "body": r"(?i)<body\b", "html": r"(?i)<html\b", "main": r"(?i)<main\b", "header": r"(?i)<header\b", "footer": r"(?i)<footer\b", "skip link": r'(?i)<a\b[^>]*href="#main"'}
+
+
+def page_source(pages: DataFrame) -> DataFrame:
+    """page_id, url, name (the last part of the path), bytes, content: what a reader of pages gives, HTML or other bytes alike."""
+    name = F.nullif(F.regexp_extract("url", r"([^/?#]*)(?:[?#].*)?$", 1), F.lit(""))
+    content = F.col("html").cast("binary")
+    return pages.select("page_id", "url", name.alias("name"), F.octet_length("html").cast("long").alias("bytes"), content.alias("content"))
 
 
 def doctor_summary(pages: DataFrame, cap: int = 100_000) -> DataFrame:
@@ -72,17 +92,34 @@ def doctor_summary(pages: DataFrame, cap: int = 100_000) -> DataFrame:
     return figure_readiness(pages).select("page_id", bounded("figures"), bounded("missing"), "has_lang", "has_title", ready.alias("ready"))
 
 
+def _broken(html: Column) -> Column:
+    """The rules that a page breaks: figures, language and title."""
+    figures, described, has_lang = _readiness(html)
+    return F.array_join(F.array_compact(F.array(F.when(figures > described, "figures without text"), F.when(~has_lang, "no language"), F.when(title(html).isNull(), "no title"))), ",")
+
+
 def warnings(pages: DataFrame) -> DataFrame:
     """page_id and the rules it breaks."""
-    f = figure_readiness(pages)
-    return f.select("page_id", F.array_join(F.array_compact(F.array(F.when(F.col("missing") > 0, "figures without text"), F.when(~F.col("has_lang"), "no language"), F.when(~F.col("has_title"), "no title"))), ",").alias("warnings"))
+    return pages.select("page_id", _broken(F.col("html")).alias("warnings"))
 
 
 def audit_pages(pages: DataFrame) -> DataFrame:
-    """page_id, rule, n: parts that must be there exactly once and are not."""
-    parts = {"title": r"(?i)<title\b", "body": r"(?i)<body\b", "html": r"(?i)<html\b", "main": r"(?i)<main\b"}
-    counts = F.create_map(*[x for c, p in parts.items() for x in (F.lit(c), F.regexp_count("html", F.lit(p)).cast("long"))])
-    return pages.select("page_id", F.explode(counts).alias("rule", "n")).where("n <> 1")
+    """page_id, rule, n: parts that must be there exactly once and are not, and how many blocks of JSON-LD are invalid, if any."""
+    counts = F.create_map(*[x for c, p in PARTS.items() for x in (F.lit(c), F.regexp_count("html", F.lit(p)).cast("long"))])
+    parts = pages.select("page_id", F.explode(counts).alias("rule", "n")).where("n <> 1")
+    bad = F.size(F.filter(_jsonld(F.col("html")), lambda j: F.get_json_object(j, "$").isNull())).cast("long")
+    return parts.unionByName(pages.select("page_id", F.lit("json-ld").alias("rule"), bad.alias("n")).where("n > 0"))
+
+
+def _jsonld(html: Column) -> Column:
+    return F.regexp_extract_all(html, F.lit(r'(?is)<script type="application/ld\+json">(.*?)</script>'), F.lit(1))
+
+
+def graph_entries(pages: DataFrame, type_: str) -> DataFrame:
+    """page_id, entry: the entries of a type in the @graph lists of a page's JSON-LD."""
+    blocks = pages.select("page_id", F.explode(_jsonld(F.col("html"))).alias("j"))
+    entries = blocks.select("page_id", F.explode(F.from_json(F.get_json_object("j", "$['@graph']"), "array<string>")).alias("entry"))
+    return entries.where(F.get_json_object("entry", "$['@type']") == type_)
 
 
 def extract_jsonld(pages: DataFrame) -> DataFrame:
@@ -109,6 +146,15 @@ def duplicate_urls(urls: DataFrame) -> DataFrame:
     return urls.groupBy("url").agg(F.count("*").alias("n")).where("n > 1")
 
 
+def check_url_list(urls: DataFrame, most: int = 10_000) -> DataFrame:
+    """problem, value, n: URLs that are there more than once, hosts if there is more than one, and a count that is not from 1 to most."""
+    twice = duplicate_urls(urls).select(F.lit("duplicate").alias("problem"), F.col("url").alias("value"), "n")
+    hosts = urls.groupBy(F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("value")).agg(F.count("*").alias("n"))
+    several = hosts.crossJoin(hosts.agg(F.count("*").alias("hosts"))).where("hosts > 1").select(F.lit("host").alias("problem"), "value", "n")
+    size = urls.agg(F.count("*").alias("n")).where(~F.col("n").between(1, most)).select(F.lit("count").alias("problem"), F.lit(None).cast("string").alias("value"), "n")
+    return twice.unionByName(several).unionByName(size)
+
+
 def set_block(pages: DataFrame, block: str) -> DataFrame:
     """The first run of og:image lines replaced by a fixed block; matched tells whether there was one."""
     p = r'(?m)\A([\s\S]*?)(?:^[ \t]*<meta property="og:image[^\n]*\n?)+'
@@ -171,22 +217,24 @@ def html_to_markdown(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "html").mapInPandas(run, "page_id long, markdown string")
 
 
-def html_diagnose(pages: DataFrame) -> DataFrame:
-    """page_id, strict (parses as XML), opened and closed tags, consistent, warnings."""
+def html_diagnose(pages: DataFrame, deep: bool = False) -> DataFrame:
+    """page_id, strict (parses as XML), error (why not, with deep; else null), opened and closed tags, consistent, warnings. One scan."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from xml.parsers import expat
 
-        def strict(html: str | None) -> bool:
+        def error(html: str | None) -> str | None:
             try:
                 expat.ParserCreate().Parse(html or "", True)
-            except expat.ExpatError:
-                return False
-            return True
+            except expat.ExpatError as e:
+                return f"{expat.ErrorString(e.code)} (line {e.lineno})"
+            return None
 
         for b in batches:
-            yield pd.DataFrame({"page_id": b["page_id"], "strict": b["html"].map(strict)})
+            found = b.pop("html").map(error)
+            yield b.assign(strict=found.isna(), error=found if deep else None)
 
     opened, closed = F.regexp_count("html", F.lit(r"<[A-Za-z][^>]*>")).cast("long"), F.regexp_count("html", F.lit(r"</[A-Za-z][^>]*>")).cast("long")
-    counts = pages.select("page_id", opened.alias("opened"), closed.alias("closed"), (opened == closed).alias("consistent"))
-    return pages.select("page_id", "html").mapInPandas(run, "page_id long, strict boolean").join(counts, "page_id").join(warnings(pages), "page_id")
+    rows = pages.select("page_id", "html", opened.alias("opened"), closed.alias("closed"), (opened == closed).alias("consistent"), _broken(F.col("html")).alias("warnings"))
+    out = rows.mapInPandas(run, "page_id long, opened long, closed long, consistent boolean, warnings string, strict boolean, error string")
+    return out.select("page_id", "strict", "error", "opened", "closed", "consistent", "warnings")

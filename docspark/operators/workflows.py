@@ -20,25 +20,39 @@ def resolve_refs(workflows: DataFrame, files: DataFrame) -> DataFrame:
     return found.withColumn("status", F.when(F.col("status") == "running", "canceled").otherwise(F.col("status")))
 
 
+def _listed(workflows: DataFrame) -> DataFrame:
+    """workflow_id, file_id, listed: one row for each reference."""
+    return workflows.select("workflow_id", F.explode("file_refs").alias("file_id")).distinct().withColumn("listed", F.lit(True))
+
+
 def orphan_files(workflows: DataFrame, files: DataFrame, now: Column) -> DataFrame:
-    """Files to remove: the owner expired; or there is none and the file expired; or the owner lives, does not refer to it, and it expired."""
+    """Files to remove: the owner expired; or there is none and the file expired; or the owner lives, does not refer to it, and it expired.
+
+    References are joined by (workflow_id, file_id), so no file carries its owner's whole list. An owner without expires_at lives."""
     expired = F.coalesce(F.col("expires_at"), F.col("updated_at") + F.expr(DAY)) <= now
-    owners = workflows.select("workflow_id", F.col("expires_at").alias("owner_until"), "file_refs")
-    both = files.join(owners, "workflow_id", "left")
-    gone = F.col("owner_until") <= now
-    unreferenced = ~F.array_contains("file_refs", F.col("file_id"))
-    reason = F.when(gone, "owner expired").when(F.col("owner_until").isNull() & expired, "no owner").when(F.col("owner_until").isNotNull() & unreferenced & expired, "unreferenced")
+    owners = workflows.select("workflow_id", F.col("expires_at").alias("owner_until"), F.lit(True).alias("owned"))
+    both = files.join(owners, "workflow_id", "left").join(_listed(workflows), ["workflow_id", "file_id"], "left")
+    reason = F.when(F.col("owner_until") <= now, "owner expired").when(F.col("owned").isNull() & expired, "no owner").when(F.col("owned") & F.col("listed").isNull() & expired, "unreferenced")
     return both.withColumn("reason", reason).where("reason is not null").select("file_id", "workflow_id", "reason")
 
 
+def stage_handoff(outputs: DataFrame, now: Column) -> DataFrame:
+    """Outputs of a step (workflow_id, file_id, ...) as staged files: stamped, and expiring a day later."""
+    blank = [c for c in ("created_at", "expires_at") if c not in outputs.columns]
+    return stamp_ttl(outputs.withColumns({c: F.lit(None).cast("timestamp_ntz") for c in blank}), now)
+
+
 def take_handoff(workflows: DataFrame, files: DataFrame, now: Column) -> DataFrame:
-    """Staged files that may be taken: the workflow lives, lists the file, and owns it."""
-    live = workflows.where(F.col("expires_at") > now).select("workflow_id", "file_refs")
-    return files.join(live, "workflow_id").where(F.array_contains("file_refs", F.col("file_id"))).drop("file_refs")
+    """Staged files that may be taken: the workflow lives, lists the file, and owns it. Nothing is deleted."""
+    live = workflows.where(F.col("expires_at") > now).select("workflow_id")
+    return files.join(live, "workflow_id").join(_listed(workflows).drop("listed"), ["workflow_id", "file_id"], "left_semi")
 
 
 def archive_manifest(entries: DataFrame) -> DataFrame:
-    """archive, entry_no, name, size, and the byte offset of each entry's header (30 bytes and the name before the content)."""
+    """archive, entry_no, name, size, and the byte offset of each entry's header (30 bytes and the name before the content); of
+    entries with content (bytes) also its CRC-32."""
+    if "content" in entries.columns:
+        entries = entries.withColumn("crc32", F.crc32("content")).drop("content")
     before = Window.partitionBy("archive").orderBy("entry_no").rowsBetween(Window.unboundedPreceding, -1)
     return entries.withColumn("offset", F.coalesce(F.sum(30 + F.octet_length("name") + F.col("size")).over(before), F.lit(0)).cast("long"))
 
@@ -59,9 +73,10 @@ def before_after(df: DataFrame, before: str, after: str) -> DataFrame:
 
 
 def status_rollup(items: DataFrame) -> DataFrame:
-    """Counts by workflow and status, with a row for each workflow's total (status null)."""
+    """Counts by workflow and status, with a row for each workflow's total (status null), and which states a workflow has."""
     n = items.rollup("workflow_id", "status").agg(F.count("*").alias("n"), F.grouping_id().alias("g"))
-    return n.where("g <= 1").select("workflow_id", "status", "n")
+    has = lambda s: F.max(F.coalesce(F.col("status") == s, F.lit(False))).over(Window.partitionBy("workflow_id")).alias(f"has_{s}")
+    return n.where("g <= 1").select("workflow_id", "status", "n", has("queued"), has("running"), has("success"))
 
 
 def current_step(items: DataFrame) -> DataFrame:
@@ -104,8 +119,8 @@ def swap_neighbour(items: DataFrame, id_: Column, delta: int) -> DataFrame:
     """Positions after the item that id_ marks is swapped with the one delta (1 or -1) away; an edge changes nothing."""
     by = Window.partitionBy("workflow_id").orderBy("seq")
     near = F.lag(id_, 1, False).over(by) if delta > 0 else F.lead(id_, 1, False).over(by)
-    has = F.lead("seq").over(by).isNotNull() if delta > 0 else F.lag("seq").over(by).isNotNull()
-    return items.withColumn("new_seq", F.when(id_ & has, F.col("seq") + delta).when(near, F.col("seq") - delta).otherwise(F.col("seq")).cast("long"))
+    there, here = (F.lead("seq").over(by), F.lag("seq").over(by))[:: 1 if delta > 0 else -1]  # the neighbours' own places, gaps or not
+    return items.withColumn("new_seq", F.when(id_, F.coalesce(there, F.col("seq"))).when(near, here).otherwise(F.col("seq")).cast("long"))
 
 
 def latest_generation(updates: DataFrame, key: list[str], order: str) -> DataFrame:
@@ -145,7 +160,7 @@ def popular_first(catalogue: DataFrame, key: str, names: list[str]) -> DataFrame
 
 def missing_keys(required: DataFrame, dictionary: DataFrame, locales: DataFrame) -> DataFrame:
     """(locale, key) that are required but absent or empty. locales is a list of codes, and keys x locales is the answer's own size."""
-    wanted = required.select("key").distinct().join(F.broadcast(locales))
+    wanted = required.select("key").distinct().crossJoin(locales)
     return wanted.join(dictionary.where("value <> ''").select("locale", "key"), ["locale", "key"], "left_anti")
 
 
@@ -160,10 +175,18 @@ def add_missing(dictionary: DataFrame, entries: DataFrame) -> DataFrame:
     return dictionary.unionByName(entries.join(dictionary, ["locale", "key"], "left_anti"))
 
 
-def expand_locales(pages: DataFrame, locales: DataFrame, base: str) -> DataFrame:
-    """A URL of each page in each locale (en at the root)."""
+def expand_locales(pages: DataFrame, locales: DataFrame, base: str, listed: DataFrame | None = None) -> DataFrame:
+    """A URL of each page in each locale (en at the root), with its alternates: every locale's URL, and x-default, the English one.
+
+    Pages (slug) of listed are there already and are skipped. The answer has pages times locales rows."""
+    if listed is not None:
+        pages = pages.join(listed.select("slug").distinct(), "slug", "left_anti")
     lang = F.when(F.col("locale") == "en", "").otherwise(F.concat(F.lit("/"), F.col("locale")))
-    return pages.join(F.broadcast(locales)).withColumn("url", F.concat(F.lit(base), lang, F.lit("/"), F.col("slug")))
+    url = F.concat(F.lit(base), lang, F.lit("/"), F.col("slug"))
+    each = pages.crossJoin(locales).withColumn("url", url)
+    of = F.collect_list(F.struct("locale", "url")).over(Window.partitionBy("slug"))  # as long as the list of locales
+    fallback = F.struct(F.lit("x-default").alias("locale"), F.concat(F.lit(base + "/"), F.col("slug")).alias("url"))
+    return each.withColumn("alternates", F.concat(F.array_sort(of), F.array(fallback)))
 
 
 def same_keys(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -213,9 +236,16 @@ def compose_copy(dictionary: DataFrame, first: Column, second: Column) -> DataFr
     return both.select("locale", F.trim(F.concat_ws(" ", "a", "b")).alias("value"))
 
 
-def stamp_ttl(df: DataFrame, now: Column) -> DataFrame:
-    """created kept if set, updated is now, expires a day later unless set."""
-    return df.withColumns({"created_at": F.coalesce("created_at", now), "updated_at": now, "expires_at": F.coalesce("expires_at", now + F.expr(DAY))})
+def stamp_ttl(df: DataFrame, now: Column, version: int = 1) -> DataFrame:
+    """created kept if set, updated is now, expires a day later unless set, and the version of the manifest."""
+    return df.withColumns({"created_at": F.coalesce("created_at", now), "updated_at": now, "expires_at": F.coalesce("expires_at", now + F.expr(DAY)), "version": F.lit(version)})
+
+
+def matches_list(items: DataFrame, by: str, order: str, value: str, wanted: list[str]) -> DataFrame:
+    """by, matches: whether the values of a key are the wanted ones, in order. Only counts are kept of a key, however many rows it has."""
+    place = F.row_number().over(Window.partitionBy(by).orderBy(order))
+    right = F.coalesce(F.try_element_at(F.array(*map(F.lit, wanted)), F.least(F.col("k"), F.lit(len(wanted)))) == F.col(value), F.lit(False))
+    return items.withColumn("k", place).groupBy(by).agg(((F.count("*") == len(wanted)) & (F.count_if(right) == len(wanted))).alias("matches"))
 
 
 def budget_check(assets: DataFrame, most_bytes: int = 100_000, most_requests: int = 16) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,17 +15,41 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 MOVES = {"add": {"": "queued"}, "run": {"queued": "running"}, "success": {"running": "success"}, "error": {"running": "error"}, "cancel": {"queued": "canceled", "running": "canceled"}, "retry": {"error": "queued", "canceled": "queued"}}
 
 
+def _folded(rows: DataFrame, key: list[str], order: list[str], schema: str, start: Callable[[], Any], step: Callable[[Any, dict], Iterator[tuple]], last: Callable[[Any], Iterator[tuple]] | None = None) -> DataFrame:
+    """Rows of each key in order, folded as they stream by: a task holds one key's state, however many rows the key has.
+
+    step and last give the rest of output rows, which begin with the key."""
+    names = [x.split(" ")[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, state = None, None
+        for b in batches:
+            out = []
+            for row in b.to_dict("records"):
+                now = tuple(row[k] for k in key)
+                if now != at:
+                    if at is not None and last:
+                        out += [(*at, *x) for x in last(state)]
+                    at, state = now, start()
+                out += [(*at, *x) for x in step(state, row)]
+            yield pd.DataFrame(out, columns=names)
+        if at is not None and last:
+            yield pd.DataFrame([(*at, *x) for x in last(state)], columns=names)
+
+    return rows.repartition(*key).sortWithinPartitions(*key, *order).mapInPandas(run, schema)
+
+
 def queue_state(events: DataFrame) -> DataFrame:
     """Batch twin of queue_state_stream: the last state of each workflow's items, and how many operations moved it."""
-    table = F.create_map(*[x for op, m in MOVES.items() for a, b in m.items() for x in (F.lit(f"{op}:{a}"), F.lit(b))])
-    start = F.struct(F.lit("").alias("state"), F.lit(0).cast("long").alias("moves"))
 
-    def step(acc: Column, e: Column) -> Column:
-        to = F.try_element_at(table, F.concat(e["op"], F.lit(":"), acc["state"]))
-        return F.struct(F.coalesce(to, acc["state"]).alias("state"), (acc["moves"] + to.isNotNull().cast("long")).alias("moves"))
+    def step(state: list, row: dict) -> Iterator[tuple]:
+        to = MOVES.get(row["op"], {}).get(state[0])
+        if to is not None:
+            state[:] = to, state[1] + 1
+        return iter(())
 
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "op")))
-    return events.groupBy("workflow_id", "item_id").agg(F.aggregate(ordered, start, step).alias("s")).select("workflow_id", "item_id", "s.*")
+    rows = events.select(F.col("workflow_id").cast("long").alias("workflow_id"), F.col("item_id").cast("long").alias("item_id"), "seq", "op")
+    return _folded(rows, ["workflow_id", "item_id"], ["seq"], "workflow_id long, item_id long, state string, moves long", lambda: ["", 0], step, lambda s: iter([tuple(s)]))
 
 
 def queue_state_stream(events: DataFrame) -> DataFrame:
@@ -60,23 +86,102 @@ def drop_repeats_stream(events: DataFrame, ts: str, delay: str, *key: str) -> Da
 
 def reserve_quota(files: DataFrame, most_files: int = 20, most_bytes: int = 250 * 2**20) -> DataFrame:
     """Greedy admission in arrival order: a file that does not fit is passed over, later ones may still fit."""
-    start = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("bytes"), F.array().cast("array<bigint>").alias("ids"))
 
-    def admit(acc: Column, f: Column) -> Column:
-        ok = (acc["n"] < most_files) & (acc["bytes"] + f["size"] <= most_bytes)
-        return F.when(ok, F.struct((acc["n"] + 1).alias("n"), (acc["bytes"] + f["size"]).alias("bytes"), F.array_append(acc["ids"], f["file_id"]).alias("ids"))).otherwise(acc)
+    def step(state: list, row: dict) -> Iterator[tuple]:
+        if state[0] < most_files and state[1] + row["size"] <= most_bytes:
+            state[:] = state[0] + 1, state[1] + row["size"]
+            yield (row["file_id"],)
+
+    rows = files.select(F.col("workflow_id").cast("long").alias("workflow_id"), "seq", F.col("size").cast("long").alias("size"), F.col("file_id").cast("long").alias("file_id"))
+    return _folded(rows, ["workflow_id"], ["seq", "size", "file_id"], "workflow_id long, file_id long", lambda: [0, 0], step)
+
+
+def reserve_quota_stream(events: DataFrame, most_files: int = 20, most_bytes: int = 250 * 2**20) -> DataFrame:
+    """The same on a stream of workflow_id, seq, file_id, size, op (reserve or release), with the state of each workflow kept: a released
+    file makes room. One row for each reservation, with admitted."""
+
+    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        ids, sizes = state.get if state.exists else ([], [])
+        held = dict(zip(ids, sizes, strict=True))
+        rows = pd.concat(list(batches)).sort_values(["seq", "size", "file_id"])
+        out = []
+        for op, file, size in zip(rows["op"], rows["file_id"].tolist(), rows["size"].tolist(), strict=True):
+            if op == "release":
+                held.pop(file, None)
+                continue
+            ok = file in held or (len(held) < most_files and sum(held.values()) + size <= most_bytes)
+            if ok:
+                held[file] = held.get(file, size)
+            out.append((key[0], file, ok))
+        state.update((list(held), list(held.values())))
+        yield pd.DataFrame(out, columns=["workflow_id", "file_id", "admitted"])
+
+    return events.groupBy("workflow_id").applyInPandasWithState(advance, "workflow_id long, file_id long, admitted boolean", "ids array<long>, sizes array<long>", "append", GroupStateTimeout.NoTimeout)
+
+
+def newest_stream(events: DataFrame) -> DataFrame:
+    """drop_stale on a stream of key, seq, generation: rows of the newest generation met so far in their key. A row that clears (generation null)
+    starts a new epoch: what comes later must be of a newer generation than all before it."""
+
+    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        newest, floor = state.get if state.exists else (-(1 << 62), -(1 << 62))
+        out = []
+        for seq, g in pd.concat(list(batches)).sort_values("seq")[["seq", "generation"]].itertuples(index=False):
+            if pd.isna(g):
+                floor = newest
+            elif g >= newest and g > floor:
+                newest = int(g)
+                out.append((key[0], int(seq), newest))
+        state.update((newest, floor))
+        yield pd.DataFrame(out, columns=["key", "seq", "generation"])
+
+    return events.groupBy("key").applyInPandasWithState(advance, "key long, seq long, generation long", "newest long, floor long", "append", GroupStateTimeout.NoTimeout)
 
-    ordered = F.array_sort(F.collect_list(F.struct("seq", "size", "file_id")))
-    return files.groupBy("workflow_id").agg(F.aggregate(ordered, start, admit).alias("s")).select("workflow_id", F.explode("s.ids").alias("file_id"))
 
+def expire_stream(records: DataFrame, now: str = "ts", hours: int = 24) -> DataFrame:
+    """Writes and reads of key on a stream (key, ts, op: write or read, value), with the record of each key kept: a read gives its value, or
+    null once it is as old as that; a read of an expired record deletes it."""
 
-def progress_windows(events: DataFrame, ts: str = "ts", length: str = "1 hour", delay: str = "2 hours") -> DataFrame:
-    """Events and errors by window; on a stream late rows within the delay still count."""
+    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        value, until = state.get if state.exists else (None, None)
+        out = []
+        for row in pd.concat(list(batches)).sort_values(now).to_dict("records"):
+            at = int(row[now].value // 1000)
+            if row["op"] == "write":
+                value, until = row["value"], at + hours * 3_600_000_000
+                continue
+            if until is not None and until <= at:
+                value, until = None, None
+            out.append((key[0], row[now], value))
+        if until is not None:
+            state.update((value, until))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=["key", now, "value"])
+
+    return records.groupBy("key").applyInPandasWithState(advance, f"key long, {now} timestamp, value string", "value string, until long", "append", GroupStateTimeout.NoTimeout)
+
+
+def progress_windows(events: DataFrame, ts: str = "ts", length: str = "1 hour", delay: str = "2 hours", slide: str | None = None) -> DataFrame:
+    """Events and errors by window, tumbling or, with slide, sliding; on a stream late rows within the delay still count."""
     late = events.withWatermark(ts, delay) if events.isStreaming else events
-    n = late.groupBy(F.window(ts, length).alias("w")).agg(F.count("*").alias("events"), F.count_if(F.col("event_type") == "error").alias("errors"))
+    n = late.groupBy(F.window(ts, length, slide or length).alias("w")).agg(F.count("*").alias("events"), F.count_if(F.col("event_type") == "error").alias("errors"))
     return n.select(F.col("w.start").alias("begins"), "events", "errors")
 
 
+def progress_sessions(events: DataFrame, *key: str, ts: str = "ts", gap: str = "30 minutes", delay: str = "2 hours") -> DataFrame:
+    """Events and errors of each key by session: events no further apart than the gap."""
+    late = events.withWatermark(ts, delay) if events.isStreaming else events
+    n = late.groupBy(*key, F.session_window(ts, gap).alias("w")).agg(F.count("*").alias("events"), F.count_if(F.col("event_type") == "error").alias("errors"))
+    return n.select(*key, F.col("w.start").alias("begins"), "events", "errors")
+
+
+def progress_percent(events: DataFrame, *key: str) -> DataFrame:
+    """The share of its pages that each key has done, in percent rounded half up: the furthest of its events (page, page_count)."""
+    share = F.floor(100.0 * F.col("page") / F.nullif(F.col("page_count"), F.lit(0)) + 0.5)
+    return events.groupBy(*key).agg(F.max(F.least(F.greatest(share, F.lit(0)), F.lit(100))).cast("long").alias("percent"))
+
+
 def debounce(events: DataFrame, gap: str, *key: str) -> DataFrame:
     """Only the last event of each burst: one that no other follows within the gap."""
     after = F.lead("ts").over(Window.partitionBy(*key).orderBy("ts", "event_id"))
@@ -88,17 +193,43 @@ def restore(items: DataFrame, steps: int) -> DataFrame:
     return items.withColumn("status", F.when(F.col("status") == "running", "canceled").otherwise(F.col("status"))).withColumn("step", F.greatest(F.lit(0), F.least(F.lit(steps), F.col("step"))))
 
 
-def idempotent_sink(path: str):  # noqa: ANN201 - for foreachBatch
-    """Writes each batch to a folder of its own, so that a batch that runs again replaces itself."""
+def _file_system(spark: SparkSession, path: str) -> tuple[Any, Any]:
+    jvm = spark.sparkContext._jvm
+    return jvm, jvm.org.apache.hadoop.fs.FileContext.getFileContext(jvm.java.net.URI(path if "://" in path else f"file:{path}"), spark.sparkContext._jsc.hadoopConfiguration())
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-    return write
+def swap_in(df: DataFrame, path: str, part: str = "all") -> None:
+    """df as the new content of a part of the table in path: it is written to a folder of its own, then a pointer is renamed over the part's old one.
+
+    A write that fails, or is cut off, changes nothing that ``current`` reads."""
+    spark = df.sparkSession
+    folder = f"{part}-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/data/{folder}")
+    jvm, fs = _file_system(spark, path)
+    at = lambda name: jvm.org.apache.hadoop.fs.Path(f"{path}/parts/{name}")
+    fs.mkdir(jvm.org.apache.hadoop.fs.Path(f"{path}/parts"), jvm.org.apache.hadoop.fs.permission.FsPermission.getDirDefault(), True)
+    create, rename = jvm.org.apache.hadoop.fs.CreateFlag, jvm.org.apache.hadoop.fs.Options.Rename
+    out = fs.create(at(f".{folder}"), jvm.java.util.EnumSet.of(create.CREATE), spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.CreateOpts, 0))
+    out.write(bytearray(folder.encode()))
+    out.close()
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    fs.rename(at(f".{folder}"), at(part), options)
+
+
+def current(spark: SparkSession, path: str, schema: Any) -> DataFrame:
+    """What the pointers of the table in path lead to."""
+    names = [r[0] for r in spark.read.text(f"{path}/parts").collect()]  # one short line for each part
+    return spark.read.schema(schema).parquet(*[f"{path}/data/{n}" for n in names]) if names else spark.createDataFrame([], schema)
+
+
+def idempotent_sink(path: str):  # noqa: ANN201 - for foreachBatch
+    """Each batch is a part of the table in path, so that a batch that runs again replaces itself, and one that fails changes nothing."""
+    return lambda batch, batch_id: swap_in(batch, path, f"batch-{batch_id}")
 
 
 def run_available(stream: DataFrame, spark: SparkSession, folder: str, mode: str = "append") -> DataFrame:
     """Runs a stream over what there is, through the idempotent sink, and reads the result."""
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(idempotent_sink(f"{folder}/out")).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out/batch_id=*")
+    return current(spark, f"{folder}/out", stream.schema)

@@ -1,5 +1,8 @@
 """Known answers, failure cases and the stateful stream."""
 
+import datetime
+import zlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,3 +192,68 @@ def test_written_documents_come_back(spark):
     d = spark.createDataFrame([("a", "x\n\ny\n"), ("b", None), ("c", "é")], "name string, text string")
     files.write_text_docs(d, folder, "txt")
     assert sorted(tuple(r) for r in files.read_written_docs(spark, folder).collect()) == [("a.txt", "x\n\ny\n"), ("b.txt", ""), ("c.txt", "é")]
+
+
+def streamed(spark, folder, schema, batches, query):
+    """What a query gives for each of some micro-batches, written as files before each run."""
+    out, source = [], f"{folder}/in"
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 100).parquet(source)
+        got = []
+        q = query(stream).writeStream.outputMode("append").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(lambda b, _, got=got: got.extend(b.collect())).start()
+        q.awaitTermination()
+        out.append(sorted(map(tuple, got)))
+    return out
+
+
+def test_quota_is_kept_over_micro_batches(spark, tmp_path):
+    rows = [[(1, 1, 10, 60, "reserve"), (1, 2, 11, 60, "reserve"), (1, 3, 12, 30, "reserve"), (2, 1, 20, 100, "reserve")], [(1, 4, 10, 60, "release"), (1, 5, 11, 60, "reserve"), (1, 6, 13, 5, "reserve"), (2, 2, 21, 1, "reserve")]]
+    got = streamed(spark, tmp_path, "workflow_id long, seq long, file_id long, size long, op string", rows, lambda s: queues.reserve_quota_stream(s, 3, 100))
+    assert got == [[(1, 10, True), (1, 11, False), (1, 12, True), (2, 20, True)], [(1, 11, True), (1, 13, True), (2, 21, False)]]
+    first = spark.createDataFrame([r[:4] for r in rows[0]], "workflow_id long, seq long, file_id long, size long")
+    assert sorted(map(tuple, queues.reserve_quota(first, 3, 100).collect())) == [x[:2] for x in got[0] if x[2]]  # the batch twin
+
+
+def test_stale_generations_and_cleared_epochs_are_dropped(spark, tmp_path):
+    rows = [[(1, 1, 5), (1, 2, 4), (1, 3, 6)], [(1, 4, 6), (1, 5, None), (1, 6, 6), (1, 7, 7), (2, 1, 1)]]
+    got = streamed(spark, tmp_path, "key long, seq long, generation long", rows, queues.newest_stream)
+    assert got == [[(1, 1, 5), (1, 3, 6)], [(1, 4, 6), (1, 7, 7), (2, 1, 1)]]
+
+
+def test_expired_records_are_gone_when_read(spark, tmp_path):
+    at = lambda h: datetime.datetime(2026, 1, 1) + datetime.timedelta(hours=h)
+    rows = [[(1, at(0), "write", "a"), (1, at(5), "read", None), (2, at(1), "read", None)], [(1, at(23), "read", None), (1, at(24), "read", None), (1, at(25), "read", None)], [(1, at(26), "write", "b"), (1, at(49), "read", None)]]
+    got = streamed(spark, tmp_path, "key long, ts timestamp, op string, value string", rows, queues.expire_stream)
+    assert [[x[2] for x in batch] for batch in got] == [["a", None], ["a", None, None], ["b"]]
+
+
+def test_a_write_that_fails_changes_nothing(spark, tmp_path):
+    path, schema = f"{tmp_path}/table", "k long, v string"
+    queues.swap_in(spark.createDataFrame([(1, "a")], schema), path)
+    queues.swap_in(spark.createDataFrame([(2, "b"), (3, "c")], schema), path)
+    read = lambda: sorted(map(tuple, queues.current(spark, path, schema).collect()))
+    assert read() == [(2, "b"), (3, "c")]
+    with pytest.raises(Exception, match="no such luck"):
+        queues.swap_in(spark.range(9).selectExpr("id as k", "cast(raise_error('no such luck') as string) as v"), path)
+    assert read() == [(2, "b"), (3, "c")]
+
+
+def test_columns_that_hold_what_others_replace(spark):
+    row = spark.range(1).select(
+        C.fill_template(F.lit("{a}-{b}-{c}-{"), F.create_map(F.lit("a"), F.lit("{b}"), F.lit("b"), F.lit("{a}"))).alias("filled"),
+        C.encodable_text(F.lit("é中a"), latin=True).alias("latin"),
+    ).first()
+    assert row["filled"] == "{b}-{a}-{c}-{" and tuple(row["latin"]) == ("é?a", True)
+
+
+def test_archives_have_checksums_and_pages_a_graph(spark):
+    entries = spark.createDataFrame([(1, 1, "a", 3, b"abc"), (1, 2, "bb", 1, b"x")], "archive long, entry_no long, name string, size long, content binary")
+    assert [(r["crc32"], r["offset"]) for r in workflows.archive_manifest(entries).orderBy("entry_no").collect()] == [(zlib.crc32(b"abc"), 0), (zlib.crc32(b"x"), 34)]
+    html = '<meta content="d" property="og:description"><script type="application/ld+json">{"@graph":[{"@type":"A","n":1},{"@type":"B"}]}</script><script type="application/ld+json">{</script>'
+    page = spark.createDataFrame([(7, html)], "page_id long, html string")
+    assert [r["entry"] for r in web.graph_entries(page, "A").collect()] == ['{"@type":"A","n":1}']
+    assert ("json-ld", 1) in [tuple(r)[1:] for r in web.audit_pages(page).collect()]
+    assert web.extract_meta(page).first()["description"] == "d"
+    twice = page.unionByName(page)
+    assert web.html_diagnose(twice, deep=True).count() == 2 and web.html_diagnose(twice, deep=True).first()["error"]
