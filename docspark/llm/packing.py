@@ -32,7 +32,7 @@ CAPACITY = 2048
 END = 0
 PARTITION = 40_000
 ROUNDS = 3
-CACHE = 1 << 20  # runs an encoder remembers
+CACHE = 1 << 18  # runs an encoder remembers
 
 # Latin texts: only here are white space, case and words the same to Python and to the tokenizer.
 _OTHER = re.compile("[^\x00-\x1b\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u024f]|<\\|")

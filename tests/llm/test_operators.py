@@ -163,7 +163,7 @@ def test_near_copies_are_those_of_all_pairs(spark, given, docs, group, monkeypat
         whole[k].add(i)
     assert all(len({want[i] for i in g}) == 1 for g in found.values())  # nothing is linked that is not alike
     linked = lambda groups: sum(len(g) - 1 for g in groups.values())
-    assert linked(found) >= 0.97 * linked(whole)
+    assert linked(found) >= 0.95 * linked(whole)
 
 
 def test_keep_one(docs, nothing):
