@@ -20,9 +20,9 @@ How the links are found, exactly:
 
 ``keep_one`` links texts by what they share, not by bits alone: two texts are near copies when their sets of five-word shingles
 have a Jaccard similarity of 0.8 or more. Candidates come from the same index, over a fingerprint of single words (near copies
-differ in few of its bits: NEAR at most) with a second one of three-word shingles that must differ in SECOND bits at most; texts whose fingerprints are both equal stand in the index as one. The sets
-of a class of candidates are compared exactly in one task; a class of more than TOGETHER texts is dealt over several tasks, each with the class's
-first text, so that a large group of near copies meets there.
+differ in few of its bits: NEAR at most) with a second one of three-word shingles that must differ in SECOND bits at most; in the task that holds a class of
+candidates the sets are compared exactly. Texts of equal words-fingerprint meet first, and only one of each class goes on to the index, so
+that a large group of near copies shrinks before it is dealt under the top nodes.
 
 Defined cases: a null text is an empty one; a text without words has fingerprint zero and is linked
 like any other; a null doc_id takes part and gets the smallest doc_id of its class (null if the class
@@ -37,7 +37,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docspark.llm.common import gram_hashes, kept, keyed_documents_of, mixed, rows_of, run_hashes, text_rows
@@ -46,7 +46,7 @@ SEED = 42
 FAN = 8
 SHINGLE, SIMILARITY = 5, 0.8  # of near copies that keep_one finds
 NEAR, SECOND = 5, 16  # bits in which candidates may differ, of either fingerprint
-TOGETHER = 4096  # texts of a class of candidates that are compared in one place
+TOGETHER = 4096  # texts of one words-fingerprint that are compared in one place
 GROUP = 1 << 15  # texts under one top node that are compared in one place
 NO_ID = (1 << 63) - 1
 
@@ -199,11 +199,9 @@ def _by_group(batches: Iterator[pa.RecordBatch], keys: list[str], solve: Callabl
         yield solve(pa.Table.from_batches(rest).combine_chunks())
 
 
-def _dealt(rows: DataFrame, distance: int, group_limit: int, depth: int | None = None) -> Iterator[DataFrame]:
-    """rows (fp, node and others) with mask, shared: under the top nodes, or where these have over group_limit of them under nodes of
-    theirs; with the bits of a node's mask shared by all, a group has a bound. With a depth, groups that are still large after so many levels
-    are dealt by node instead, in another way under each mask."""
-    levels = 0
+def _dealt(rows: DataFrame, distance: int, group_limit: int) -> Iterator[DataFrame]:
+    """rows (fp and others) with mask, shared: under the top nodes, or where these have over group_limit of them under nodes of
+    theirs; with the bits of a node's mask shared by all, a group has a bound."""
     level = {0: _blocks(0, distance + 1)}
     rows = rows.withColumn("mask", F.lit(0).cast("long"))
     while True:
@@ -216,13 +214,8 @@ def _dealt(rows: DataFrame, distance: int, group_limit: int, depth: int | None =
         if large.isEmpty():
             yield rows
             return
-        large = kept(large, "large-groups")
+        large = kept(large.drop("count"), "large-groups")
         yield rows.join(large, ["mask", "shared"], "left_anti")
-        levels += 1
-        if levels == depth:
-            part = F.pmod(F.xxhash64("node", "mask"), F.ceil(F.col("count") / group_limit))
-            yield rows.join(large, ["mask", "shared"]).withColumn("shared", F.xxhash64("shared", part)).drop("count")
-            return
         rows = rows.join(large, ["mask", "shared"], "left_semi")
 
 
@@ -327,8 +320,8 @@ def near_classes(fp: np.ndarray, second: np.ndarray, sets: list[np.ndarray], sim
     return _roots(parent, np.arange(m))
 
 
-def _verified(members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Edges (a, b) to one text of its class from each other, of texts of one key that are alike. members: key, row, node, fp, second; texts: row, shingles."""
+def _verified(groups: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) to one text of its class from each other, of texts in one group that are alike. groups: key, node; nodes: node, row, fp, second; texts: row, shingles."""
 
     def solve(t: pa.Table) -> pa.RecordBatch:
         key, node = (t.column(k).to_numpy() for k in ("key", "node"))
@@ -343,7 +336,7 @@ def _verified(members: DataFrame, texts: DataFrame, similarity: float) -> DataFr
             b.append(node[root[other]])
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
-    rows = members.hint("merge").join(texts, "row").select("key", "node", "fp", "second", "shingles").repartition("key").sortWithinPartitions("key", "node")
+    rows = groups.join(nodes, "node").join(texts, "row").select("key", "node", "fp", "second", "shingles").repartition("key").sortWithinPartitions("key", "node")
     return rows.mapInArrow(lambda batches: _by_group(batches, ["key"], solve), "a long, b long")
 
 
@@ -363,7 +356,7 @@ def _candidates(texts: DataFrame, distance: int, group_limit: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(key[root[several]].view(np.int64)), pa.array(node[several])], names=["key", "node"])
 
     out = None
-    for p in _dealt(texts.select("fp", "second", "node"), distance, group_limit, 2):
+    for p in _dealt(texts.select("fp", "second", "node"), distance, group_limit):
         grouped = p.select("mask", "shared", "fp", "second", "node").repartition("mask", "shared").sortWithinPartitions("mask", "shared")
         found = grouped.mapInArrow(lambda batches: _by_group(batches, ["mask", "shared"], solve), "key long, node long")
         out = found if out is None else out.unionByName(found)
@@ -381,23 +374,15 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
 
     rows = keyed_documents_of(docs).mapInArrow(run, "doc_id long, node long, fp long, second long, shingles binary")
     rows = kept(rows.withColumn("row", F.monotonically_increasing_id()), "traits")
-    nodes = rows.groupBy("node").agg(F.min(F.struct("row", "fp", "second")).alias("r")).select("node", "r.*")
-    nodes = kept(nodes, "texts")
-    prints = nodes.groupBy("fp", "second").agg(F.min("node").alias("node"), F.count("*").alias("n"))
-    prints = kept(prints, "prints")
-    classes = kept(_candidates(prints, distance, group_limit), "candidates")
-    alone = prints.where("n > 1").join(classes.select("node").distinct(), "node", "left_anti")
-    of = classes.join(prints, "node").select("key", "fp", "second", "n").unionByName(alone.select(F.xxhash64("fp", "second").alias("key"), "fp", "second", "n"))
-    sizes = of.groupBy("key").agg(F.sum("n").alias("size"))
-    members = kept(of.drop("n").join(nodes, ["fp", "second"]), "members")
-    first = F.min("node").over(Window.partitionBy("key"))
-    parts = F.ceil(F.col("size") / TOGETHER).cast("int")
-    dealt = members.join(sizes, "key").withColumn("parts", parts)
-    small = dealt.where("parts = 1").select("key", "row", "node", "fp", "second")
-    large = dealt.where("parts > 1").withColumn("first", first)
-    salts = F.when(F.col("node") == F.col("first"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod("node", F.col("parts")).cast("int")))
-    large = large.select(F.explode(salts).alias("salt"), "key", "row", "node", "fp", "second").withColumn("key", F.xxhash64("key", "salt")).drop("salt")
-    to = components(_verified(small.unionByName(large), rows.select("row", "shingles"), similarity))
+    texts = rows.select("row", "shingles")
+    nodes = kept(rows.groupBy("node").agg(F.min(F.struct("row", "fp", "second")).alias("r")).select("node", "r.*"), "texts")
+    same = nodes.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1")
+    salt = F.pmod("node", F.ceil(F.col("n") / TOGETHER))
+    first = kept(_verified(nodes.join(same, "fp").select(F.xxhash64("fp", salt).alias("key"), "node"), nodes, texts, similarity), "same-words")
+    left = nodes.drop("row").join(first.select(F.col("a").alias("node")), "node", "left_anti")
+    groups = kept(_candidates(left, distance, group_limit), "candidates")
+    edges = first.unionByName(_verified(groups, nodes, texts, similarity))
+    to = components(edges)
     return rows.select("doc_id", F.col("node").alias("text_hash")).join(to.withColumnRenamed("node", "text_hash"), "text_hash", "left").select("doc_id", "text_hash", F.coalesce("component", "text_hash").alias("copy_of"))
 
 
