@@ -33,11 +33,15 @@ END = 0
 PARTITION = 40_000
 ROUNDS = 3
 CACHE = 1 << 18  # runs an encoder remembers
+STRETCH = 1 << 16  # characters given to the tokenizer at once, and on to the next space between letters
 
 # Latin texts: only here are white space, case and words the same to Python and to the tokenizer.
 _OTHER = re.compile("[^\x00-\x1b\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u024f]|<\\|")
 
 
+_BETWEEN = re.compile("(?<=[A-Za-z]) (?=[A-Za-z])")  # a space that a text may be cut at
+
+
 _PLAIN = re.compile("([a-z\u00df-\u00f6\u00f8-\u024f]+)([.,;:!?]*)")
 
 
@@ -57,7 +61,13 @@ class Encoder:
         self.runs: dict[str, bytes] = {"": b""}
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        out, at = [], 0
+        while at < len(text):
+            space = _BETWEEN.search(text, at + STRETCH)
+            end = space.end() if space else len(text)
+            out.append(np.array(self.tokenizer.encode(text[at:end], add_special_tokens=False).ids, dtype="<u4").tobytes())
+            at = end
+        return b"".join(out)
 
     def __call__(self, text: str) -> bytes:
         if _OTHER.search(text):
