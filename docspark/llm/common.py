@@ -57,11 +57,32 @@ def keyed_documents_of(docs: DataFrame) -> DataFrame:
     return documents_of(docs).withColumn("text_hash", F.xxhash64("text"))
 
 
+BUCKETS = 1 << 19
+
+
+def bucket_of(*columns: str) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(BUCKETS))
+
+
+def by_bucket(rows: DataFrame, columns: list[str], found: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """rows semi- or anti-joined with found by a bucket of their keys: at most BUCKETS numbers are broadcast, whatever the size of found.
+    Rows of no bucket of found match none of it, so they need no shuffle; those of one may match, which a join of keys tells."""
+    buckets = F.broadcast(found.select(bucket_of(*keys).alias("found_bucket")).distinct())
+    return rows.join(buckets, bucket_of(*columns) == F.col("found_bucket"), how)
+
+
 def rows_of(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
-    """docs semi- or anti-joined with found (doc_id, text_hash). The caller's columns travel in one struct, so no name can clash."""
+    """docs semi- or anti-joined with found (doc_id, text_hash). The caller's columns travel in one struct, so no name can clash.
+
+    docs is read twice for left_anti, but only rows whose bucket is among those of found are shuffled."""
     whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_hash().alias("text_hash"))
     other = found.select(F.col("doc_id").alias("other_id"), F.col("text_hash").alias("other_hash"))
-    return whole.join(other, F.col("doc_id").eqNullSafe(F.col("other_id")) & (F.col("text_hash") == F.col("other_hash")), how).select("row.*")
+    same = F.col("doc_id").eqNullSafe(F.col("other_id")) & (F.col("text_hash") == F.col("other_hash"))
+    buckets = ["doc_id", "text_hash"], found, ["doc_id", "text_hash"]
+    out = by_bucket(whole, *buckets, "left_semi").join(other, same, how)
+    if how == "left_anti":
+        out = by_bucket(whole, *buckets, "left_anti").unionByName(out)
+    return out.select("row.*")
 
 
 def is_held_out() -> Column:

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspark.llm.common import gram_hashes, kept, keyed_documents_of, mixed, rows_of, run_hashes, text_rows
+from docspark.llm.common import by_bucket, gram_hashes, kept, keyed_documents_of, mixed, rows_of, run_hashes, text_rows
 
 SEED = 42
 FAN = 8
@@ -48,7 +48,6 @@ SHINGLE, SIMILARITY = 5, 0.8  # of near copies that keep_one finds
 NEAR, SECOND = 5, 16  # bits in which candidates may differ, of either fingerprint
 TOGETHER = 4096  # texts of one words-fingerprint that are compared in one place
 GROUP = 1 << 15  # texts under one top node that are compared in one place
-BUCKETS = 1 << 18  # of rows, to leave out sets of shingles that no group needs before they are shuffled
 NO_ID = (1 << 63) - 1
 
 
@@ -337,10 +336,8 @@ def _verified(groups: DataFrame, nodes: DataFrame, texts: DataFrame, similarity:
             b.append(node[root[other]])
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
-    bucket = F.pmod(F.xxhash64("row"), F.lit(BUCKETS)).alias("bucket")
     members = kept(groups.join(nodes, "node").select("key", "node", "row", "fp", "second"), "members")
-    needed = F.broadcast(members.select(bucket).distinct())  # at most BUCKETS numbers; the join below is exact
-    sets = texts.withColumn("bucket", bucket).join(needed, "bucket", "left_semi").drop("bucket")
+    sets = by_bucket(texts, ["row"], members, ["row"], "left_semi")  # before they are shuffled; the next join is exact
     rows = members.join(sets, "row").select("key", "node", "fp", "second", "shingles").repartition("key").sortWithinPartitions("key", "node")
     return rows.mapInArrow(lambda batches: _by_group(batches, ["key"], solve), "a long, b long")
 
