@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docspark.llm import decontaminate, language, packing, private, pu, quotes, rules, sharding, simhash, substrings
+from docspark.llm import decontaminate, exactdup, language, negatives, packing, private, pu, quotes, rules, runs, sharding, simhash, substrings
 from docspark.llm.common import table
 
 
@@ -58,6 +58,38 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quotation_linking, op2_simhash_dedup, op3_private_terms, op4_decontamination, op5_best_fit_packing, op6_repeated_substrings, op7_quality_rules, op8_hilbert_shards, op9_language_id, op10_quality_classifier)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digest(runs.periodic_runs(runs.with_planted_runs(table(spark, sf_dir, "documents"))))
 
-ORACLE: dict[str, str] = {}
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(negatives.relabelled(table(spark, sf_dir, "embeddings")))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quotation_linking, op2_simhash_dedup, op3_private_terms, op4_decontamination, op5_best_fit_packing, op6_repeated_substrings, op7_quality_rules, op8_hilbert_shards, op9_language_id, op10_quality_classifier, op11_periodic_runs, op12_hard_negatives, op13_exact_dedup)}
+
+ORACLE: dict[str, str] = {
+    "op12_hard_negatives": """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, v.vec_id, a.label = v.label AS same, CAST(list_dot_product(CAST(a.q AS DOUBLE[]), CAST(v.q AS DOUBLE[])) AS BIGINT) AS score
+  FROM v a JOIN v ON a.vec_id % 100 = 0 AND a.vec_id <> v.vec_id
+), positive AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, p.positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, s.vec_id AS negative_id, p.positive_score, s.score AS negative_score
+FROM positive p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id)
+QUALIFY row_number() OVER w <= 10""",
+    "op13_exact_dedup": """
+WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS points, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS norm FROM documents)
+SELECT doc_id, first_value(doc_id) OVER best AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size, row_number() OVER best = 1 AS kept, sha256(norm) AS text_sha256
+FROM n WINDOW best AS (PARTITION BY norm ORDER BY points DESC, doc_id NULLS LAST)""",
+}
