@@ -5,7 +5,7 @@ fingerprints differ in at most ``distance`` bits; classes are the connected comp
 
 How the links are found, exactly:
 
-* Equal fingerprints collapse first (one node for each distinct fingerprint, the smallest doc_id names it).
+* Equal fingerprints collapse first (each distinct fingerprint is one node; its class gets the smallest doc_id of all its rows at the end).
 * Every fingerprint goes once under each of ``distance + 1`` top nodes. A top node is a masked bit
   pattern: a block of bits and its value. Of two fingerprints that differ in at most ``distance``
   bits at least one block is equal, so each link meets under some top node.
@@ -19,10 +19,10 @@ How the links are found, exactly:
   in a components job (alternating large-star and small-star) on tables in the shared folder.
 
 ``keep_one`` links texts by what they share, not by bits alone: two texts are near copies when their sets of five-word shingles
-have a Jaccard similarity of 0.8 or more. Candidates come from the same index, over a fingerprint of single words (near copies
-differ in few of its bits: NEAR at most) with a second one of three-word shingles that must differ in SECOND bits at most; in the task that holds a class of
-candidates the sets are compared exactly. Texts of equal words-fingerprint meet first, and only one of each class goes on to the index, so
-that a large group of near copies shrinks before it is dealt under the top nodes.
+have a Jaccard similarity of 0.8 or more. The same index, over two fingerprints of single words (near copies differ in few bits of them:
+NEAR at most, of either), puts texts into classes of candidates, and an exact set join finds the links within a class: of two such sets the
+rarest fifth of the shingles (the prefix) share one, so texts meet by these in Spark joins and each pair that meets is compared by itself. No class is held in one task, and
+no pair inside a class is left out: a family of near copies first meets its most central text, and only pairs still apart are compared after that.
 
 Defined cases: a null text is an empty one; a text without words has fingerprint zero and is linked
 like any other; a null doc_id takes part and gets the smallest doc_id of its class (null if the class
@@ -31,6 +31,7 @@ has none); repeated rows each get a row; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from itertools import repeat
 
@@ -45,10 +46,9 @@ from docspark.llm.common import by_bucket, gram_hashes, kept, keyed_documents_of
 SEED = 42
 FAN = 8
 SHINGLE, SIMILARITY = 5, 0.8  # of near copies that keep_one finds
-NEAR, SECOND = 5, 16  # bits in which candidates may differ, of either fingerprint
-TOGETHER = 4096  # texts of one words-fingerprint that are compared in one place
-GROUP = 1 << 15  # texts under one top node that are compared in one place
-NO_ID = (1 << 63) - 1
+NEAR = 5  # bits in which the word fingerprints of candidates may differ
+SHARE = 16  # a word counts for at most a 16th of its text in such a fingerprint
+LOADS = 1 << 20  # buckets in which shingles are counted, for an order from rare to common
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
@@ -123,9 +123,8 @@ def _levels(fp: np.ndarray, group: np.ndarray) -> list[tuple[np.ndarray, np.ndar
         out.append((heads, np.r_[heads[1:], place.size], value, mask))
 
 
-def linked(fp: np.ndarray, group: np.ndarray, distance: int = 3, at_once: int = 1 << 14, second: np.ndarray | None = None) -> np.ndarray:
-    """For rows sorted by (group, Gray rank): the first row of each row's class within its group. second: other fingerprints of the
-    rows, in which linked ones differ in SECOND bits at most."""
+def linked(fp: np.ndarray, group: np.ndarray, distance: int = 3, at_once: int = 1 << 14) -> np.ndarray:
+    """For rows sorted by (group, Gray rank): the first row of each row's class within its group."""
     parent = np.arange(len(fp))
     if not len(fp):
         return parent
@@ -139,9 +138,6 @@ def linked(fp: np.ndarray, group: np.ndarray, distance: int = 3, at_once: int =
             stack += [(level, a[i : i + at_once], b[i : i + at_once]) for i in range(0, len(a), at_once)]
             continue
         if level == 0:
-            if second is not None:
-                near = np.bitwise_count(second[a] ^ second[b]) <= SECOND
-                a, b = a[near], b[near]
             _unite(parent, a, b)
             continue
         first, last = levels[level][:2]
@@ -229,7 +225,7 @@ def links(nodes: DataFrame, distance: int = 3, group_limit: int = 8192) -> DataF
         order = np.lexsort((gray_rank(fp), group))
         fp, node = fp[order], node[order]
         root = linked(fp, group[order], distance)
-        least = np.full(len(fp), NO_ID)
+        least = np.full(len(fp), np.iinfo(np.int64).max)
         np.minimum.at(least, root, node)
         a, b = node, least[root]
         other = a != b
@@ -264,10 +260,11 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, distance: int = 3, group_limit: int = 8192) -> DataFrame:
     """doc_id, fp (long), text_hash, component_id: the smallest doc_id reachable over links."""
     prints = kept(fingerprints(docs), "fingerprints")
-    nodes = kept(prints.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("node")), "nodes")
-    to = components(links(nodes, distance, group_limit))
-    named = nodes.join(to, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
-    return prints.join(named, "fp", "left").select("doc_id", "fp", "text_hash", F.nullif(F.col("component"), F.lit(NO_ID)).alias("component_id"))
+    nodes = kept(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    to = components(links(nodes.select("fp", F.col("fp").alias("node")), distance, group_limit))
+    placed = kept(nodes.join(to.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("component")), "placed")
+    named = placed.groupBy("component").agg(F.min("least").alias("component_id"))
+    return prints.join(placed.join(named, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "text_hash", "component_id")
 
 
 # --- near copies by what texts share --------------------------------------------------------------
@@ -277,114 +274,141 @@ _IS_SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 _BYTE = np.where(_IS_SPACE, 0, mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
 
 
-def _bits(h: np.ndarray) -> int:
-    ones = np.zeros(64, dtype=np.int64)
-    for i in range(0, len(h), 1 << 16):
-        ones += np.unpackbits(h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(h), bitorder="little").view("<u8")[0])
-
-
 def traits(raw: bytes, shingle: int = SHINGLE) -> tuple[int, int, bytes]:
-    """Fingerprints of single words and of three-word shingles, and the set of shingles (sorted 32-bit hashes)."""
+    """Two fingerprints of single words (of other hashes), no word counted for more than a SHARE-th of them, and the set of shingles (sorted 32-bit hashes)."""
     w, _ = run_hashes(len(raw), lambda i, j: _BYTE[np.frombuffer(raw[i:j].lower(), dtype=np.uint8)], 1 << 17)
-    grams = lambda n: gram_hashes(w, min(n, max(len(w), 1)))
-    return _bits(w), _bits(grams(3)), np.unique((grams(shingle) >> np.uint64(32)).astype("<u4")).tobytes()
-
-
-def _alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
-    if min(len(a), len(b)) < similarity * max(len(a), len(b)):
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both >= similarity * (len(a) + len(b) - both)
-
-
-def near_classes(fp: np.ndarray, second: np.ndarray, sets: list[np.ndarray], similarity: float, distance: int = NEAR) -> np.ndarray:
-    """The first row of each row's class: rows that are alike, and candidates by their fingerprints, are linked."""
-    parent, m = np.arange(len(fp)), len(fp)
-    ones = np.unpackbits(fp.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    middle = np.packbits(2 * ones > m, bitorder="little").view("<u8")[0]
-    firsts: list[int] = []
-    for i in np.argsort(np.bitwise_count(fp ^ middle), kind="stable").tolist():  # what is most like all others comes first
-        of = [k for k in firsts if _alike(sets[k], sets[i], similarity)]
-        if not of:
-            firsts.append(i)
-        for k in of:
-            _unite(parent, np.array([i]), np.array([k]))
-    if len(firsts) > 1 and len(firsts) < m:  # links between others of different classes
-        for i in range(m):
-            rest = np.arange(i)
-            near = rest[(np.bitwise_count(fp[rest] ^ fp[i]) <= distance) & (np.bitwise_count(second[rest] ^ second[i]) <= SECOND)]
-            for k in near[_roots(parent, near) != _roots(parent, np.array([i]))[0]].tolist():
-                if _roots(parent, np.array([k]))[0] != _roots(parent, np.array([i]))[0] and _alike(sets[k], sets[i], similarity):
-                    _unite(parent, np.array([i]), np.array([k]))
-    return _roots(parent, np.arange(m))
-
-
-def _verified(groups: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """Edges (a, b) to one text of its class from each other, of texts in one group that are alike. groups: key, node; nodes: node, row, fp, second; texts: row, shingles."""
+    word, times = np.unique(w, return_counts=True)
+    times = np.minimum(times, max(1, len(w) // SHARE))
+    ones = np.zeros(128, dtype=np.int64)
+    for i in range(0, len(word), 1 << 14):
+        both = np.stack([word[i : i + (1 << 14)], mixed(word[i : i + (1 << 14)] + np.uint64(1))], axis=1)
+        ones += times[i : i + (1 << 14)] @ np.unpackbits(both.view(np.uint8), axis=1, bitorder="little").astype(np.int64)
+    fp = np.packbits(2 * ones > times.sum(), bitorder="little").view("<u8").tolist()
+    grams = gram_hashes(w, min(shingle, max(len(w), 1)))
+    return *fp, np.unique((grams >> np.uint64(32)).astype("<u4") if len(w) else np.zeros(1, dtype="<u4")).tobytes()  # texts without words are alike
 
-    def solve(t: pa.Table) -> pa.RecordBatch:
-        key, node = (t.column(k).to_numpy() for k in ("key", "node"))
-        begins = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        fp, second = (t.column(k).to_numpy().view(np.uint64) for k in ("fp", "second"))
-        a, b = [], []
-        for i, j in zip(begins.tolist(), [*begins[1:].tolist(), len(key)], strict=True):
-            sets = [np.frombuffer(x.as_buffer(), dtype="<u4") for x in t.column("shingles").slice(i, j - i)]
-            root = i + near_classes(fp[i:j], second[i:j], sets, similarity)
-            other = np.flatnonzero(root != np.arange(i, j))
-            a.append(node[i:j][other])
-            b.append(node[root[other]])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-
-    members = kept(groups.join(nodes, "node").select("key", "node", "row", "fp", "second"), "members")
-    sets = by_bucket(texts, ["row"], members, ["row"], "left_semi")  # before they are shuffled; the next join is exact
-    rows = members.join(sets, "row").select("key", "node", "fp", "second", "shingles").repartition("key").sortWithinPartitions("key", "node")
-    return rows.mapInArrow(lambda batches: _by_group(batches, ["key"], solve), "a long, b long")
-
-
-def _candidates(texts: DataFrame, distance: int, group_limit: int) -> DataFrame:
-    """key, node: the classes of candidates of two texts and more, each class once."""
 
-    def solve(t: pa.Table) -> pa.RecordBatch:
-        mask, shared, fp, second, node = (t.column(k).to_numpy() for k in ("mask", "shared", "fp", "second", "node"))
-        fp, second = fp.view(np.uint64), second.view(np.uint64)
-        group = np.cumsum(np.r_[True, (mask[1:] != mask[:-1]) | (shared[1:] != shared[:-1])])
-        order = np.lexsort((gray_rank(fp), group))
-        fp, second, node = fp[order], second[order], node[order]
-        root = linked(fp, group[order], distance, second=second)
-        several = np.bincount(root, minlength=len(root))[root] > 1
-        key = np.zeros(len(root), dtype=np.uint64)
-        np.add.at(key, root, mixed(node.view(np.uint64)))  # the same for the same members, under whatever top node
-        return pa.RecordBatch.from_arrays([pa.array(key[root[several]].view(np.int64)), pa.array(node[several])], names=["key", "node"])
-
-    out = None
-    for p in _dealt(texts.select("fp", "second", "node"), distance, group_limit):
-        grouped = p.select("mask", "shared", "fp", "second", "node").repartition("mask", "shared").sortWithinPartitions("mask", "shared")
-        found = grouped.mapInArrow(lambda batches: _by_group(batches, ["mask", "shared"], solve), "key long, node long")
-        out = found if out is None else out.unionByName(found)
-    return out.distinct()
-
-
-def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, distance: int = NEAR, group_limit: int = GROUP) -> DataFrame:
+def _set(value: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), dtype="<u4")
+
+
+def _loads(sets: DataFrame) -> np.ndarray:
+    """How many shingles of all sets fall into each of LOADS buckets: a stand-in for how common a shingle is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(LOADS, dtype=np.int64)
+        for b in batches:
+            for s in b.column(0):
+                np.add.at(n, _set(s) % LOADS, 1)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["bucket", "n"])
+
+    found = sets.select("shingles").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # LOADS rows at most
+    out = np.zeros(LOADS, dtype=np.int64)
+    out[found["bucket"].to_numpy()] = found["n"].to_numpy()
+    return out
+
+
+def prefix(shingles: np.ndarray, loads: np.ndarray, similarity: float) -> np.ndarray:
+    """The rarest shingles of a set, so many that two sets as alike as that share one of them."""
+    order = np.lexsort((shingles, loads[shingles % LOADS]))
+    return shingles[order[: len(shingles) - math.ceil(similarity * len(shingles) - 1e-9) + 1]]
+
+
+def _postings(sets: DataFrame, similarity: float) -> DataFrame:
+    """key (of class and shingle), node, at (its place among the text's shingles, rarest first), size."""
+    shared = sets.sparkSession.sparkContext.broadcast(_loads(sets))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loads = shared.value
+        for b in batches:
+            node, cls = (b.column(i).to_numpy() for i in (0, 1))
+            for i in range(0, b.num_rows, 256):
+                some = [_set(x) for x in b.column(2).slice(i, 256)]
+                first = [prefix(s, loads, similarity) for s in some]
+                n = np.array([len(x) for x in first])
+                key = mixed(np.concatenate(first).astype(np.uint64) + mixed(np.repeat(cls[i : i + 256], n).view(np.uint64)))
+                at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                size = np.repeat(np.array([len(x) for x in some]), n)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.repeat(node[i : i + 256], n)), pa.array(at.astype(np.int32)), pa.array(size.astype(np.int32))], names=["key", "node", "at", "size"])
+
+    return sets.select("node", "class", "shingles").mapInArrow(run, "key long, node long, at int, size int")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets have that Jaccard similarity, each compared on its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                s, t = _set(x), _set(y)
+                both = np.sort(np.concatenate([s, t]))
+                n = int((both[1:] == both[:-1]).sum())
+                keep.append(n >= similarity * (len(both) - n) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    of = lambda c, name: sets.select(F.col("node").alias(c), F.col("shingles").alias(name))
+    return pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def _classes(nodes: DataFrame, distance: int) -> DataFrame:
+    """node, row, class: the texts that the index puts together by either fingerprint, for classes of two texts and more."""
+    placed = nodes
+    for fp, name in (("fp", "one"), ("other", "two")):
+        prints = kept(nodes.select(F.col(fp).alias("fp")).distinct(), "prints")
+        to = kept(components(links(prints.withColumn("node", F.col("fp")), distance)), "print-classes").select(F.col("node").alias(fp), F.col("component").alias(name))
+        placed = placed.join(to, fp, "left").withColumn(name, F.coalesce(name, fp))
+        several = placed.groupBy(name).count().where("count > 1").select(F.col(name), F.lit(True).alias(f"{name}_several"))
+        placed = placed.join(several, name, "left")
+    placed = kept(placed.where("one_several or two_several"), "placed")
+    # a class of the second fingerprint is named apart from those of the first; texts that are in both bring them together
+    named = placed.select("node", "row", F.when(F.col("one_several"), F.xxhash64(F.lit(1), "one")).alias("one"), F.when(F.col("two_several"), F.xxhash64(F.lit(2), "two")).alias("two"))
+    both = components(named.where("one is not null and two is not null").select(F.col("one").alias("a"), F.col("two").alias("b")))
+    mine = named.select("node", "row", F.coalesce("one", "two").alias("named"))
+    return mine.join(both.withColumnRenamed("node", "named"), "named", "left").select("node", "row", F.coalesce("component", "named").alias("class"))
+
+
+def alike_links(sets: DataFrame, similarity: float) -> DataFrame:
+    """sets: node, class, shingles. Edges (a, b) between texts of one class that are as alike as that: not all pairs, but enough that their components are those of all such pairs.
+
+    Texts meet by the shingles of their prefixes. Of those that meet in one shingle the most central (it has the fewest rarer shingles) is compared
+    with all others first; then only pairs that are not yet in one component are compared, if their sizes and places allow it."""
+    postings = kept(_postings(sets, similarity), "postings")
+    groups = postings.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct((F.col("at") / F.col("size")).alias("place"), "node")).alias("first")).where("n > 1").select("key", F.col("first.node").alias("lead"))
+    met = kept(postings.join(groups, "key"), "met")
+    pair = lambda x, y: (F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
+    stars = kept(met.where("node <> lead").select(*pair("node", "lead")).distinct(), "stars")
+    edges = kept(_alike(stars, sets, similarity), "star-links")
+    to = kept(components(edges), "star-components")
+    placed = met.join(to, "node", "left").select("key", "node", "at", "size", F.coalesce("component", "node").alias("component"))
+    apart = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    placed = kept(placed.join(apart, "key", "left_semi"), "apart")
+    x, y = placed.alias("x"), placed.alias("y")
+    shared = F.least(F.col("x.size") - F.col("x.at"), F.col("y.size") - F.col("y.at"))  # at most, where a pair meets first
+    least = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("x.size") + F.col("y.size")) - 1e-9)
+    may = (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & (shared >= least)
+    rest = x.join(y, (F.col("x.key") == F.col("y.key")) & may).select(F.col("y.node").alias("a"), F.col("x.node").alias("b")).distinct()
+    rest = kept(rest.join(stars, ["a", "b"], "left_anti"), "pairs")
+    return edges.unionByName(_alike(rest, sets, similarity))
+
+
+def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, distance: int = NEAR) -> DataFrame:
     """doc_id, text_hash, copy_of: the text_hash of one text of the row's class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [traits(t or b"", shingle) for t in text_rows(b)]
-            fp, second = (pa.array(np.array([x[i] for x in found], dtype=np.uint64).view(np.int64)) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), fp, second, pa.array([x[2] for x in found], pa.binary())], names=["doc_id", "node", "fp", "second", "shingles"])
+            prints = [pa.array(np.array([x[i] for x in found], dtype=np.uint64).view(np.int64)) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *prints, pa.array([x[2] for x in found], pa.binary())], names=["doc_id", "node", "fp", "other", "shingles"])
 
-    rows = keyed_documents_of(docs).mapInArrow(run, "doc_id long, node long, fp long, second long, shingles binary")
+    rows = keyed_documents_of(docs).mapInArrow(run, "doc_id long, node long, fp long, other long, shingles binary")
     rows = kept(rows.withColumn("row", F.monotonically_increasing_id()), "traits")
-    texts = rows.select("row", "shingles")
-    nodes = kept(rows.groupBy("node").agg(F.min(F.struct("row", "fp", "second")).alias("r")).select("node", "r.*"), "texts")
-    same = nodes.groupBy("fp").agg(F.count("*").alias("n")).where("n > 1")
-    salt = F.pmod("node", F.ceil(F.col("n") / TOGETHER))
-    first = kept(_verified(nodes.join(same, "fp").select(F.xxhash64("fp", salt).alias("key"), "node"), nodes, texts, similarity), "same-words")
-    left = nodes.drop("row").join(first.select(F.col("a").alias("node")), "node", "left_anti")
-    groups = kept(_candidates(left, distance, group_limit), "candidates")
-    edges = first.unionByName(_verified(groups, nodes, texts, similarity))
-    to = components(edges)
+    nodes = kept(rows.groupBy("node").agg(F.min("row").alias("row"), F.first("fp").alias("fp"), F.first("other").alias("other")), "texts")
+    members = kept(_classes(nodes, distance), "members")
+    near = by_bucket(rows.select("row", "shingles"), ["row"], members, ["row"], "left_semi")  # before they are shuffled; the next join is exact
+    sets = kept(members.join(near, "row").select("node", "class", "shingles"), "sets")
+    to = components(alike_links(sets, similarity))
     return rows.select("doc_id", F.col("node").alias("text_hash")).join(to.withColumnRenamed("node", "text_hash"), "text_hash", "left").select("doc_id", "text_hash", F.coalesce("component", "text_hash").alias("copy_of"))
 
 

@@ -137,33 +137,70 @@ def plain_copies(texts, similarity=0.8):
     return [top(i) for i in range(len(texts))]
 
 
-def family(n, seed=21):
+def family(n, seed=21, most=4):
     r = random.Random(seed)
     words = ["".join(r.choice("abcdefghij") for _ in range(r.randint(2, 9))) for _ in range(2000)]
     base = [r.choice(words) for _ in range(300)]
     out = []
     for _ in range(n):
         copy = list(base)
-        for k in r.sample(range(300), r.randint(0, 4)):
+        for k in r.sample(range(300), r.randint(0, most)):
             copy[k] = r.choice(words)
         out.append(" ".join(copy))
     return out + [" ".join(r.choice(words) for _ in range(r.randint(1, 300))) for _ in range(n // 2)]
 
 
-@pytest.mark.parametrize("group", [simhash.GROUP, 20])
-def test_near_copies_are_those_of_all_pairs(spark, given, docs, group, monkeypatch):
-    monkeypatch.setattr(simhash, "TOGETHER", 5 if group == 20 else simhash.TOGETHER)
-    texts = [t for _, t in pairs(given)] + [t for _, t in pairs(docs)] + family(60)
+def test_links_in_a_class_are_those_of_all_pairs(spark, given, docs):
+    texts = [t for _, t in pairs(given)] + [t for _, t in pairs(docs)] + family(60) + family(40, 5, 12)
+    sets = [(i, 1, bytearray(simhash.traits((t or "").encode())[2])) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(sets, "node long, class long, shingles binary")
+    to = {x["node"]: x["component"] for x in simhash.components(simhash.alike_links(df, 0.8)).collect()}
+    assert [to.get(i, i) for i in range(len(texts))] == plain_copies(texts)
+
+
+def test_near_copies_are_found_and_no_others(spark, given, docs):
+    texts = [t for _, t in pairs(given)] + [t for _, t in pairs(docs)] + [t for k in range(40) for t in family(8, k, 8)]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    of = {x["doc_id"]: x["copy_of"] for x in simhash.near_copies(df, group_limit=group).collect()}
+    of = {x["doc_id"]: x["copy_of"] for x in simhash.near_copies(df).collect()}
     want = plain_copies(texts)
     found, whole = defaultdict(set), defaultdict(set)
     for i, k in enumerate(want):
         found[of[i]].add(i)
         whole[k].add(i)
     assert all(len({want[i] for i in g}) == 1 for g in found.values())  # nothing is linked that is not alike
-    linked = lambda groups: sum(len(g) - 1 for g in groups.values())
-    assert linked(found) >= 0.95 * linked(whole)
+    both = [(i, j) for g in whole.values() for i in g for j in g if i < j and texts[i] != texts[j]]
+    assert len(both) > 500 and np.mean([of[i] == of[j] for i, j in both]) >= 0.95
+
+
+def test_a_large_family_of_unlike_copies_meets_in_few_pairs(spark, tmp_path, monkeypatch):
+    r = random.Random(2)
+    base = [f"w{r.randrange(10**6)}" for _ in range(150)]
+    texts = []
+    for _ in range(1500):  # between them all similarities from 0.4 to 0.9
+        copy = list(base)
+        for k in r.sample(range(150), r.randint(1, 9)):
+            copy[k] = f"e{r.randrange(10**9)}"
+        texts.append(" ".join(copy))
+    sets = [(i, 1, bytearray(simhash.traits(t.encode())[2])) for i, t in enumerate(texts)]
+    compared, alike = [], simhash._alike
+    monkeypatch.setattr(simhash, "_alike", lambda pairs, *a: compared.append(pairs.count()) or alike(pairs, *a))
+    df = spark.createDataFrame(sets, "node long, class long, shingles binary")
+    to = {x["node"]: x["component"] for x in simhash.components(simhash.alike_links(df, 0.8)).collect()}
+    assert [to.get(i, i) for i in range(len(texts))] == plain_copies(texts)
+    assert sum(compared) < 40 * len(texts)  # of 750 for each text
+
+
+def test_fingerprints_of_rows_without_ids_are_nodes_of_their_own(spark):
+    r = random.Random(8)
+    say = lambda n: [f"w{r.randrange(500)}" for _ in range(n)]
+    x, y, z = say(400), say(90), say(90)
+    near = [*x[:200], "changed", *x[201:]]
+    rows = [(3, x), (None, near), (None, y), (7, near), (7, z), (None, z), (None, say(50)), (9, say(50)), (9, x)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")
+    prints = [(d, plain_fingerprint(t)) for d, t in pairs(df)]
+    want = Counter((d, f, c) for (d, f), c in zip(prints, plain_components(prints), strict=True))
+    assert Counter((g["doc_id"], g["fp"] & (2**64 - 1), g["component_id"]) for g in simhash.near_duplicates(df).collect()) == want
+    assert (None, plain_fingerprint(" ".join(y)), None) in want and (None, plain_fingerprint(" ".join(z)), 7) in want
 
 
 def test_keep_one(docs, nothing):
