@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docspark.operators.columns import added, running
+
 #: category, confidence, pattern, in scan order (fixed values)
 SENSITIVE = [
     ("email", "high", r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"),
@@ -19,16 +21,9 @@ MATCH_LENGTH = 120
 NEEDS = {"email": "@", "us-ssn": "-"}
 
 
-def placed(found: Column, gaps: Column) -> Column:
-    """array of (offset, match) of the matches found; gaps is the text split at them. One fold, so neither is computed again."""
-    start = F.struct(F.lit(0).alias("at"), F.from_json(F.lit("[]"), "array<struct<offset:int,match:string>>").alias("out"))
-
-    def add(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
-        more = F.array_append(acc["out"], F.struct(begin.alias("offset"), x["match"].alias("match")))
-        return F.when(x["match"].isNull(), acc).otherwise(F.struct((begin + F.length(x["match"])).alias("at"), more.alias("out")))
-
-    return F.aggregate(F.zip_with(gaps, found, lambda g, m: F.struct(g.alias("gap"), m.alias("match"))), start, add)["out"]
+def advances(found: Column, gaps: Column) -> Column:
+    """How far each match reaches from the end of the one before; gaps is the text split at the matches. Their running sums are the matches' ends."""
+    return F.slice(F.zip_with(gaps, found, lambda g, m: F.length(g) + F.length(m)), F.lit(1), F.size(found))
 
 
 def scan_sensitive(docs: DataFrame, patterns: list[tuple[str, str, str]] = SENSITIVE) -> DataFrame:
@@ -44,7 +39,9 @@ def scan_sensitive(docs: DataFrame, patterns: list[tuple[str, str, str]] = SENSI
     kinds = F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(c).alias("category"), F.lit(conf).alias("confidence"), found(c, p).alias("m")) for i, (c, conf, p) in enumerate(patterns)])
     rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("t")).select("doc_id", "t", F.explode(kinds).alias("k")).where(F.size("k.m") > 0)
     gaps = F.coalesce(*[F.when(F.col("k.rank") == i, F.split("t", p, -1)) for i, (_, _, p) in enumerate(patterns)])
-    rows = rows.select("doc_id", "k.rank", "k.category", "k.confidence", F.explode(placed(F.col("k.m"), gaps)).alias("f"))
+    rows = rows.select("doc_id", "k.rank", "k.category", "k.confidence", "k.m", gaps.alias("gaps")).withColumn("ends", advances(F.col("m"), F.col("gaps"))).drop("gaps")
+    each = F.zip_with("ends", "m", lambda e, m: F.struct((e - F.length(m)).alias("offset"), m.alias("match")))
+    rows = running(rows, ["ends"], added).select("doc_id", "rank", "category", "confidence", F.explode(each).alias("f"))
     return rows.select("doc_id", "rank", "category", "confidence", F.col("f.offset").cast("long").alias("offset"), F.substring("f.match", 1, MATCH_LENGTH).alias("match"))
 
 
