@@ -17,8 +17,8 @@ start only where a run starts (or the last match ended), so that no text makes t
 the plain patterns match.
 
 A term with n(t) > (n(e) + PRIOR p(e)) / 2^(-IC (1 - 1 / ALPHA)) - PRIOR cannot disclose e and is paired with it nowhere.
-All entities that occur in one and the same document only have equal counts with every term; one stands for them, so
-that pairs grow with the input. Counts are pre-aggregated before they are shuffled, and nothing is broadcast by hand.
+All entities that occur in the same documents have equal counts with every term; one stands for them (documents are compared by two 64-bit
+hashes of their set), so that copies of a page with many values add no pairs of values. Counts are pre-aggregated before they are shuffled, and nothing is broadcast by hand.
 
 Defined cases: a null text is an empty one (no spans); equal spans of different kinds all stay; repeated rows are
 each scanned and count as documents; other columns pass through untouched.
@@ -26,10 +26,14 @@ each scanned and count as documents; other columns pass through untouched.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docspark.llm.common import kept
+from docspark.operators.columns import added, running
+from docspark.operators.scans import advances
 
 KINDS = ["email", "ip", "card", "phone"]
 PATTERNS = {
@@ -40,23 +44,9 @@ PATTERNS = {
 }
 MARKS = {"email": "@", "ip": ".", "phone": "+"}  # a text without it has no such span
 TERM = r"\p{L}{3,}"
+BLOCK = 1024
 PRIOR = 1.0
 ALPHA = 1.1
-_SPAN = "array<struct<start:int,rank:int,end:int,kind:string,value:string>>"
-
-
-def _placed(text: Column, found: Column, pattern: Column) -> Column:
-    """array of (start, end, value) of the matches found, from what stands between them."""
-    gaps = F.transform(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)), F.length)
-    pairs = F.zip_with(gaps, found, lambda g, v: F.struct(g.alias("g"), v.alias("v")))
-    start = F.struct(F.lit(0).alias("at"), F.from_json(F.lit("[]"), "array<struct<start:int,end:int,value:string>>").alias("out"))
-
-    def add(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["g"]
-        end = begin + F.length(x["v"])
-        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(begin.alias("start"), end.alias("end"), x["v"].alias("value"))).alias("out"))
-
-    return F.aggregate(pairs, start, add)["out"]
 
 
 def _digits(value: Column) -> Column:
@@ -81,32 +71,55 @@ def _valid(kind: str, value: Column) -> Column:
 
 def with_spans(rows: DataFrame) -> DataFrame:
     """rows (t: the text, not null, and others) with spans, the sorted base spans: array of (start, rank, end, kind, value)."""
-    df, names = rows, rows.columns
+    names = rows.columns
     none = F.from_json(F.lit("[]"), "array<string>")
-    for kind in KINDS:
-        all_ = F.regexp_extract_all("t", F.lit(PATTERNS[kind]), F.lit(0))
-        df = df.withColumn(kind, F.when(F.contains("t", F.lit(MARKS[kind])), all_).otherwise(none) if kind in MARKS else all_)
+    found = lambda k: F.regexp_extract_all("t", F.lit(PATTERNS[k]), F.lit(0))
+    df = rows.withColumns({k: F.when(F.contains("t", F.lit(MARKS[k])), found(k)).otherwise(none) if k in MARKS else found(k) for k in KINDS})
+    ends = [f"{k}_ends" for k in KINDS]
+    gaps = lambda k: F.when(F.size(k) > 0, F.split("t", PATTERNS[k], -1)).otherwise(none)
+    df = running(df.withColumns({e: advances(F.col(k), gaps(k)) for k, e in zip(KINDS, ends, strict=True)}), ends, added)
 
     def of(rank: int, kind: str) -> Column:
-        placed = F.filter(_placed(F.col("t"), F.col(kind), F.lit(PATTERNS[kind])), lambda x: _valid(kind, x["value"]))
-        made = F.transform(placed, lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"), F.lit(kind).alias("kind"), x["value"].alias("value")))
-        return F.when(F.size(kind) > 0, made).otherwise(F.from_json(F.lit("[]"), _SPAN))
+        made = F.zip_with(f"{kind}_ends", kind, lambda e, v: F.struct((e - F.length(v)).alias("start"), F.lit(rank).alias("rank"), e.alias("end"), F.lit(kind).alias("kind"), v.alias("value")))
+        return F.filter(made, lambda x: _valid(kind, x["value"]))
 
     parts = [of(rank, kind) for rank, kind in enumerate(KINDS)]
     return df.select(*names, F.array_sort(F.concat(*parts)).alias("spans"))
 
 
-def _masked(text: Column) -> Column:
-    """The text with a space for each code point of a span, so that all offsets stay."""
-    start = F.struct(F.lit(0).alias("at"), F.from_json(F.lit("[]"), "array<string>").alias("out"))
+def _blocks(text: Column) -> Column:
+    """The text in blocks of BLOCK code points, so that a piece is cut out of a short string wherever it stands."""
+    return F.when(F.length(text) <= BLOCK, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)))
+
+
+def _piece(blocks: Column, start: Column, end: Column) -> Column:
+    i, j = F.floor(start / BLOCK).cast("int"), F.floor((end - 1) / BLOCK).cast("int")
+    head = F.substring(F.get(blocks, i), start % BLOCK + 1, F.lit(BLOCK))
+    several = F.concat(head, F.array_join(F.slice(blocks, i + 2, j - i - 1), ""), F.substring(F.get(blocks, j), F.lit(1), end - j * BLOCK))
+    return F.when(end <= start, "").when(i == j, F.substring(F.get(blocks, i), start % BLOCK + 1, end - start)).otherwise(several)
+
 
-    def add(acc: Column, s: Column) -> Column:
-        between = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        blank = F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(acc["at"], s["start"]), F.lit(0)))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.array_append(acc["out"], F.concat(between, blank)).alias("out"))
+def _replaced(rows: DataFrame, text: Column, spans: Column, instead: Callable[[Column, Column], Column], name: str) -> DataFrame:
+    """rows with name: the text with instead(span, where the spans before it end) in place of each span; null where there is none. Spans are sorted, and may overlap."""
+    df = rows.withColumn("__spans", spans).withColumns({"__tops": F.transform("__spans", lambda s: s["end"]), "__blocks": F.when(F.size("__spans") > 0, _blocks(text)), "__length": F.length(text)})
+    df = running(df, ["__tops"], F.greatest)
 
-    done = F.aggregate("spans", start, add)
-    return F.concat(F.array_join(done["out"], ""), F.substring(text, done["at"] + 1, F.length(text)))
+    def part(s: Column, i: Column) -> Column:
+        at = F.coalesce(F.get("__tops", i - 1), F.lit(0))
+        return F.concat(_piece(F.col("__blocks"), at, F.greatest(s["start"], at)), instead(s, at))
+
+    last = _piece(F.col("__blocks"), F.element_at("__tops", -1), F.col("__length"))
+    whole = F.concat(F.array_join(F.transform("__spans", part), ""), last)
+    return df.withColumn(name, F.when(F.size("__spans") > 0, whole)).drop("__spans", "__tops", "__blocks", "__length")
+
+
+def _blank(s: Column, at: Column) -> Column:
+    """A space for each code point of a span that no span before it covers, so that all offsets stay."""
+    return F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(at, s["start"]), F.lit(0)))
+
+
+def _label(s: Column, at: Column) -> Column:
+    return F.when(s["start"] >= at, F.concat(F.lit("["), F.upper(F.replace(s["kind"], F.lit("_"), F.lit(" "))), F.lit("]"))).otherwise("")
 
 
 def _words(text: Column) -> Column:
@@ -118,13 +131,13 @@ def _disclosing(held: DataFrame, texts: DataFrame, alpha: float) -> DataFrame:
     often = texts.select(F.explode(F.array_distinct(_words(F.coalesce("t", F.lit(""))))).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
     total = texts.agg(F.count("*").alias("n"))
     pairs = held.select("row", F.explode("entities").alias("entity"))
-    entities = pairs.groupBy("entity").agg(F.count("*").alias("n_e")).crossJoin(total)  # total is one row
+    rows_of = F.count("*").alias("n_e"), F.bit_xor(F.xxhash64("row")).alias("one"), F.bit_xor(F.xxhash64(F.lit(1), "row")).alias("two")
+    alike = pairs.groupBy("entity").agg(*rows_of).groupBy("n_e", "one", "two").agg(F.min("entity").alias("entity"))  # of the same rows: one stands for all
+    entities = alike.select("entity", "n_e").crossJoin(total)  # total is one row
     p = F.col("n_e") / F.col("n").cast("double")
     entities = entities.withColumn("p", p).withColumn("least", F.pow("p", F.lit(1 - 1 / alpha)))  # of p(e | t)
     entities = entities.withColumn("most", (F.col("n_e") + PRIOR * F.col("p")) / F.col("least") - PRIOR)  # of n_t
-    alone = F.when(F.col("n_e") > 1, F.col("entity"))
-    own = pairs.join(entities, "entity").groupBy("row", alone.alias("alone")).agg(F.min_by(F.struct("entity", "n_e", "p", "least", "most"), "entity").alias("e")).select("row", "e.*")
-    own = kept(own, "entities")
+    own = kept(pairs.join(entities, "entity"), "entities")
     terms = held.select("row", F.explode(F.array_distinct(_words(F.col("masked")))).alias("term"))
     bound = own.agg(F.max("most").alias("bound"))  # one row
     rare = often.crossJoin(bound).where("n_t <= bound").select("term", "n_t")
@@ -138,13 +151,16 @@ def _standing(held: DataFrame, hits: DataFrame) -> DataFrame:
     """row, terms: where the terms of hits stand in their rows."""
     hits = hits.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("term", "removed"))).alias("hits"))
     words = F.regexp_extract_all("masked", F.lit(TERM), F.lit(0))
-    gaps = F.transform(F.slice(F.split("masked", F.lit(TERM), -1), F.lit(1), F.size(words)), F.length)
-    each = held.join(hits, "row").select("row", F.posexplode(F.zip_with(gaps, words, lambda g, w: F.struct(g.alias("g"), F.length(w).alias("l"), F.try_element_at("hits", F.lower(w)).alias("removed")))).alias("i", "x")).select("row", "i", "x.*")
-    end = F.sum(F.col("g") + F.col("l")).over(Window.partitionBy("row").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
-    found = each.withColumn("end", end).where("removed is not null")
-    kind = F.when(F.col("removed"), F.lit("term_removed")).otherwise(F.lit("term_general"))
-    term = F.struct((F.col("end") - F.col("l")).alias("start"), F.lit(len(KINDS)).alias("rank"), "end", kind.alias("kind"))
-    return found.groupBy("row").agg(F.array_sort(F.collect_list(term)).alias("terms"))
+    rows = held.join(hits, "row").select("row", "hits", "masked", words.alias("words"))
+    rows = rows.select("row", "hits", "words", advances(F.col("words"), F.split("masked", F.lit(TERM), -1)).alias("ends"))
+
+    def term(e: Column, w: Column) -> Column:
+        removed = F.try_element_at("hits", F.lower(w))
+        kind = F.when(removed, "term_removed").when(~removed, "term_general")
+        return F.struct((e - F.length(w)).alias("start"), F.lit(len(KINDS)).alias("rank"), e.alias("end"), kind.alias("kind"))
+
+    each = F.filter(F.zip_with("ends", "words", term), lambda x: x["kind"].isNotNull())
+    return running(rows, ["ends"], added).select("row", each.alias("terms"))
 
 
 def find_private(docs: DataFrame, text: str = "text", alpha: float = ALPHA, carry: bool = False) -> DataFrame:
@@ -154,7 +170,7 @@ def find_private(docs: DataFrame, text: str = "text", alpha: float = ALPHA, carr
     value = F.col(f"`{text}`").cast("string")
     doc = F.struct("*") if carry else F.struct("doc_id")
     scanned = with_spans(docs.select(doc.alias("doc"), F.coalesce(value, F.lit("")).alias("t"), F.monotonically_increasing_id().alias("row")))
-    found = kept(scanned.select("doc", "spans", "row", F.when(F.size("spans") > 0, _masked(F.col("t"))).alias("masked")), "spans")
+    found = kept(_replaced(scanned, F.col("t"), F.col("spans"), _blank, "masked").select("doc", "spans", "row", "masked"), "spans")
     entity = lambda s: F.concat(s["kind"], F.lit(":"), F.lower(s["value"]))
     held = found.where("size(spans) > 0").select("row", F.array_distinct(F.transform("spans", entity)).alias("entities"), "masked")
     hit = _standing(held, _disclosing(held, docs.select(value.alias("t")), alpha))
@@ -185,20 +201,9 @@ def sanitised(docs: DataFrame, text: str = "text") -> DataFrame:
     found = find_private(docs, text, carry=True)
     value = F.col(f"doc.`{text}`").cast("string")
     every = F.array_sort(F.concat(_short(F.col("spans")), F.col("terms")))
-    start = F.struct(F.lit(0).alias("at"), F.from_json(F.lit("[]"), "array<string>").alias("out"))
-
-    def add(acc: Column, s: Column) -> Column:
-        between = F.substring(value, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        label = F.concat(F.lit("["), F.upper(F.replace(s["kind"], F.lit("_"), F.lit(" "))), F.lit("]"))
-        fresh = F.when(s["start"] >= acc["at"], F.concat(between, label)).otherwise("")
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.array_append(acc["out"], fresh).alias("out"))
-
-    whole = F.when(F.size("spans") > 0, F.aggregate(every, start, add))
-    made = found.select("doc", whole.alias("w"))
-    new = F.when(F.col("w").isNull(), value).otherwise(F.concat(F.array_join("w.out", ""), F.substring(value, F.col("w.at") + 1, F.length(value))))
-    made = made.select("doc", "w", new.alias("new"))
+    made = _replaced(found.select("doc", every.alias("every"), value.alias("t")), F.col("t"), F.col("every"), _label, "new")
     columns = {c: F.col(f"doc.`{c}`") for c in docs.columns}
-    columns[text] = F.col("new")
+    columns[text] = F.coalesce("new", "t")
     if "n_chars" in columns:
-        columns["n_chars"] = F.when(F.col("w").isNotNull(), F.length("new")).otherwise(columns["n_chars"]).cast(docs.schema["n_chars"].dataType)
+        columns["n_chars"] = F.when(F.col("new").isNotNull(), F.length("new")).otherwise(columns["n_chars"]).cast(docs.schema["n_chars"].dataType)
     return made.select(*[x.alias(c) for c, x in columns.items()])

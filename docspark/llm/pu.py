@@ -9,15 +9,15 @@ is minimised over a linear g with Adam. g reads the text: its words and pairs of
 in runs of one to three, each hashed with a sign into WORDS and CHARS buckets (roots of counts, scaled to length 1), and the
 rule statistics (see rules.features). Every step is one Spark job
 over all unlabelled rows (their inputs, written once as bytes); only sums of gradients reach the driver. Where the
-second term is negative its gradient is reversed, as non-negative PU learning does. The positives are at most
-POSITIVES rows (a documented bound on labelled rows).
+second term is negative its gradient is reversed, as non-negative PU learning does. The positives are those of at most
+POSITIVES doc_ids, and rules.TEXTS different texts of each (a documented bound on labelled rows).
 
 The class prior is estimated from positives and unlabelled rows alone (best bin estimation): a first g is fitted to tell half
 of the positives from the unlabelled rows; of all thresholds c on it, with q the share of rows scored c or more among the
 other half and among the unlabelled rows, the prior is q_U(c) / q_P(c) where that share plus its confidence bound is least.
 
 Defined cases: a null text is an empty one and is scored; null labels are ignored; a doc_id with several
-labels takes the largest; with no positives every score is 0.5 less a hair (predicted 0).
+labels takes the largest; repeated rows are scored each and count each as unlabelled text; a long text is read whole, extra columns change nothing; with no positives every score is 0.5 less a hair (predicted 0).
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from docspark.llm.common import documents_of, is_held_out, kept, mixed, text_rows
 from docspark.llm.decontaminate import word_hashes
 from docspark.llm.language import ngrams
-from docspark.llm.rules import COUNTS, FEATURES, bounded, features, marks_of, text_counts
+from docspark.llm.rules import COUNTS, FEATURES, bounded, features, few_texts, marks_of, text_counts
 
 POSITIVES = 20_000
 WORDS, CHARS = 128, 128
@@ -143,7 +143,7 @@ def fit(rows: DataFrame, labels: DataFrame) -> tuple[Scale, np.ndarray, float] |
     """Scale, weights and class prior; None without positives. rows: text_inputs."""
     training = rows.where(~is_held_out())
     marks = bounded(kept(marks_of(labels).where("quality = 1").where(~is_held_out()), "positives"), POSITIVES)
-    found = training.join(F.broadcast(marks), "doc_id").select(*COUNTS, "hashed").toPandas()  # at most POSITIVES doc_ids
+    found = few_texts(training.join(F.broadcast(marks), "doc_id", "left_semi"), [*COUNTS, "hashed"]).toPandas()  # at most POSITIVES doc_ids, TEXTS rows of each
     if not len(found):
         return None
     found = found.sort_values([*COUNTS, "hashed"])

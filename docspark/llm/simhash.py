@@ -48,7 +48,7 @@ FAN = 8
 SHINGLE, SIMILARITY = 5, 0.8  # of near copies that keep_one finds
 NEAR = 5  # bits in which the word fingerprints of candidates may differ
 SHARE = 16  # a word counts for at most a 16th of its text in such a fingerprint
-LOADS = 1 << 20  # buckets in which shingles are counted, for an order from rare to common
+LOADS, CHUNK = 1 << 19, 1 << 13  # buckets in which shingles are counted, for an order from rare to common
 
 
 def fingerprint(text: bytes, shingle: int = 3) -> int:
@@ -293,20 +293,30 @@ def _set(value: pa.Scalar) -> np.ndarray:
 
 
 def _loads(sets: DataFrame) -> np.ndarray:
-    """How many shingles of all sets fall into each of LOADS buckets: a stand-in for how common a shingle is."""
+    """How many shingles of all sets fall into each of LOADS buckets: a stand-in for how common a shingle is. Counts travel in chunks of CHUNK buckets."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def told(total: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["chunk", "n"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(LOADS, dtype=np.int64)
         for b in batches:
             for s in b.column(0):
                 np.add.at(n, _set(s) % LOADS, 1)
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["bucket", "n"])
+        yield from told(dict(enumerate(n.reshape(-1, CHUNK))) if n.any() else {})
 
-    found = sets.select("shingles").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # LOADS rows at most
-    out = np.zeros(LOADS, dtype=np.int64)
-    out[found["bucket"].to_numpy()] = found["n"].to_numpy()
-    return out
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, n in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                total[k] = total.get(k, 0) + np.frombuffer(n.as_buffer(), dtype=np.int64)
+        yield from told(total)
+
+    schema = "chunk long, n binary"
+    out = np.zeros((LOADS // CHUNK, CHUNK), dtype=np.int64)
+    for r in sets.select("shingles").mapInArrow(count, schema).repartition("chunk").mapInArrow(add, schema).toLocalIterator():  # LOADS numbers in all
+        out[r["chunk"]] = np.frombuffer(r["n"], dtype=np.int64)
+    return out.ravel()
 
 
 def prefix(shingles: np.ndarray, loads: np.ndarray, similarity: float) -> np.ndarray:

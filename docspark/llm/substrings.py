@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspark.llm.common import kept, keyed_documents_of, mixed, powers, text_rows
+from docspark.llm.common import by_bucket, kept, keyed_documents_of, mixed, powers, text_rows
 
 LENGTH = 100
 GRAM = 24
@@ -196,7 +196,7 @@ def _fetched(texts: DataFrame, unsure: DataFrame) -> DataFrame:
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["gram", "salt", "doc_id", "text_hash", "first", "data"])
 
-    runs = unsure.groupBy(*KEY).agg(F.collect_list(F.struct("first", "span", "gram", "salt")).alias("runs"))  # of one text
+    runs = unsure.groupBy(*KEY).agg(F.collect_set(F.struct("first", "span", "gram", "salt")).alias("runs"))  # of one text
     return texts.join(runs, KEY).select("doc_id", "text", "text_hash", "runs").mapInArrow(run, "gram long, salt int, doc_id long, text_hash long, first long, data binary")
 
 
@@ -303,19 +303,28 @@ def _cut(texts: DataFrame, repeats: DataFrame, keep_text: bool) -> DataFrame:
             columns = list(zip(*out, strict=True)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(columns[i], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    runs = repeats.groupBy(*KEY).agg(F.collect_list(F.struct("first", "span")).alias("runs"))  # of one text
+    runs = repeats.groupBy(*KEY).agg(F.collect_set(F.struct("first", "span")).alias("runs"))  # of one text
     joined = texts.join(runs, KEY, "left").select("doc_id", "text", "text_hash", "runs")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
 
 
+def _once(texts: DataFrame) -> DataFrame:
+    """texts with one row for each doc_id and text. Only rows that repeat another one (and rows of their buckets) are shuffled, and combined before that."""
+    several = kept(texts.groupBy(*KEY).count().where("count > 1").select(*KEY), "repeated-rows")
+    if several.isEmpty():
+        return texts
+    return by_bucket(texts, KEY, several, KEY, "left_anti").unionByName(by_bucket(texts, KEY, several, KEY, "left_semi").dropDuplicates(KEY))
+
+
 def without_repeats(docs: DataFrame, keep_text: bool = False, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes, if asked for).
 
     A null doc_id counts as the largest. Rows of one doc_id are told apart by their texts, in the order of the texts' hashes.
     """
     texts = keyed_documents_of(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
-    found = kept(_sorted_out(_sampled(texts)), "anchors")
-    ends = kept(_resolved(_fetched(texts, _salted(found.where("unsure"), limit))), "ends")
+    once = _once(texts)
+    found = kept(_sorted_out(_sampled(once)), "anchors")
+    ends = kept(_resolved(_fetched(once, _salted(found.where("unsure"), limit))), "ends")
     repeats = found.where("not unsure").unionByName(ends.where("window is null"), allowMissingColumns=True).select(*KEY, "first", "span")
     repeats = repeats.unionByName(_met_elsewhere(ends.where("window is not null")))
     return _cut(texts, repeats, keep_text).withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
