@@ -314,7 +314,7 @@ def _loads(sets: DataFrame) -> np.ndarray:
 
     schema = "chunk long, n binary"
     out = np.zeros((LOADS // CHUNK, CHUNK), dtype=np.int64)
-    for r in sets.select("shingles").mapInArrow(count, schema).repartition("chunk").mapInArrow(add, schema).toLocalIterator():  # LOADS numbers in all
+    for r in sets.select("shingles").mapInArrow(count, schema).repartition("chunk").mapInArrow(add, schema).collect():  # LOADS numbers in all
         out[r["chunk"]] = np.frombuffer(r["n"], dtype=np.int64)
     return out.ravel()
 
