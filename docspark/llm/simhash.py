@@ -48,6 +48,7 @@ FAN = 8
 SHINGLE, SIMILARITY = 5, 0.8  # of near copies that keep_one finds
 NEAR = 5  # bits in which the word fingerprints of candidates may differ
 SHARE = 16  # a word counts for at most a 16th of its text in such a fingerprint
+NO_ID = (1 << 63) - 1  # stands for a null doc_id
 LOADS, CHUNK = 1 << 19, 1 << 13  # buckets in which shingles are counted, for an order from rare to common
 
 
@@ -274,18 +275,27 @@ _IS_SPACE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 _BYTE = np.where(_IS_SPACE, 0, mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
 
 
-def traits(raw: bytes, shingle: int = SHINGLE) -> tuple[int, int, bytes]:
-    """Two fingerprints of single words (of other hashes), no word counted for more than a SHARE-th of them, and the set of shingles (sorted 32-bit hashes)."""
-    w, _ = run_hashes(len(raw), lambda i, j: _BYTE[np.frombuffer(raw[i:j].lower(), dtype=np.uint8)], 1 << 17)
+def _words(raw: bytes) -> np.ndarray:
+    return run_hashes(len(raw), lambda i, j: _BYTE[np.frombuffer(raw[i:j].lower(), dtype=np.uint8)], 1 << 17)[0]
+
+
+def word_prints(raw: bytes) -> list[int]:
+    """Two fingerprints of single words (of other hashes), no word counted for more than a SHARE-th of them."""
+    w = _words(raw)
     word, times = np.unique(w, return_counts=True)
     times = np.minimum(times, max(1, len(w) // SHARE))
     ones = np.zeros(128, dtype=np.int64)
     for i in range(0, len(word), 1 << 14):
         both = np.stack([word[i : i + (1 << 14)], mixed(word[i : i + (1 << 14)] + np.uint64(1))], axis=1)
         ones += times[i : i + (1 << 14)] @ np.unpackbits(both.view(np.uint8), axis=1, bitorder="little").astype(np.int64)
-    fp = np.packbits(2 * ones > times.sum(), bitorder="little").view("<u8").tolist()
+    return np.packbits(2 * ones > times.sum(), bitorder="little").view("<u8").tolist()
+
+
+def shingles_of(raw: bytes, shingle: int = SHINGLE) -> bytes:
+    """The set of shingles, as sorted 32-bit hashes. Texts without words have one set, and are alike."""
+    w = _words(raw)
     grams = gram_hashes(w, min(shingle, max(len(w), 1)))
-    return *fp, np.unique((grams >> np.uint64(32)).astype("<u4") if len(w) else np.zeros(1, dtype="<u4")).tobytes()  # texts without words are alike
+    return np.unique((grams >> np.uint64(32)).astype("<u4") if len(w) else np.zeros(1, dtype="<u4")).tobytes()
 
 
 def _set(value: pa.Scalar) -> np.ndarray:
@@ -325,24 +335,66 @@ def prefix(shingles: np.ndarray, loads: np.ndarray, similarity: float) -> np.nda
     return shingles[order[: len(shingles) - math.ceil(similarity * len(shingles) - 1e-9) + 1]]
 
 
+_POSTING = ["deal", "key", "place", "node", "at", "size", "lead", "several"]
+
+
 def _postings(sets: DataFrame, similarity: float) -> DataFrame:
-    """key (of class and shingle), node, at (its place among the text's shingles, rarest first), size."""
+    """key (of class and shingle), node, at (its place among the text's shingles, rarest first), size; place is at / size, the lower the more central the text is.
+
+    Of the postings of one key in a batch all but the most central are told with it as their lead, and dealt out by their node; the others are dealt by the key. So a
+    shingle that a third of all texts share sends one row a batch to its key."""
     shared = sets.sparkSession.sparkContext.broadcast(_loads(sets))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loads = shared.value
         for b in batches:
             node, cls = (b.column(i).to_numpy() for i in (0, 1))
-            for i in range(0, b.num_rows, 256):
-                some = [_set(x) for x in b.column(2).slice(i, 256)]
+            for i in range(0, b.num_rows, 2048):
+                some = [_set(x) for x in b.column(2).slice(i, 2048)]
                 first = [prefix(s, loads, similarity) for s in some]
                 n = np.array([len(x) for x in first])
-                key = mixed(np.concatenate(first).astype(np.uint64) + mixed(np.repeat(cls[i : i + 256], n).view(np.uint64)))
+                key = mixed(np.concatenate(first).astype(np.uint64) + mixed(np.repeat(cls[i : i + 2048], n).view(np.uint64)))
                 at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 size = np.repeat(np.array([len(x) for x in some]), n)
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(np.repeat(node[i : i + 256], n)), pa.array(at.astype(np.int32)), pa.array(size.astype(np.int32))], names=["key", "node", "at", "size"])
+                own, place = np.repeat(node[i : i + 2048], n), (at / size).astype(np.float32)
+                order = np.lexsort((own, place, key))
+                key, at, size, own, place = (x[order] for x in (key, at, size, own, place))
+                heads = np.r_[True, key[1:] != key[:-1]]
+                lead = own[np.maximum.accumulate(np.where(heads, np.arange(len(key)), 0))]
+                several = ~heads | np.r_[~heads[1:], False]
+                deal = np.where(heads, key, mixed(own.view(np.uint64) + key))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (deal.view(np.int64), key.view(np.int64), place, own, at.astype(np.int32), size.astype(np.int32), lead, several)], names=_POSTING)
+
+    return sets.select("node", "class", "shingles").mapInArrow(run, "deal long, key long, place float, node long, at int, size int, lead long, several boolean")
 
-    return sets.select("node", "class", "shingles").mapInArrow(run, "key long, node long, at int, size int")
+
+def _met(postings: DataFrame) -> DataFrame:
+    """key, node, at, size, lead: the postings of keys that two texts or more have; lead is the most central text of its batch or, of the leads of all batches, of all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before: tuple | None = None  # the first row of the deal being read: deal, key, node, at, size, and whether it was told
+        for b in batches:
+            deal, key, _, node, at, size, lead, several = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            if not len(deal):
+                continue
+            known = lead != node
+            fresh = np.r_[before is None or before[0] != deal[0], deal[1:] != deal[:-1]] | known
+            first = np.maximum.accumulate(np.where(fresh, np.arange(len(deal)), -1))
+            follows = ~fresh
+            tell = several | follows | np.r_[follows[1:], False]
+            head = np.where(first >= 0, node[np.maximum(first, 0)], before[2] if before else 0)
+            to = np.where(known, lead, np.where(follows, head, node))
+            if before is not None and follows[0] and not before[5]:
+                yield pa.RecordBatch.from_arrays([pa.array([before[1]]), pa.array([before[2]]), pa.array([before[3]], pa.int32()), pa.array([before[4]], pa.int32()), pa.array([before[2]])], names=["key", "node", "at", "size", "lead"])
+            if first[-1] >= 0:
+                f = first[-1]
+                before = (deal[f], key[f], node[f], at[f], size[f], bool(tell[f])) if not known[f] else None
+            elif before is not None:
+                before = (*before[:5], True)
+            yield pa.RecordBatch.from_arrays([pa.array(x[tell]) for x in (key, node, at, size, to)], names=["key", "node", "at", "size", "lead"])
+
+    dealt = postings.repartition("deal").sortWithinPartitions("deal", "place", "node")
+    return dealt.mapInArrow(run, "key long, node long, at int, size int, lead long")
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -384,9 +436,7 @@ def alike_links(sets: DataFrame, similarity: float) -> DataFrame:
 
     Texts meet by the shingles of their prefixes. Of those that meet in one shingle the most central (it has the fewest rarer shingles) is compared
     with all others first; then only pairs that are not yet in one component are compared, if their sizes and places allow it."""
-    postings = kept(_postings(sets, similarity), "postings")
-    groups = postings.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct((F.col("at") / F.col("size")).alias("place"), "node")).alias("first")).where("n > 1").select("key", F.col("first.node").alias("lead"))
-    met = kept(postings.join(groups, "key"), "met")
+    met = kept(_met(_postings(sets, similarity)), "met")
     pair = lambda x, y: (F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
     stars = kept(met.where("node <> lead").select(*pair("node", "lead")).distinct(), "stars")
     edges = kept(_alike(stars, sets, similarity), "star-links")
@@ -406,18 +456,24 @@ def alike_links(sets: DataFrame, similarity: float) -> DataFrame:
 def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, distance: int = NEAR) -> DataFrame:
     """doc_id, text_hash, copy_of: the text_hash of one text of the row's class."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            both = np.array([word_prints(t or b"") for t in text_rows(b)], dtype=np.uint64).reshape(-1, 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(both[:, 0]), pa.array(both[:, 1])], names=["doc_id", "node", "fp", "other"])
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [traits(t or b"", shingle) for t in text_rows(b)]
-            prints = [pa.array(np.array([x[i] for x in found], dtype=np.uint64).view(np.int64)) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *prints, pa.array([x[2] for x in found], pa.binary())], names=["doc_id", "node", "fp", "other", "shingles"])
+            b = b.take(pa.array(np.unique(b.column(2).to_numpy(), return_index=True)[1]))  # rows that repeat, once a batch
+            yield pa.RecordBatch.from_arrays([b.column(2), pa.array([shingles_of(t or b"", shingle) for t in text_rows(b)], pa.binary())], names=["node", "shingles"])
 
-    rows = keyed_documents_of(docs).mapInArrow(run, "doc_id long, node long, fp long, other long, shingles binary")
-    rows = kept(rows.withColumn("row", F.monotonically_increasing_id()), "traits")
-    nodes = kept(rows.groupBy("node").agg(F.min("row").alias("row"), F.first("fp").alias("fp"), F.first("other").alias("other")), "texts")
+    texts = keyed_documents_of(docs)
+    rows = kept(texts.mapInArrow(prints, "doc_id long, node long, fp long, other long"), "prints")
+    nodes = kept(rows.groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("row"), F.first("fp").alias("fp"), F.first("other").alias("other")), "texts")
     members = kept(_classes(nodes, distance), "members")
-    near = by_bucket(rows.select("row", "shingles"), ["row"], members, ["row"], "left_semi")  # before they are shuffled; the next join is exact
-    sets = kept(members.join(near, "row").select("node", "class", "shingles"), "sets")
+    # the texts are read again, those of members only, and of equal texts one, told by its doc_id
+    named = texts.withColumns({"doc_id": F.coalesce("doc_id", F.lit(NO_ID))})
+    near = by_bucket(named, ["doc_id", "text_hash"], members, ["row", "node"], "left_semi").mapInArrow(shingles, "node long, shingles binary")
+    sets = kept(members.select("node", "class").join(near, "node").dropDuplicates(["node"]), "sets")
     to = components(alike_links(sets, similarity))
     return rows.select("doc_id", F.col("node").alias("text_hash")).join(to.withColumnRenamed("node", "text_hash"), "text_hash", "left").select("doc_id", "text_hash", F.coalesce("component", "text_hash").alias("copy_of"))
 

@@ -153,7 +153,7 @@ def family(n, seed=21, most=4):
 
 def test_links_in_a_class_are_those_of_all_pairs(spark, given, docs):
     texts = [t for _, t in pairs(given)] + [t for _, t in pairs(docs)] + family(60) + family(40, 5, 12)
-    sets = [(i, 1, bytearray(simhash.traits((t or "").encode())[2])) for i, t in enumerate(texts)]
+    sets = [(i, 1, bytearray(simhash.shingles_of((t or "").encode()))) for i, t in enumerate(texts)]
     df = spark.createDataFrame(sets, "node long, class long, shingles binary")
     to = {x["node"]: x["component"] for x in simhash.components(simhash.alike_links(df, 0.8)).collect()}
     assert [to.get(i, i) for i in range(len(texts))] == plain_copies(texts)
@@ -182,7 +182,7 @@ def test_a_large_family_of_unlike_copies_meets_in_few_pairs(spark, tmp_path, mon
         for k in r.sample(range(150), r.randint(1, 9)):
             copy[k] = f"e{r.randrange(10**9)}"
         texts.append(" ".join(copy))
-    sets = [(i, 1, bytearray(simhash.traits(t.encode())[2])) for i, t in enumerate(texts)]
+    sets = [(i, 1, bytearray(simhash.shingles_of(t.encode()))) for i, t in enumerate(texts)]
     compared, alike = [], simhash._alike
     monkeypatch.setattr(simhash, "_alike", lambda pairs, *a: compared.append(pairs.count()) or alike(pairs, *a))
     df = spark.createDataFrame(sets, "node long, class long, shingles binary")
