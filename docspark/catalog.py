@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docspark.operators import columns as C
-from docspark.operators import layout, pages, scans, web, workflows
+from docspark.operators import diagnosis, layout, pages, scans, web, workflows
 from docspark.plans import recipes
 from docspark.plans.shared import new_folder
 from docspark.plans.views import view, with_views
@@ -73,6 +73,14 @@ query("b32_needs_ocr", "text_items page_boxes", "SELECT b.doc_id, b.page_no, CAS
 query("b33_filter_confidence", "text_items", "SELECT doc_id, page_no, item_no FROM text_items WHERE CASE WHEN item_no % 7 = 0 THEN 100 ELSE (item_no * 13) % 100 END >= 30", "text_items")(lambda d: layout.filter_confidence(d.withColumn("conf", F.when(F.col("item_no") % 7 != 0, F.col("item_no") * 13 % 100))).select("doc_id", "page_no", "item_no"))
 query("b34_available_actions", "files", "SELECT workflow_id, array_to_string(list_filter([CASE WHEN max(status = 'queued') THEN 'cancel' END, CASE WHEN max(status = 'error') THEN 'retry' END, CASE WHEN NOT workflow_id % 7 = 0 THEN 'normalise' END], lambda x: x IS NOT NULL), ',') AS actions FROM files GROUP BY workflow_id", "files")(lambda d: d.groupBy("workflow_id").agg(F.max(F.col("status") == "queued").alias("q"), F.max(F.col("status") == "error").alias("e")).select("workflow_id", F.array_join(C.available_actions(F.col("q"), F.lit(False), F.col("e"), F.col("workflow_id") % 7 == 0), ",").alias("actions")))
 
+_ASKED_URL = "CASE page_id % 6 WHEN 0 THEN concat('https://www.example.org/fr/tools/merge.html?q=', page_id) WHEN 1 THEN url WHEN 2 THEN concat(url, '//') WHEN 3 THEN 'https://example.org/de' WHEN 4 THEN 'https://example.org/ar/index.html' ELSE 'https://example.org/tools/?a=b' END"
+query("b21_redirect", "pages", f"""WITH u AS (SELECT page_id, {_ASKED_URL} AS u FROM pages), p AS (SELECT *, regexp_replace(regexp_extract(u, '^([a-z]+://[^/?#]*)', 1), '^([a-z]+://)www\\.', '\\1') AS origin, coalesce(nullif(regexp_extract(u, '^[a-z]+://[^/?#]+([^?#]*)', 1), ''), '/') AS path, regexp_extract(u, '^[^?#]*(\\?[^#]*)', 1) AS query FROM u),
+ l AS (SELECT *, split_part(path, '/', 2) IN ({', '.join(repr(x) for x in C.LANGUAGES)}) AS known FROM p), b AS (SELECT *, regexp_replace(regexp_replace(CASE WHEN known THEN coalesce(nullif(substring(path, length(split_part(path, '/', 2)) + 2), ''), '/') ELSE path END, '(/index)?\\.html$', ''), '/+$', '') AS bare FROM l)
+ SELECT page_id, location, CASE WHEN location = u THEN 200 ELSE 301 END AS status FROM (SELECT page_id, u, origin || CASE WHEN known THEN '/' || split_part(path, '/', 2) ELSE '' END || CASE WHEN bare = '' THEN '/' ELSE bare END || query AS location FROM b)""")(lambda d: d.select("page_id", C.redirect(F.expr(_ASKED_URL)).alias("r")).select("page_id", "r.*"))
+query("b34_document_actions", "files", "SELECT file_id, array_to_string(list_filter([CASE WHEN status IN ('queued', 'running') THEN 'cancel' END, CASE WHEN status = 'error' THEN 'retry' END, CASE WHEN step > 0 AND file_id % 7 <> 0 THEN 'normalise' END, CASE WHEN step > 1 AND file_id % 7 <> 0 THEN 'rebuild' END], lambda x: x IS NOT NULL), ',') AS actions FROM files", "files")(lambda d: d.select("file_id", F.array_join(C.document_actions(F.col("status") == "queued", F.col("status") == "running", F.col("status") == "error", F.col("step") > 1, F.col("step") > 0, F.col("file_id") % 7 == 0), ",").alias("actions")))
+query("b16_ocr_markdown", "md_docs", "SELECT doc_id, CASE WHEN t = '' THEN '' ELSE '*(Page scanned via OCR)*' || chr(10) || chr(10) || t END AS text FROM (SELECT doc_id, array_to_string(list_filter(list_transform(string_split_regex(text, '\\n[\\x20\\t]*\\n'), lambda p: trim(regexp_replace(p, '\\s*\\n\\s*', ' ', 'g'))), lambda p: p <> ''), chr(10) || chr(10)) AS t FROM md_docs)", "md_docs")(lambda d: d.select("doc_id", C.ocr_markdown(F.col("text")).alias("text")))
+query("b15_ocr_note", "part", "SELECT p_partkey, '[Page scanned via OCR]' || chr(10) || chr(10) || p_name || CASE WHEN p_size % 2 = 0 THEN ' *(Page scanned via OCR)'  ELSE '' END AS plain FROM part")(lambda d: d.select("p_partkey", C.markdown_to_plain(F.concat(C.ocr_markdown(F.concat(F.lit("**"), "p_name", F.lit("**"))), F.when(F.col("p_size") % 2 == 0, " *(Page scanned via OCR)").otherwise(""))).alias("plain")))
+
 # --- H1, E6, D1 and what follows from findings
 
 _FOUND = "found AS (" + " UNION ALL ".join(f"SELECT doc_id, {i} AS rank, '{c}' AS category, '{conf}' AS confidence, unnest(l) AS match, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{p}') l FROM documents)" for i, (c, conf, p) in enumerate(scans.SENSITIVE)) + ")"
@@ -107,7 +115,7 @@ query("h6_document_text", "doc_pages", "SELECT doc_id, concat(trim(string_agg(te
 query("h15_split_each", "doc_pages", "SELECT doc_id, page_no, concat('doc', doc_id, '-page-', page_no) AS name FROM doc_pages", "doc_pages")(lambda d: pages.split_each(d.select("doc_id", "page_no")))
 query("h16_organize", "page_boxes", "SELECT doc_id, page_no, (rotation + 90) % 360 AS rotation, row_number() OVER (PARTITION BY doc_id ORDER BY -page_no, page_no) AS new_page, NULL::VARCHAR AS problem FROM page_boxes WHERE page_no % 3 <> 0 AND doc_id % 7 <> 0 UNION ALL SELECT DISTINCT doc_id, NULL, NULL, NULL, 'nothing is kept' FROM page_boxes WHERE doc_id % 7 = 0", "page_boxes")(lambda d: pages.organize(d.select("doc_id", "page_no", "rotation"), d.select("doc_id", "page_no", ((F.col("page_no") % 3 != 0) & (F.col("doc_id") % 7 != 0)).alias("keep"), (-F.col("page_no")).alias("position"), F.lit(90).alias("turn"))).select("doc_id", "page_no", "rotation", "new_page", "problem"))
 query("k5_verify_counts", "doc_pages", "SELECT doc_id, count(*) AS expected, count(*) FILTER (WHERE page_no <= 5) AS found, count(*) = count(*) FILTER (WHERE page_no <= 5) AS ok FROM doc_pages GROUP BY doc_id", "doc_pages")(lambda d: pages.verify_counts(d, d.where("page_no <= 5")))
-query("k7_rebuild", "doc_pages", "SELECT doc_id, page_no, text, true AS verified FROM doc_pages", "doc_pages")(lambda d: recipes.rebuild(d, ["text"]))
+query("k5_verify_written", "doc_pages", "SELECT doc_id, count(*) AS expected, count(*) FILTER (WHERE page_no <= 5) AS found, CAST(0 AS BIGINT) AS \"left\", CASE WHEN count(*) > 5 THEN 4 ELSE 0 END AS altered, true AS readable, count(*) <= 5 AS ok FROM doc_pages GROUP BY doc_id", "doc_pages")(lambda d: recipes.verify_written(d, d.where("page_no <= 5"), "doc_id", [], samples=("text",)).withColumn("altered", F.when(F.col("altered") > 0, 4).otherwise(0)))
 query("c8_compare_parsers", "pages", "SELECT page_id AS doc_id, n AS n_a, CASE WHEN page_id % 4 <> 0 THEN n END AS n_b, page_id % 4 <> 0 AND n > 0 AS consistent FROM (SELECT page_id, CAST(len(regexp_extract_all(html, '(?i)<p>')) AS BIGINT) n FROM pages)")(lambda d: pages.compare_parsers(d.select(F.col("page_id").alias("doc_id"), F.regexp_count("html", F.lit("(?i)<p>")).cast("long").alias("n")), d.where("page_id % 4 <> 0").select(F.col("page_id").alias("doc_id"), F.regexp_count("html", F.lit("(?i)<p>")).cast("long").alias("n"))))
 
 # --- files, workflows, dictionaries
@@ -116,6 +124,19 @@ query("c1_resolve_refs", "workflows files", "SELECT w.workflow_id, CAST(w.positi
 query("c3_orphan_files", "workflows files", f"SELECT * FROM (SELECT f.file_id, f.workflow_id, CASE WHEN w.expires_at <= {NOW} THEN 'owner expired' WHEN w.workflow_id IS NULL AND coalesce(f.expires_at, f.updated_at + INTERVAL 1 DAY) <= {NOW} THEN 'no owner' WHEN w.workflow_id IS NOT NULL AND NOT list_contains(w.file_refs, f.file_id) AND coalesce(f.expires_at, f.updated_at + INTERVAL 1 DAY) <= {NOW} THEN 'unreferenced' END AS reason FROM files f LEFT JOIN workflows w ON f.workflow_id = w.workflow_id) WHERE reason IS NOT NULL", "workflows", "files")(lambda w, f: workflows.orphan_files(w, f, F.expr(NOW)))
 query("a11_take_handoff", "workflows files", f"SELECT f.workflow_id, f.file_id, f.name FROM files f JOIN workflows w ON f.workflow_id = w.workflow_id WHERE w.expires_at > {NOW} AND list_contains(w.file_refs, f.file_id)", "workflows", "files")(lambda w, f: workflows.take_handoff(w, f, F.expr(NOW)).select("workflow_id", "file_id", "name"))
 query("a9_archive_manifest", "files", "SELECT archive, entry_no, name, size, CAST(coalesce(sum(30 + octet_length(encode(name)) + size) OVER (PARTITION BY archive ORDER BY entry_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\" FROM (SELECT workflow_id AS archive, seq AS entry_no, name, size FROM files)", "files")(lambda d: workflows.archive_manifest(d.select(F.col("workflow_id").alias("archive"), F.col("seq").cast("long").alias("entry_no"), "name", "size")))
+def _a10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every workflow and its files, then a tenth of the workflows anew, each in one commit."""
+    files, path = view(spark, sf_dir, "files"), new_folder(spark, "a10_replace_bundle")
+    owners = files.groupBy("workflow_id").agg(F.count("*").alias("n"))
+    workflows.replace_bundle(spark, path, owners, files.select("workflow_id", "file_id", "size"))
+    tenth = "workflow_id % 10 = 1"
+    workflows.replace_bundle(spark, path, owners.where(tenth).withColumn("n", F.lit(2).cast("long")), files.where(f"{tenth} and seq <= 2").select("workflow_id", "file_id", (F.col("size") + 1).alias("size")))
+    version, now = queues.read_bundle(spark, path, {"files": files.select("workflow_id", "file_id", "size").schema, "workflows": owners.schema})
+    return now["files"].join(now["workflows"], "workflow_id").withColumn("version", F.lit(version))
+
+
+QUERIES["a10_replace_bundle"] = _a10
+ORACLE["a10_replace_bundle"] = with_views("SELECT workflow_id, file_id, CASE WHEN workflow_id % 10 = 1 THEN size + 1 ELSE size END AS size, CASE WHEN workflow_id % 10 = 1 THEN 2 ELSE count(*) OVER (PARTITION BY workflow_id) END AS n, 2 AS version FROM files WHERE workflow_id % 10 <> 1 OR seq <= 2", "files")
 query("a10_upsert_bundle", "files", "SELECT workflow_id, file_id, size FROM files WHERE workflow_id % 10 <> 1 UNION ALL SELECT workflow_id, file_id, size + 1 FROM files WHERE workflow_id % 10 = 1 AND seq <= 2", "files")(lambda d: workflows.upsert_bundle(d.select("workflow_id", "file_id", "size"), d.where("workflow_id % 10 = 1 and seq <= 2").select("workflow_id", "file_id", (F.col("size") + 1).alias("size"))))
 query("d5_page_totals", "files", "SELECT workflow_id, count(*) AS files, CAST(sum(size) AS BIGINT) AS bytes FROM files GROUP BY workflow_id", "files")(lambda d: workflows.page_totals(d, "workflow_id"))
 query("d9_before_after", "files", "SELECT file_id, CAST(floor((1 - after / size) * 100 + 0.5) AS BIGINT) AS percent, CASE WHEN floor((1 - after / size) * 100 + 0.5) <= 0 THEN 'did not shrink' END AS note FROM (SELECT file_id, CAST(size AS DOUBLE) size, CAST(size AS DOUBLE) * (file_id % 13) / 10 AS after FROM files)", "files")(lambda d: workflows.before_after(d.select("file_id", F.col("size").cast("double").alias("size"), (F.col("size").cast("double") * (F.col("file_id") % 13) / 10).alias("after")), "size", "after").select("file_id", "percent", "note"))
@@ -191,6 +212,12 @@ _INLINE = layout.INLINE.replace("'", "''")
 _RUNS = f"""SELECT doc_id, line_no, CAST(row_number() OVER (PARTITION BY doc_id, line_no ORDER BY k) - 1 AS INT) AS run_no, text, style FROM (SELECT doc_id, line_no, 2 * j AS k, text, 'plain' AS style FROM md_lines, unnest(regexp_split_to_array(line, '{_INLINE}')) WITH ORDINALITY u(text, j)
  UNION ALL SELECT doc_id, line_no, 2 * j + 1, trim(m, '*`'), CASE WHEN m LIKE '***%' THEN 'bold-italic' WHEN m LIKE '**%' THEN 'bold' WHEN m LIKE '*%' THEN 'italic' ELSE 'code' END FROM md_lines, unnest(regexp_extract_all(line, '{_INLINE}')) WITH ORDINALITY v(m, j)) WHERE text <> ''"""
 query("h2_parse_inline", "md_lines", _RUNS, "md_lines")(lambda d: d.select("doc_id", "line_no", F.posexplode(layout.parse_inline(F.col("line"))).alias("run_no", "r")).select("doc_id", "line_no", "run_no", "r.*"))
+_DENSE = f"""{_FOLD}, cells AS ({_CELLS}), columns AS ({_COLUMNS.replace('text_items', 'items')}), vals AS (SELECT doc_id, page_no, row_no, column_no, trim(string_agg(str, ' ' ORDER BY cell_no)) AS value FROM cells JOIN columns USING (doc_id, page_no) WHERE (x >= begins OR column_no = 1) AND (ends IS NULL OR x < ends) GROUP BY ALL),
+ width AS (SELECT doc_id, page_no, count(*) AS w FROM columns GROUP BY ALL), grid AS (SELECT doc_id, page_no, row_no, unnest(range(1, w + 1)) AS column_no FROM (SELECT DISTINCT doc_id, page_no, row_no FROM vals) JOIN width USING (doc_id, page_no)),
+ sheet AS (SELECT doc_id, page_no, row_no, string_agg(coalesce(value, ''), '|' ORDER BY column_no) AS cells, count(*) AS n FROM grid LEFT JOIN vals USING (doc_id, page_no, row_no, column_no) GROUP BY ALL
+ UNION ALL SELECT doc_id, page_no, 0, '', 1 FROM doc_pages ANTI JOIN vals USING (doc_id, page_no) UNION ALL SELECT doc_id, page_no, -1, '', 0 FROM doc_pages WHERE page_no > 1)"""
+query("h8_dense_rows", "text_items doc_pages", with_views("SELECT doc_id, page_no, row_number() OVER (PARTITION BY doc_id ORDER BY page_no, row_no) AS sheet_row, cells, n FROM sheet", "text_items", "doc_pages", more=_DENSE))(lambda i, p: layout.dense_rows(i, p).select("doc_id", "page_no", "sheet_row", F.array_join("cells", "|").alias("cells"), F.size("cells").cast("long").alias("n")))
+query("h18_paginate", "md_lines")(lambda d: (lambda b: layout.paginate(layout.wrap_lines(b).join(b.select("doc_id", "block_no", "kind"), ["doc_id", "block_no"])))(layout.parse_blocks(d)))
 query("h18_wrap_lines", "md_lines")(lambda d: layout.wrap_lines(layout.parse_blocks(d)))
 query("h17_image_page_size", "page_boxes", "SELECT doc_id, page_no, media_w * (842 / greatest(media_w, media_h)) AS w, media_h * (842 / greatest(media_w, media_h)) AS h FROM page_boxes", "page_boxes")(lambda d: d.select("doc_id", "page_no", C.image_page_size(F.col("media_w"), F.col("media_h")).alias("s")).select("doc_id", "page_no", "s.*"))
 query("h19_clip_cell", "part", "SELECT p_partkey, substring(p_name, 1, greatest(1, p_size % 9)) AS clipped FROM part")(lambda d: d.select("p_partkey", C.clip_cell(F.col("p_name"), F.col("p_size") % 9).alias("clipped")))
@@ -201,15 +228,15 @@ query("d17_column_count", "part", "SELECT max(len(string_split(p_name, ' '))) AS
 _TITLE = "nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')), '')"
 _META = lambda a, n: f"nullif(regexp_extract(regexp_extract(html, '(?i)(<meta\\b[^>]*\\b{a}=\"{n}\"[^>]*>)', 1), '(?i)\\bcontent=\"([^\"]*)\"', 1), '')"
 query("h10_extract_meta", "pages", f"SELECT page_id, {_TITLE} AS title, coalesce({_META('name', 'description')}, {_META('property', 'og:description')}) AS description, coalesce({_META('name', 'twitter:title')}, {_META('property', 'og:title')}, {_TITLE}, '') AS twitter_title, coalesce({_META('name', 'twitter:description')}, {_META('property', 'og:description')}, {_META('name', 'description')}, '') AS twitter_description FROM pages")(web.extract_meta)
-query("h12_rewrite_meta", "pages", "SELECT page_id, html LIKE '%<title>%' AND page_id % 2 = 0 AS changed, CASE WHEN page_id % 2 = 0 THEN regexp_replace(html, '(?is)(<title[^>]*>).*?(</title>)', concat('\\1New ', page_id, '\\2')) ELSE html END AS html FROM pages")(lambda d: web.rewrite_meta(d, d.where("page_id % 2 = 0").select("page_id", F.concat(F.lit("New "), F.col("page_id").cast("string")).alias("new_title"))).select("page_id", "changed", "html"))
+query("h12_rewrite_title", "pages", "SELECT page_id, html LIKE '%<title>%' AND page_id % 2 = 0 AS changed, CASE WHEN page_id % 2 = 0 THEN regexp_replace(html, '(?is)(<title[^>]*>).*?(</title>)', concat('\\1New ', page_id, '\\2')) ELSE html END AS html FROM pages")(lambda d: web.rewrite_title(d, d.where("page_id % 2 = 0").select("page_id", F.concat(F.lit("New "), F.col("page_id").cast("string")).alias("new_title"))).select("page_id", "changed", "html"))
 query("h20_link_table", "pages", _LINKS)(web.link_table)
 query("d19_distinct_hashes", "pages", "SELECT DISTINCT base64(unhex(sha256(s))) AS hash FROM (SELECT unnest(regexp_extract_all(html, '(?is)<script([^>]*)>(.*?)</script>', 1)) AS a, unnest(regexp_extract_all(html, '(?is)<script([^>]*)>(.*?)</script>', 2)) AS s FROM pages) WHERE trim(s) <> '' AND NOT regexp_matches(a, '(?i)\\bsrc\\b')")(web.inline_scripts)
 query("h13_html_inspect", "pages", " UNION ALL ".join(f"SELECT page_id, '{c}' AS category, CAST(len(regexp_extract_all(html, '{p}')) AS BIGINT) AS n FROM pages" for c, p in web.CATEGORIES.items()))(web.html_inspect)
 _FIG = "SELECT page_id, figures, figures - described AS missing, has_lang, has_title FROM (SELECT page_id, CAST(len(regexp_extract_all(html, '(?i)<img\\b')) AS BIGINT) figures, CAST(len(regexp_extract_all(html, '(?i)<img\\b[^>]*\\salt=\"[^\"]+\"')) AS BIGINT) described, regexp_matches(html, '(?i)<html[^>]*\\slang=\"[^\"]+\"') AS has_lang, " + _TITLE + " IS NOT NULL AS has_title FROM pages)"
 query("d14_figure_readiness", "pages", _FIG)(web.figure_readiness)
-query("d3_doctor_summary", "pages", f"SELECT page_id, least(figures, 100000) AS figures, least(missing, 100000) AS missing, has_lang, has_title, missing = 0 AND has_lang AND has_title AS ready FROM ({_FIG})")(web.doctor_summary)
+query("d3_page_readiness", "pages", f"SELECT page_id, least(figures, 100000) AS figures, least(missing, 100000) AS missing, has_lang, has_title, missing = 0 AND has_lang AND has_title AS ready FROM ({_FIG})")(web.doctor_summary)
 query("d12_action_count", "pages", "SELECT page_id, CAST(len(regexp_extract_all(html, 'href=')) + len(regexp_extract_all(html, 'src=')) AS BIGINT) AS actions FROM pages")(lambda d: d.select("page_id", C.action_count(F.create_map(*[x for a in ("href", "src") for x in (F.lit(a), F.regexp_extract_all("html", F.lit(a + "="), F.lit(0)))])).alias("actions")))
-query("d20_warnings", "pages", f"SELECT page_id, array_to_string(list_filter([CASE WHEN missing > 0 THEN 'figures without text' END, CASE WHEN NOT has_lang THEN 'no language' END, CASE WHEN NOT has_title THEN 'no title' END], lambda x: x IS NOT NULL), ',') AS warnings FROM ({_FIG})")(web.warnings)
+query("d20_page_rules", "pages", f"SELECT page_id, array_to_string(list_filter([CASE WHEN missing > 0 THEN 'figures without text' END, CASE WHEN NOT has_lang THEN 'no language' END, CASE WHEN NOT has_title THEN 'no title' END], lambda x: x IS NOT NULL), ',') AS warnings FROM ({_FIG})")(web.warnings)
 query("k8_audit_pages", "pages", "SELECT * FROM (" + " UNION ALL ".join(f"SELECT page_id, '{t}' AS rule, CAST(len(regexp_extract_all(html, '{p}')) AS BIGINT) AS n FROM pages" for t, p in web.PARTS.items()) + """) WHERE n <> 1 UNION ALL SELECT page_id, 'json-ld', CAST(len(list_filter(regexp_extract_all(html, '(?is)<script type="application/ld\\+json">(.*?)</script>', 1), lambda x: NOT json_valid(x))) AS BIGINT) AS n FROM pages WHERE n > 0""")(web.audit_pages)
 _LD = """SELECT page_id, CAST(j - 1 AS INT) AS block_no, json_valid(json) AS valid, CASE WHEN json_valid(json) THEN json_extract_string(json, '$."@type"') END AS type FROM (SELECT page_id, html || '<script type="application/ld+json">' || CASE WHEN page_id % 3 = 0 THEN '{broken' ELSE '{"@type":"WebPage"}' END || '</script>' AS html FROM pages), unnest(regexp_extract_all(html, '(?is)<script type="application/ld\\+json">(.*?)</script>', 1)) WITH ORDINALITY u(json, j)"""
 query("h11_extract_jsonld", "pages", _LD)(lambda d: web.extract_jsonld(d.withColumn("html", F.concat("html", F.lit('<script type="application/ld+json">'), F.when(F.col("page_id") % 3 == 0, "{broken").otherwise('{"@type":"WebPage"}'), F.lit("</script>")))))
@@ -219,7 +246,51 @@ query("a5_read_url_list", "pages", "SELECT url FROM pages WHERE url LIKE 'https:
 query("g4_duplicate_urls", "pages", "WITH u AS (SELECT regexp_extract(url, '^[a-z]+://[^/]+/?[^/]*') AS url FROM pages), h AS (SELECT regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS value, count(*) AS n FROM u GROUP BY 1) SELECT 'duplicate' AS problem, url AS value, count(*) AS n FROM u GROUP BY url HAVING count(*) > 1 UNION ALL SELECT 'host', value, n FROM h WHERE (SELECT count(*) FROM h) > 1 UNION ALL SELECT 'count', NULL, count(*) FROM u HAVING count(*) NOT BETWEEN 1 AND 10000")(lambda d: web.check_url_list(d.select(F.regexp_extract("url", "^([a-z]+://[^/]+/?[^/]*)", 1).alias("url"))))
 query("k13_set_block", "pages", "SELECT page_id, page_id % 2 = 0 AS matched, CASE WHEN page_id % 2 = 0 THEN concat('<head>', chr(10), '<!-- images -->', chr(10), html) ELSE html END AS html FROM pages")(lambda d: web.set_block(d.withColumn("html", F.when(F.col("page_id") % 2 == 0, F.concat(F.lit('<head>\n<meta property="og:image" content="a">\n <meta property="og:image:width" content="b">\n'), F.col("html"))).otherwise(F.col("html"))), "<!-- images -->\n").select("page_id", "matched", "html"))
 query("h9_html_to_markdown", "pages")(web.html_to_markdown)
-query("h14_html_diagnose", "pages")(web.html_diagnose)
+query("h14_html_diagnose", "pages")(lambda d: diagnosis.html_diagnose(d).drop("locations", "error"))
+query("h14_part_errors", "pages")(lambda d: diagnosis.part_errors(d.withColumn("html", F.concat("html", F.when(F.col("page_id") % 2 == 0, "<div><b>open<i>crossed</b></i>").otherwise("</span>")))))
+_COUNTED = lambda p: f"CAST(len(regexp_extract_all(html, '{p}')) AS BIGINT)"
+_OPENED, _CLOSED, _BOXED, _SIGNED = "<[a-z][^>]*>", "</[a-z][^>]*>", '(?i)\\swidth="0"', "(?i)track"
+#: the columns of a report, from what patterns count in a page
+_REPORTED = f"""SELECT page_id, opened = closed AS strict, opened > 0 AS tolerant, closed AS strict_count, opened AS tolerant_count, greatest(opened - closed, 0) AS unclosed, greatest(closed - opened, 0) AS stray, page_id % 2 AS crossed, boxes, signed % 2 AS signatures,
+ figures, missing, has_lang, has_title, opened % 3 AS parts, page_id % 5 AS errors, opened > 30 AS truncated FROM (SELECT *, {_COUNTED(_OPENED)} AS opened, {_COUNTED(_CLOSED)} AS closed, {_COUNTED(_BOXED)} AS boxes, {_COUNTED(_SIGNED)} AS signed FROM pages) JOIN ({_FIG}) USING (page_id)"""
+
+
+def _reports(d: DataFrame) -> DataFrame:
+    n = lambda p: F.regexp_count("html", F.lit(p)).cast("long")
+    seen = d.join(web.figure_readiness(d), "page_id").withColumns({"opened": n(_OPENED), "closed": n(_CLOSED), "boxes": n(_BOXED), "signatures": n(_SIGNED) % 2, "crossed": F.col("page_id") % 2, "errors": F.col("page_id") % 5})
+    return seen.withColumns({"strict": F.expr("opened = closed"), "tolerant": F.expr("opened > 0"), "strict_count": F.col("closed"), "tolerant_count": F.col("opened"), "unclosed": F.expr("greatest(opened - closed, 0)"), "stray": F.expr("greatest(closed - opened, 0)"), "parts": F.expr("opened % 3"), "truncated": F.expr("opened > 30")})
+
+
+_WARNED = "list_filter([CASE WHEN tolerant AND NOT strict THEN 'tolerant parse only' END, CASE WHEN strict_count = 0 OR strict_count <> tolerant_count THEN 'counts differ' END, CASE WHEN boxes > 0 THEN 'box without a size' END, CASE WHEN signatures > 0 THEN 'signature field' END, CASE WHEN errors > 0 THEN 'parts not inspected' END, CASE WHEN truncated THEN 'graph truncated' END], lambda x: x IS NOT NULL)"
+query("d20_warnings", "pages", f"SELECT page_id, array_to_string({_WARNED}, '; ') AS warnings FROM ({_REPORTED})")(lambda d: diagnosis.warnings(_reports(d)))
+query("d3_doctor_summary", "pages", f"SELECT page_id, strict, tolerant, has_lang, has_title, truncated, strict_count, tolerant_count, unclosed, stray, crossed, boxes, signatures, figures, missing, parts, errors, CAST(len({_WARNED}) AS BIGINT) AS n_warnings, missing = 0 AND has_lang AND has_title AS ready FROM ({_REPORTED})")(lambda d: diagnosis.doctor_summary(_reports(d)))
+_PAGES_FOUND = _FOUND.replace("FROM documents", "FROM (SELECT page_id AS doc_id, html AS text FROM pages)")
+query("d2_privacy_counts", "pages", f"""WITH {_PAGES_FOUND}, k AS (SELECT doc_id AS page_id, sum(n) AS total, string_agg(category || '=' || n, ',' ORDER BY category) AS kinds FROM (SELECT doc_id, category, count(*) AS n FROM found GROUP BY ALL) GROUP BY doc_id),
+ c AS (SELECT page_id, regexp_matches(html, '{diagnosis.ENCRYPTED}') AS encrypted, regexp_matches(html, '{diagnosis.LOCKED}') AS locked, {', '.join(f"{_COUNTED(p)} AS {k}" for k, p in diagnosis.PRIVACY.items())} FROM pages)
+ SELECT page_id, encrypted, locked, {', '.join(f"CASE WHEN locked THEN 0 ELSE {f'least({k}, 1)' if k == 'xmp' else k} END AS {k}" for k in diagnosis.PRIVACY)}, CAST(CASE WHEN locked THEN 0 ELSE least(coalesce(total, 0), 100) END AS BIGINT) AS sensitive,
+ CASE WHEN locked THEN '' ELSE coalesce(kinds, '') END AS by_category, NOT locked AND coalesce(total, 0) >= 100 AS truncated, CAST(encrypted AS BIGINT) + CAST(locked AS BIGINT) AS n_warnings FROM c LEFT JOIN k USING (page_id)""")(diagnosis.privacy_summary)
+_OLD_LD = '{"@context":"c","@graph":[{"@type":"WebPage","n":1},{"@type":"SoftwareApplication","name":"old","offers":{"price":1.5,"tags":[1,"2",null]}},{"@type":"BreadcrumbList","itemListElement":[{"position":1,"name":"a"},{"position":2,"name":"b","item":"x"}]}],"more":true}'
+_OLD_META = '<meta property="og:title" content="old"><meta content="old" name="description">'
+
+
+def _with_graph(d: DataFrame) -> DataFrame:
+    return d.withColumn("html", F.concat(F.lit(f'{_OLD_META}<script type="application/ld+json">'), F.when(F.col("page_id") % 5 == 0, "{broken").otherwise(_OLD_LD), F.lit("</script>"), "html"))
+
+
+def _h12(d: DataFrame) -> DataFrame:
+    of = lambda t: F.concat(F.lit(t + " "), F.col("page_id").cast("string"))
+    values = d.select("page_id", F.concat(of("T"), F.lit(' "q" & $1')).alias("title"), F.when(F.col("page_id") % 3 > 0, of("D")).alias("description"), of("App").alias("json_name"), of("About").alias("json_description"), of("Here").alias("crumb_name"), F.lit("Home").alias("home_name"), F.concat(F.lit("https://e.org/"), F.col("page_id").cast("string")).alias("url"), F.lit("https://e.org/").alias("home_url"))
+    new = web.rewrite_meta(_with_graph(d), values)
+    block = F.regexp_extract("html", r"(?s)<script type=.application/ld.json.>(.*?)</script>", 1)
+    json = lambda p: F.get_json_object("block", "$['@graph']" + p)
+    return new.withColumn("block", block).select("page_id", "changed", F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1).alias("title"), F.regexp_extract("html", 'og:title" content="([^"]*)"', 1).alias("og_title"), F.regexp_extract("html", 'content="([^"]*)" name="description"', 1).alias("description"), json("[1].name").alias("name"), json("[1].url").alias("url"), json("[1].offers.tags[1]").alias("tag"), json("[0].n").alias("other"), json("[2].itemListElement[0].item").alias("home"), json("[2].itemListElement[1].name").alias("crumb"), F.get_json_object("block", "$.more").alias("more"))
+
+
+query("h12_rewrite_meta", "pages", """SELECT page_id, c AS changed, CASE WHEN c THEN 'T ' || page_id || ' &quot;q&quot; &amp; $1' ELSE regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) END AS title, CASE WHEN c THEN 'T ' || page_id || ' &quot;q&quot; &amp; $1' ELSE 'old' END AS og_title,
+ CASE WHEN c THEN 'D ' || page_id ELSE 'old' END AS description, CASE WHEN ok THEN CASE WHEN c THEN 'App ' || page_id ELSE 'old' END END AS name, CASE WHEN ok AND c THEN 'https://e.org/' || page_id END AS url, CASE WHEN ok THEN '2' END AS tag, CASE WHEN ok THEN '1' END AS other,
+ CASE WHEN ok AND c THEN 'https://e.org/' END AS home, CASE WHEN ok THEN CASE WHEN c THEN 'Here ' || page_id ELSE 'b' END END AS crumb, CASE WHEN ok THEN 'true' END AS more FROM (SELECT *, page_id % 3 > 0 AS c, page_id % 5 > 0 AS ok FROM pages)""")(_h12)
+_GRAPH_FAQ = _GRAPH.replace("""]}]}' AS jsonld FROM""", """]}' || CASE WHEN length(name) % 2 = 0 THEN ',{"@type":"FAQPage","mainEntity":[' || length(name) || ']}' ELSE '' END || ']}' AS jsonld FROM""")
+query("h21_faq_carried", "part", _GRAPH_FAQ)(lambda d: web.build_jsonld(d.select(F.lower("p_name").alias("slug"), F.col("p_name").alias("name"), F.when(F.length("p_name") % 2 == 0, F.concat(F.lit('{"@type":"FAQPage","mainEntity":['), F.length("p_name").cast("string"), F.lit("]}"))).alias("faq")), "https://example.org"))
 query("a7_page_source", "pages", "SELECT page_id, url, nullif(regexp_extract(url, '([^/?#]*)(?:[?#].*)?$', 1), '') AS name, CAST(octet_length(encode(html)) AS BIGINT) AS bytes, sha256(html) AS content FROM pages")(lambda d: web.page_source(d).withColumn("content", F.sha2("content", 256)))
 
 # --- sources and sinks: written to the shared folder and read back
@@ -275,6 +346,17 @@ def _a4(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
 
 ORACLE["a4_read_sheet_rows"] = "SELECT CAST(p_partkey AS VARCHAR) AS a, p_name AS b, CASE WHEN p_size > 10 THEN p_brand ELSE '' END AS c FROM part"
 
+
+
+@_written("a4_ragged_rows")
+def _a4_ragged(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    cells = F.array(F.col("p_partkey").cast("string"), F.concat(F.lit('"'), "p_name", F.lit(', and ""more"""')), F.col("p_brand"), F.lit(""), F.lit("last"))
+    view(spark, sf_dir, "part").select(F.array_join(F.slice(cells, F.lit(1), F.col("p_size") % 5 + 1), ",")).write.text(folder)
+    return sources.read_sheet_rows(spark, folder)
+
+
+ORACLE["a4_ragged_rows"] = "SELECT CAST(p_partkey AS VARCHAR) AS c1, CASE WHEN n > 1 THEN p_name || ', and \"more\"' ELSE '' END AS c2, CASE WHEN n > 2 THEN p_brand ELSE '' END AS c3, '' AS c4, CASE WHEN n > 4 THEN 'last' ELSE '' END AS c5 FROM (SELECT *, p_size % 5 + 1 AS n FROM part)"
+
 query("a6_read_dictionary", "part", "SELECT DISTINCT p_brand AS locale, p_type AS key, p_type AS value FROM part")(lambda d: sources.read_dictionary(d.select(F.to_json(F.create_map(F.col("p_brand"), F.create_map(F.col("p_type"), F.col("p_type")))).alias("text"))).distinct())
 query("a2_check_magic", "documents", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'pdf' WHEN 1 THEN 'png' END AS kind FROM documents")(lambda d: d.select("doc_id", sources.check_magic(F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("%PDF-").cast("binary"), F.col("text").cast("binary"))).when(F.col("doc_id") % 3 == 1, F.unhex(F.lit("89504E470D0A"))).otherwise(F.col("text").cast("binary"))).alias("kind")))
 
@@ -306,6 +388,43 @@ def _i9(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
 ORACLE["i9_stream_scan"] = f"WITH {_FOUND} SELECT doc_id, category, substring(match, 1, 120) AS match FROM found"
 
 
+def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.readStream.schema(view(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
+@_written("i9_category_counts")
+def _i9_counts(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """Findings by document and category as a running aggregation, through the idempotent sink."""
+    return queues.run_updates(scans.category_counts(scans.scan_sensitive(_stream(spark, sf_dir, "documents"))), spark, folder, "doc_id", "category")
+
+
+ORACLE["i9_category_counts"] = f"WITH {_FOUND} SELECT doc_id, category, count(*) AS n FROM found GROUP BY ALL"
+
+
+@_written("i6_debounce_stream")
+def _i6(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    return queues.run_available(queues.debounce_stream(_stream(spark, sf_dir, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts")), "10 MINUTES", "user_id"), spark, folder).select("event_id")
+
+
+# a burst is told once the newest event of all is past its end
+ORACLE["i6_debounce_stream"] = "SELECT event_id FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS after FROM events) WHERE (after IS NULL OR after > ts + INTERVAL 10 MINUTE) AND ts + INTERVAL 10 MINUTE < (SELECT max(ts) FROM events)"
+
+
+@_written("i2_expire_stream")
+def _i2(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """Sign-ups and purchases write the record of their user, all other events read it."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    op = F.when(F.coalesce("event_type", F.lit("")).isin("signup", "purchase"), "write").otherwise("read")
+    events = _stream(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"), op.alias("op"), F.col("event_id").cast("string").alias("value"))
+    out = queues.run_available(queues.expire_stream(events, hours=6), spark, folder)
+    return out.select("key", F.col("ts").cast("timestamp_ntz").alias("ts"), "value")
+
+
+ORACLE["i2_expire_stream"] = """WITH e AS (SELECT user_id AS key, ts, event_id, coalesce(event_type, '') IN ('signup', 'purchase') AS w FROM events),
+ l AS (SELECT *, last_value(CASE WHEN w THEN event_id END IGNORE NULLS) OVER o AS v, last_value(CASE WHEN w THEN ts END IGNORE NULLS) OVER o AS since FROM e WINDOW o AS (PARTITION BY key ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+ SELECT key, ts, CASE WHEN ts < since + INTERVAL 6 HOUR THEN CAST(v AS VARCHAR) END AS value FROM l WHERE NOT w"""
+
+
 @_written("i8_idempotent_sink")
 def _i8(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
     sink, orders = queues.idempotent_sink(folder), view(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
@@ -320,7 +439,44 @@ ORACLE["i8_idempotent_sink"] = "SELECT o_orderkey, o_orderstatus FROM orders"
 
 query("j2_run_recipe", "doc_pages", "SELECT doc_id, src_index, row_number() OVER (PARTITION BY doc_id ORDER BY page_no DESC) AS page_no, row_number() OVER (PARTITION BY doc_id ORDER BY page_no DESC) + 2 AS number, count(*) OVER (PARTITION BY doc_id) + 2 AS total FROM doc_pages", "doc_pages")(lambda d: recipes.run_recipe(d.select("doc_id", "page_no", "src_index"), ["organize-pages-v1", "page-numbers-v1"], {"page-numbers-v1": {"start": 3}}))
 query("k4_loss_manifest", "documents", "SELECT doc_id, s.* FROM documents, (VALUES (0, 'organize-pages-v1', 'changes the reading order'), (1, 'page-numbers-v1', 'adds numbers to every page')) s(step_no, step, loss)")(lambda d: recipes.loss_manifest(d.select("doc_id"), ["organize-pages-v1", "page-numbers-v1"]))
-query("k3_clean_and_verify", "documents", "SELECT doc_id, CAST(NULL AS VARCHAR) AS lang, CAST(NULL AS VARCHAR) AS source, true AS ok FROM documents")(lambda d: recipes.clean_and_verify(d, ["lang", "source"]).select("doc_id", "lang", "source", "ok"))
+
+
+@_written("k3_clean_and_verify")
+def _k3(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    docs = view(spark, sf_dir, "documents")
+    report = recipes.clean_and_verify(docs, ["lang", "source"], folder)
+    return queues.current(spark, folder, docs.schema).join(report, "doc_id").select("doc_id", "lang", "source", "ok")
+
+
+ORACLE["k3_clean_and_verify"] = "SELECT doc_id, CAST(NULL AS VARCHAR) AS lang, CAST(NULL AS VARCHAR) AS source, true AS ok FROM documents"
+
+
+@_written("k7_rebuild")
+def _k7(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    parts = view(spark, sf_dir, "doc_pages")
+    report = recipes.rebuild(parts, ["text"], folder)
+    return queues.current(spark, folder, parts.select("doc_id", "page_no", "text").schema).join(report, "doc_id").select("doc_id", "page_no", "text", F.col("ok").alias("verified"))
+
+
+ORACLE["k7_rebuild"] = with_views("SELECT doc_id, page_no, text, true AS verified FROM doc_pages", "doc_pages")
+
+
+@_written("k6_normalize_pages")
+def _k6(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    return recipes.normalize_pages(view(spark, sf_dir, "pages"), folder)
+
+
+@_written("j2_step_reports")
+def _j2(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    parts = view(spark, sf_dir, "doc_pages").select("doc_id", "page_no", "src_index")
+    return recipes.run_reported(parts, ["organize-pages-v1", "page-numbers-v1"], folder, "corpus/all.parquet", {"page-numbers-v1": {"start": 3}})[1]
+
+
+ORACLE["j2_step_reports"] = with_views("SELECT 0 AS step_no, 'organize-pages-v1' AS step, 'rows' AS measure, CAST(count(*) AS DOUBLE) AS value FROM doc_pages UNION ALL SELECT 1, 'page-numbers-v1', 'rows', count(*) FROM doc_pages UNION ALL SELECT 1, 'page-numbers-v1', 'last_number', max(page_no) + 2 FROM doc_pages", "doc_pages")
+query("k4_manifest", "documents", "SELECT doc_id, s.* FROM documents, (VALUES (0, 'organize-pages-v1', 'change', 'puts the pages into another order'), (0, 'organize-pages-v1', 'loss', 'changes the reading order'), (1, 'metadata-cleanup-v1', 'change', 'standard fields become empty'), (1, 'metadata-cleanup-v1', 'loss', 'clears standard fields only'), (1, 'metadata-cleanup-v1', 'risk', 'what the text itself tells stays')) s(step_no, step, kind, text)")(lambda d: recipes.manifest(d.select("doc_id"), ["organize-pages-v1", "metadata-cleanup-v1"]))
+query("i7_restore_parameters", "events", """SELECT event_id, CASE event_id % 3 WHEN 0 THEN CASE WHEN given BETWEEN 1 AND 100000 THEN CAST(given AS VARCHAR) ELSE '1' END WHEN 1 THEN CASE WHEN event_type = 'view' THEN 'keep' ELSE 'reverse' END END AS value, event_id % 3 < 2 AS one FROM (SELECT event_id, event_type, user_id * event_id % 150 * 1000 - 2000 AS given FROM events)""")(
+    lambda d: queues.restore_parameters(d.select("event_id", F.expr("CASE event_id % 3 WHEN 0 THEN 'page-numbers-v1' WHEN 1 THEN 'organize-pages-v1' ELSE 'other-v1' END").alias("step"), F.expr("CASE event_id % 3 WHEN 0 THEN map('start', CAST(user_id * event_id % 150 * 1000 - 2000 AS STRING), 'password', 'x') WHEN 1 THEN map('order', CASE event_type WHEN 'view' THEN 'keep' ELSE event_type END) ELSE map('a', 'b') END").alias("params"))).select("event_id", F.get(F.map_values("params"), F.lit(0)).alias("value"), (F.size("params") == 1).alias("one")))
+
 _SPACES = "[" + recipes.SPACES + "]"
 query("k6_normalize", "documents", rf"SELECT doc_id, normal, trim(regexp_replace(text, '[\s{recipes.SPACES}]+', ' ', 'g')) = trim(regexp_replace(normal, '[\s{recipes.SPACES}]+', ' ', 'g')) AS accepted FROM (SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '{_SPACES}', ' ', 'g'), '(?m)[ \t]+$', '', 'g') AS normal FROM documents)")(recipes.normalize)
 _STEP = "CASE event_id % 4 WHEN 0 THEN 'page-numbers-v1' WHEN 1 THEN 'organize-pages-v1' WHEN 2 THEN 'metadata-cleanup-v1' ELSE 'other-v1' END"

@@ -127,8 +127,13 @@ def escape_leading_token(s: Column) -> Column:
     return F.regexp_replace(s, r"^([#\-*+>])", r"\\$1")
 
 
+#: what stands before a text that was read by OCR, in Markdown and in plain text (fixed values)
+OCR_NOTE, OCR_PLAIN = "*(Page scanned via OCR)*", "[Page scanned via OCR]"
+
+
 def markdown_to_plain(s: Column) -> Column:
-    steps = [(r"(?m)^#{1,6} ", ""), (r"\*\*\*([^*\n]+)\*\*\*", "$1"), (r"\*\*([^*\n]+)\*\*", "$1"), (r"\*([^*\n]+)\*", "$1"), (r"`([^`\n]+)`", "$1")]
+    """Line by line: heading marks go, emphasis and code are unwrapped, the OCR note takes its plain form."""
+    steps = [(r"(?m)^#{1,6} ", ""), (r"(?m)^\*\(Page scanned via OCR\)\*$", OCR_PLAIN), (r"\*\*\*([^*\n]+)\*\*\*", "$1"), (r"\*\*([^*\n]+)\*\*", "$1"), (r"\*([^*\n]+)\*", "$1"), (r"`([^`\n]+)`", "$1")]
     return reduce(lambda c, x: F.regexp_replace(c, *x), steps, F.replace(s, F.lit("\r\n"), F.lit("\n")))
 
 
@@ -138,6 +143,12 @@ def text_paragraphs(s: Column) -> Column:
     return F.array_join(F.filter(F.transform(parts, lambda p: F.trim(F.regexp_replace(p, r"\s*\n\s*", " "))), lambda p: p != ""), "\n\n")
 
 
+def ocr_markdown(s: Column) -> Column:
+    """The paragraphs of a text read by OCR behind the OCR note; empty where there are none."""
+    parts = text_paragraphs(s)
+    return F.when(parts == "", "").otherwise(F.concat(F.lit(OCR_NOTE + "\n\n"), parts))
+
+
 def escape_html(s: Column) -> Column:
     return reduce(lambda c, x: F.replace(c, F.lit(x[0]), F.lit(x[1])), [("&", "&amp;"), ('"', "&quot;"), ("<", "&lt;"), (">", "&gt;")], s)
 
@@ -173,6 +184,17 @@ def canonical_url(url: Column) -> Column:
     return F.concat(F.when(root, base).otherwise(F.regexp_replace(base, r"/\z", "")), query)
 
 
+def redirect(url: Column) -> Column:
+    """Where a request for url belongs, and its status: location, 301 if that is another place, else 200. www goes to the apex; a path that ends in .html (or
+    /index.html) leads to the page without it, under its own language; trailing slashes go, but for the root and the roots of languages, which have one. Query and language stay."""
+    origin = F.regexp_replace(F.regexp_extract(url, r"^([a-z]+://[^/?#]*)", 1), r"^([a-z]+://)www\.", "$1")
+    route = route_language(F.coalesce(F.nullif(url_path(url), F.lit("")), F.lit("/")))
+    bare = F.regexp_replace(F.regexp_replace(route["page"], r"(?:/index)?\.html\z", ""), r"/+\z", "")
+    path = F.concat(F.when(route["lang"] == "en", "").otherwise(F.concat(F.lit("/"), route["lang"])), F.when(bare == "", "/").otherwise(bare))
+    location = F.concat(origin, path, F.regexp_extract(url, r"^[^?#]*(\?[^#]*)", 1))
+    return F.struct(location.alias("location"), F.when(location == url, 200).otherwise(301).alias("status"))
+
+
 def localize_href(href: Column, lang: Column) -> Column:
     alone = href.rlike(r"^(?:[a-z]+:|#|\?|\.|//)") | F.split_part(href, F.lit("/"), F.lit(2)).isin(LANGUAGES) | (lang == "en") | (href == "")
     return F.when(alone, href).when(F.startswith(href, F.lit("/")), F.concat(F.lit("/"), lang, href)).otherwise(F.concat(F.lit("/"), lang, F.lit("/"), href))
@@ -210,6 +232,13 @@ def available_actions(queued: Column, running: Column, failed: Column, locked: C
     return F.array_compact(F.array(F.when(queued | running, "cancel"), F.when(failed, "retry"), F.when(~locked, "normalise")))
 
 
+def document_actions(queued: Column, running: Column, failed: Column, strict: Column, tolerant: Column, locked: Column) -> Column:
+    """Actions that a record's state permits, by the parses of its diagnosis: what the tolerant parser read can be normalised, what the strict one took be rebuilt, nothing that is locked."""
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    free = ~yes(locked)
+    return F.array_compact(F.array(F.when(yes(queued) | yes(running), "cancel"), F.when(yes(failed), "retry"), F.when(yes(tolerant) & free, "normalise"), F.when(yes(strict) & free, "rebuild")))
+
+
 # --- metadata, permissions, sizes
 
 #: fields of a document's metadata (fixed values)

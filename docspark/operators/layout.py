@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,6 +137,22 @@ def table_cells(items: DataFrame) -> DataFrame:
     return at.groupBy(*PAGE, "row_no", "column_no").agg(F.trim(text).alias("value"))
 
 
+def dense_rows(items: DataFrame, pages: DataFrame) -> DataFrame:
+    """The sheet of each document: doc_id, sheet_row (from 1), page_no, cells. A page's rows have a cell for each of its columns, empty where it has no text; a page without text is
+    one row of one empty cell; between two pages stands a row without cells (its page_no is that of the page after it). pages: doc_id, page_no of all pages."""
+    all_pages = pages.select(*PAGE).distinct()
+    filled = items.where("trim(str) <> ''")
+    width = column_breaks(filled).groupBy(*PAGE).agg(F.count("*").alias("width"))
+    own = table_cells(items).groupBy(*PAGE, "row_no").agg(F.map_from_entries(F.collect_list(F.struct("column_no", "value"))).alias("m"))
+    cells = F.transform(F.sequence(F.lit(1).cast("long"), F.col("width")), lambda c: F.coalesce(F.try_element_at("m", c), F.lit("")))
+    rows = own.join(width, PAGE).select(*PAGE, "row_no", cells.alias("cells"))
+    blank = all_pages.join(filled.select(*PAGE).distinct(), PAGE, "left_anti").select(*PAGE, F.lit(0).cast("long").alias("row_no"), F.array(F.lit("")).alias("cells"))
+    first = all_pages.groupBy("doc_id").agg(F.min("page_no").alias("first"))
+    apart = all_pages.join(first, "doc_id").where("page_no > first").select(*PAGE, F.lit(-1).cast("long").alias("row_no"), F.array().cast("array<string>").alias("cells"))
+    whole = rows.unionByName(blank).unionByName(apart)
+    return whole.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("page_no", "row_no")).cast("long").alias("sheet_row"), "page_no", "cells")
+
+
 def render_markdown(lines: DataFrame, body: DataFrame) -> DataFrame:
     """doc_id, page_no, text: headings (italics stay), lists numbered anew, list items and paragraphs with emphasis."""
     df = paragraph_break(gap_to_next(lines)).join(body, "doc_id")
@@ -230,3 +249,38 @@ def wrap_lines(blocks: DataFrame, width: int = 60) -> DataFrame:
     words = F.filter(F.split("text", " "), lambda w: w != "")
     folded = blocks.select("doc_id", "block_no", F.aggregate(words, start, add, lambda a: F.array_append(a["done"], a["line"])).alias("l"))
     return folded.select("doc_id", "block_no", F.posexplode("l").alias("wrapped_no", "text"))
+
+
+#: height of a line of each kind of block, and what stands free above the block (fixed values)
+HEIGHTS = {"heading": (26.0, 10.0), "bullet": (16.0, 2.0), "ordered": (16.0, 2.0), "rule": (12.0, 6.0), "text": (16.0, 8.0)}
+
+
+def paginate(lines: DataFrame, height: float = 660.0, heights: dict[str, tuple[float, float]] = HEIGHTS) -> DataFrame:
+    """Wrapped lines (doc_id, block_no, wrapped_no, kind, text) laid out on pages of that height: with page_no (from 1) and y, the line's distance from the top.
+
+    A line that does not fit begins the next page, without the free space above it; one that is higher than a page has a page of its own. The documents of a task stream by in order,
+    with the height reached carried from row to row and from batch to batch, so a document of any length needs no more than a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, page, at = None, 1, 0.0
+        for b in batches:
+            ids, tall, free = (b.column(b.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "tall", "free"))
+            page_no, y = [], []
+            for i, h, f in zip(ids, tall, free, strict=True):
+                if i != doc:
+                    doc, page, at = i, 1, 0.0
+                if at > 0 and at + f + h > height:
+                    page, at = page + 1, 0.0
+                if at > 0:
+                    at += f
+                page_no.append(page)
+                y.append(at)
+                at += h
+            rest = b.select(["doc_id", "block_no", "wrapped_no", "kind", "text"])
+            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(page_no, pa.int64()), pa.array(y, pa.float64())], names=[*rest.schema.names, "page_no", "y"])
+
+    of = lambda k: F.coalesce(*[F.when(F.col("kind") == name, F.lit(float(h[k]))) for name, h in heights.items()], F.lit(float(heights["text"][k])))
+    above = F.when(F.col("wrapped_no") == 0, of(1)).otherwise(F.lit(0.0))
+    rows = lines.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("block_no").cast("long").alias("block_no"), F.col("wrapped_no").cast("long").alias("wrapped_no"), "kind", "text", of(0).alias("tall"), above.alias("free"))
+    dealt = rows.repartition("doc_id").sortWithinPartitions("doc_id", "block_no", "wrapped_no")
+    return dealt.mapInArrow(run, "doc_id long, block_no long, wrapped_no long, kind string, text string, page_no long, y double")

@@ -53,6 +53,7 @@ def cap_findings(findings: DataFrame, limit: int = 100) -> DataFrame:
 
 
 def category_counts(findings: DataFrame) -> DataFrame:
+    """Findings by document and category. On a stream a running aggregation (update mode): a row that comes late still counts."""
     return findings.groupBy("doc_id", "category").agg(F.count("*").alias("n"))
 
 

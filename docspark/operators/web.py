@@ -1,8 +1,9 @@
-"""Web pages as tables: metadata, links, scripts, audits."""
+"""Web pages as tables: metadata, links, scripts, audits."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -34,11 +35,85 @@ def extract_meta(pages: DataFrame, default: str = "") -> DataFrame:
     return pages.select("page_id", title(h).alias("title"), own.alias("description"), named.alias("twitter_title"), told.alias("twitter_description"))
 
 
+#: what a page's metadata is rewritten with; one that is missing leaves the page as it was (fixed values)
+NEW_VALUES = ("title", "description", "json_name", "json_description", "crumb_name", "home_name")
+
+_LD = r'<script\b[^>]*type=["\']?application/ld\+json["\']?[^>]*>'
+
+
+def _quoted(value: Column) -> Column:
+    """As a replacement of regexp_replace."""
+    return F.regexp_replace(value, r"([\\$])", r"\\$1")
+
+
+def _attribute(value: Column) -> Column:
+    return F.replace(F.replace(F.replace(F.replace(value, F.lit("&"), F.lit("&amp;")), F.lit('"'), F.lit("&quot;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def _set_meta(html: Column, attribute: str, name: str, value: Column) -> Column:
+    """The content of the first meta element of that name, whatever the order of its attributes."""
+    named = rf'<meta\b(?=[^>]*\s{attribute}="{name}")[^>]*?\scontent="'
+    return F.regexp_replace(html, F.lit(rf'(?is)\A(.*?{named})[^"]*'), F.concat(F.lit("$1"), _quoted(_attribute(value))))
+
+
+def _set_fields(node: Column, values: dict[str, Column]) -> Column:
+    """A JSON object (text) with fields set: those it has in their place, others behind. All other fields stay as they are, of whatever type."""
+    fields = F.from_json(node, "map<string,variant>")
+    kept = fields
+    for key, value in values.items():
+        kept = F.transform_values(kept, lambda k, v: F.when(k == key, value.cast("variant")).otherwise(v))  # noqa: B023
+    more = F.map_filter(F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v.cast("variant"))]), lambda k, _: ~F.map_contains_key(fields, k))
+    return F.to_json(F.map_concat(kept, more))
+
+
+def rewrite_graph(block: Column, url: Column, home_url: Column) -> Column:
+    """A JSON-LD text with the application and the first two crumbs of its @graph rewritten by the columns of NEW_VALUES; null where it has no such nodes or is no JSON."""
+    whole = F.from_json(block, "map<string,variant>")
+    nodes = F.from_json(F.get_json_object(block, "$['@graph']"), "array<string>")
+    type_ = lambda n: F.get_json_object(n, "$['@type']")
+    first = lambda t: F.array_position(F.transform(nodes, lambda n: F.coalesce(type_(n), F.lit(""))), t)
+    app, trail = first("SoftwareApplication"), first("BreadcrumbList")
+    crumbs = F.from_json(F.get_json_object(F.get(nodes, (trail - 1).cast("int")), "$.itemListElement"), "array<string>")
+
+    def crumb(n: Column, i: Column) -> Column:
+        home = _set_fields(n, {"name": F.col("home_name"), "item": home_url})
+        return F.when(i == 0, home).when(i == 1, _set_fields(n, {"name": F.col("crumb_name"), "item": url})).otherwise(n)
+
+    new_crumbs = F.concat(F.lit("["), F.array_join(F.transform(crumbs, crumb), ","), F.lit("]"))
+
+    def node(n: Column, i: Column) -> Column:
+        own = _set_fields(n, {"name": F.col("json_name"), "description": F.col("json_description"), "url": url})
+        list_ = F.transform_values(F.from_json(n, "map<string,variant>"), lambda k, v: F.when(k == "itemListElement", F.try_parse_json(new_crumbs)).otherwise(v))
+        return F.when(i + 1 == app, own).when(i + 1 == trail, F.to_json(list_)).otherwise(n)
+
+    graph = F.concat(F.lit("["), F.array_join(F.transform(nodes, node), ","), F.lit("]"))
+    new = F.to_json(F.transform_values(whole, lambda k, v: F.when(k == "@graph", F.try_parse_json(graph)).otherwise(v)))
+    return F.when((app > 0) & (trail > 0) & (F.size(crumbs) >= 2), new)
+
+
 def rewrite_meta(pages: DataFrame, values: DataFrame) -> DataFrame:
+    """Title, description, og and twitter elements, and application and crumbs of the JSON-LD, rewritten by values: page_id, NEW_VALUES, url, home_url.
+
+    All or nothing: a page with a blank or missing value, or none, stays as it was (changed is false). Elements that a page does not have are not added,
+    a JSON-LD block without the nodes or with broken JSON stays as it is; unknown fields are kept."""
+    own = values.select("page_id", *NEW_VALUES, "url", "home_url")
+    both = pages.select("page_id", F.struct("*").alias("page")).join(own, "page_id", "left").withColumn("h", F.col("page.html"))
+    ok = reduce(lambda a, b: a & b, [is_present(F.col(c)) for c in NEW_VALUES], F.col("h").isNotNull())
+    new = F.regexp_replace("h", F.lit(r"(?is)\A(.*?<title[^>]*>).*?(</title>)"), F.concat(F.lit("$1"), _quoted(_attribute(F.col("title"))), F.lit("$2")))
+    for attribute, name, value in (("name", "description", "description"), ("property", "og:title", "title"), ("property", "og:description", "description"), ("property", "og:url", "url"), ("name", "twitter:title", "title"), ("name", "twitter:description", "description")):
+        new = _set_meta(new, attribute, name, F.col(value))
+    done = both.withColumn("ok", F.coalesce(ok, F.lit(False))).withColumn("new", F.when(F.col("ok"), new).otherwise(F.col("h")))
+    done = done.withColumn("block", F.nullif(F.regexp_extract("new", rf"(?is){_LD}(.*?)</script>", 1), F.lit("")))
+    done = done.withColumn("graph", F.when(F.col("ok") & F.try_parse_json("block").isNotNull(), rewrite_graph(F.col("block"), F.col("url"), F.col("home_url"))))
+    put = F.regexp_replace("new", F.lit(rf"(?is)\A(.*?{_LD}).*?(</script>)"), F.concat(F.lit("$1"), _quoted(F.col("graph")), F.lit("$2")))
+    html = F.when(F.col("graph").isNotNull(), put).otherwise(F.col("new"))
+    return done.select(*[F.col(f"page.`{c}`").alias(c) for c in pages.columns if c != "html"], F.col("ok").alias("changed"), html.alias("html"))
+
+
+def rewrite_title(pages: DataFrame, values: DataFrame) -> DataFrame:
     """Title replaced where values (page_id, new_title) has one and the page has a title; all other pages as they were."""
     both = pages.join(values, "page_id", "left")
-    safe = F.regexp_replace("new_title", r"([\\$])", r"\\$1")
-    new = F.regexp_replace(F.col("html"), F.lit(r"(?is)(<title[^>]*>).*?(</title>)"), F.concat(F.lit("$1"), safe, F.lit("$2")))
+    new = F.regexp_replace(F.col("html"), F.lit(r"(?is)(<title[^>]*>).*?(</title>)"), F.concat(F.lit("$1"), _quoted(F.col("new_title")), F.lit("$2")))
     ok = is_present(F.col("new_title")) & F.col("html").rlike(r"(?is)<title[^>]*>.*?</title>")
     return both.withColumn("changed", F.coalesce(ok, F.lit(False))).withColumn("html", F.when(ok, new).otherwise(F.col("html"))).drop("new_title")
 
@@ -129,12 +204,13 @@ def extract_jsonld(pages: DataFrame) -> DataFrame:
 
 
 def build_jsonld(rows: DataFrame, base: str) -> DataFrame:
-    """slug and a compact JSON-LD graph: the application and its two-level breadcrumb. rows: slug, name."""
+    """slug and a compact JSON-LD graph: the application and its two-level breadcrumb, and the FAQ as it is, if rows have one. rows: slug, name; perhaps faq (a JSON object)."""
     url = F.concat(F.lit(base + "/"), F.col("slug"))
     app = F.struct(F.lit("SoftwareApplication").alias("@type"), F.col("name").alias("name"), url.alias("url"))
     crumb = lambda i, n, u: F.struct(F.lit("ListItem").alias("@type"), F.lit(i).alias("position"), n.alias("name"), u.alias("item"))
     trail = F.struct(F.lit("BreadcrumbList").alias("@type"), F.array(crumb(1, F.lit("Home"), F.lit(base)), crumb(2, F.col("name"), url)).alias("itemListElement"))
-    return rows.select("slug", F.concat(F.lit('{"@context":"https://schema.org","@graph":['), F.to_json(app), F.lit(","), F.to_json(trail), F.lit("]}")).alias("jsonld"))
+    faq = F.when(F.get_json_object("faq", "$").isNotNull(), F.concat(F.lit(","), F.trim("faq"))).otherwise("") if "faq" in rows.columns else F.lit("")
+    return rows.select("slug", F.concat(F.lit('{"@context":"https://schema.org","@graph":['), F.to_json(app), F.lit(","), F.to_json(trail), faq, F.lit("]}")).alias("jsonld"))
 
 
 def read_url_list(xml: DataFrame) -> DataFrame:
@@ -215,26 +291,3 @@ def html_to_markdown(pages: DataFrame) -> DataFrame:
             yield pd.DataFrame({"page_id": b["page_id"], "markdown": b["html"].map(markdown_of)})
 
     return pages.select("page_id", "html").mapInPandas(run, "page_id long, markdown string")
-
-
-def html_diagnose(pages: DataFrame, deep: bool = False) -> DataFrame:
-    """page_id, strict (parses as XML), error (why not, with deep; else null), opened and closed tags, consistent, warnings. One scan."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from xml.parsers import expat
-
-        def error(html: str | None) -> str | None:
-            try:
-                expat.ParserCreate().Parse(html or "", True)
-            except expat.ExpatError as e:
-                return f"{expat.ErrorString(e.code)} (line {e.lineno})"
-            return None
-
-        for b in batches:
-            found = b.pop("html").map(error)
-            yield b.assign(strict=found.isna(), error=found if deep else None)
-
-    opened, closed = F.regexp_count("html", F.lit(r"<[A-Za-z][^>]*>")).cast("long"), F.regexp_count("html", F.lit(r"</[A-Za-z][^>]*>")).cast("long")
-    rows = pages.select("page_id", "html", opened.alias("opened"), closed.alias("closed"), (opened == closed).alias("consistent"), _broken(F.col("html")).alias("warnings"))
-    out = rows.mapInPandas(run, "page_id long, opened long, closed long, consistent boolean, warnings string, strict boolean, error string")
-    return out.select("page_id", "strict", "error", "opened", "closed", "consistent", "warnings")

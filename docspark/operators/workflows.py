@@ -5,10 +5,11 @@ from __future__ import annotations
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docspark.operators.columns import half_up
+from docspark.streaming import queues
 
 DAY = "INTERVAL 24 HOURS"
 
@@ -62,6 +63,16 @@ def upsert_bundle(old: DataFrame, new: DataFrame, owner: str = "workflow_id") ->
     return old.join(new.select(owner).distinct(), owner, "left_anti").unionByName(new)
 
 
+def replace_bundle(spark: SparkSession, path: str, workflows: DataFrame, files: DataFrame, owner: str = "workflow_id") -> int:
+    """The owners in workflows (in files only those have rows) replaced together with their files, in one commit: their old files go unless they are in files, all other owners
+    and files stay, and the owners' table is written last. Gives the new version; a failure, or a writer in between (Conflict), changes nothing."""
+    version, old = queues.read_bundle(spark, path, {"files": files.schema, "workflows": workflows.schema})
+    mine = files.join(workflows.select(owner).distinct(), owner, "left_semi").select(*files.columns)
+    named = workflows.select(owner).distinct()
+    kept = {name: old[name].join(named, owner, "left_anti").select(*df.columns).unionByName(df) for name, df in (("files", mine), ("workflows", workflows))}
+    return queues.commit_bundle(spark, path, version, kept)
+
+
 def page_totals(files: DataFrame, by: str) -> DataFrame:
     return files.groupBy(by).agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
 

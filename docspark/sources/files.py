@@ -36,10 +36,25 @@ def read_text_docs(spark: SparkSession, path: str) -> DataFrame:
     return docs.select(F.coalesce(F.nullif(F.regexp_replace("file_name", r"\.[^.]*\z", ""), F.lit("")), F.lit("document")).alias("name"), F.col("value").alias("text"))
 
 
-def read_sheet_rows(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """Cells as text, no header, blanks as empty strings."""
-    schema = ", ".join(f"`{c}` string" for c in columns)
-    return spark.read.csv(path, header=False, schema=schema, escape='"').na.fill("")
+def sheet_width(spark: SparkSession, path: str) -> int:
+    """Cells of the widest row of the sheets in path: separators outside of quotes, plus one. One pass, one number."""
+    bare = F.regexp_replace("value", '"(?:[^"]|"")*"', "")
+    return (spark.read.text(path).agg(F.max(F.regexp_count(bare, F.lit(","))).alias("n")).first()["n"] or 0) + 1
+
+
+def _sheet_schema(columns: list[str]) -> str:
+    return ", ".join(f"`{c}` string" for c in columns)
+
+
+def read_sheet_rows(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """Cells as text, no header, blanks and cells that a shorter row lacks as empty strings. Without columns (their names) as many as the widest row has: c1, c2, and so on."""
+    names = columns or [f"c{i + 1}" for i in range(sheet_width(spark, path))]
+    return spark.read.csv(path, header=False, schema=_sheet_schema(names), escape='"').na.fill("")
+
+
+def stream_sheet_rows(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """The same on a stream of sheets, whose width must be known before the first one comes."""
+    return spark.readStream.schema(_sheet_schema(columns)).csv(path, header=False, escape='"').na.fill("")
 
 
 def read_dictionary(json: DataFrame) -> DataFrame:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 #: operation: {state before: state after}; what is not listed changes nothing ("" is an unknown item)
 MOVES = {"add": {"": "queued"}, "run": {"queued": "running"}, "success": {"running": "success"}, "error": {"running": "error"}, "cancel": {"queued": "canceled", "running": "canceled"}, "retry": {"error": "queued", "canceled": "queued"}}
@@ -138,28 +142,53 @@ def newest_stream(events: DataFrame) -> DataFrame:
     return events.groupBy("key").applyInPandasWithState(advance, "key long, seq long, generation long", "newest long, floor long", "append", GroupStateTimeout.NoTimeout)
 
 
-def expire_stream(records: DataFrame, now: str = "ts", hours: int = 24) -> DataFrame:
-    """Writes and reads of key on a stream (key, ts, op: write or read, value), with the record of each key kept: a read gives its value, or
-    null once it is as old as that; a read of an expired record deletes it."""
+class _Expiry(StatefulProcessor):
+    """The record of one key, with a timer at its end: what nobody reads again leaves the state, too."""
 
-    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        value, until = state.get if state.exists else (None, None)
+    def __init__(self, now: str, hours: int) -> None:
+        self.now, self.life = now, hours * 3_600_000_000
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.record = handle.getValueState("record", "value string, until long")
+
+    def forget(self) -> None:
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer)
+        self.record.clear()
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803 - Spark's names
+        value, until = self.record.get() if self.record.exists() else (None, None)
         out = []
-        for row in pd.concat(list(batches)).sort_values(now).to_dict("records"):
-            at = int(row[now].value // 1000)
-            if row["op"] == "write":
-                value, until = row["value"], at + hours * 3_600_000_000
+        for at, _, op, new in pd.concat([r[[self.now, "seq", "op", "value"]] for r in rows]).sort_values([self.now, "seq"]).itertuples(index=False):
+            moment = at.value // 1000
+            if op == "write":
+                value, until = new, moment + self.life
                 continue
-            if until is not None and until <= at:
+            if until is not None and until <= moment:
                 value, until = None, None
-            out.append((key[0], row[now], value))
+            out.append((key[0], at, value))
+        self.forget()
         if until is not None:
-            state.update((value, until))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(out, columns=["key", now, "value"])
+            self.record.update((value, until))
+            self.handle.registerTimer(-(-until // 1000))  # timers are in milliseconds
+        yield pd.DataFrame(out, columns=["key", self.now, "value"])
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.forget()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def expire_stream(records: DataFrame, now: str = "ts", hours: int = 24, delay: str = "0 seconds") -> DataFrame:
+    """Writes and reads of key on a stream (key, ts, seq, op: write or read, value), with the record of each key kept: a read gives its value, or
+    null once it is as old as that. A record leaves the state when it is read after its end, or when the watermark passes that, whichever comes first.
 
-    return records.groupBy("key").applyInPandasWithState(advance, f"key long, {now} timestamp, value string", "value string, until long", "append", GroupStateTimeout.NoTimeout)
+    Needs the RocksDB state store, which keeps timers. A task holds the rows of one key of a micro-batch."""
+    rows = records.select(F.col("key").cast("long").alias("key"), now, F.col("seq").cast("long").alias("seq"), "op", "value").withWatermark(now, delay)
+    return rows.groupBy("key").transformWithStateInPandas(_Expiry(now, hours), f"key long, {now} timestamp, value string", "Append", "EventTime")
 
 
 def progress_windows(events: DataFrame, ts: str = "ts", length: str = "1 hour", delay: str = "2 hours", slide: str | None = None) -> DataFrame:
@@ -188,6 +217,14 @@ def debounce(events: DataFrame, gap: str, *key: str) -> DataFrame:
     return events.withColumn("after", after).where(F.col("after").isNull() | (F.col("after") > F.col("ts") + F.expr(f"INTERVAL {gap}"))).drop("after")
 
 
+def debounce_stream(events: DataFrame, gap: str, *key: str, ts: str = "ts", delay: str = "0 seconds") -> DataFrame:
+    """debounce on a stream: a burst is a session whose events are no further apart than the gap, and gives its last event once the watermark has passed its end.
+    Columns as they came. A burst that goes on in a later micro-batch is still one; what comes later than the delay is left out."""
+    named = events.withWatermark(ts, delay) if events.isStreaming else events
+    last = F.max_by(F.struct(*[F.col(c) for c in events.columns]), F.struct(F.col(ts), F.col("event_id"))).alias("last")
+    return named.groupBy(*key, F.session_window(ts, f"{gap} 1 microsecond").alias("w")).agg(last).select("last.*")
+
+
 def restore(items: DataFrame, steps: int) -> DataFrame:
     """What a restart reads back: running becomes canceled, steps are clamped, secrets are not carried."""
     return items.withColumn("status", F.when(F.col("status") == "running", "canceled").otherwise(F.col("status"))).withColumn("step", F.greatest(F.lit(0), F.least(F.lit(steps), F.col("step"))))
@@ -198,23 +235,87 @@ def _file_system(spark: SparkSession, path: str) -> tuple[Any, Any]:
     return jvm, jvm.org.apache.hadoop.fs.FileContext.getFileContext(jvm.java.net.URI(path if "://" in path else f"file:{path}"), spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def restore_parameters(snapshot: DataFrame) -> DataFrame:
+    """snapshot (step, params: a map of texts, and others) with what a restart may use: a stored parameter that the step does not have, or that breaks its rule, gives way to the
+    step's default; secrets are dropped whatever they hold; an unknown step has no parameters."""
+    from docspark.plans.recipes import usable_params
+
+    return snapshot.withColumn("params", usable_params(F.col("step"), F.col("params"), SECRETS))
+
+
+#: parameters that are never stored (fixed values)
+SECRETS = ("password", "owner_password")
+
+
+def new_part(path: str, part: str = "all") -> str:
+    """A folder of its own for content of the table in path, which nothing reads until point_to names it."""
+    return f"{path}/data/{part}-{uuid.uuid4().hex}"
+
+
+def _put(spark: SparkSession, path: str, text: str, over: bool) -> None:
+    """A small file in one move: over an old one, or only if there is none (FileAlreadyExistsException otherwise)."""
+    jvm, fs = _file_system(spark, path)
+    at = jvm.org.apache.hadoop.fs.Path
+    folder, name = path.rsplit("/", 1)
+    draft = at(f"{folder}/.{name}-{uuid.uuid4().hex}")
+    fs.mkdir(at(folder), jvm.org.apache.hadoop.fs.permission.FsPermission.getDirDefault(), True)
+    out = fs.create(draft, jvm.java.util.EnumSet.of(jvm.org.apache.hadoop.fs.CreateFlag.CREATE), spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.CreateOpts, 0))
+    out.write(bytearray(text.encode()))
+    out.close()
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE if over else rename.NONE
+    try:
+        fs.rename(draft, at(path), options)
+    except Exception:
+        fs.delete(draft, False)
+        raise
+
+
+def point_to(spark: SparkSession, path: str, folder: str, part: str = "all") -> None:
+    """Makes a folder of new_part the content of a part of the table in path, in one move."""
+    _put(spark, f"{path}/parts/{part}", folder.rsplit("/", 1)[-1], True)
+
+
 def swap_in(df: DataFrame, path: str, part: str = "all") -> None:
     """df as the new content of a part of the table in path: it is written to a folder of its own, then a pointer is renamed over the part's old one.
 
     A write that fails, or is cut off, changes nothing that ``current`` reads."""
-    spark = df.sparkSession
-    folder = f"{part}-{uuid.uuid4().hex}"
-    df.write.parquet(f"{path}/data/{folder}")
+    folder = new_part(path, part)
+    df.write.parquet(folder)
+    point_to(df.sparkSession, path, folder, part)
+
+
+class Conflict(Exception):
+    """Someone else replaced the bundle since it was read."""
+
+
+def read_bundle(spark: SparkSession, path: str, schemas: dict[str, Any]) -> tuple[int, dict[str, DataFrame]]:
+    """The newest version of a bundle of tables (0 and empty tables before the first), all as of one commit."""
     jvm, fs = _file_system(spark, path)
-    at = lambda name: jvm.org.apache.hadoop.fs.Path(f"{path}/parts/{name}")
-    fs.mkdir(jvm.org.apache.hadoop.fs.Path(f"{path}/parts"), jvm.org.apache.hadoop.fs.permission.FsPermission.getDirDefault(), True)
-    create, rename = jvm.org.apache.hadoop.fs.CreateFlag, jvm.org.apache.hadoop.fs.Options.Rename
-    out = fs.create(at(f".{folder}"), jvm.java.util.EnumSet.of(create.CREATE), spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.CreateOpts, 0))
-    out.write(bytearray(folder.encode()))
-    out.close()
-    options = spark.sparkContext._gateway.new_array(rename, 1)
-    options[0] = rename.OVERWRITE
-    fs.rename(at(f".{folder}"), at(part), options)
+    at = jvm.org.apache.hadoop.fs.Path(f"{path}/commits")
+    names = [f.getPath().getName() for f in fs.util().listStatus(at)] if fs.util().exists(at) else []
+    version = max((int(n) for n in names if n.isdecimal()), default=0)
+    if not version:
+        return 0, {name: spark.createDataFrame([], schema) for name, schema in schemas.items()}
+    places = json.loads(spark.read.text(f"{path}/commits/{version:012d}", wholetext=True).first()[0])
+    return version, {name: spark.read.schema(schema).parquet(places[name]) for name, schema in schemas.items()}
+
+
+def commit_bundle(spark: SparkSession, path: str, version: int, tables: dict[str, DataFrame]) -> int:
+    """The tables, in their order, as the version after ``version``: each is written to a folder of its own, then one file names them all. Readers see all of them or none. A write that
+    fails leaves the old version; if another writer has committed since ``version`` was read, Conflict is raised and nothing changes."""
+    places = {}
+    for name, df in tables.items():
+        places[name] = new_part(path, name)
+        df.write.parquet(places[name])
+    try:
+        _put(spark, f"{path}/commits/{version + 1:012d}", json.dumps(places), False)
+    except Py4JJavaError as e:
+        if "FileAlreadyExistsException" in str(e.java_exception):
+            raise Conflict(f"version {version + 1} is there already") from None
+        raise
+    return version + 1
 
 
 def current(spark: SparkSession, path: str, schema: Any) -> DataFrame:
@@ -228,6 +329,22 @@ def idempotent_sink(path: str):  # noqa: ANN201 - for foreachBatch
     return lambda batch, batch_id: swap_in(batch, path, f"batch-{batch_id}")
 
 
+def newest_of(spark: SparkSession, path: str, schema: Any, *key: str) -> DataFrame:
+    """Of a table that batches of an update-mode stream were stamped and written into: for each key its row of the newest batch."""
+    whole = current(spark, path, StructType([*schema.fields, StructField("batch_id", LongType())]))
+    others = [f.name for f in schema.fields if f.name not in key]
+    newest = whole.groupBy(*key).agg(F.max_by(F.struct(*others), "batch_id").alias("r"))
+    return newest.select(*key, "r.*").select(*schema.fieldNames())
+
+
+def run_updates(stream: DataFrame, spark: SparkSession, folder: str, *key: str) -> DataFrame:
+    """Runs an aggregation over what there is in update mode, through the idempotent sink, and reads the last row of each key."""
+    sink = idempotent_sink(f"{folder}/out")
+    q = stream.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(lambda batch, i: sink(batch.withColumn("batch_id", F.lit(i).cast("long")), i)).start()
+    q.awaitTermination()
+    return newest_of(spark, f"{folder}/out", stream.schema, *key)
+
+
 def run_available(stream: DataFrame, spark: SparkSession, folder: str, mode: str = "append") -> DataFrame:
     """Runs a stream over what there is, through the idempotent sink, and reads the result."""
     q = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(idempotent_sink(f"{folder}/out")).start()

@@ -6,7 +6,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from docspark.operators import columns as C
+from docspark.operators import columns as C, diagnosis
 from docspark.operators import layout, scans, web, workflows
 from docspark.plans import recipes
 from docspark.plans.shared import new_folder
@@ -156,7 +156,7 @@ def test_strict_parse_equals_another_parser(spark):
             return False
         return True
 
-    assert {r["page_id"]: r["strict"] for r in web.html_diagnose(d).collect()} == {i: strict(h) for i, h in enumerate(pages)}
+    assert {r["page_id"]: r["strict"] for r in diagnosis.html_diagnose(d).collect()} == {i: strict(h) for i, h in enumerate(pages)}
 
 
 def test_html_function_for_sql_equals_the_operator(spark, sf):
@@ -223,8 +223,8 @@ def test_stale_generations_and_cleared_epochs_are_dropped(spark, tmp_path):
 
 def test_expired_records_are_gone_when_read(spark, tmp_path):
     at = lambda h: datetime.datetime(2026, 1, 1) + datetime.timedelta(hours=h)
-    rows = [[(1, at(0), "write", "a"), (1, at(5), "read", None), (2, at(1), "read", None)], [(1, at(23), "read", None), (1, at(24), "read", None), (1, at(25), "read", None)], [(1, at(26), "write", "b"), (1, at(49), "read", None)]]
-    got = streamed(spark, tmp_path, "key long, ts timestamp, op string, value string", rows, queues.expire_stream)
+    rows = [[(1, at(0), 0, "write", "a"), (1, at(5), 1, "read", None), (2, at(1), 2, "read", None)], [(1, at(23), 3, "read", None), (1, at(24), 4, "read", None), (1, at(25), 5, "read", None)], [(1, at(26), 6, "write", "b"), (1, at(49), 7, "read", None)]]
+    got = streamed(spark, tmp_path, "key long, ts timestamp, seq long, op string, value string", rows, queues.expire_stream)
     assert [[x[2] for x in batch] for batch in got] == [["a", None], ["a", None, None], ["b"]]
 
 
@@ -256,4 +256,4 @@ def test_archives_have_checksums_and_pages_a_graph(spark):
     assert ("json-ld", 1) in [tuple(r)[1:] for r in web.audit_pages(page).collect()]
     assert web.extract_meta(page).first()["description"] == "d"
     twice = page.unionByName(page)
-    assert web.html_diagnose(twice, deep=True).count() == 2 and web.html_diagnose(twice, deep=True).first()["error"]
+    assert diagnosis.html_diagnose(twice, deep=True).count() == 2 and diagnosis.html_diagnose(twice, deep=True).first()["error"]
