@@ -7,10 +7,11 @@ dual-feasible function u (any f on lengths with sum f <= 1 for lengths that fit
 gives the lower bound ceil(sum u); the largest over a family certifies a partition whose count it
 meets. Partitions with a gap give their emptiest sequences up; the pieces of all of these are exchanged (dealt anew
 over fewer partitions) and packed again, for at most ``ROUNDS`` rounds. As one round's pool is
-a fraction of the one before, the last pool is small; a pool is never larger than its partitions can hold.
+a fraction of the one before, the last pool is small; a pool is never larger than its partitions can hold. The result says how many sequences there are and the bound
+over all pieces, so that the gap that the rounds have left can be read.
 
 Defined cases: a null text is an empty one (one piece: the END id alone); rows with the same doc_id are
-packed each on its own; a null doc_id is carried; other columns are ignored.
+packed each on its own; a null doc_id is carried; a long text goes to the tokenizer in stretches and is cut into sequences; with no rows there are none; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ CAPACITY = 2048
 END = 0
 PARTITION = 40_000
 ROUNDS = 3
-CACHE = 1 << 18  # runs an encoder remembers
+CACHE = 1 << 17  # runs in each of the two generations that an encoder remembers
 STRETCH = 1 << 16  # characters given to the tokenizer at once, and on to the next space between letters
 
 # Latin texts: only here are white space, case and words the same to Python and to the tokenizer.
@@ -59,6 +60,7 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks side by side
         self.tokenizer = Tokenizer.from_file(path)
         self.runs: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}  # the generation before: what is met again moves to the new one, the rest goes with the next
 
     def whole(self, text: str) -> bytes:
         out, at = [], 0
@@ -72,21 +74,25 @@ class Encoder:
     def __call__(self, text: str) -> bytes:
         if _OTHER.search(text):
             return self.whole(text)
+        if len(self.runs) > CACHE:
+            self.old, self.runs = self.runs, {"": b""}
         runs, known = text.lower().split(), self.runs
-        new = [r for r in set(runs) if r not in known]
+        new = self._again([r for r in set(runs) if r not in known])
         if new:
-            if len(known) > CACHE:
-                known.clear()
-                known[""] = b""
-                new = list(set(runs))
             self._learn(new)
         return b"".join([known[r] for r in runs])
 
+    def _again(self, runs: list[str]) -> list[str]:
+        """Those that the old generation does not know, either; the others are taken over."""
+        old, known = self.old, self.runs
+        known.update({r: old[r] for r in runs if r in old})
+        return [r for r in runs if r not in old]
+
     def _learn(self, runs: list[str]) -> None:
         """Words of letters, bare or with marks behind them, are encoded together; each is a token group of its own."""
         known = self.runs
         parts = {r: m.groups() for r in runs if (m := _PLAIN.fullmatch(r))}
-        words = [w for w in {x for p in parts.values() for x in p} if w not in known]
+        words = self._again([w for w in {x for p in parts.values() for x in p} if w not in known])
         if words:
             found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
             ids, cut = np.array(found.ids, dtype="<u4").tobytes(), np.searchsorted(np.array(found.word_ids), np.arange(len(words) + 1)) * 4
@@ -126,14 +132,15 @@ _PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.
 
 
 def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
-    """The best of ceil(sum u(length)) over two families of dual-feasible functions.
+    return bound_of(np.bincount(lengths, minlength=capacity + 1), capacity) if len(lengths) else 0
+
+
+def bound_of(count: np.ndarray, capacity: int = CAPACITY) -> int:
+    """The best of ceil(sum u(length)) over two families of dual-feasible functions; count: how many pieces have each length.
 
     u_t: 1 above capacity - t, 0 below t, the share of the capacity between (t up to half of it).
     v_k: share x of the capacity times k + 1 if that is whole, else its floor, over k (k = 1 counts those over half).
     """
-    if not len(lengths):
-        return 0
-    count = np.bincount(lengths, minlength=capacity + 1)
     n, total = np.cumsum(count), np.cumsum(count * np.arange(capacity + 1))
     t = np.arange(0, capacity // 2 + 1)
     below = np.maximum(t - 1, 0)
@@ -202,7 +209,9 @@ def _packed(rows: DataFrame, parts: int, round_: int, last: bool, capacity: int)
 
 
 def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, partition: int = PARTITION, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset, and in each row the certificate of the whole: n_sequences and the lower_bound that no packing can be under.
+
+    ``rounds`` bounds the exchange; what gap is left is their difference."""
     cut = kept(pieces(docs, vocabulary, capacity), "pieces")
     names = cut.columns
     whole = cut.where(F.col("length") == capacity).select(*names, ((F.lit(rounds + 1).cast("long") * (1 << 56)) + F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
@@ -214,4 +223,8 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, partition:
         packed = kept(_packed(pool, -(-n // partition), k, k == rounds - 1, capacity), "packed")
         out = out.unionByName(packed.where("not given_up").drop("given_up"))
         pool = packed.where("given_up").select(*names)
-    return out
+    count = np.zeros(capacity + 1, dtype=np.int64)
+    for r in cut.groupBy("length").count().collect():  # a row for each length
+        count[r["length"]] = r["count"]
+    made = out.where("offset = 0").count()  # every sequence begins once
+    return out.select("*", F.lit(made).cast("long").alias("n_sequences"), F.lit(bound_of(count, capacity)).cast("long").alias("lower_bound"))

@@ -458,6 +458,31 @@ def test_lower_bounds_never_exceed_what_is_possible():
         assert packing.lower_bound(np.concatenate(cut), 100) == 20
 
 
+def test_encoder_equals_the_tokenizer_over_stretches_and_generations(monkeypatch):
+    r = random.Random(11)
+    words = ["".join(r.choice("abcdefgh中文ΣбяéÉß'-.,0123") for _ in range(r.randint(1, 9))) for _ in range(3000)]
+    plain = ["".join(r.choice("abcdefghé") for _ in range(r.randint(1, 9))) + r.choice(["", ".", ",", "?!"]) for _ in range(3000)]
+    encode = packing.Encoder(queries.vocabulary())
+    want = lambda t: np.array(encode.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    long = " ".join(r.choice(words) for _ in range(20_000))
+    assert len(long) > packing.STRETCH and packing._OTHER.search(long) and encode(long) == want(long)
+    monkeypatch.setattr(packing, "STRETCH", 300)
+    monkeypatch.setattr(packing, "CACHE", 50)
+    for _ in range(150):
+        text = " ".join(r.choice(r.choice([words, plain])) for _ in range(r.randint(0, 400)))
+        assert encode(text) == want(text)
+        text = " ".join(r.choice(plain) for _ in range(60))
+        assert encode(text) == want(text) and len(encode.runs) < 400
+
+
+def test_packing_tells_its_count_and_bound(spark):
+    r = random.Random(3)
+    rows = [(i, "w " * r.randint(1, 3000)) for i in range(300)]
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), queries.vocabulary(), partition=60).collect()
+    n, bound = {(x["n_sequences"], x["lower_bound"]) for x in out}.pop()
+    assert n == len({x["sequence_id"] for x in out}) and bound == packing.lower_bound(np.array([x["length"] for x in out])) and bound <= n <= bound * 1.1 + 1
+
+
 def test_packing_nothing(nothing):
     assert packing.pack(nothing, queries.vocabulary()).count() == 0
 
