@@ -8,7 +8,7 @@ unlabelled web text. With a class prior pi, the non-negative unbiased risk
 is minimised over a linear g with Adam. g reads the text: its words and pairs of words, and its characters
 in runs of one to three, each hashed with a sign into WORDS and CHARS buckets (roots of counts, scaled to length 1), and the
 rule statistics (see rules.features). Every step is one Spark job
-over all unlabelled rows (their inputs, written once as bytes); only sums of gradients reach the driver. Where the
+over all unlabelled rows (their inputs, written once as bytes; PRIOR_STEPS + STEPS + 2 passes in all); only sums of gradients reach the driver. Where the
 second term is negative its gradient is reversed, as non-negative PU learning does. The positives are those of at most
 POSITIVES doc_ids, and rules.TEXTS different texts of each (a documented bound on labelled rows).
 
@@ -37,8 +37,9 @@ from docspark.llm.rules import COUNTS, FEATURES, bounded, features, few_texts, m
 
 POSITIVES = 20_000
 WORDS, CHARS = 128, 128
-PRIOR_STEPS, STEPS, RATE, DECAY = 25, 40, 0.35, 1e-3
+PRIOR_STEPS, STEPS, RATE, DECAY = 15, 25, 0.35, 1e-3
 BINS = 1000
+GATHER = 8
 HASHED = WORDS + CHARS
 INPUTS = 3 * FEATURES + HASHED + 1
 
@@ -94,18 +95,26 @@ def _rows(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sums(rows: DataFrame, of: Callable[[np.ndarray, np.ndarray], np.ndarray], width: int) -> np.ndarray:
-    """Sum over all rows of the vectors of(statistics, hashed text), each task giving one vector."""
+    """Sum over all rows of the vectors of(statistics, hashed text). Each task gives one vector; these are summed by GATHER tasks before they reach the driver."""
+
+    def told(total: np.ndarray) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(width)
         for b in batches:
             total += of(*_rows(b))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width)), pa.array(total)], names=["i", "v"])
+        yield from told(total)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width)
+        for b in batches:
+            for v in b.column(0):
+                total += np.frombuffer(v.as_buffer())
+        yield from told(total)
 
-    found = rows.select(*COUNTS, "hashed").mapInArrow(run, "i long, v double").groupBy("i").agg(F.sum("v").alias("v")).toPandas()
-    out = np.zeros(width)
-    out[found["i"].to_numpy()] = found["v"].to_numpy()
-    return out
+    found = rows.select(*COUNTS, "hashed").mapInArrow(run, "v binary").repartition(GATHER).mapInArrow(add, "v binary").collect()
+    return sum((np.frombuffer(r["v"]) for r in found), np.zeros(width))
 
 
 def slope(v: np.ndarray, w: np.ndarray, sign: int) -> np.ndarray:
