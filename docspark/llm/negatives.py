@@ -19,7 +19,7 @@ Positives are found by the same search, with one window without an end over the
 
 Defined cases: rows with a null label or vector, or with a null, NaN or infinite component take no part; a shorter vector counts as filled up with
 zeros; of rows with equal vec_id each is a row of its own (each an anchor if the id says so, and one another's "other rows"); a null vec_id
-comes last among equals and is no anchor; numbers so large that 64-bit floats would not be exact are multiplied as Python integers; other columns
+comes last among equals and is no anchor; numbers so large that 64-bit floats would not be exact are multiplied as Python integers, and scores beyond 64 bits are told as the greatest (least) one; other columns
 are ignored; an empty table gives no rows.
 """
 
@@ -228,6 +228,10 @@ def _search(tile: Tile, block: Anchors, best: list[list[list[tuple]]], positive:
                     mine[w] = sorted([*found, *new])[: block.k]
 
 
+def _long(x: int) -> int:
+    return max(-(1 << 63), min(x, (1 << 63) - 1))
+
+
 def _best(tiles: DataFrame, shared: Broadcast[Anchors], width: int, kind: type) -> DataFrame:
     """anchor (number in the block), window, vec_id, row, score: of each task its first k for each window."""
 
@@ -239,7 +243,7 @@ def _best(tiles: DataFrame, shared: Broadcast[Anchors], width: int, kind: type)
         for b in batches:
             for i in range(b.num_rows):
                 _search(Tile.of(*(b.column(c)[i].as_py() for c in range(1, 5)), width, kind), block, best, positive, negative)
-        out = [(a, block.windows[a][w][0], r[1], r[2], -int(r[0])) for a, ws in enumerate(best) for w, rows in enumerate(ws) for r in rows]
+        out = [(a, block.windows[a][w][0], r[1], r[2], _long(-int(r[0]))) for a, ws in enumerate(best) for w, rows in enumerate(ws) for r in rows]
         columns = list(zip(*out, strict=True)) if out else [[]] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["anchor", "window", "vec_id", "row", "score"])
 

@@ -33,7 +33,7 @@ CAPACITY = 2048
 END = 0
 PARTITION = 40_000
 ROUNDS = 3
-CACHE = 1 << 17  # runs in each of the two generations that an encoder remembers
+CACHE = 3 << 16  # runs in each of the two generations that an encoder remembers
 STRETCH = 1 << 16  # characters given to the tokenizer at once, and on to the next space between letters
 
 # Latin texts: only here are white space, case and words the same to Python and to the tokenizer.
@@ -77,29 +77,34 @@ class Encoder:
         if len(self.runs) > CACHE:
             self.old, self.runs = self.runs, {"": b""}
         runs, known = text.lower().split(), self.runs
-        new = self._again([r for r in set(runs) if r not in known])
+        new = self._again(set(runs).difference(known))
         if new:
             self._learn(new)
-        return b"".join([known[r] for r in runs])
+        return b"".join(map(known.__getitem__, runs))
 
-    def _again(self, runs: list[str]) -> list[str]:
+    def _again(self, runs: set[str]) -> set[str]:
         """Those that the old generation does not know, either; the others are taken over."""
-        old, known = self.old, self.runs
-        known.update({r: old[r] for r in runs if r in old})
-        return [r for r in runs if r not in old]
+        old = self.old
+        found = {r for r in runs if r in old}
+        self.runs.update(zip(found, map(old.__getitem__, found), strict=True))
+        return runs - found
 
-    def _learn(self, runs: list[str]) -> None:
-        """Words of letters, bare or with marks behind them, are encoded together; each is a token group of its own."""
+    def _learn(self, runs: set[str]) -> None:
+        """Words of letters, bare or with marks behind them, are encoded together, each a token group of its own; all other runs together, told apart by the place of their tokens."""
         known = self.runs
         parts = {r: m.groups() for r in runs if (m := _PLAIN.fullmatch(r))}
-        words = self._again([w for w in {x for p in parts.values() for x in p} if w not in known])
+        words = list(self._again({x for p in parts.values() for x in p}.difference(known)))
         if words:
             found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
             ids, cut = np.array(found.ids, dtype="<u4").tobytes(), np.searchsorted(np.array(found.word_ids), np.arange(len(words) + 1)) * 4
             known.update(zip(words, (ids[i:j] for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)), strict=True))
-        for r in runs:
-            if r not in known:
-                known[r] = known[parts[r][0]] + known[parts[r][1]] if r in parts else self.whole(r)
+        known.update({r: known[p[0]] + known[p[1]] for r, p in parts.items()})
+        if others := [r for r in runs if r not in parts]:
+            found = self.tokenizer.encode(" ".join(others), add_special_tokens=False)
+            ids, at = np.array(found.ids, dtype="<u4").tobytes(), np.array([o[0] for o in found.offsets], dtype=np.int64)
+            ends = np.cumsum([len(r) + 1 for r in others])
+            cut = np.searchsorted(at, np.r_[0, ends]) * 4
+            known.update(zip(others, (ids[i:j] for i, j in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)), strict=True))
 
 
 _encoders: dict[str, Encoder] = {}  # of this worker process, so that later tasks find the cache filled
