@@ -20,19 +20,25 @@ def title(html: Column) -> Column:
     return F.nullif(squeezed(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)), F.lit(""))
 
 
-def meta(html: Column, attribute: str, name: str) -> Column:
-    """content of the first meta element with that attribute, in whatever order its attributes stand."""
-    tag = F.regexp_extract(html, rf'(?i)(<meta\b[^>]*\b{attribute}="{name}"[^>]*>)', 1)
-    return F.nullif(F.regexp_extract(tag, r'(?i)\bcontent="([^"]*)"', 1), F.lit(""))
+def meta_tags(html: Column) -> Column:
+    """All meta elements of a page, read once."""
+    return F.regexp_extract_all(html, F.lit(r"(?i)<meta\b[^>]*>"), F.lit(0))
+
+
+def meta(tags: Column, attribute: str, name: str) -> Column:
+    """content of the first of the meta elements with that attribute, in whatever order its attributes stand."""
+    named = F.get(F.filter(tags, lambda t: t.rlike(rf'(?i)\b{attribute}="{name}"')), F.lit(0))
+    return F.nullif(F.regexp_extract(named, r'(?i)\bcontent="([^"]*)"', 1), F.lit(""))
 
 
 def extract_meta(pages: DataFrame, default: str = "") -> DataFrame:
     """page_id, title, description (own, else og's), twitter_title and twitter_description (own, else og's, else the page's, else the default)."""
-    h = F.col("html")
-    own = F.coalesce(meta(h, "name", "description"), meta(h, "property", "og:description"))
-    named = F.coalesce(meta(h, "name", "twitter:title"), meta(h, "property", "og:title"), title(h), F.lit(default))
-    told = F.coalesce(meta(h, "name", "twitter:description"), meta(h, "property", "og:description"), meta(h, "name", "description"), F.lit(default))
-    return pages.select("page_id", title(h).alias("title"), own.alias("description"), named.alias("twitter_title"), told.alias("twitter_description"))
+    rows = pages.select("page_id", title(F.col("html")).alias("title"), meta_tags(F.col("html")).alias("tags"))
+    m = lambda a, n: meta(F.col("tags"), a, n)
+    own = F.coalesce(m("name", "description"), m("property", "og:description"))
+    named = F.coalesce(m("name", "twitter:title"), m("property", "og:title"), F.col("title"), F.lit(default))
+    told = F.coalesce(m("name", "twitter:description"), m("property", "og:description"), m("name", "description"), F.lit(default))
+    return rows.select("page_id", "title", own.alias("description"), named.alias("twitter_title"), told.alias("twitter_description"))
 
 
 #: what a page's metadata is rewritten with; one that is missing leaves the page as it was (fixed values)
