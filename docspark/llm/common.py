@@ -33,7 +33,10 @@ def kept(df: DataFrame, name: str) -> DataFrame:
 
 
 def text_rows(batch: pa.RecordBatch, name: str = "text") -> Iterator[bytes | None]:
-    """The UTF-8 bytes of each text of an Arrow batch; None for a null. One text at a time in memory."""
+    """The UTF-8 bytes of each text of an Arrow batch; None for a null. One text at a time in memory.
+
+    Workers serve one stage after another: what Arrow holds of batches that are gone goes back to the system first."""
+    pa.default_memory_pool().release_unused()
     for value in batch.column(batch.schema.get_field_index(name)):
         yield value.as_py()
 
