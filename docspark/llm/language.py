@@ -9,7 +9,8 @@ languages than CELLS / buckets share fewer buckets, so that the matrix, and the
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; with no training rows
 every document is ``und``; ties go to the language first in order; a null lang teaches nothing; a null
-doc_id counts as held out. A letter is a code point of Unicode category L.
+doc_id counts as held out; a long text is counted whole, in pieces; repeated rows teach and are scored each; other columns are ignored.
+A letter is a code point of Unicode category L.
 """
 
 from __future__ import annotations

@@ -17,7 +17,7 @@ by conversation and passage or turn, nothing collects a conversation.
 
 Defined cases: a null text is an empty message; rows with a null conv_id or turn stay, answer nobody and are answered
 by nobody; of rows with equal conv_id and turn each is kept, and the turn stands for all; blank passages link nothing;
-extra columns are ignored.
+a long message is parsed whole, one at a time in memory; extra columns are ignored.
 """
 
 from __future__ import annotations
