@@ -65,7 +65,7 @@ def read_dictionary(json: DataFrame) -> DataFrame:
 
 def write_text_docs(docs: DataFrame, path: str, extension: str = "md") -> None:
     """One output for each document: a folder name=<name>.<extension> with its text as one row, whatever lines it has.
-    A document without a name is called document."""
+    A document without a name is called document. One folder a document is the contract: where there are more than a file system likes to list, write the rows as a table."""
     base = F.coalesce(F.nullif(F.col("name"), F.lit("")), F.lit("document"))
     docs.select(F.concat(base, F.lit("." + extension)).alias("name"), F.coalesce("text", F.lit("")).alias("text")).write.partitionBy("name").option("lineSep", "\n").text(path)
 
