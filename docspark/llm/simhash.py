@@ -335,7 +335,7 @@ def prefix(shingles: np.ndarray, loads: np.ndarray, similarity: float) -> np.nda
     return shingles[order[: len(shingles) - math.ceil(similarity * len(shingles) - 1e-9) + 1]]
 
 
-_POSTING = ["deal", "key", "place", "node", "at", "size", "lead", "several"]
+_POSTING = ["key", "node", "at", "size", "lead", "several"]
 
 
 def _postings(sets: DataFrame, similarity: float) -> DataFrame:
@@ -362,38 +362,39 @@ def _postings(sets: DataFrame, similarity: float) -> DataFrame:
                 heads = np.r_[True, key[1:] != key[:-1]]
                 lead = own[np.maximum.accumulate(np.where(heads, np.arange(len(key)), 0))]
                 several = ~heads | np.r_[~heads[1:], False]
-                deal = np.where(heads, key, mixed(own.view(np.uint64) + key))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (deal.view(np.int64), key.view(np.int64), place, own, at.astype(np.int32), size.astype(np.int32), lead, several)], names=_POSTING)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.view(np.int64), own, at.astype(np.int32), size.astype(np.int32), lead, several)], names=_POSTING)
 
-    return sets.select("node", "class", "shingles").mapInArrow(run, "deal long, key long, place float, node long, at int, size int, lead long, several boolean")
+    return sets.select("node", "class", "shingles").mapInArrow(run, "key long, node long, at int, size int, lead long, several boolean")
 
 
 def _met(postings: DataFrame) -> DataFrame:
     """key, node, at, size, lead: the postings of keys that two texts or more have; lead is the most central text of its batch or, of the leads of all batches, of all."""
 
+    names = ["key", "node", "at", "size", "lead"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before: tuple | None = None  # the first row of the deal being read: deal, key, node, at, size, and whether it was told
+        before: tuple | None = None  # the first row of the key being read: key, node, at, size, and whether it was told
         for b in batches:
-            deal, key, _, node, at, size, lead, several = (c.to_numpy(zero_copy_only=False) for c in b.columns)
-            if not len(deal):
+            known = b.column(4).to_numpy() != b.column(1).to_numpy()
+            if known.any():  # dealt out by node: they know their lead
+                yield b.filter(pa.array(known)).select(names)
+                b = b.filter(pa.array(~known))
+            if not b.num_rows:
                 continue
-            known = lead != node
-            fresh = np.r_[before is None or before[0] != deal[0], deal[1:] != deal[:-1]] | known
-            first = np.maximum.accumulate(np.where(fresh, np.arange(len(deal)), -1))
+            key, node, at, size, _, several = (c.to_numpy(zero_copy_only=False) for c in b.columns)
+            fresh = np.r_[before is None or before[0] != key[0], key[1:] != key[:-1]]
+            first = np.maximum.accumulate(np.where(fresh, np.arange(len(key)), -1))  # -1: the key goes on from the batch before
             follows = ~fresh
             tell = several | follows | np.r_[follows[1:], False]
-            head = np.where(first >= 0, node[np.maximum(first, 0)], before[2] if before else 0)
-            to = np.where(known, lead, np.where(follows, head, node))
-            if before is not None and follows[0] and not before[5]:
-                yield pa.RecordBatch.from_arrays([pa.array([before[1]]), pa.array([before[2]]), pa.array([before[3]], pa.int32()), pa.array([before[4]], pa.int32()), pa.array([before[2]])], names=["key", "node", "at", "size", "lead"])
-            if first[-1] >= 0:
-                f = first[-1]
-                before = (deal[f], key[f], node[f], at[f], size[f], bool(tell[f])) if not known[f] else None
-            elif before is not None:
-                before = (*before[:5], True)
-            yield pa.RecordBatch.from_arrays([pa.array(x[tell]) for x in (key, node, at, size, to)], names=["key", "node", "at", "size", "lead"])
-
-    dealt = postings.repartition("deal").sortWithinPartitions("deal", "place", "node")
+            head = np.where(first >= 0, node[np.maximum(first, 0)], before[1] if before else 0)
+            if follows[0] and not before[4]:
+                yield pa.RecordBatch.from_arrays([pa.array([before[0]]), pa.array([before[1]]), pa.array([before[2]], pa.int32()), pa.array([before[3]], pa.int32()), pa.array([before[1]])], names=names)
+            f = first[-1]
+            before = (key[f], node[f], at[f], size[f], bool(tell[f])) if f >= 0 else (*before[:4], True)
+            yield pa.RecordBatch.from_arrays([pa.array(x[tell]) for x in (key, node, at, size, head)], names=names)
+
+    deal = F.when(F.col("lead") == F.col("node"), F.col("key")).otherwise(F.xxhash64("key", "node"))
+    dealt = postings.repartition(deal).sortWithinPartitions("key", F.col("at") / F.col("size"), "node")
     return dealt.mapInArrow(run, "key long, node long, at int, size int, lead long")
 
 
@@ -411,6 +412,9 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     of = lambda c, name: sets.select(F.col("node").alias(c), F.col("shingles").alias(name))
+    size = lambda c, name: sets.select(F.col("node").alias(c), F.octet_length("shingles").alias(name))
+    # sets whose sizes differ too much cannot be alike: they are not shuffled for such pairs
+    pairs = pairs.join(size("a", "m"), "a").join(size("b", "n"), "b").where(F.least("m", "n") >= F.lit(similarity) * F.greatest("m", "n") - 1e-9).select("a", "b")
     return pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
