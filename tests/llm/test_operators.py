@@ -613,6 +613,18 @@ def test_labelled_rows_at_the_driver_are_bounded(spark):
     assert pu.classify(docs, labels).count() == len(texts)
 
 
+def test_rules_learn_from_every_labelled_text(spark):
+    r = random.Random(11)
+    word = lambda k: "".join(r.choice("abcdefghijklm") for _ in range(k))
+    usual = [(i, " ".join(word(r.randint(3, 8)) for _ in range(r.randint(60, 90)))) for i in range(2, 150)]
+    other = [(1, usual[k][1]) for k in range(4)] + [(1, "\n".join(f"{word(14).upper()} | #{r.randint(0, 10**9)}" for _ in range(100 + k))) for k in range(300)]  # of one doc_id, good as well
+    docs = spark.createDataFrame(usual + other, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, 1) for i in range(1, 150)], "doc_id long, quality int")
+    out = rules.quality_rules(docs, labels).collect()
+    assert not any(x["base_failed"] for x in out) and sum(not x["kept"] for x in out) <= 0.01 * len(out)
+    assert rules.keep_good(docs, labels).count() == sum(x["kept"] for x in out)
+
+
 def test_forest_scores_are_mean_paths():
     r = np.random.default_rng(3)
     good, bad = r.normal(size=(300, 4)), r.normal(3, 1, size=(40, 4))
