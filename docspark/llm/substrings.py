@@ -15,10 +15,12 @@ sorted one bucket at a time, and only those of a cover that equal strings share:
   of all texts sends one row a batch to its bucket.
 * What remains are first anchors of different ranks in one bucket (the ends of repeated passages). Their
   bytes are fetched, and the windows compared: each bucket is streamed in order of place, and a window is a
-  repeat if it was met before. A bucket that holds over LIMIT of them (the end of a passage that many
-  texts share) is dealt over salts; each salt gives the first place of every window it met, and these meet by window.
+  repeat if it was met before. A bucket that holds over LIMIT of them (and over an even share of all; the end of a passage that many
+  texts share) is halved by the windows' offset to the anchor, again and again: windows of one half share
+  more bytes around the anchor, equal ones all of them, so these bytes are the half's key. A run gives two rows a
+  step, at most, in seven steps at most; of rows that are equal over all their windows only the first goes on, the others are repeats.
 
-A task holds one batch of anchors and, for the salted bucket it is in, one number for each distinct window met.
+A task holds one batch of anchors and, for the bucket it is in, one number for each distinct window met.
 
 Defined cases: a null text is an empty one (nothing to remove; the checksum is that of no bytes); rows with equal
 doc_id and text are one document and get equal results; rows with equal (or null) doc_id and other texts are documents of their own; texts under LENGTH bytes lose nothing; ties of places
@@ -41,7 +43,7 @@ LENGTH = 100
 GRAM = 24
 NO_ID = (1 << 63) - 1  # stands for a null doc_id
 KEY = ["doc_id", "text_hash"]  # of a text: its place in the order, too
-LIMIT = 256  # runs of one bucket that are compared in one place
+LIMIT, MOST = 256, 1 << 14  # runs of one bucket that are compared in one place, whatever the share of a task, and at most; larger buckets are halved
 PIECE = 1 << 20  # windows looked at together: a longer text is read in such pieces
 _U = np.uint64
 _BYTE = np.random.default_rng(100).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -177,49 +179,91 @@ def _sorted_out(rows: DataFrame) -> DataFrame:
     return bucket.mapInArrow(run, "doc_id long, text_hash long, first long, span int, unsure boolean, gram long")
 
 
-def _salted(unsure: DataFrame, limit: int) -> DataFrame:
-    """unsure with salt: -1, or one of as many numbers as bring its bucket down to the limit."""
-    hot = kept(unsure.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > limit), "hot-buckets")
-    salt = F.pmod(F.xxhash64("text_hash", "first"), F.ceil(F.col("n") / limit)).cast("int")
-    return unsure.join(hot, "gram", "left").select(*KEY, "first", "span", "gram", F.coalesce(salt, F.lit(-1)).alias("salt"))
-
-
 def _fetched(texts: DataFrame, unsure: DataFrame) -> DataFrame:
-    """gram, salt, doc_id, text_hash, first, data: the bytes that the windows of each unsure run span."""
+    """key (the gram), lo, hi, doc_id, text_hash, first, data: the bytes that the windows of each unsure run span. lo, hi: least and greatest
+    distance from a window's start to its anchor that the key stands for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
             for i, own, raw, runs in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), text_rows(b), b.column(3).to_pylist(), strict=True):
-                out += [(r["gram"], r["salt"], i, own, r["first"], (raw or b"")[r["first"] : r["first"] + r["span"] + LENGTH]) for r in runs]
-            columns = list(zip(*out, strict=True)) if out else [[]] * 6
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["gram", "salt", "doc_id", "text_hash", "first", "data"])
+                out += [(r["gram"], 0, LENGTH - GRAM, i, own, r["first"], (raw or b"")[r["first"] : r["first"] + r["span"] + LENGTH]) for r in runs]
+            columns = list(zip(*out, strict=True)) if out else [[]] * len(_TYPES)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES.values(), strict=True)], names=list(_TYPES))
+
+    runs = unsure.groupBy(*KEY).agg(F.collect_set(F.struct("first", "span", "gram")).alias("runs"))  # of one text
+    return texts.join(runs, KEY).select("doc_id", "text", "text_hash", "runs").mapInArrow(run, _ROW)
+
+
+_TYPES = {"key": pa.int64(), "lo": pa.int32(), "hi": pa.int32(), "doc_id": pa.int64(), "text_hash": pa.int64(), "first": pa.int64(), "data": pa.binary()}
+_ROW = "key long, lo int, hi int, doc_id long, text_hash long, first long, data binary"
+
 
-    runs = unsure.groupBy(*KEY).agg(F.collect_set(F.struct("first", "span", "gram", "salt")).alias("runs"))  # of one text
-    return texts.join(runs, KEY).select("doc_id", "text", "text_hash", "runs").mapInArrow(run, "gram long, salt int, doc_id long, text_hash long, first long, data binary")
+def _halves(rows: DataFrame) -> DataFrame:
+    """rows (as _fetched gives them) by the halves of lo to hi that have windows of theirs; key: a hash of the half and of the bytes that all its windows share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 4096):  # of under 2 * LENGTH bytes each
+                some = batch.slice(k, 4096)
+                key, lo, hi, doc, own, first = (some.column(i).to_numpy() for i in range(6))
+                data = some.column(6).to_pylist()
+                size = np.array([len(x) for x in data], dtype=np.int64)
+                whole = np.frombuffer(b"".join(data), dtype=np.uint8)
+                starts = np.cumsum(size) - size
+                at = anchors(whole, starts + size)[5]  # all windows of a row have one anchor
+                p, down = _prefix(whole)
+                mid = (lo + hi) // 2
+                for low, high in ((lo, mid), (mid + 1, hi)):
+                    least, most = np.maximum(low, at - (size - LENGTH)), np.minimum(high, at)
+                    i, j = starts + at - low, starts + at + LENGTH - high
+                    ok = np.flatnonzero(least <= most)
+                    i, j = i[ok], j[ok]
+                    part = mixed(((p[j] - p[i]) * down[i]) ^ mixed(key[ok].view(_U) ^ mixed((low[ok] * LENGTH + high[ok] + 1).astype(_U))))
+                    begin, end = (at - most)[ok], (at - least)[ok] + LENGTH
+                    bytes_ = pa.array([data[r][x:y] for r, x, y in zip(ok, begin, end, strict=True)], pa.binary())
+                    yield pa.RecordBatch.from_arrays([pa.array(part.view(np.int64)), pa.array(low[ok]), pa.array(high[ok]), pa.array(doc[ok]), pa.array(own[ok]), pa.array(first[ok] + begin), bytes_], names=list(_TYPES))
+
+    return rows.mapInArrow(run, _ROW)
+
+
+def _dealt(rows: DataFrame, limit: int) -> tuple[DataFrame, DataFrame | None]:
+    """rows in buckets of at most ``limit`` by their keys; and doc_id, text_hash, first, span of runs whose bytes stand at an earlier place as well."""
+    settled, repeats = None, None
+    place = F.struct(*KEY, "first")
+    while True:
+        hot = kept(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("key"), "hot-buckets")  # a row for limit rows, at most
+        rest = rows.join(F.broadcast(hot), "key", "left_anti")
+        settled = rest if settled is None else settled.unionByName(rest)
+        if hot.isEmpty():
+            return settled, repeats
+        halves = kept(_halves(rows.join(F.broadcast(hot), "key", "left_semi")), "halves").withColumn("all", F.xxhash64("data"))
+        # of rows that are equal over all their windows the first is compared with others
+        leads = halves.groupBy("key", "all").agg(F.min(place).alias("lead"))
+        led = kept(halves.join(leads, ["key", "all"]).withColumn("leads", place == F.col("lead")).drop("all", "lead"), "led")
+        later = led.where("not leads").select(*KEY, "first", (F.octet_length("data") - LENGTH).alias("span"))
+        repeats = later if repeats is None else repeats.unionByName(later)
+        rows = led.where("leads").drop("leads")
 
 
 def _resolved(rows: DataFrame) -> DataFrame:
-    """doc_id, text_hash, first, span, window: runs of windows that were met before in their salted bucket (window is null), and
-    of the buckets with salts each window that was not, with its hash."""
+    """doc_id, text_hash, first, span: runs of windows that were met before in their bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, met = None, np.zeros(0, dtype=_U)  # windows met before in the salted bucket that is being read
+        bucket, met = None, np.zeros(0, dtype=_U)  # windows met before in the bucket that is being read
         before: tuple | None = None  # the last row: a document that is there twice gives each row twice
-        names = ["doc_id", "text_hash", "first", "span", "window"]
         for batch in batches:
             for k in range(0, batch.num_rows, 4096):
                 found = batch.slice(k, 4096).to_pydict()
                 fresh = []
-                for x in zip(found["gram"], found["salt"], found["doc_id"], found["text_hash"], found["first"], found["data"], strict=True):
+                for x in zip(found["key"], found["doc_id"], found["text_hash"], found["first"], found["data"], strict=True):
                     if x != before:
                         fresh.append(x)
                     before = x
                 if not fresh:
                     continue
-                data = [x[5] for x in fresh]
-                gram, salt, doc, own, first = (np.array([x[i] for x in fresh], dtype=np.int64) for i in range(5))
+                data = [x[4] for x in fresh]
+                key, doc, own, first = (np.array([x[i] for x in fresh], dtype=np.int64) for i in range(4))
                 size = np.array([len(x) for x in data])
                 whole = np.frombuffer(b"".join(data), dtype=np.uint8)
                 starts = np.cumsum(size) - size
@@ -228,8 +272,7 @@ def _resolved(rows: DataFrame) -> DataFrame:
                 offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 at = starts[row] + offset
                 p, down = _prefix(whole)
-                window = mixed(((p[at + LENGTH] - p[at]) * down[at]) ^ mixed(gram[row].view(_U)))
-                h = window ^ mixed((salt[row] + 1).view(_U))  # salts do not meet here
+                h = mixed(((p[at + LENGTH] - p[at]) * down[at]) ^ mixed(key[row].view(_U)))
                 order = np.lexsort((np.arange(len(h)), h))
                 again = np.zeros(len(h), dtype=bool)
                 again[order[1:]] = h[order[1:]] == h[order[:-1]]
@@ -237,50 +280,21 @@ def _resolved(rows: DataFrame) -> DataFrame:
                 source = order[np.maximum.accumulate(np.where(again[order], 0, np.arange(len(h))))]
                 same = np.zeros(len(h), dtype=bool)
                 same[order] = (doc[row[order]] == doc[row[source]]) & (own[row[order]] == own[row[source]]) & (first[row[order]] + offset[order] == first[row[source]] + offset[source])
-                new = ~again
                 again &= ~same
                 if bucket is not None and len(met):
-                    mine = (gram[row] == bucket[0]) & (salt[row] == bucket[1])
+                    mine = key[row] == bucket
                     again[mine] |= np.isin(h[mine], met)
-                last = (gram[-1], salt[-1])
-                mine = np.unique(h[(gram[row] == last[0]) & (salt[row] == last[1])])
-                met = np.union1d(met, mine) if bucket == last else mine
-                bucket = last
+                mine = np.unique(h[key[row] == key[-1]])
+                met = np.union1d(met, mine) if bucket == key[-1] else mine
+                bucket = key[-1]
                 hit = np.flatnonzero(again)
                 if len(hit):
                     cut = np.r_[True, (row[hit][1:] != row[hit][:-1]) | (offset[hit][1:] != offset[hit][:-1] + 1)]
                     heads = np.flatnonzero(cut)
                     ends = np.r_[heads[1:], len(hit)] - 1
-                    yield pa.RecordBatch.from_arrays([pa.array(doc[row[hit[heads]]]), pa.array(own[row[hit[heads]]]), pa.array(first[row[hit[heads]]] + offset[hit[heads]]), pa.array((offset[hit[ends]] - offset[hit[heads]]).astype(np.int32)), pa.nulls(len(heads), pa.int64())], names=names)
-                lead = np.flatnonzero(new & ~again & (salt[row] >= 0))
-                if len(lead):
-                    yield pa.RecordBatch.from_arrays([pa.array(doc[row[lead]]), pa.array(own[row[lead]]), pa.array(first[row[lead]] + offset[lead]), pa.array(np.zeros(len(lead), dtype=np.int32)), pa.array(window[lead].view(np.int64))], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(doc[row[hit[heads]]]), pa.array(own[row[hit[heads]]]), pa.array(first[row[hit[heads]]] + offset[hit[heads]]), pa.array((offset[hit[ends]] - offset[hit[heads]]).astype(np.int32))], names=["doc_id", "text_hash", "first", "span"])
 
-    bucket = rows.repartition("gram", "salt").sortWithinPartitions("gram", "salt", "doc_id", "text_hash", "first")
-    return bucket.mapInArrow(run, "doc_id long, text_hash long, first long, span int, window long")
-
-
-def _met_elsewhere(leads: DataFrame) -> DataFrame:
-    """doc_id, text_hash, first, span: of the windows that salts give, all but the first place of each."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lead: tuple | None = None  # the first row of the window that is being read
-        for b in batches:
-            if not b.num_rows:
-                continue
-            window, *place = (c.to_numpy() for c in b.columns)
-            fresh = np.r_[lead is None or lead[0] != window[0], window[1:] != window[:-1]]
-            heads = np.flatnonzero(fresh)
-            of = np.cumsum(fresh) - 1  # -1: the one from before
-            repeat = np.zeros(len(window), dtype=bool)
-            for k, c in enumerate(place):
-                repeat |= c != np.r_[c[heads], lead[k + 1] if lead else 0][of]
-            if len(heads):
-                lead = (window[heads[-1]], *(c[heads[-1]] for c in place))
-            yield pa.RecordBatch.from_arrays([*(pa.array(c[repeat]) for c in place), pa.array(np.zeros(repeat.sum(), dtype=np.int32))], names=["doc_id", "text_hash", "first", "span"])
-
-    order = ["window", "doc_id", "text_hash", "first"]
-    bucket = leads.select(*order).repartition("window").sortWithinPartitions(*order)
+    bucket = rows.select("key", *KEY, "first", "data").repartition("key").sortWithinPartitions("key", "doc_id", "text_hash", "first")
     return bucket.mapInArrow(run, "doc_id long, text_hash long, first long, span int")
 
 
@@ -316,15 +330,22 @@ def _once(texts: DataFrame) -> DataFrame:
     return by_bucket(texts, KEY, several, KEY, "left_anti").unionByName(by_bucket(texts, KEY, several, KEY, "left_semi").dropDuplicates(KEY))
 
 
-def without_repeats(docs: DataFrame, keep_text: bool = False, limit: int = LIMIT) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes, if asked for).
+def _share(runs: DataFrame) -> int:
+    """What a bucket may hold: an even share of the runs among partitions, between LIMIT and MOST. A larger one would make its task stand out."""
+    return max(LIMIT, min(MOST, runs.count() // int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def without_repeats(docs: DataFrame, keep_text: bool = False, limit: int | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the remaining bytes, if asked for). limit: of runs in a bucket, see _share.
 
     A null doc_id counts as the largest. Rows of one doc_id are told apart by their texts, in the order of the texts' hashes.
     """
     texts = keyed_documents_of(docs).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
     once = _once(texts)
     found = kept(_sorted_out(_sampled(once)), "anchors")
-    ends = kept(_resolved(_fetched(once, _salted(found.where("unsure"), limit))), "ends")
-    repeats = found.where("not unsure").unionByName(ends.where("window is null"), allowMissingColumns=True).select(*KEY, "first", "span")
-    repeats = repeats.unionByName(_met_elsewhere(ends.where("window is not null")))
+    runs = kept(_fetched(once, found.where("unsure")), "runs")
+    settled, known = _dealt(runs, _share(runs) if limit is None else limit)
+    repeats = found.where("not unsure").select(*KEY, "first", "span").unionByName(kept(_resolved(settled), "ends"))
+    if known is not None:
+        repeats = repeats.unionByName(known)
     return _cut(texts, repeats, keep_text).withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))

@@ -552,6 +552,18 @@ def test_rows_that_repeat_cost_no_more_than_one(spark, monkeypatch):
     assert sizes["anchors"] < 1000 and sizes["ends"] < 1000
 
 
+def test_runs_of_a_common_bucket_do_not_become_windows(spark, monkeypatch):
+    r = random.Random(8)
+    say = lambda n: "".join(r.choice("abcdefghijklmnop") for _ in range(n))
+    line, long_ = say(70), say(130)
+    rows = [(i, say(120) + (line if i % 2 else long_) + say(120)) for i in range(2000)]
+    sizes, keep = {}, substrings.kept
+    monkeypatch.setattr(substrings, "kept", lambda df, name: (lambda t: sizes.__setitem__(name, sizes.get(name, 0) + t.count()) or t)(keep(df, name)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert Counter(tuple(x[:5]) for x in substrings.without_repeats(df, limit=256).collect()) == plain_repeats(rows)
+    assert sum(n for name, n in sizes.items() if name != "anchors") < 30 * len(rows), sizes
+
+
 def test_pieces_of_long_texts_overlap():
     data = np.frombuffer(b"".join(bytes([97 + i % 23, 97 + i * 7 % 19]) for i in range(3000)), dtype=np.uint8)
     whole = substrings.anchors(data, np.array([len(data)]))
