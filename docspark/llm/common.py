@@ -8,6 +8,7 @@ came before and no stage is run twice.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +26,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+MOST_BYTES = 8 << 20  # of an Arrow batch: a task holds some copies of one, on both sides of the pipe to Python
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of at most MOST_BYTES (and a row), or what the session asks for if that is less."""
+    before = spark.conf.get(BATCH_BYTES)
+    size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before)
+    spark.conf.set(BATCH_BYTES, str(min(size, MOST_BYTES) if size > 0 else MOST_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_BYTES, before)
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """df written once as a table in the shared folder, and read from there."""
     path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
