@@ -7,6 +7,7 @@ came before and no stage is run twice.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -50,6 +51,27 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """What this process has freed goes back to the system: Arrow's pool and glibc keep it for later."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # other C libraries have none
+        trim(0)
+
+
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, and when a task is through with it, what its worker has freed goes back to the system.
+
+    Workers are kept for later tasks, and each would hold the most that any task of any stage before has taken."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
 def text_rows(batch: pa.RecordBatch, name: str = "text") -> Iterator[bytes | None]:
     """The UTF-8 bytes of each text of an Arrow batch; None for a null. One text at a time in memory.
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docspark.llm.common import gram_hashes, kept, keyed_documents_of, mixed, powers, rows_of, run_hashes, text_rows
+from docspark.llm.common import gram_hashes, kept, keyed_documents_of, mixed, powers, released, rows_of, run_hashes, text_rows
 
 N = 3
 RARE = 8
@@ -96,7 +96,7 @@ def item_table(benchmark: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["item", "item_id", "n", "words", "grams"])
 
     rows = benchmark.where("item_id is not null and text is not null").select(F.monotonically_increasing_id().alias("item"), F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "item long, item_id long, n long, words array<long>, grams array<long>")
+    return rows.mapInArrow(released(run), "item long, item_id long, n long, words array<long>, grams array<long>")
 
 
 def _bit_set(grams: DataFrame) -> np.ndarray:
@@ -138,7 +138,7 @@ def _frequencies(texts: DataFrame, bits: np.ndarray) -> DataFrame:
                     met, size = [np.zeros(0, dtype=_U)], 0
         yield sums(met)
 
-    return texts.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInArrow(released(run), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def seeds_of(items: DataFrame, frequency: DataFrame, documents: int) -> DataFrame:
@@ -161,7 +161,7 @@ def _places(texts: DataFrame, bits: np.ndarray) -> DataFrame:
                 of = pa.array(row[at])
                 yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(2).take(of), pa.array(h[at].view(np.int64)), pa.array(place[at])], names=["doc_id", "text_hash", "gram", "place"])
 
-    return texts.mapInArrow(run, "doc_id long, text_hash long, gram long, place long")
+    return texts.mapInArrow(released(run), "doc_id long, text_hash long, gram long, place long")
 
 
 def passages(places: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -232,9 +232,10 @@ def _aligned(texts: DataFrame, wanted: DataFrame, items: DataFrame, min_score: f
     runs = wanted.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("item", "first", "last")).alias("runs"))  # of one text
     runs = runs.select(F.col("doc_id").alias("run_id"), F.col("text_hash").alias("run_hash"), "runs")
     both = texts.join(runs, F.col("doc_id").eqNullSafe(F.col("run_id")) & (F.col("text_hash") == F.col("run_hash"))).select("doc_id", "text", "text_hash", "runs")
-    cuts = both.mapInArrow(cut, "doc_id long, text_hash long, item long, first long, passage array<long>")
+    # written, so that no task has two Python workers at once: an executor keeps as many as it ever needed
+    cuts = kept(both.mapInArrow(released(cut), "doc_id long, text_hash long, item long, first long, passage array<long>"), "cuts")
     pairs = cuts.join(items.select("item", "item_id", "words"), "item").select("doc_id", "text_hash", "item_id", "first", "passage", "words")
-    return pairs.select("doc_id", "text_hash", "item_id", "first", "passage", "words").mapInArrow(align, "doc_id long, text_hash long, item_id long, score double, first_word long, end_word long")
+    return pairs.select("doc_id", "text_hash", "item_id", "first", "passage", "words").mapInArrow(released(align), "doc_id long, text_hash long, item_id long, score double, first_word long, end_word long")
 
 
 def _leaks(docs: DataFrame, benchmark: DataFrame, min_score: float) -> DataFrame:

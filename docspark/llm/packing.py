@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspark.llm.common import documents_of, kept, text_rows
+from docspark.llm.common import documents_of, kept, released, text_rows
 
 CAPACITY = 2048
 END = 0
@@ -130,7 +130,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFr
                     out.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _PIECE.types, strict=True)], schema=_PIECE)
 
-    return documents_of(docs).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return documents_of(docs).mapInArrow(released(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 _PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -210,7 +210,7 @@ def _packed(rows: DataFrame, parts: int, round_: int, last: bool, capacity: int)
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, given_up boolean"
     dealt = rows.repartition(parts, F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id())) if round_ == 0 else rows.repartition(parts)
-    return dealt.mapInArrow(run, schema)
+    return dealt.mapInArrow(released(run), schema)
 
 
 def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, partition: int = PARTITION, rounds: int = ROUNDS) -> DataFrame:

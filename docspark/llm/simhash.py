@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspark.llm.common import by_bucket, gram_hashes, kept, keyed_documents_of, mixed, rows_of, run_hashes, text_rows
+from docspark.llm.common import by_bucket, gram_hashes, kept, keyed_documents_of, mixed, released, rows_of, run_hashes, text_rows
 
 SEED = 42
 FAN = 8
@@ -75,7 +75,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fp = np.fromiter((fingerprint(t or b"") for t in text_rows(b)), dtype=np.uint64, count=b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64)), b.column(2)], names=["doc_id", "fp", "text_hash"])
 
-    return keyed_documents_of(docs).mapInArrow(run, "doc_id long, fp long, text_hash long")
+    return keyed_documents_of(docs).mapInArrow(released(run), "doc_id long, fp long, text_hash long")
 
 
 # --- the index of a group ---------------------------------------------------------------------
@@ -235,7 +235,7 @@ def links(nodes: DataFrame, distance: int = 3, group_limit: int = 8192) -> DataF
     edges = None
     for p in _dealt(nodes, distance, group_limit):
         grouped = p.select("mask", "shared", "fp", "node").repartition("mask", "shared").sortWithinPartitions("mask", "shared")
-        found = grouped.mapInArrow(lambda batches: _by_group(batches, ["mask", "shared"], solve), "a long, b long")
+        found = grouped.mapInArrow(released(lambda batches: _by_group(batches, ["mask", "shared"], solve)), "a long, b long")
         edges = found if edges is None else edges.unionByName(found)
     return edges.distinct()
 
@@ -324,7 +324,7 @@ def _loads(sets: DataFrame) -> np.ndarray:
 
     schema = "chunk long, n binary"
     out = np.zeros((LOADS // CHUNK, CHUNK), dtype=np.int64)
-    for r in sets.select("shingles").mapInArrow(count, schema).repartition("chunk").mapInArrow(add, schema).collect():  # LOADS numbers in all
+    for r in sets.select("shingles").mapInArrow(released(count), schema).repartition("chunk").mapInArrow(released(add), schema).collect():  # LOADS numbers in all
         out[r["chunk"]] = np.frombuffer(r["n"], dtype=np.int64)
     return out.ravel()
 
@@ -364,7 +364,7 @@ def _postings(sets: DataFrame, similarity: float) -> DataFrame:
                 several = ~heads | np.r_[~heads[1:], False]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.view(np.int64), own, at.astype(np.int32), size.astype(np.int32), lead, several)], names=_POSTING)
 
-    return sets.select("node", "class", "shingles").mapInArrow(run, "key long, node long, at int, size int, lead long, several boolean")
+    return sets.select("node", "class", "shingles").mapInArrow(released(run), "key long, node long, at int, size int, lead long, several boolean")
 
 
 def _met(postings: DataFrame) -> DataFrame:
@@ -395,7 +395,7 @@ def _met(postings: DataFrame) -> DataFrame:
 
     deal = F.when(F.col("lead") == F.col("node"), F.col("key")).otherwise(F.xxhash64("key", "node"))
     dealt = postings.repartition(deal).sortWithinPartitions("key", F.col("at") / F.col("size"), "node")
-    return dealt.mapInArrow(run, "key long, node long, at int, size int, lead long")
+    return dealt.mapInArrow(released(run), "key long, node long, at int, size int, lead long")
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -415,7 +415,7 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     size = lambda c, name: sets.select(F.col("node").alias(c), F.octet_length("shingles").alias(name))
     # sets whose sizes differ too much cannot be alike: they are not shuffled for such pairs
     pairs = pairs.join(size("a", "m"), "a").join(size("b", "n"), "b").where(F.least("m", "n") >= F.lit(similarity) * F.greatest("m", "n") - 1e-9).select("a", "b")
-    return pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(released(run), "a long, b long")
 
 
 def _classes(nodes: DataFrame, distance: int) -> DataFrame:
@@ -471,12 +471,12 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
             yield pa.RecordBatch.from_arrays([b.column(2), pa.array([shingles_of(t or b"", shingle) for t in text_rows(b)], pa.binary())], names=["node", "shingles"])
 
     texts = keyed_documents_of(docs)
-    rows = kept(texts.mapInArrow(prints, "doc_id long, node long, fp long, other long"), "prints")
+    rows = kept(texts.mapInArrow(released(prints), "doc_id long, node long, fp long, other long"), "prints")
     nodes = kept(rows.groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("row"), F.first("fp").alias("fp"), F.first("other").alias("other")), "texts")
     members = kept(_classes(nodes, distance), "members")
     # the texts are read again, those of members only, and of equal texts one, told by its doc_id
     named = texts.withColumns({"doc_id": F.coalesce("doc_id", F.lit(NO_ID))})
-    near = by_bucket(named, ["doc_id", "text_hash"], members, ["row", "node"], "left_semi").mapInArrow(shingles, "node long, shingles binary")
+    near = by_bucket(named, ["doc_id", "text_hash"], members, ["row", "node"], "left_semi").mapInArrow(released(shingles), "node long, shingles binary")
     sets = kept(members.select("node", "class").join(near, "node").dropDuplicates(["node"]), "sets")
     to = components(alike_links(sets, similarity))
     return rows.select("doc_id", F.col("node").alias("text_hash")).join(to.withColumnRenamed("node", "text_hash"), "text_hash", "left").select("doc_id", "text_hash", F.coalesce("component", "text_hash").alias("copy_of"))
