@@ -8,6 +8,7 @@ came before and no stage is run twice.
 from __future__ import annotations
 
 import ctypes
+import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -51,6 +52,23 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, key: str) -> DataFrame:
+    """df in as many partitions as kept_by() makes buckets, by a key: what comes of joins by that key is not dealt out again there."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
+def kept_by(df: DataFrame, name: str, key: str) -> DataFrame:
+    """df, dealt() by that key, written as kept() does but in buckets: joins by the key shuffle the other side only, however often the table is joined.
+    The catalog knows it only while it is written."""
+    spark = df.sparkSession
+    path, known = new_folder(spark, name), f"docspark_{uuid.uuid4().hex}"
+    with small_batches(spark):
+        df.write.option("path", path).bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).saveAsTable(known, format="parquet")
+    out = spark.table(known)
+    spark.sql(f"DROP TABLE {known}")
+    return out
+
+
 def give_back() -> None:
     """What this process has freed goes back to the system: Arrow's pool and glibc keep it for later."""
     pa.default_memory_pool().release_unused()

@@ -20,7 +20,7 @@ How the links are found, exactly:
 
 ``keep_one`` links texts by what they share, not by bits alone: two texts are near copies when their sets of five-word shingles
 have a Jaccard similarity of 0.8 or more. The same index, over two fingerprints of single words (near copies differ in few bits of them:
-NEAR at most, of either), puts texts into classes of candidates, and an exact set join finds the links within a class: of two such sets the
+NEAR at most, of either), puts texts into classes of candidates (crowds under one top node as a whole), and an exact set join finds the links within a class: of two such sets the
 rarest fifth of the shingles (the prefix) share one, so texts meet by these in Spark joins and each pair that meets is compared by itself. No class is held in one task, and
 no pair inside a class is left out: a family of near copies first meets its most central text, and only pairs still apart are compared after that.
 
@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspark.llm.common import by_bucket, gram_hashes, kept, keyed_documents_of, mixed, released, rows_of, run_hashes, text_rows
+from docspark.llm.common import by_bucket, dealt, gram_hashes, kept, kept_by, keyed_documents_of, mixed, released, rows_of, run_hashes, text_rows
 
 SEED = 42
 FAN = 8
@@ -216,8 +216,8 @@ def _dealt(rows: DataFrame, distance: int, group_limit: int) -> Iterator[DataFra
         rows = rows.join(large, ["mask", "shared"], "left_semi")
 
 
-def links(nodes: DataFrame, distance: int = 3, group_limit: int = 8192) -> DataFrame:
-    """nodes: fp, node. Edges (a, b), a > b, whose components are those of all links."""
+def _in_groups(rows: DataFrame, distance: int) -> DataFrame:
+    """rows: mask, shared, fp, node. A star (a, b), a > b, for each class that the tree of a group finds; repeats included."""
 
     def solve(t: pa.Table) -> pa.RecordBatch:
         mask, shared, fp, node = (t.column(k).to_numpy() for k in ("mask", "shared", "fp", "node"))
@@ -232,14 +232,31 @@ def links(nodes: DataFrame, distance: int = 3, group_limit: int = 8192) -> DataF
         other = a != b
         return pa.RecordBatch.from_arrays([pa.array(a[other]), pa.array(b[other])], names=["a", "b"])
 
+    grouped = rows.select("mask", "shared", "fp", "node").repartition("mask", "shared").sortWithinPartitions("mask", "shared")
+    return grouped.mapInArrow(released(lambda batches: _by_group(batches, ["mask", "shared"], solve)), "a long, b long")
+
+
+def links(nodes: DataFrame, distance: int = 3, group_limit: int = 8192) -> DataFrame:
+    """nodes: fp, node. Edges (a, b), a > b, whose components are those of all links."""
     edges = None
     for p in _dealt(nodes, distance, group_limit):
-        grouped = p.select("mask", "shared", "fp", "node").repartition("mask", "shared").sortWithinPartitions("mask", "shared")
-        found = grouped.mapInArrow(released(lambda batches: _by_group(batches, ["mask", "shared"], solve)), "a long, b long")
+        found = _in_groups(p, distance)
         edges = found if edges is None else edges.unionByName(found)
     return edges.distinct()
 
 
+def crowd_links(nodes: DataFrame, distance: int, group_limit: int = 8192) -> DataFrame:
+    """nodes: fp, node. Edges (a, b), a > b, whose components hold those of links(), for what is told apart by an exact step afterwards.
+
+    A top node with more than group_limit fingerprints is a crowd: all its members are linked, not split over their free bits, which
+    makes distance + 1 rows of each again and again as the table grows. So each fingerprint goes under distance + 1 nodes, whatever their number."""
+    rows = _under(nodes.withColumn("mask", F.lit(0).cast("long")), {0: _blocks(0, distance + 1)})
+    crowds = rows.groupBy("mask", "shared").agg(F.count("*").alias("n"), F.min("node").alias("least")).where(F.col("n") > group_limit)
+    crowds = kept(crowds.select("mask", "shared", "least"), "crowds")
+    stars = rows.join(crowds, ["mask", "shared"]).where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    return _in_groups(rows.join(crowds, ["mask", "shared"], "left_anti"), distance).unionByName(stars).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges (a, b) between numbers. For each number that is not the smallest of its component: node, component."""
     edges = kept(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges")
@@ -398,8 +415,48 @@ def _met(postings: DataFrame) -> DataFrame:
     return dealt.mapInArrow(released(run), "key long, node long, at int, size int, lead long")
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets have that Jaccard similarity, each compared on its own."""
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """How many of a set fall into each of so many buckets that one or two do: a byte each, 255 for as many or more."""
+    width = 1 << max(len(shingles) - 1, 1).bit_length() - 1
+    return np.minimum(np.bincount(shingles & np.uint32(width - 1), minlength=width), 255).astype(np.uint8)
+
+
+def most_shared(a: np.ndarray, b: np.ndarray) -> int:
+    """Two sets of these sketches share at most so many: the lesser count of each bucket."""
+    a, b = (np.where(x == 255, 1 << 32, x.astype(np.int64)) for x in (a, b))
+    a, b = (x.reshape(-1, min(len(a), len(b))).sum(axis=0) for x in (a, b))
+    return int(np.minimum(a, b).sum())
+
+
+def _sketches(sets: DataFrame) -> DataFrame:
+    """node, size, sketch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            some = [_set(x) for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in some], pa.int64()), pa.array([sketch(x).tobytes() for x in some], pa.binary())], names=["node", "size", "sketch"])
+
+    return kept(sets.select("node", "shingles").mapInArrow(released(run), "node long, size long, sketch binary"), "sketches")
+
+
+def _may_be_alike(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """pairs (a, b) without those whose sizes or sketches tell that their sets cannot be as alike as that: for these no set is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = (batch.column(i).to_numpy() for i in (2, 3))
+            least = similarity / (1 + similarity) * sum(size) - 1e-9
+            most = [most_shared(*(np.frombuffer(v.as_buffer(), dtype=np.uint8) for v in two)) for two in zip(batch.column(4), batch.column(5), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(np.array(most, dtype=np.int64) >= least))
+
+    of = lambda c, n, x: sketches.select(F.col("node").alias(c), F.col("size").alias(n), F.col("sketch").alias(x))
+    near = F.least("m", "n") >= F.lit(similarity) * F.greatest("m", "n") - 1e-9
+    both = pairs.join(of("a", "m", "x"), "a").join(of("b", "n", "y"), "b").where(near)
+    return kept(both.select("a", "b", "m", "n", "x", "y").mapInArrow(released(run), "a long, b long"), "may-be-alike")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets have that Jaccard similarity, each compared on its own. The set of a goes to b's: a text of very many pairs should be a."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -412,9 +469,7 @@ def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     of = lambda c, name: sets.select(F.col("node").alias(c), F.col("shingles").alias(name))
-    size = lambda c, name: sets.select(F.col("node").alias(c), F.octet_length("shingles").alias(name))
-    # sets whose sizes differ too much cannot be alike: they are not shuffled for such pairs
-    pairs = pairs.join(size("a", "m"), "a").join(size("b", "n"), "b").where(F.least("m", "n") >= F.lit(similarity) * F.greatest("m", "n") - 1e-9).select("a", "b")
+    pairs = _may_be_alike(pairs, sketches, similarity)
     return pairs.join(of("a", "x"), "a").join(of("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(released(run), "a long, b long")
 
 
@@ -423,7 +478,7 @@ def _classes(nodes: DataFrame, distance: int) -> DataFrame:
     placed = nodes
     for fp, name in (("fp", "one"), ("other", "two")):
         prints = kept(nodes.select(F.col(fp).alias("fp")).distinct(), "prints")
-        to = kept(components(links(prints.withColumn("node", F.col("fp")), distance)), "print-classes").select(F.col("node").alias(fp), F.col("component").alias(name))
+        to = kept(components(crowd_links(prints.withColumn("node", F.col("fp")), distance)), "print-classes").select(F.col("node").alias(fp), F.col("component").alias(name))
         placed = placed.join(to, fp, "left").withColumn(name, F.coalesce(name, fp))
         several = placed.groupBy(name).count().where("count > 1").select(F.col(name), F.lit(True).alias(f"{name}_several"))
         placed = placed.join(several, name, "left")
@@ -441,9 +496,9 @@ def alike_links(sets: DataFrame, similarity: float) -> DataFrame:
     Texts meet by the shingles of their prefixes. Of those that meet in one shingle the most central (it has the fewest rarer shingles) is compared
     with all others first; then only pairs that are not yet in one component are compared, if their sizes and places allow it."""
     met = kept(_met(_postings(sets, similarity)), "met")
-    pair = lambda x, y: (F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
-    stars = kept(met.where("node <> lead").select(*pair("node", "lead")).distinct(), "stars")
-    edges = kept(_alike(stars, sets, similarity), "star-links")
+    sketches = _sketches(sets)
+    stars = kept(met.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+    edges = kept(_alike(stars, sets, sketches, similarity), "star-links")
     to = kept(components(edges), "star-components")
     placed = met.join(to, "node", "left").select("key", "node", "at", "size", F.coalesce("component", "node").alias("component"))
     apart = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
@@ -453,8 +508,9 @@ def alike_links(sets: DataFrame, similarity: float) -> DataFrame:
     least = F.ceil(F.lit(similarity / (1 + similarity)) * (F.col("x.size") + F.col("y.size")) - 1e-9)
     may = (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component")) & (shared >= least)
     rest = x.join(y, (F.col("x.key") == F.col("y.key")) & may).select(F.col("y.node").alias("a"), F.col("x.node").alias("b")).distinct()
-    rest = kept(rest.join(stars, ["a", "b"], "left_anti"), "pairs")
-    return edges.unionByName(_alike(rest, sets, similarity))
+    compared = stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    rest = kept(rest.join(compared, ["a", "b"], "left_anti"), "pairs")
+    return edges.unionByName(_alike(rest, sets, sketches, similarity))
 
 
 def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, distance: int = NEAR) -> DataFrame:
@@ -477,7 +533,7 @@ def near_copies(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIM
     # the texts are read again, those of members only, and of equal texts one, told by its doc_id
     named = texts.withColumns({"doc_id": F.coalesce("doc_id", F.lit(NO_ID))})
     near = by_bucket(named, ["doc_id", "text_hash"], members, ["row", "node"], "left_semi").mapInArrow(released(shingles), "node long, shingles binary")
-    sets = kept(members.select("node", "class").join(near, "node").dropDuplicates(["node"]), "sets")
+    sets = kept_by(members.select("node", "class").join(dealt(near, "node"), "node").dropDuplicates(["node"]), "sets", "node")
     to = components(alike_links(sets, similarity))
     return rows.select("doc_id", F.col("node").alias("text_hash")).join(to.withColumnRenamed("node", "text_hash"), "text_hash", "left").select("doc_id", "text_hash", F.coalesce("component", "text_hash").alias("copy_of"))
 
