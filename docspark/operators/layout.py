@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import sys
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docspark.operators.columns import classify_line, escape_leading_token, squeezed, wrap_emphasis
 
 PAGE = ["doc_id", "page_no"]
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # functions travel to tasks whole, so workers need no docspark
 
 
 def text_stats(items: DataFrame) -> DataFrame:
@@ -108,6 +113,64 @@ def column_breaks(items: DataFrame) -> DataFrame:
     return edges.withColumn("column_no", F.row_number().over(Window.partitionBy(*PAGE).orderBy("begins")).cast("long")).withColumn("ends", F.lead("begins").over(Window.partitionBy(*PAGE).orderBy("begins")))
 
 
+def _floats(column: pa.Array, null: float) -> np.ndarray:
+    return column.cast(pa.float64()).fill_null(null).to_numpy(zero_copy_only=False)
+
+
+def _by_pages(items: DataFrame, more: list[str], run: Callable[[dict[str, pa.Array], np.ndarray, np.ndarray], list[pa.Array]], schema: str) -> DataFrame:
+    """Gives run the non-blank items of some whole pages at a time, each page in reading order: their columns, where pages begin, and for each item the number of its row in its page.
+
+    A window puts the items of a page behind each other in one task; they stream by there, and a task holds no more than a batch and one page. run gives columns of the schema behind doc_id, page_no.
+    Rows: an item joins the row whose first item's y is within 0.4 of the row's largest size with its own; the row keeps its first y, which no window can."""
+    by = Window.partitionBy(*PAGE).orderBy("ny", "x", "item_no", "str", "font_size")
+    placed = items.where("trim(str) <> ''").select(*PAGE, (-F.col("y")).alias("ny"), "x", "item_no", "str", "font_size", *more).withColumn("place", F.row_number().over(by))
+    placed = placed.withColumn("item_no", F.col("item_no").cast("long"))
+
+    def pages(b: pa.RecordBatch) -> pa.RecordBatch:
+        begins = b.column("place").to_numpy() == 1
+        row_of, row, top, most = [], 0, 0.0, 0.0
+        for first, ny, size in zip(begins.tolist(), _floats(b.column("ny"), np.nan).tolist(), _floats(b.column("font_size"), -np.inf).tolist(), strict=True):
+            if first:
+                row, top, most = 0, ny, size
+            elif abs(ny - top) <= 0.4 * (larger := most if most >= size else size):
+                most = larger
+            else:
+                row, top, most = row + 1, ny, size
+            row_of.append(row)
+        out = run({n: b.column(n) for n in b.schema.names}, begins, np.array(row_of, np.int64))
+        return pa.RecordBatch.from_arrays(out, names=names)
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            starts = np.flatnonzero(b.column("place").to_numpy() == 1)
+            if len(starts):
+                last = int(starts[-1])
+                if held or last:
+                    yield pages(pa.concat_batches([*held, b.slice(0, last)]))
+                b, held = b.slice(last), []
+            if b.num_rows:
+                held.append(b)
+        if held:
+            yield pages(pa.concat_batches(held))
+
+    kinds = dict(items.dtypes)
+    schema = ", ".join([*[f"{c} {kinds[c]}" for c in PAGE], schema])
+    names = [x.split(" ")[0] for x in schema.split(", ")]
+    return placed.mapInArrow(stream, schema)
+
+
+def _row_ids(begins: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each item's page and of its row, over all pages of a batch."""
+    return np.cumsum(begins) - 1, np.cumsum(begins | np.append(True, row[1:] != row[:-1])) - 1
+
+
+def _place_in(group: np.ndarray) -> np.ndarray:
+    """For a sorted array of group numbers, each one's place in its group, from 0."""
+    first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    return np.arange(len(group)) - np.repeat(first, np.diff(np.append(first, len(group))))
+
+
 def cluster_rows(items: DataFrame) -> DataFrame:
     """Each item with its row and its place in it: rows as in cluster_lines, cells of a row by x.
 
@@ -130,6 +193,46 @@ def cluster_rows(items: DataFrame) -> DataFrame:
     return cells.select(*PAGE, "row_no", place.alias("cell_no"), "x", "item_no", "str")
 
 
+def _cells(c: dict[str, pa.Array], begins: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """Cells of some pages: the first item of each, its row (over all pages) and column, its text; and how many columns each page has. Columns as in column_breaks."""
+    page, ids = _row_ids(begins, row)
+    n, x = int(page[-1]) + 1, _floats(c["x"], -np.inf)
+    none = c["x"].is_null().to_numpy(zero_copy_only=False)
+    # the upper median of each page's sizes
+    told = np.flatnonzero(c["font_size"].is_valid().to_numpy(zero_copy_only=False))
+    sizes = _floats(c["font_size"], np.nan)[told]
+    count = np.bincount(page[told], minlength=n)
+    first = np.cumsum(count) - count
+    median = np.full(n, np.nan)
+    median[count > 0] = sizes[np.lexsort((sizes, page[told]))][(first + count // 2)[count > 0]]
+    # edges: 0 and the middle of each wide gap
+    known = np.flatnonzero(~none)
+    by_x = known[np.lexsort((x[known], page[known]))]
+    a, b = by_x[:-1], by_x[1:]
+    wide = np.flatnonzero((page[a] == page[b]) & (x[b] > x[a]) & (x[b] - x[a] > 2 * median[page[b]]))
+    edge_page = np.concatenate([np.arange(n), page[b][wide]])
+    edges = np.concatenate([np.zeros(n), (x[b][wide] + x[a][wide]) / 2])
+    width = np.bincount(edge_page, minlength=n)
+    # an item's column: how many edges of its page are not beyond it
+    pages, e = np.concatenate([edge_page, page[known]]), len(edges)
+    merged = np.lexsort((np.concatenate([edges, x[known]]), pages))
+    passed = np.empty(len(pages), np.int64)
+    passed[merged] = np.cumsum(merged < e) - (np.cumsum(width) - width)[pages[merged]]
+    column = np.where(width[page] == 1, 1, 0)
+    column[known] = np.maximum(1, passed[e:])
+    # without x an item is in the only column or in none
+    order = np.lexsort((x, ids))
+    order = order[column[order] > 0]
+    key, at = ids[order], column[order]
+    starts = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (at[1:] != at[:-1])))[: len(order)]
+    texts = pa.ListArray.from_arrays(pa.array(np.append(starts, len(order)), pa.int32()), c["str"].take(pa.array(order)))
+    return order[starts], key[starts], at[starts], pc.ascii_trim(pc.binary_join(texts, " "), " "), width
+
+
+def _keyed(items: DataFrame) -> DataFrame:
+    return items.where(" and ".join(f"{c} is not null" for c in PAGE))
+
+
 def table_cells(items: DataFrame) -> DataFrame:
     """Cells of each page: its rows, cut at the column breaks; the texts of a cell joined by a space. What is left of
     the first column belongs to it; cells without text give no row."""
@@ -139,20 +242,36 @@ def table_cells(items: DataFrame) -> DataFrame:
     return at.groupBy(*PAGE, "row_no", "column_no").agg(F.trim(text).alias("value"))
 
 
+def _row_cells(items: DataFrame) -> DataFrame:
+    """doc_id, page_no, row_no, cells: the cells of each row, one for each column of its page."""
+
+    def run(c: dict[str, pa.Array], begins: np.ndarray, row: np.ndarray) -> list[pa.Array]:
+        first, key, column, value, width = _cells(c, begins, row)
+        heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))[: len(key)]
+        wide = width[_row_ids(begins, row)[0][first[heads]]]
+        ends = np.cumsum(wide)
+        source = np.full(int(wide.sum()), -1, np.int64)
+        source[np.repeat(ends - wide, np.diff(np.append(heads, len(key)))) + column - 1] = np.arange(len(key))
+        flat = value.take(pa.array(source, mask=source < 0)).fill_null("")
+        at = pa.array(first[heads])
+        return [c["doc_id"].take(at), c["page_no"].take(at), pa.array(row[first[heads]]), pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), flat)]
+
+    return _by_pages(_keyed(items), [], run, "row_no long, cells array<string>")
+
+
 def dense_rows(items: DataFrame, pages: DataFrame) -> DataFrame:
     """The sheet of each document: doc_id, sheet_row (from 1), page_no, cells. A page's rows have a cell for each of its columns, empty where it has no text; a page without text is
-    one row of one empty cell; between two pages stands a row without cells (its page_no is that of the page after it). pages: doc_id, page_no of all pages."""
-    all_pages = pages.select(*PAGE).distinct()
-    filled = items.where("trim(str) <> ''")
-    width = column_breaks(filled).groupBy(*PAGE).agg(F.count("*").alias("width"))
-    own = table_cells(items).groupBy(*PAGE, "row_no").agg(F.map_from_entries(F.collect_list(F.struct("column_no", "value"))).alias("m"))
-    cells = F.transform(F.sequence(F.lit(1).cast("long"), F.col("width")), lambda c: F.coalesce(F.try_element_at("m", c), F.lit("")))
-    rows = own.join(width, PAGE).select(*PAGE, "row_no", cells.alias("cells"))
-    blank = all_pages.join(filled.select(*PAGE).distinct(), PAGE, "left_anti").select(*PAGE, F.lit(0).cast("long").alias("row_no"), F.array(F.lit("")).alias("cells"))
-    first = all_pages.groupBy("doc_id").agg(F.min("page_no").alias("first"))
-    apart = all_pages.join(first, "doc_id").where("page_no > first").select(*PAGE, F.lit(-1).cast("long").alias("row_no"), F.array().cast("array<string>").alias("cells"))
-    whole = rows.unionByName(blank).unionByName(apart)
-    return whole.select("doc_id", F.row_number().over(Window.partitionBy("doc_id").orderBy("page_no", "row_no")).cast("long").alias("sheet_row"), "page_no", "cells")
+    one row of one empty cell; between two pages stands a row without cells (its page_no is that of the page after it). pages: doc_id, page_no of all pages.
+
+    Each page comes with two rows more, before and behind its own: the one before it stands unless the page is its document's first, the one behind it if nothing is between the two."""
+    before, behind = -1, (1 << 63) - 1
+    more = pages.select(*PAGE).distinct().select(*PAGE, F.explode(F.array(F.lit(before).cast("long"), F.lit(behind).cast("long"))).alias("row_no"))
+    more = more.withColumn("cells", F.when(F.col("row_no") == before, F.array().cast("array<string>")).otherwise(F.array(F.lit(""))))
+    by = Window.partitionBy("doc_id").orderBy("page_no", "row_no")
+    whole = _row_cells(items).unionByName(more)
+    whole = whole.withColumn("first", F.min(F.when(F.col("row_no") == before, F.col("page_no"))).over(by)).withColumn("last", F.lag("row_no").over(by))
+    whole = whole.where(F.when(F.col("row_no") == before, F.col("page_no") > F.col("first")).when(F.col("row_no") == behind, F.col("last") == before).otherwise(F.lit(True)))
+    return whole.select("doc_id", F.row_number().over(by).cast("long").alias("sheet_row"), "page_no", "cells")
 
 
 def render_markdown(lines: DataFrame, body: DataFrame) -> DataFrame:

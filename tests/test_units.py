@@ -181,6 +181,18 @@ def test_rows_of_a_page_keep_cells_by_x(spark):
     assert layout.cluster_rows(d.limit(0)).isEmpty() and layout.table_cells(d.limit(0)).isEmpty()
 
 
+def scans_of(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("FileScan parquet")
+
+
+def test_a_sheet_reads_its_items_once(spark, sf):
+    assert scans_of(layout.dense_rows(view(spark, sf, "text_items"), view(spark, sf, "doc_pages"))) == 2  # items and pages
+    items = spark.createDataFrame([(1, 2, 1, "b", 90.0, 700.0, 5.0, 10.0), (1, 2, 2, "a", 5.0, 697.0, 5.0, 10.0), (1, 2, 3, "c", 5.0, 600.0, 5.0, 12.0), (1, 4, 1, " ", 1.0, 1.0, 1.0, 1.0)], "doc_id long, page_no long, item_no long, str string, x double, y double, width double, font_size double")
+    pages = spark.createDataFrame([(1, 2), (1, 3), (1, 4), (1, 2), (2, 7)], "doc_id long, page_no long")
+    got = [(r["doc_id"], r["sheet_row"], r["page_no"], r["cells"]) for r in layout.dense_rows(items, pages).orderBy("doc_id", "sheet_row").collect()]
+    assert got == [(1, 1, 2, ["a", "b"]), (1, 2, 2, ["c", ""]), (1, 3, 3, []), (1, 4, 3, [""]), (1, 5, 4, []), (1, 6, 4, [""]), (2, 1, 7, [""])]
+
+
 def test_parameter_tables(spark):
     rows = [("page-numbers-v1", None), ("page-numbers-v1", {"start": "0"}), ("page-numbers-v1", {"start": "x"}), ("page-numbers-v1", {"to": "1"}), ("organize-pages-v1", {"order": "keep"}), ("organize-pages-v1", {"order": "up"}), ("none", {}), (None, None)]
     got = recipes.check_params(spark.createDataFrame(rows, "step string, params map<string,string>")).collect()
