@@ -235,11 +235,14 @@ def _keyed(items: DataFrame) -> DataFrame:
 
 def table_cells(items: DataFrame) -> DataFrame:
     """Cells of each page: its rows, cut at the column breaks; the texts of a cell joined by a space. What is left of
-    the first column belongs to it; cells without text give no row."""
-    filled = items.where("trim(str) <> ''")
-    at = cluster_rows(filled).join(column_breaks(filled), PAGE).where("(x >= begins or column_no = 1) and (ends is null or x < ends)")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("cell_no", "str"))), lambda s: s["str"]), " ")
-    return at.groupBy(*PAGE, "row_no", "column_no").agg(F.trim(text).alias("value"))
+    the first column belongs to it; cells without text give no row. Rows and columns are found in one pass over a page."""
+
+    def run(c: dict[str, pa.Array], begins: np.ndarray, row: np.ndarray) -> list[pa.Array]:
+        first, _, column, value, _ = _cells(c, begins, row)
+        at = pa.array(first)
+        return [c["doc_id"].take(at), c["page_no"].take(at), pa.array(row[first]), pa.array(column), value]
+
+    return _by_pages(_keyed(items), [], run, "row_no long, column_no long, value string")
 
 
 def _row_cells(items: DataFrame) -> DataFrame:

@@ -193,6 +193,12 @@ def test_a_sheet_reads_its_items_once(spark, sf):
     assert got == [(1, 1, 2, ["a", "b"]), (1, 2, 2, ["c", ""]), (1, 3, 3, []), (1, 4, 3, [""]), (1, 5, 4, []), (1, 6, 4, [""]), (2, 1, 7, [""])]
 
 
+def test_cells_read_their_items_once(spark, sf):
+    assert scans_of(layout.table_cells(view(spark, sf, "text_items"))) == 1
+    d = spark.createDataFrame([(1, 1, k, w, x, y, 5.0, 10.0) for k, (w, x, y) in enumerate([("a", -50.0, 9.0), ("b ", 1.0, 9.0), (" c", 2.0, 9.0), ("d", None, 9.0), ("e", 90.0, 9.0)])] + [(1, None, 1, "z", 1.0, 1.0, 1.0, 1.0), (2, 1, 1, "only", None, None, None, None)], "doc_id long, page_no long, item_no long, str string, x double, y double, width double, font_size double")
+    assert sorted(tuple(r) for r in layout.table_cells(d).collect()) == [(1, 1, 0, 1, "a"), (1, 1, 0, 2, "b   c"), (1, 1, 0, 3, "e"), (2, 1, 0, 1, "only")]
+
+
 def test_parameter_tables(spark):
     rows = [("page-numbers-v1", None), ("page-numbers-v1", {"start": "0"}), ("page-numbers-v1", {"start": "x"}), ("page-numbers-v1", {"to": "1"}), ("organize-pages-v1", {"order": "keep"}), ("organize-pages-v1", {"order": "up"}), ("none", {}), (None, None)]
     got = recipes.check_params(spark.createDataFrame(rows, "step string, params map<string,string>")).collect()
