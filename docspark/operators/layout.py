@@ -172,25 +172,16 @@ def _place_in(group: np.ndarray) -> np.ndarray:
 
 
 def cluster_rows(items: DataFrame) -> DataFrame:
-    """Each item with its row and its place in it: rows as in cluster_lines, cells of a row by x.
+    """Each item with its row and its place in it: rows as in cluster_lines, cells of a row by x."""
 
-    A fold over the items of one page finds where rows begin (one append a row, not one an item); the items are cut there."""
-    item = F.struct((-F.col("y")).alias("ny"), "x", "item_no", "str", "font_size")
-    pages = items.where("trim(str) <> ''").groupBy(*PAGE).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    start = F.from_json(F.lit('{"n":0,"begins":[]}'), "struct<n:int,y:double,size:double,begins:array<int>>")
+    def run(c: dict[str, pa.Array], begins: np.ndarray, row: np.ndarray) -> list[pa.Array]:
+        ids = _row_ids(begins, row)[1]
+        order = np.lexsort((_floats(c["x"], -np.inf), ids))  # stable: items of one x stay by y and item_no
+        cell = np.empty(len(ids), np.int64)
+        cell[order] = _place_in(ids) + 1
+        return [c["doc_id"], c["page_no"], pa.array(row), pa.array(cell), c["x"], c["item_no"], c["str"]]
 
-    def add(acc: Column, it: Column) -> Column:
-        y, size = -it["ny"], F.greatest(acc["size"], it["font_size"])
-        joins = (acc["n"] > 0) & (F.abs(y - acc["y"]) <= 0.4 * size)
-        begins = F.when(joins, acc["begins"]).otherwise(F.array_append(acc["begins"], acc["n"]))
-        return F.struct((acc["n"] + 1).alias("n"), F.when(joins, acc["y"]).otherwise(y).alias("y"), F.when(joins, size).otherwise(it["font_size"]).alias("size"), begins.alias("begins"))
-
-    cut = pages.select(*PAGE, "items", F.aggregate("items", start, add)["begins"].alias("begins"))
-    rows = F.transform("begins", lambda b, i: F.slice("items", b + 1, F.coalesce(F.get("begins", i + 1), F.size("items")) - b))
-    cells = cut.select(*PAGE, rows.alias("rows")).select(*PAGE, F.posexplode("rows").alias("row_no", "cells")).select(*PAGE, F.col("row_no").cast("long").alias("row_no"), F.explode("cells").alias("c"))
-    cells = cells.select(*PAGE, "row_no", "c.x", "c.ny", F.col("c.item_no").cast("long").alias("item_no"), "c.str")
-    place = F.row_number().over(Window.partitionBy(*PAGE, "row_no").orderBy("x", "ny", "item_no")).cast("long")
-    return cells.select(*PAGE, "row_no", place.alias("cell_no"), "x", "item_no", "str")
+    return _by_pages(items, [], run, f"row_no long, cell_no long, x {dict(items.dtypes)['x']}, item_no long, str string")
 
 
 def _cells(c: dict[str, pa.Array], begins: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:

@@ -2,6 +2,7 @@
 
 import datetime
 import pathlib
+import time
 import zlib
 
 import pytest
@@ -199,6 +200,15 @@ def test_cells_read_their_items_once(spark, sf):
     assert sorted(tuple(r) for r in layout.table_cells(d).collect()) == [(1, 1, 0, 1, "a"), (1, 1, 0, 2, "b   c"), (1, 1, 0, 3, "e"), (2, 1, 0, 1, "only")]
 
 
+def test_a_page_of_many_rows(spark):
+    """The fold ran once for each row: 191 s for 2,000 rows."""
+    began = time.monotonic()
+    d = spark.range(25_000).selectExpr("id % 2 as doc_id", "1L as page_no", "id as item_no", "'w' as str", "double(64 - id % 4) as x", "double(-30 * int(id / 4)) as y", "5D as width", "10D as font_size")
+    got = layout.cluster_rows(d.repartition(4)).orderBy("doc_id", "row_no", "cell_no").collect()
+    assert [(r["doc_id"], r["row_no"], r["cell_no"], r["item_no"]) for r in got] == [(k, r, c + 1, 4 * r + 2 - 2 * c + k) for k in range(2) for r in range(6250) for c in range(2)]
+    assert time.monotonic() - began < 120
+
+
 def test_parameter_tables(spark):
     rows = [("page-numbers-v1", None), ("page-numbers-v1", {"start": "0"}), ("page-numbers-v1", {"start": "x"}), ("page-numbers-v1", {"to": "1"}), ("organize-pages-v1", {"order": "keep"}), ("organize-pages-v1", {"order": "up"}), ("none", {}), (None, None)]
     got = recipes.check_params(spark.createDataFrame(rows, "step string, params map<string,string>")).collect()
