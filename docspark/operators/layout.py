@@ -36,8 +36,9 @@ def filter_confidence(lines: DataFrame, least: int = 30) -> DataFrame:
 
 
 def body_size(items: DataFrame, default: float = 10.0) -> DataFrame:
-    """Median font size of each document's non-blank items."""
-    return items.where("trim(str) <> ''").groupBy("doc_id").agg(F.coalesce(F.nullif(F.median("font_size"), F.lit(0.0)), F.lit(default)).alias("body"))
+    """Median font size of each document's non-blank items. Items are counted by size first, so a document brings a row for each of its sizes."""
+    sizes = items.where("trim(str) <> ''").groupBy("doc_id", "font_size").agg(F.count("*").alias("n"))
+    return sizes.groupBy("doc_id").agg(F.coalesce(F.nullif(F.expr("percentile(font_size, 0.5, n)"), F.lit(0.0)), F.lit(default)).alias("body"))
 
 
 def upper_median(items: DataFrame) -> DataFrame:
@@ -62,63 +63,12 @@ def items_in_rects(items: DataFrame, rects: DataFrame, least: float = 4) -> Data
     return items.join(r, PAGE).where(over).select(*PAGE, "item_no").distinct()
 
 
-_LINE = "struct<text:string,y:double,endx:double,size:double,bold:boolean,italic:boolean>"
-
-
-def cluster_lines(items: DataFrame) -> DataFrame:
-    """Lines of each page: an item joins the line whose first item's y is within 0.4 of the larger size.
-
-    A fold over the page's sorted items: the line keeps its first y and its largest size, which no window can.
-    Pages are small by nature (one page of a document), so a page's items fit one row.
-    """
-    item = F.struct((-F.col("y")).alias("ny"), "x", "item_no", "str", "width", "font_size", F.contains("font_family", F.lit("Bold")).alias("b"), F.contains("font_family", F.lit("Oblique")).alias("i"))
-    pages = items.where("trim(str) <> ''").groupBy(*PAGE).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    start = F.from_json(F.lit('{"done":[],"line":null}'), f"struct<done:array<{_LINE}>,line:{_LINE}>")
-
-    def add(acc: Column, it: Column) -> Column:
-        line, y = acc["line"], -it["ny"]
-        fresh = F.struct(it["str"].alias("text"), y.alias("y"), (it["x"] + it["width"]).alias("endx"), it["font_size"].alias("size"), it["b"].alias("bold"), it["i"].alias("italic"))
-        size = F.greatest(line["size"], it["font_size"])
-        joins = line.isNotNull() & (F.abs(y - line["y"]) <= 0.4 * size)
-        space = F.when((it["x"] - line["endx"] > 0.28 * size) & ~F.endswith(line["text"], F.lit(" ")), " ").otherwise("")
-        longer = F.struct(F.concat(line["text"], space, it["str"]).alias("text"), line["y"].alias("y"), (it["x"] + it["width"]).alias("endx"), size.alias("size"), (line["bold"] | it["b"]).alias("bold"), (line["italic"] & it["i"]).alias("italic"))
-        done = F.when(joins | line.isNull(), acc["done"]).otherwise(F.array_append(acc["done"], line))
-        return F.struct(done.alias("done"), F.when(joins, longer).otherwise(fresh).alias("line"))
-
-    folded = pages.select(*PAGE, F.aggregate("items", start, add).alias("f"))
-    every = folded.select(*PAGE, F.posexplode(F.array_append("f.done", F.col("f.line"))).alias("line_no", "l"))
-    return every.select(*PAGE, F.col("line_no").cast("long").alias("line_no"), "l.*")
-
-
-def gap_to_next(lines: DataFrame) -> DataFrame:
-    """y less the next line's y; null for a page's last. Blank lines are dropped after."""
-    gap = F.col("y") - F.lead("y").over(Window.partitionBy(*PAGE).orderBy("line_no"))
-    return lines.withColumn("gap", gap).where("trim(text) <> ''")
-
-
-def paragraph_break(lines: DataFrame, default: float = 10.0) -> DataFrame:
-    """Lines with their paragraph number: a new one after a gap over 1.6 of the page's median positive gap, or unknown."""
-    usual = lines.groupBy(*PAGE).agg(F.coalesce(F.median(F.when(F.col("gap") > 0, F.col("gap"))), F.lit(default)).alias("usual"))
-    by = Window.partitionBy(*PAGE).orderBy("line_no")
-    both = lines.join(usual, PAGE).withColumn("ends", (F.col("gap").isNull() | (F.col("gap") > 1.6 * F.col("usual"))).cast("int"))
-    return both.withColumn("paragraph", F.coalesce(F.sum("ends").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")).drop("usual", "ends")
-
-
-def column_breaks(items: DataFrame) -> DataFrame:
-    """Columns of each page: a gap over twice the upper median size between sorted x starts a new one, at its middle."""
-    xs = items.select(*PAGE, "x").distinct().join(upper_median(items), PAGE)
-    by = Window.partitionBy(*PAGE).orderBy("x")
-    gap = xs.withColumn("before", F.lag("x").over(by)).where(F.col("x") - F.col("before") > 2 * F.col("size"))
-    edges = gap.select(*PAGE, ((F.col("x") + F.col("before")) / 2).alias("begins")).unionByName(items.select(*PAGE).distinct().withColumn("begins", F.lit(0.0)))
-    return edges.withColumn("column_no", F.row_number().over(Window.partitionBy(*PAGE).orderBy("begins")).cast("long")).withColumn("ends", F.lead("begins").over(Window.partitionBy(*PAGE).orderBy("begins")))
-
-
 def _floats(column: pa.Array, null: float) -> np.ndarray:
     return column.cast(pa.float64()).fill_null(null).to_numpy(zero_copy_only=False)
 
 
-def _by_pages(items: DataFrame, more: list[str], run: Callable[[dict[str, pa.Array], np.ndarray, np.ndarray], list[pa.Array]], schema: str) -> DataFrame:
-    """Gives run the non-blank items of some whole pages at a time, each page in reading order: their columns, where pages begin, and for each item the number of its row in its page.
+def _by_pages(items: DataFrame, more: list[str | Column], run: Callable[[dict[str, pa.Array], np.ndarray, np.ndarray, np.ndarray], list[pa.Array]], schema: str) -> DataFrame:
+    """Gives run the non-blank items of some whole pages at a time, each page in reading order: their columns, where pages begin, and for each item the number of its row in its page and the row's largest size so far.
 
     A window puts the items of a page behind each other in one task; they stream by there, and a task holds no more than a batch and one page. run gives columns of the schema behind doc_id, page_no.
     Rows: an item joins the row whose first item's y is within 0.4 of the row's largest size with its own; the row keeps its first y, which no window can."""
@@ -128,7 +78,7 @@ def _by_pages(items: DataFrame, more: list[str], run: Callable[[dict[str, pa.Arr
 
     def pages(b: pa.RecordBatch) -> pa.RecordBatch:
         begins = b.column("place").to_numpy() == 1
-        row_of, row, top, most = [], 0, 0.0, 0.0
+        row_of, size_of, row, top, most = [], [], 0, 0.0, 0.0
         for first, ny, size in zip(begins.tolist(), _floats(b.column("ny"), np.nan).tolist(), _floats(b.column("font_size"), -np.inf).tolist(), strict=True):
             if first:
                 row, top, most = 0, ny, size
@@ -137,7 +87,8 @@ def _by_pages(items: DataFrame, more: list[str], run: Callable[[dict[str, pa.Arr
             else:
                 row, top, most = row + 1, ny, size
             row_of.append(row)
-        out = run({n: b.column(n) for n in b.schema.names}, begins, np.array(row_of, np.int64))
+            size_of.append(most)
+        out = run({n: b.column(n) for n in b.schema.names}, begins, np.array(row_of, np.int64), np.array(size_of))
         return pa.RecordBatch.from_arrays(out, names=names)
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,10 +122,58 @@ def _place_in(group: np.ndarray) -> np.ndarray:
     return np.arange(len(group)) - np.repeat(first, np.diff(np.append(first, len(group))))
 
 
+def cluster_lines(items: DataFrame) -> DataFrame:
+    """Lines of each page: an item joins the line whose first item's y is within 0.4 of the larger size; a gap over 0.28 of that size stands for a space."""
+
+    def run(c: dict[str, pa.Array], begins: np.ndarray, row: np.ndarray, most: np.ndarray) -> list[pa.Array]:
+        starts = np.flatnonzero(np.append(True, np.diff(_row_ids(begins, row)[1]) > 0))
+        first, last = pa.array(starts), pa.array(np.append(starts[1:], len(row)) - 1)
+        x, end = c["x"].cast(pa.float64()), pc.add(c["x"].cast(pa.float64()), c["width"].cast(pa.float64()))
+        known = (x.is_valid().to_numpy(zero_copy_only=False) & (most > -np.inf))[1:] & end.is_valid().to_numpy(zero_copy_only=False)[:-1]
+        apart = np.append(False, known & ~(_floats(x, 0.0)[1:] - _floats(end, 0.0)[:-1] <= 0.28 * most[1:]) & ~pc.ends_with(c["str"], " ").to_numpy(zero_copy_only=False)[:-1])
+        apart[starts] = False
+        pieces = pc.if_else(pa.array(apart), pc.binary_join_element_wise(" ", c["str"], ""), c["str"])
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(starts, len(row)), pa.int32()), pieces), "")
+        any_of = lambda flag: np.logical_or.reduceat(flag.to_numpy(zero_copy_only=False), starts)
+        bold, roman = any_of(c["b"].fill_null(False)), any_of(pc.invert(c["i"]).fill_null(False))
+        size = most[last]
+        return [*(c[k].take(first) for k in PAGE), pa.array(row[starts]), text, pc.negate(c["ny"].take(first)).cast(pa.float64()), end.take(last), pa.array(size, mask=size == -np.inf), pa.array(bold, mask=~bold & any_of(c["b"].is_null())), pa.array(~roman, mask=~roman & any_of(c["i"].is_null()))]
+
+    more = ["width", F.contains("font_family", F.lit("Bold")).alias("b"), F.contains("font_family", F.lit("Oblique")).alias("i")]
+    return _by_pages(items, more, run, "line_no long, text string, y double, endx double, size double, bold boolean, italic boolean")
+
+
+def gap_to_next(lines: DataFrame) -> DataFrame:
+    """y less the next line's y; null for a page's last. Blank lines are dropped after."""
+    gap = F.col("y") - F.lead("y").over(Window.partitionBy(*PAGE).orderBy("line_no"))
+    return lines.withColumn("gap", gap).where("trim(text) <> ''")
+
+
+def _keyed(items: DataFrame) -> DataFrame:
+    return items.where(" and ".join(f"{c} is not null" for c in PAGE))
+
+
+def paragraph_break(lines: DataFrame, default: float = 10.0) -> DataFrame:
+    """Lines with their paragraph number: a new one after a gap over 1.6 of the page's median positive gap, or unknown."""
+    usual = F.coalesce(F.median(F.when(F.col("gap") > 0, F.col("gap"))).over(Window.partitionBy(*PAGE)), F.lit(default))
+    by = Window.partitionBy(*PAGE).orderBy("line_no")
+    both = _keyed(lines).withColumn("usual", usual).withColumn("ends", (F.col("gap").isNull() | (F.col("gap") > 1.6 * F.col("usual"))).cast("int"))
+    return both.withColumn("paragraph", F.coalesce(F.sum("ends").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")).drop("usual", "ends")
+
+
+def column_breaks(items: DataFrame) -> DataFrame:
+    """Columns of each page: a gap over twice the upper median size between sorted x starts a new one, at its middle."""
+    xs = items.select(*PAGE, "x").distinct().join(upper_median(items), PAGE)
+    by = Window.partitionBy(*PAGE).orderBy("x")
+    gap = xs.withColumn("before", F.lag("x").over(by)).where(F.col("x") - F.col("before") > 2 * F.col("size"))
+    edges = gap.select(*PAGE, ((F.col("x") + F.col("before")) / 2).alias("begins")).unionByName(items.select(*PAGE).distinct().withColumn("begins", F.lit(0.0)))
+    return edges.withColumn("column_no", F.row_number().over(Window.partitionBy(*PAGE).orderBy("begins")).cast("long")).withColumn("ends", F.lead("begins").over(Window.partitionBy(*PAGE).orderBy("begins")))
+
+
 def cluster_rows(items: DataFrame) -> DataFrame:
     """Each item with its row and its place in it: rows as in cluster_lines, cells of a row by x."""
 
-    def run(c: dict[str, pa.Array], begins: np.ndarray, row: np.ndarray) -> list[pa.Array]:
+    def run(c: dict[str, pa.Array], begins: np.ndarray, row: np.ndarray, most: np.ndarray) -> list[pa.Array]:
         ids = _row_ids(begins, row)[1]
         order = np.lexsort((_floats(c["x"], -np.inf), ids))  # stable: items of one x stay by y and item_no
         cell = np.empty(len(ids), np.int64)
@@ -220,15 +219,11 @@ def _cells(c: dict[str, pa.Array], begins: np.ndarray, row: np.ndarray) -> tuple
     return order[starts], key[starts], at[starts], pc.ascii_trim(pc.binary_join(texts, " "), " "), width
 
 
-def _keyed(items: DataFrame) -> DataFrame:
-    return items.where(" and ".join(f"{c} is not null" for c in PAGE))
-
-
 def table_cells(items: DataFrame) -> DataFrame:
     """Cells of each page: its rows, cut at the column breaks; the texts of a cell joined by a space. What is left of
     the first column belongs to it; cells without text give no row. Rows and columns are found in one pass over a page."""
 
-    def run(c: dict[str, pa.Array], begins: np.ndarray, row: np.ndarray) -> list[pa.Array]:
+    def run(c: dict[str, pa.Array], begins: np.ndarray, row: np.ndarray, most: np.ndarray) -> list[pa.Array]:
         first, _, column, value, _ = _cells(c, begins, row)
         at = pa.array(first)
         return [c["doc_id"].take(at), c["page_no"].take(at), pa.array(row[first]), pa.array(column), value]
@@ -239,7 +234,7 @@ def table_cells(items: DataFrame) -> DataFrame:
 def _row_cells(items: DataFrame) -> DataFrame:
     """doc_id, page_no, row_no, cells: the cells of each row, one for each column of its page."""
 
-    def run(c: dict[str, pa.Array], begins: np.ndarray, row: np.ndarray) -> list[pa.Array]:
+    def run(c: dict[str, pa.Array], begins: np.ndarray, row: np.ndarray, most: np.ndarray) -> list[pa.Array]:
         first, key, column, value, width = _cells(c, begins, row)
         heads = np.flatnonzero(np.append(True, key[1:] != key[:-1]))[: len(key)]
         wide = width[_row_ids(begins, row)[0][first[heads]]]
@@ -270,7 +265,7 @@ def dense_rows(items: DataFrame, pages: DataFrame) -> DataFrame:
 
 def render_markdown(lines: DataFrame, body: DataFrame) -> DataFrame:
     """doc_id, page_no, text: headings (italics stay), lists numbered anew, list items and paragraphs with emphasis."""
-    df = paragraph_break(gap_to_next(lines)).join(body, "doc_id")
+    df = paragraph_break(gap_to_next(lines.join(body, "doc_id")))  # joined first: the windows find each document in one place
     df = df.withColumn("c", classify_line(F.col("size"), F.col("body"), F.trim("text"))).withColumn("kind", F.col("c.kind")).withColumn("t", squeezed(F.col("c.text")))
     by = Window.partitionBy(*PAGE).orderBy("line_no")
     plain = F.col("kind") == "paragraph"

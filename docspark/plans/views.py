@@ -42,14 +42,20 @@ VIEWS: dict[str, tuple[list[str], str, str]] = {
 }
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+#: views whose documents are dealt to tasks by doc_id before their texts are cut: what a window puts together later lies together already, so texts are shuffled and not words
+DEALT = {"text_items"}
+
+
+def view(spark: SparkSession, sf_dir: str, name: str, dealt: bool = False) -> DataFrame:
     """A given table or a view of the document model, over sf_dir."""
     if name in TABLES:
         df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        if dealt and name == "documents":
+            df = df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
     else:
         needs, sql, _ = VIEWS[name]
         for t in [*[t for t in TABLES if t in sql], *needs]:
-            view(spark, sf_dir, t)
+            view(spark, sf_dir, t, dealt or name in DEALT)
         df = spark.sql(sql)
     df.createOrReplaceTempView(name)
     return df

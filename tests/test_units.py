@@ -209,6 +209,19 @@ def test_a_page_of_many_rows(spark):
     assert time.monotonic() - began < 120
 
 
+def test_markdown_reads_its_lines_once(spark, sf):
+    items = view(spark, sf, "text_items")
+    plan = items._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.rindex("Generate") < plan.index("Exchange")  # texts are shuffled, not words
+    assert scans_of(layout.render_markdown(layout.cluster_lines(items), layout.body_size(items))) == 2  # for the lines, and for the sizes
+
+
+def test_lines_with_unknown_places_and_faces(spark):
+    d = spark.createDataFrame([(1, 1, 1, "a", 5.0, 9.0, 5.0, 10.0, None), (1, 1, 2, "b ", 20.0, 9.0, None, None, "X-Bold"), (1, 1, 3, "c", 90.0, 9.0, 5.0, 12.0, "X-Oblique"), (1, 1, 4, "d", 5.0, None, 5.0, 10.0, None), (1, 2, 1, "e", -5.0, 0.0, 1.0, None, "X")], "doc_id long, page_no long, item_no long, str string, x double, y double, width double, font_size double, font_family string")
+    got = layout.cluster_lines(d).orderBy("page_no", "line_no").collect()
+    assert [tuple(r)[2:] for r in got] == [(0, "d", None, 10.0, 10.0, None, None), (1, "a b c", 9.0, 95.0, 12.0, True, False), (0, "e", 0.0, -4.0, None, False, False)]
+
+
 def test_parameter_tables(spark):
     rows = [("page-numbers-v1", None), ("page-numbers-v1", {"start": "0"}), ("page-numbers-v1", {"start": "x"}), ("page-numbers-v1", {"to": "1"}), ("organize-pages-v1", {"order": "keep"}), ("organize-pages-v1", {"order": "up"}), ("none", {}), (None, None)]
     got = recipes.check_params(spark.createDataFrame(rows, "step string, params map<string,string>")).collect()
